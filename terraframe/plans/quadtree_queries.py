@@ -1 +1,260 @@
-"""Placeholder."""
+"""Queries on adaptive quadtrees: 2 x 2 coarse cells, 8-pixel span, three levels.
+
+The rasters are 25 x 25, so cells of 12, 6, 3 and 1.5 pixels; the span makes
+level 1 the first that may keep a cell.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terraframe.functions.frame import geo_struct
+from terraframe.operators import quadtree as Q
+from terraframe.plans.collection import Collection
+from terraframe.plans.registry import fixed, fixed_as, query
+from terraframe.plans.sql import fixed as q, lround, with_sql
+
+SETUP = {"coarse": 2, "max_level": 3, "max_span": 8.0}
+ANGLE = 60.0
+CELL = ["raster_id", "level", "ix", "iy"]
+
+
+def _near(x: str, y: str) -> str:
+    return f"(greatest(0, least(24, {lround(y)}))*25 + greatest(0, least(24, {lround(x)})))"
+
+
+_CELLS = """
+ SELECT raster_id, l.l AS level, CAST(x.i AS INTEGER) AS ix, CAST(y.i AS INTEGER) AS iy, s.w AS w,
+  x.i*s.w AS px, y.i*s.w AS py
+ FROM squares, (SELECT CAST(i AS INTEGER) AS l, CAST(2*pow(2e0, i) AS BIGINT) AS n, 12e0/pow(2e0, i) AS w FROM range(4) r(i)) s,
+  (SELECT CAST(i AS INTEGER) AS l FROM range(4) r(i)) l, range(16) x(i), range(16) y(i)
+ WHERE l.l = s.l AND x.i < s.n AND y.i < s.n"""
+_FLAT = "SELECT raster_id, row*25 + col AS p, row, col, v, filled FROM dsm_filled"
+_CORNER_VALUE = """
+ SELECT c.raster_id, c.level, c.ix, c.iy, c.k, sum(f.filled*CASE WHEN n.dr = 0 THEN 1 - fy ELSE fy END
+   *CASE WHEN n.dc = 0 THEN 1 - fx ELSE fx END) AS e FROM (
+  SELECT *, floor(x) AS c0, floor(y) AS r0, x - floor(x) AS fx, y - floor(y) AS fy FROM (
+   SELECT raster_id, level, ix, iy, k, px + (k & 1)*w AS x, py + (k >> 1)*w AS y FROM cells, (VALUES (0),(1),(2),(3)) k(k))) c,
+  (VALUES (0,0),(0,1),(1,0),(1,1)) n(dr,dc), flat f
+ WHERE f.raster_id = c.raster_id AND f.row = least(24, r0 + dr) AND f.col = least(24, c0 + dc) GROUP BY ALL"""
+_DEV = """
+ SELECT c.raster_id, c.level, c.ix, c.iy, coalesce(max(abs(f.v - (
+    (e0 + (e2-e0)*((f.row-py)/w)) + ((e1 + (e3-e1)*((f.row-py)/w)) - (e0 + (e2-e0)*((f.row-py)/w)))*((f.col-px)/w)))), 0e0) AS deviation
+ FROM (SELECT c.*, max(e) FILTER (k = 0) AS e0, max(e) FILTER (k = 1) AS e1, max(e) FILTER (k = 2) AS e2, max(e) FILTER (k = 3) AS e3
+   FROM cells c JOIN corner_value USING (raster_id, level, ix, iy) GROUP BY ALL) c
+ LEFT JOIN flat f ON f.raster_id = c.raster_id AND f.row BETWEEN ceil(py) AND floor(py + w) AND f.col BETWEEN ceil(px) AND floor(px + w)
+ GROUP BY ALL"""
+_ND = f"""
+ SELECT c.raster_id, c.level, c.ix, c.iy, CAST(sum(CASE WHEN f.v IS NULL THEN 1 ELSE 0 END) AS INTEGER) AS unknown,
+  max(CASE WHEN k = 4 AND f.v IS NULL THEN 1 ELSE 0 END) AS centre_unknown FROM (
+  SELECT raster_id, level, ix, iy, k, CASE k WHEN 0 THEN {_near('px', 'py')} WHEN 1 THEN {_near('px+w', 'py')}
+    WHEN 2 THEN {_near('px', 'py+w')} WHEN 3 THEN {_near('px+w', 'py+w')} ELSE {_near('px+w*0.5e0', 'py+w*0.5e0')} END AS p
+  FROM cells, (VALUES (0),(1),(2),(3),(4)) k(k)) c JOIN flat f USING (raster_id, p) GROUP BY ALL"""
+_TOL = repr(math.tan(math.radians(ANGLE))) + "::DOUBLE"
+_FATE = f"""
+ SELECT c.*, unknown = 5 OR (level = 3 AND NOT (unknown = 0 AND w <= 8 AND deviation <= {_TOL}*w*10e0*0.5e0)
+     AND unknown > 0 AND centre_unknown = 1) AS gone,
+   level = 3 OR (unknown = 0 AND w <= 8 AND deviation <= {_TOL}*w*10e0*0.5e0) AS stays
+ FROM cells c JOIN dev USING (raster_id, level, ix, iy) JOIN nd USING (raster_id, level, ix, iy)"""
+_LEAVES = """
+ SELECT c.raster_id, c.level, c.ix, c.iy FROM fate c WHERE c.stays AND NOT c.gone AND NOT EXISTS (
+  SELECT 1 FROM fate a WHERE a.raster_id = c.raster_id AND a.level < c.level AND (a.stays OR a.gone)
+   AND a.ix = c.ix >> (c.level - a.level) AND a.iy = c.iy >> (c.level - a.level))"""
+_SIDES = "(VALUES (0,0,-1),(1,1,0),(2,0,1),(3,-1,0)) s(side,dx,dy)"
+
+
+def _pass(source: str) -> str:
+    """One simultaneous balancing pass."""
+    return f"""
+ SELECT raster_id, level, ix, iy FROM {source} WHERE (raster_id, level, ix, iy) NOT IN (SELECT * FROM split_{source})
+ UNION ALL SELECT raster_id, level + 1, ix*2 + (k & 1), iy*2 + (k >> 1) FROM split_{source}, (VALUES (0),(1),(2),(3)) k(k)"""
+
+
+def _split(source: str) -> str:
+    return f"""
+ SELECT DISTINCT c.raster_id, c.level, c.ix, c.iy FROM (
+   SELECT raster_id, level, ix + dx AS nx, iy + dy AS ny FROM {source}, {_SIDES} WHERE ix + dx >= 0 AND iy + dy >= 0) f
+ JOIN {source} c ON c.raster_id = f.raster_id AND c.level + 1 < f.level
+  AND c.ix = f.nx >> (f.level - c.level) AND c.iy = f.ny >> (f.level - c.level)"""
+
+
+_BALANCE: dict[str, str] = {}
+_source = "leaves"
+# Three levels above the first possible leaf settle in fewer passes than this.
+for _k in range(1, 5):
+    _BALANCE[f"split_{_source}"] = _split(_source)
+    _BALANCE[f"pass{_k}"] = _pass(_source)
+    _source = f"pass{_k}"
+_KEPT = """SELECT b.raster_id, b.level, b.ix, b.iy FROM pass4 b JOIN nd n USING (raster_id, level, ix, iy)
+  WHERE NOT (unknown = 5 OR (unknown > 0 AND centre_unknown = 1))"""
+_NEIGH = f"""
+ SELECT l.raster_id, l.level, l.ix, l.iy, l.side, max(n.level) AS neighbour FROM (
+  SELECT k.*, s.side, CASE s.side WHEN 0 THEN ix*z + z//2 WHEN 1 THEN ix*z + z WHEN 2 THEN ix*z + z//2 ELSE ix*z - 1 END AS fx,
+    CASE s.side WHEN 0 THEN iy*z - 1 WHEN 1 THEN iy*z + z//2 WHEN 2 THEN iy*z + z ELSE iy*z + z//2 END AS fy
+  FROM (SELECT *, 1 << (3 - level) AS z FROM kept) k, {_SIDES}) l
+ LEFT JOIN kept n ON n.raster_id = l.raster_id AND fx >= 0 AND fy >= 0
+  AND n.ix = CASE WHEN fx >= 0 THEN fx >> (3 - n.level) END AND n.iy = CASE WHEN fy >= 0 THEN fy >> (3 - n.level) END GROUP BY ALL"""
+_TREE = {
+    "cells": _CELLS, "flat": _FLAT, "corner_value": _CORNER_VALUE, "dev": _DEV, "nd": _ND, "fate": _FATE,
+    "leaves": _LEAVES, **_BALANCE, "kept": _KEPT, "neigh": _NEIGH,
+}
+
+
+def stats(c: Collection) -> DataFrame:
+    return Q.cell_stats(c.dsm_filled, c.dsm_catalog, **SETUP)
+
+
+def leaves(c: Collection) -> DataFrame:
+    return Q.quadtree_leaves(c.dsm_filled, c.dsm_catalog, angle=ANGLE, **SETUP)
+
+
+def balanced(c: Collection) -> DataFrame:
+    return Q.balance_leaves(leaves(c), SETUP["max_level"])
+
+
+def kept(c: Collection) -> DataFrame:
+    return Q.drop_unknown_leaves(balanced(c), c.dsm, c.dsm_catalog, SETUP["coarse"])
+
+
+@query(
+    "cell_deviation",
+    with_sql("dev", extra=_TREE)
+    + f"SELECT raster_id, level, ix, iy, {q('deviation')} AS deviation FROM dev WHERE level > 0",
+)
+def _(c: Collection):
+    return stats(c).select(*CELL, *fixed_as(deviation="deviation"))
+
+
+@query(
+    "cell_nodata",
+    with_sql("nd", extra=_TREE) + "SELECT raster_id, level, ix, iy, unknown, centre_unknown FROM nd",
+)
+def _(c: Collection):
+    top = Q.children(c.squares.select("raster_id", F.lit(-1).alias("level"), F.lit(0).alias("ix"), F.lit(0).alias("iy")))
+    levels = [top]
+    for _k in range(3):
+        levels.append(Q.children(levels[-1]))
+    cells = levels[0]
+    for other in levels[1:]:
+        cells = cells.unionByName(other)
+    return Q.cell_nodata(cells, c.dsm, c.dsm_catalog, SETUP["coarse"])
+
+
+@query("quadtree_leaves", with_sql("leaves", extra=_TREE) + "SELECT raster_id, level, ix, iy FROM leaves")
+def _(c: Collection):
+    return leaves(c)
+
+
+@query("balance_leaves", with_sql("pass4", extra=_TREE) + "SELECT raster_id, level, ix, iy FROM pass4")
+def _(c: Collection):
+    return balanced(c)
+
+
+@query("drop_nodata_leaves", with_sql("kept", extra=_TREE) + "SELECT raster_id, level, ix, iy FROM kept")
+def _(c: Collection):
+    return kept(c)
+
+
+@query(
+    "level_histogram",
+    with_sql("kept", extra=_TREE)
+    + "SELECT raster_id, level, count(*) AS leaves FROM kept GROUP BY raster_id, level",
+)
+def _(c: Collection):
+    return Q.level_histogram(kept(c))
+
+
+@query(
+    "neighbour_levels",
+    with_sql("neigh", extra=_TREE) + "SELECT raster_id, level, ix, iy, side, neighbour FROM neigh",
+)
+def _(c: Collection):
+    return Q.neighbour_levels(kept(c), SETUP["max_level"])
+
+
+_FAR = """
+ SELECT *, CASE WHEN neighbour IS NULL OR neighbour = level THEN 0 WHEN neighbour > level THEN 2
+   WHEN ox = px AND oy = py THEN 1 ELSE 3 END AS code FROM (
+  SELECT *, (ix + CASE side WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END)*z AS ox, (iy + CASE WHEN side >= 2 THEN 1 ELSE 0 END)*z AS oy,
+   ((ix >> 1) + CASE side WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END)*z*2 AS px, ((iy >> 1) + CASE WHEN side >= 2 THEN 1 ELSE 0 END)*z*2 AS py,
+   ((ix >> 1) + CASE side WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END)*z*2 AS qx, ((iy >> 1) + CASE side WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END)*z*2 AS qy
+  FROM (SELECT *, 1 << (3 - level) AS z FROM neigh))"""
+
+
+@query(
+    "edge_codes",
+    with_sql("far", extra={**_TREE, "far": _FAR})
+    + """SELECT raster_id, level, ix, iy, side, code, CAST(CASE code WHEN 1 THEN qx WHEN 3 THEN px END AS INTEGER) AS far_x,
+      CAST(CASE code WHEN 1 THEN qy WHEN 3 THEN py END AS INTEGER) AS far_y FROM far""",
+)
+def _(c: Collection):
+    return Q.edge_codes(kept(c), SETUP["max_level"])
+
+
+@query(
+    "level_at",
+    with_sql("kept", extra=_TREE)
+    + """SELECT p.raster_id, p.probe, p.fx, p.fy, max(k.level) AS found FROM (
+      SELECT file_id AS raster_id, file_idx AS probe, CAST(file_idx % 19 - 1 AS INTEGER) AS fx,
+        CAST(file_idx % 17 AS INTEGER) AS fy FROM pts) p LEFT JOIN kept k ON k.raster_id = p.raster_id
+        AND p.fx >= 0 AND k.ix = CASE WHEN fx >= 0 THEN fx >> (3 - k.level) END AND k.iy = fy >> (3 - k.level) GROUP BY ALL""",
+)
+def _(c: Collection):
+    probes = c.points.select(
+        F.col("file_id").alias("raster_id"),
+        F.col("file_idx").alias("probe"),
+        (F.col("file_idx") % 19 - 1).cast("int").alias("fx"),
+        (F.col("file_idx") % 17).cast("int").alias("fy"),
+    )
+    return Q.leaf_at(probes, kept(c), ["raster_id", "probe"], SETUP["max_level"])
+
+
+_PATCH = """
+ SELECT c.raster_id, c.level, c.ix, c.iy, c.corner, c.fx, c.fy, g.c + g.a*x AS wx, g.f + g.e*y AS wy,
+  (x + 0.5e0)/25e0 AS u, (y + 0.5e0)/25e0 AS v, ((g.c + g.a*x) - i.c)/i.a AS icol, ((g.f + g.e*y) - i.f)/i.e AS irow,
+  (SELECT sum(f.filled*CASE WHEN n.dr = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END
+     *CASE WHEN n.dc = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END)
+   FROM (VALUES (0,0),(0,1),(1,0),(1,1)) n(dr,dc), flat f WHERE f.raster_id = c.raster_id
+    AND f.row = least(24, floor(y) + dr) AND f.col = least(24, floor(x) + dc)) AS wz
+ FROM (SELECT k.*, corner, (ix + CASE corner WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END)*z AS fx,
+   (iy + CASE WHEN corner >= 2 THEN 1 ELSE 0 END)*z AS fy, (ix + CASE corner WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END)*z*1.5e0 AS x,
+   (iy + CASE WHEN corner >= 2 THEN 1 ELSE 0 END)*z*1.5e0 AS y
+  FROM (SELECT *, 1 << (3 - level) AS z FROM kept) k, (VALUES (0),(1),(2),(3)) t(corner)) c
+ JOIN dsm_catalog g USING (raster_id) JOIN image_catalog i USING (raster_id)"""
+_PATCHED = {**_TREE, "patch": _PATCH}
+
+
+def corners(c: Collection) -> DataFrame:
+    images = c.image_catalog.select(
+        "raster_id", geo_struct().alias("image_geo"), F.col("width").alias("image_w"), F.col("height").alias("image_h")
+    )
+    return Q.patch_corners(
+        kept(c), c.dsm_filled, c.dsm_catalog, SETUP["max_level"], c.frame_column, images, SETUP["coarse"]
+    )
+
+
+@query(
+    "patch_corners",
+    with_sql("patch", "frame", extra=_PATCHED)
+    + f"""SELECT raster_id, level, ix, iy, corner, CAST(fx AS INTEGER) AS fx, CAST(fy AS INTEGER) AS fy, {q('wx')} AS x,
+      {q('wy')} AS y, {q('wz')} AS z, {q('u')} AS u, {q('v')} AS v, {q('(icol+0.5e0)/46e0')} AS iu, {q('(irow+0.5e0)/46e0')} AS iv,
+      {q('(wx - fr.cx)/fr.scale')} AS gx, {q('(wz - fr.cz)/fr.scale')} AS gy, {q('-(wy - fr.cy)/fr.scale')} AS gz
+      FROM patch, frame fr""",
+)
+def _(c: Collection):
+    names = ("x", "y", "z", "u", "v", "iu", "iv", "gx", "gy", "gz")
+    return corners(c).select(*CELL, "corner", "fx", "fy", *fixed_as(**{n: n for n in names}))
+
+
+@query(
+    "patch_bounds",
+    with_sql("patch", extra=_PATCHED)
+    + f"""SELECT raster_id, {q('min(wx)')} AS minx, {q('min(wy)')} AS miny, {q('min(wz)')} AS minz, {q('max(wx)')} AS maxx,
+      {q('max(wy)')} AS maxy, {q('max(wz)')} AS maxz FROM patch GROUP BY raster_id""",
+)
+def _(c: Collection):
+    names = [m + k for m in ("min", "max") for k in "xyz"]
+    return Q.patch_bounds(corners(c)).select("raster_id", *(fixed(n).alias(n) for n in names))

@@ -180,7 +180,7 @@ def _(c: Collection):
 _DENSE = """SELECT file_id, CASE WHEN area > 1e-12 THEN n/area ELSE 1e0 END AS density FROM (
   SELECT file_id, count(*) AS n, (max(gx)-min(gx))*(max(gz)-min(gz)) AS area FROM scene_pts GROUP BY file_id)"""
 _DEPTH = """greatest(0.001e0, -cos(pitch)*sin(yaw)*(p.gx-ex) - sin(pitch)*(p.gy-ey) - cos(pitch)*cos(yaw)*(p.gz-ez))"""
-_STEP = f"({_DEPTH}*{2.83 * 2.0!r}::DOUBLE*tan(radians({FOV}e0)*0.5e0)/{HEIGHT}e0)"
+_STEP = f"({_DEPTH}*100e0*tan(radians({FOV}e0)*0.5e0)/{HEIGHT}e0)"
 
 
 @query(
@@ -195,7 +195,7 @@ def _(c: Collection):
     placed = c.points.select("file_id", "file_idx", *(v.alias(k) for k, v in scene.items()))
     density = P.cloud_density(placed, "gx", "gz").select("file_id", "density")
     views = c.views.select(F.col("view_id").alias("file_id"), "ex", "ey", "ez", "yaw", "pitch")
-    return L.screen_thin(placed.join(density, "file_id"), views, FOV, HEIGHT).select("file_id", "file_idx")
+    return L.screen_thin(placed.join(density, "file_id"), views, FOV, HEIGHT, 50.0).select("file_id", "file_idx")
 
 
 _S = scene_of("p.x", "p.y", "p.z")
