@@ -12,18 +12,31 @@ of the raster, so a huge raster is many blocks and never one group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
+BLOCK_COLUMNS = ("row0", "col0", "bw", "bh")
 
 
-def _block_range(index: str, size: int, before: int, after: int) -> Column:
-    """Blocks an index belongs to, as its core or as halo."""
-    i = F.col(index)
-    first = F.greatest(F.floor((i - after) / F.lit(size)), F.lit(0)).cast("int")
-    last = F.floor((i + before) / F.lit(size)).cast("int")
-    return F.sequence(first, last)
+def pack(spread: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Pixels grouped into row-major arrays; a missing pixel is an error, not a shift."""
+    packed = spread.groupBy(*keys).agg(
+        F.min("row").alias("row0"),
+        F.min("col").alias("col0"),
+        F.expr("max(col) - min(col) + 1").alias("bw"),
+        F.expr("max(row) - min(row) + 1").alias("bh"),
+        F.sort_array(F.collect_list(F.struct("row", "col", *values))).alias("__px"),
+    )
+    return packed.selectExpr(
+        *keys,
+        "row0",
+        "col0",
+        "CASE WHEN size(__px) = bw * bh THEN bw"
+        " ELSE cast(raise_error('pixel table is not dense or has duplicates') AS int) END AS bw",
+        "bh",
+        *(f"__px.{v} AS {v}" for v in values),
+    )
 
 
 def to_blocks(
@@ -33,75 +46,54 @@ def to_blocks(
 
     Block (brow, bcol) holds rows ``brow*size - before`` to
     ``brow*size + size - 1 + after``, columns alike, cut at the raster's
-    edge, in row-major order. A missing pixel row is an error, not a shift.
+    edge, in row-major order.
     """
+
+    def blocks_of(index: str) -> str:
+        first = f"cast(greatest(floor(({index} - {after}) / {size}), 0) AS int)"
+        return f"explode(sequence({first}, cast(floor(({index} + {before}) / {size}) AS int)))"
+
     spread = (
         pixels.select("raster_id", "row", "col", *values)
-        .withColumn("brow", F.explode(_block_range("row", size, before, after)))
-        .withColumn("bcol", F.explode(_block_range("col", size, before, after)))
-    )
-    packed = spread.groupBy("raster_id", "brow", "bcol").agg(
-        F.min("row").alias("row0"),
-        F.min("col").alias("col0"),
-        (F.max("col") - F.min("col") + 1).alias("bw"),
-        (F.max("row") - F.min("row") + 1).alias("bh"),
-        F.sort_array(F.collect_list(F.struct("row", "col", *values))).alias("__px"),
-    )
-    complete = F.when(
-        F.size("__px") != F.col("bw") * F.col("bh"),
-        F.raise_error(F.lit("pixel table is not dense or has duplicates")).cast("int"),
-    ).otherwise(F.col("bw"))
-    return packed.select(
-        "raster_id",
-        "brow",
-        "bcol",
-        "row0",
-        "col0",
-        complete.alias("bw"),
-        "bh",
-        *(F.col("__px")[v].alias(v) for v in values),
+        .selectExpr("*", f"{blocks_of('row')} AS brow")
+        .selectExpr("*", f"{blocks_of('col')} AS bcol")
     )
+    return pack(spread, ["raster_id", "brow", "bcol"], values)
 
 
-def at(value: str, row: Column, column: Column) -> Column:
-    """Value of an absolute pixel of the block on the row; null outside it."""
-    r, c = row - F.col("row0"), column - F.col("col0")
-    inside = (r >= 0) & (r < F.col("bh")) & (c >= 0) & (c < F.col("bw"))
-    return F.when(inside, F.get(F.col(value), (r * F.col("bw") + c).cast("int")))
+def core_pixels(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """One row per pixel of each block's core (halo left out), block columns kept.
 
+    Adds row, col and ``pos``, the pixel's position in the block's arrays.
+    """
 
-def core_pixels(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
-    """One row per pixel of each block's core (halo left out), block columns kept."""
-    i = F.posexplode("__pos")
-    rows = (
-        blocks.withColumn("__pos", F.sequence(F.lit(0), F.col("bw") * F.col("bh") - 1))
-        .select("*", i.alias("__at", "__i"))
-        .withColumn("row", (F.col("row0") + F.floor(F.col("__i") / F.col("bw"))).cast("int"))
-        .withColumn("col", (F.col("col0") + F.col("__i") % F.col("bw")).cast("int"))
-        .drop("__pos", "__at", "__i")
-    )
-    r0, c0 = F.col("brow") * size, F.col("bcol") * size
-    return rows.where(
-        (F.col("row") >= r0)
-        & (F.col("row") < r0 + size)
-        & (F.col("col") >= c0)
-        & (F.col("col") < c0 + size)
+    def core(index: str, first: str, count: str, block: str) -> str:
+        low = f"greatest({first}, {block} * {size})"
+        high = f"least({first} + {count} - 1, {block} * {size} + {size - 1})"
+        return f"explode(sequence({low}, {high})) AS {index}"
+
+    # A block made of nothing but a neighbour's halo has no core.
+    real = blocks.where(f"brow * {size} < row0 + bh AND bcol * {size} < col0 + bw")
+    return (
+        real.selectExpr("*", core("row", "row0", "bh", "brow"))
+        .selectExpr("*", core("col", "col0", "bw", "bcol"))
+        .selectExpr("*", "(row - row0) * bw + col - col0 AS pos")
     )
 
 
 def join_blocks(
-    targets: DataFrame, blocks: DataFrame, row: Column, column: Column, size: int = BLOCK
+    targets: DataFrame, blocks: DataFrame, row: str, column: str, size: int = BLOCK
 ) -> DataFrame:
-    """Attach to each target the block whose core holds pixel (row, column).
+    """Attach to each target the block whose core holds pixel (row, column); adds ``pos``.
 
     The target is shuffled once and the raster once per block. Targets off
     the raster keep their own block number, so they spread over partitions
     instead of meeting in one null key; they get null block columns.
     """
-    keyed = targets.withColumn("brow", F.floor(row / F.lit(size)).cast("int")).withColumn(
-        "bcol", F.floor(column / F.lit(size)).cast("int")
+    keyed = targets.selectExpr(
+        "*",
+        f"cast(floor({row} / {size}) AS int) AS brow",
+        f"cast(floor({column} / {size}) AS int) AS bcol",
     )
-    return keyed.join(blocks, ["raster_id", "brow", "bcol"], "left").drop("brow", "bcol")
-
-
-BLOCK_COLUMNS = ("row0", "col0", "bw", "bh")
+    joined = keyed.join(blocks, ["raster_id", "brow", "bcol"], "left").drop("brow", "bcol")
+    return joined.selectExpr("*", f"({row} - row0) * bw + {column} - col0 AS pos")

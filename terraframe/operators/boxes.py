@@ -13,29 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MIN_LEVEL, _MAX_LEVEL = -30, 60
+# Point against box: cells this many halvings smaller than the box. At most
+# 5 x 5 cells a box, and few points of them outside it.
+_FINER = 2
 
 
-def _level(box: Column) -> Column:
-    side = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"], F.lit(2.0**_MIN_LEVEL))
-    return F.greatest(F.ceil(F.log2(side)), F.lit(_MIN_LEVEL)).cast("int")
+def _level(b: str, finer: int = 0) -> str:
+    side = f"greatest({b}.maxx - {b}.minx, {b}.maxy - {b}.miny, {2.0**_MIN_LEVEL!r}D)"
+    return f"cast(least(greatest(ceil(log2({side})) - {finer}, {_MIN_LEVEL}), {_MAX_LEVEL}) AS int)"
 
 
-def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value * F.pow(F.lit(2.0), -level.cast("double")))
+def _cell(value: str) -> str:
+    return f"floor({value} * pow(2D, cast(-__lv AS double)))"
 
 
-def _spread(df: DataFrame, box: str, tag: str, levels: Column) -> DataFrame:
-    """One row per (level, cell) the box may meet a partner in."""
-    b, own = F.col(box), F.col(f"__{tag}_level")
-    axis_x = F.sequence(_cell(b["minx"], F.col("__lv")), _cell(b["maxx"], F.col("__lv")))
-    axis_y = F.sequence(_cell(b["miny"], F.col("__lv")), _cell(b["maxy"], F.col("__lv")))
-    return (
-        df.withColumn(f"__{tag}_level", _level(b))
-        .withColumn("__lv", F.explode(levels))
-        .where(F.col("__lv") >= own)
-        .withColumn("__cx", F.explode(axis_x))
-        .withColumn("__cy", F.explode(axis_y))
-    )
+def _cells(df: DataFrame, b: str, tag: str) -> DataFrame:
+    """One row per cell of level __lv that the box touches."""
+    cx = f"explode(sequence({_cell(b + '.minx')}, {_cell(b + '.maxx')})) AS __cx"
+    cy = f"explode(sequence({_cell(b + '.miny')}, {_cell(b + '.maxy')})) AS __cy"
+    return df.where(f"__lv >= __{tag}_level").selectExpr("*", cx).selectExpr("*", cy)
 
 
 def overlap_join(
@@ -48,33 +44,35 @@ def overlap_join(
     pairs always meet at the right box's own level and only the right side is
     examined for levels; the left may then be a stream.
     """
+    a, b = left_box, right_box
 
-    def usable(df: DataFrame, box: str) -> DataFrame:
-        b = F.col(box)
-        return df.where((b["minx"] <= b["maxx"]) & (b["miny"] <= b["maxy"]))
+    def usable(df: DataFrame, box_name: str, tag: str, finer: int = 0) -> DataFrame:
+        ok = f"{box_name}.minx <= {box_name}.maxx AND {box_name}.miny <= {box_name}.maxy"
+        return df.where(ok).selectExpr("*", f"{_level(box_name, finer)} AS __{tag}_level")
 
-    left, right = usable(left, left_box), usable(right, right_box)
-    # The distinct levels of both sides: at most 91 integers by construction.
-    seen = right.select(_level(F.col(right_box)).alias("v"))
+    left, right = usable(left, a, "l"), usable(right, b, "r", _FINER if left_points else 0)
+    # The distinct levels: at most 91 integers by construction.
+    seen = right.selectExpr("__r_level AS v")
     if not left_points:
-        seen = seen.union(left.select(_level(F.col(left_box)).alias("v")))
+        seen = seen.union(left.selectExpr("__l_level AS v"))
     levels = seen.agg(F.collect_set("v")).scalar()
-    a, b = F.col(left_box), F.col(right_box)
-    right_levels = F.array(_level(b)) if left_points else levels
-    pairs = _spread(left, left_box, "l", levels).join(
-        _spread(right, right_box, "r", right_levels), ["__lv", "__cx", "__cy"]
-    )
-    corner_x = F.greatest(a["minx"], b["minx"])
-    corner_y = F.greatest(a["miny"], b["miny"])
-    meets = (corner_x <= F.least(a["maxx"], b["maxx"])) & (
-        corner_y <= F.least(a["maxy"], b["maxy"])
+    spread_left = left.withColumn("__lv", F.explode(levels))
+    if left_points:
+        spread_right = right.withColumn("__lv", F.col("__r_level"))
+    else:
+        spread_right = right.withColumn("__lv", F.explode(levels))
+    pairs = _cells(spread_left, a, "l").join(_cells(spread_right, b, "r"), ["__lv", "__cx", "__cy"])
+    meets = (
+        f"{a}.minx <= {b}.maxx AND {a}.maxx >= {b}.minx"
+        f" AND {a}.miny <= {b}.maxy AND {a}.maxy >= {b}.miny"
     )
-    return pairs.where(
-        (F.col("__lv") == F.greatest("__l_level", "__r_level"))
-        & meets
-        & (F.col("__cx") == _cell(corner_x, F.col("__lv")))
-        & (F.col("__cy") == _cell(corner_y, F.col("__lv")))
-    ).drop("__lv", "__cx", "__cy", "__l_level", "__r_level")
+    if not left_points:  # a point is in one cell only and needs no such choice
+        meets += (
+            " AND __lv = greatest(__l_level, __r_level)"
+            f" AND __cx = {_cell(f'greatest({a}.minx, {b}.minx)')}"
+            f" AND __cy = {_cell(f'greatest({a}.miny, {b}.miny)')}"
+        )
+    return pairs.where(meets).drop("__lv", "__cx", "__cy", "__l_level", "__r_level")
 
 
 def overlap_area(a: Column, b: Column) -> Column:

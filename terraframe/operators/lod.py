@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraframe.functions.frame import fine_hash, view_axes, view_position
-from terraframe.functions.numeric import clamp
 from terraframe.functions.rules import coarse_resolution, keep_probability
-from terraframe.operators.boxes import box, overlap_join
+from terraframe.operators.boxes import overlap_join
+from terraframe.session import spread
 
 # Pixels per point, smallest area worth refining, point and
 # resolution limits, refinement factor, requests per view.
@@ -31,28 +31,14 @@ def pixels_per_unit(fov_deg: float, viewport_h: float) -> float:
     return viewport_h / (2.0 * math.tan(math.radians(fov_deg) * 0.5))
 
 
-def _face_areas() -> list[Column]:
-    e1, e2, e3 = F.col("e1"), F.col("e2"), F.col("e3")
-    return [e2 * e3 * 4.0, e1 * e3 * 4.0, e1 * e2 * 4.0]
-
-
-def _centre() -> tuple[Column, Column, Column]:
-    b = F.col("box")
-    return tuple((b[f"lo{k}"] + b[f"hi{k}"]) * 0.5 for k in "xyz")
-
-
-def reach(fov_deg: float, viewport_h: float) -> Column:
-    """Distance beyond which a tile covers too few pixels to matter, from any side."""
-    faces = _face_areas()
-    return F.sqrt((faces[0] + faces[1] + faces[2]) / PIXELS_PER_POINT) * pixels_per_unit(
-        fov_deg, viewport_h
-    )
-
-
-def distance() -> Column:
-    c = _centre()
-    d = [c[0] - F.col("ex"), c[1] - F.col("ey"), c[2] - F.col("ez")]
-    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+# Per tile, once: middle of the box and the areas of its three faces.
+_TILE_SHAPE = (
+    *(f"(box.lo{k} + box.hi{k}) * 0.5D AS m{k}" for k in "xyz"),
+    "4D * e2 * e3 AS f1",
+    "4D * e1 * e3 AS f2",
+    "4D * e1 * e2 AS f3",
+)
+_DISTANCE = "sqrt((mx - ex) * (mx - ex) + (my - ey) * (my - ey) + (mz - ez) * (mz - ez))"
 
 
 def views_tiles(
@@ -64,45 +50,51 @@ def views_tiles(
     product of views and tiles is never formed: each tile is looked for
     within its own reach.
     """
-    c = _centre()
-    reached = tiles.withColumn("reach", reach(fov_deg, viewport_h))
-    slack = F.col("reach") * (1.0 + 1e-9)
-    reached = reached.withColumn(
-        "__around", box(c[0] - slack, c[2] - slack, c[0] + slack, c[2] + slack)
+    scale = pixels_per_unit(fov_deg, viewport_h)
+    reached = (
+        spread(tiles, "file_id", "gx", "gy")
+        .selectExpr("*", *_TILE_SHAPE)
+        .selectExpr("*", f"sqrt((f1 + f2 + f3) / {PIXELS_PER_POINT}D) * {scale!r}D AS reach")
+        .selectExpr("*", f"reach * {1.0 + 1e-9!r}D AS __r")
+        .selectExpr(
+            "*",
+            "struct(mx - __r AS minx, mz - __r AS miny, mx + __r AS maxx, mz + __r AS maxy) AS __around",
+        )
+        .drop("__r")
+    )
+    eyes = views.selectExpr("*", "struct(ex AS minx, ez AS miny, ex AS maxx, ez AS maxy) AS __eye")
+    pairs = overlap_join(eyes, reached, "__eye", "__around", left_points=True)
+    return (
+        pairs.drop("__eye", "__around")
+        .selectExpr("*", f"{_DISTANCE} AS distance")
+        .where("distance <= reach")
     )
-    ex, ez = F.col("ex"), F.col("ez")
-    eyes = views.withColumn("__eye", box(ex, ez, ex, ez))
-    pairs = overlap_join(eyes, reached, "__eye", "__around", left_points=True).drop("__eye", "__around")
-    return pairs.withColumn("distance", distance()).where(F.col("distance") <= F.col("reach"))
 
 
 def desired_resolution(pairs: DataFrame, fov_deg: float = 55.0, viewport_h: float = 900.0) -> DataFrame:
-    """Add ``desired``: point spacing in metres a tile needs for a view, 0 to leave it."""
-    c = _centre()
-    dist = F.greatest(distance(), F.lit(1e-6))
-    sight = [(c[i] - F.col(k)) / F.col("__dist") for i, k in enumerate(("ex", "ey", "ez"))]
-    area = F.lit(0.0)
-    for name, face in zip(("a1", "a2", "a3"), _face_areas(), strict=True):
-        axis = [F.get(F.col(name), F.lit(i)) for i in range(3)]
-        along = axis[0] * sight[0] + axis[1] * sight[1] + axis[2] * sight[2]
-        area = area + face * F.abs(along)
-    scale = F.lit(pixels_per_unit(fov_deg, viewport_h)) / F.col("__dist")
-    points = clamp(F.col("area_px") / PIXELS_PER_POINT, MIN_POINTS, MAX_POINTS)
-    resolution = F.sqrt(F.col("tile_area") / points)
+    """Add ``desired``: point spacing in metres a tile needs for a view, 0 to leave it.
+
+    ``pairs`` comes from :func:`views_tiles`.
+    """
+    facing = " + ".join(
+        f"f{k} * abs(get(a{k}, 0) * (mx - ex) + get(a{k}, 1) * (my - ey) + get(a{k}, 2) * (mz - ez))"
+        for k in (1, 2, 3)
+    )
+    scale = pixels_per_unit(fov_deg, viewport_h)
+    points = f"least(greatest(area_px / {PIXELS_PER_POINT}D, {MIN_POINTS}D), {MAX_POINTS}D)"
+    area = f"({facing}) * {scale * scale!r}D / pow(greatest(distance, 1e-6D), 3D)"
     return (
-        pairs.withColumn("__dist", dist)
-        .withColumn("area_px", area * scale * scale)
-        .withColumn("__res", resolution)
-        .withColumn(
-            "desired",
-            F.when(
-                (F.col("point_count") == 0)
-                | (F.col("area_px") < PIXELS_PER_POINT)
-                | (F.col("__res") > COARSEST),
-                0.0,
-            ).otherwise(F.greatest(F.col("__res"), F.lit(FINEST))),
+        # Through a one-element generator: a later filter on ``desired`` is then
+        # not rewritten into the join condition with a copy of the area in
+        # each of its terms.
+        pairs.selectExpr("*", f"inline(array(struct({area} AS area_px)))")
+        .selectExpr("*", f"sqrt(tile_area / {points}) AS __res")
+        .selectExpr(
+            *pairs.columns,
+            "area_px",
+            f"CASE WHEN point_count = 0 OR area_px < {PIXELS_PER_POINT}D OR __res > {COARSEST}D THEN 0D"
+            f" ELSE greatest(__res, {FINEST}D) END AS desired",
         )
-        .drop("__dist", "__res")
     )
 
 
@@ -147,42 +139,52 @@ def view_frustum(
     ty = math.tan(math.radians(fov_deg) * 0.5)
     tx = ty * aspect
     widest = math.sqrt(1.0 + tx * tx + ty * ty)
-    b = F.col("box")
-    side = [b[f"hi{k}"] - b[f"lo{k}"] for k in "xyz"]
-    diagonal = F.sqrt(side[0] * side[0] + side[1] * side[1] + side[2] * side[2])
-    grow = diagonal * (widest + 1.4143)
-    boxed = tiles.withColumn(
-        "__around", box(b["lox"] - grow, b["loz"] - grow, b["hix"] + grow, b["hiz"] + grow)
+    side = [f"(box.hi{k} - box.lo{k})" for k in "xyz"]
+    grow = f"sqrt({' + '.join(f'{v} * {v}' for v in side)}) * {widest + 1.4143!r}D"
+    boxed = (
+        spread(tiles, "file_id", "gx", "gy")
+        .selectExpr("*", f"{grow} AS __grow")
+        .selectExpr(
+            "*",
+            "struct(box.lox - __grow AS minx, box.loz - __grow AS miny,"
+            " box.hix + __grow AS maxx, box.hiz + __grow AS maxy) AS __around",
+        )
+        .drop("__grow")
     )
-    ex, ez = F.col("ex"), F.col("ez")
-    bound = far * widest * (1.0 + 1e-9)
-    eyes = views.withColumn("__eye", box(ex - bound, ez - bound, ex + bound, ez + bound))
-    pairs = overlap_join(eyes, boxed, "__eye", "__around").drop("__eye", "__around")
-
-    axes = view_axes("yaw", "pitch")
-    low = [b[f"lo{k}"] - F.col(e) for k, e in zip("xyz", ("ex", "ey", "ez"), strict=True)]
-    high = [b[f"hi{k}"] - F.col(e) for k, e in zip("xyz", ("ex", "ey", "ez"), strict=True)]
-
-    def farthest(normal: list[Column]) -> Column:
-        parts = [F.greatest(n * lo, n * hi) for n, lo, hi in zip(normal, low, high, strict=True)]
-        return parts[0] + parts[1] + parts[2]
-
-    def blend(axis: str, sign: float, slope: float) -> list[Column]:
-        return [
-            a * F.lit(sign) + f * F.lit(slope)
-            for a, f in zip(axes[axis], axes["forward"], strict=True)
-        ]
-
-    forward = list(axes["forward"])
-    visible = (
-        (farthest(blend("right", 1.0, tx)) >= 0)
-        & (farthest(blend("right", -1.0, tx)) >= 0)
-        & (farthest(blend("up", 1.0, ty)) >= 0)
-        & (farthest(blend("up", -1.0, ty)) >= 0)
-        & (farthest(forward) >= near)
-        & (farthest([-f for f in forward]) >= -far)
+    bound = f"{far * widest * (1.0 + 1e-9)!r}D"
+    eyes = views.selectExpr(
+        "*",
+        f"struct(ex - {bound} AS minx, ez - {bound} AS miny, ex + {bound} AS maxx, ez + {bound} AS maxy) AS __eye",
+        "cos(yaw) AS __cos_yaw",
+        "sin(yaw) AS __sin_yaw",
+        "cos(pitch) AS __cos_pitch",
+        "sin(pitch) AS __sin_pitch",
     )
-    return pairs.where(visible)
+    pairs = overlap_join(eyes, boxed, "__eye", "__around")
+    forward = ("(-__cos_pitch * __sin_yaw)", "(-__sin_pitch)", "(-__cos_pitch * __cos_yaw)")
+    right = ("__cos_yaw", "0D", "(-__sin_yaw)")
+    up = ("(-__sin_pitch * __sin_yaw)", "__cos_pitch", "(-__sin_pitch * __cos_yaw)")
+
+    def blend(axis: tuple[str, ...], sign: str, slope: float) -> list[str]:
+        return [f"({sign}{a} + {slope!r}D * {f})" for a, f in zip(axis, forward, strict=True)]
+
+    def farthest(normal: list[str]) -> str:
+        """Largest distance of a box corner along a normal, from the eye."""
+        return " + ".join(
+            f"greatest({n} * (box.lo{k} - e{k}), {n} * (box.hi{k} - e{k}))"
+            for n, k in zip(normal, "xyz", strict=True)
+        )
+
+    planes = [
+        (blend(right, "", tx), "0D"),
+        (blend(right, "-", tx), "0D"),
+        (blend(up, "", ty), "0D"),
+        (blend(up, "-", ty), "0D"),
+        (list(forward), f"{near!r}D"),
+        ([f"(-{f})" for f in forward], f"{-far!r}D"),
+    ]
+    visible = " AND ".join(f"{farthest(n)} >= {limit}" for n, limit in planes)
+    return pairs.where(visible).drop("__eye", "__around", "__cos_yaw", "__sin_yaw", "__cos_pitch", "__sin_pitch")
 
 
 def screen_thin(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraframe.functions.numeric import clamp
 from terraframe.operators.sampling import sample_image
@@ -172,34 +173,25 @@ def points_to_tiles(points: DataFrame, bounds: DataFrame, n: int = TILES) -> Dat
         "file_id", *(F.col(c).alias(f"__{c}") for c in ("minx", "miny", "maxx", "maxy"))
     )
 
-    def width(v: str) -> Column:
-        return (F.col(f"__max{v}") - F.col(f"__min{v}")) / n
-
-    def guess(v: str) -> Column:
-        w = F.when(width(v) > 0, width(v))
-        return F.coalesce(clamp(F.floor((F.col(v) - F.col(f"__min{v}")) / w), 0, n - 1), F.lit(n - 1))
-
-    def settle(v: str) -> Column:
-        g, x, low = F.col(f"__g{v}"), F.col(v), F.col(f"__min{v}")
-        step = (
-            F.when((g > 0) & (x < low + g * width(v)), -1)
-            .when((g < n - 1) & (x >= low + (g + 1) * width(v)), 1)
-            .otherwise(0)
+    def guess(v: str) -> str:
+        w = f"((__max{v} - __min{v}) / {n})"
+        g = f"greatest(least(floor(({v} - __min{v}) / {w}), {n - 1}), 0)"
+        return f"CASE WHEN {w} > 0 THEN {g} ELSE {n - 1} END AS __g{v}"
+
+    def settle(v: str) -> str:
+        w = f"((__max{v} - __min{v}) / {n})"
+        return (
+            f"cast(CASE WHEN __g{v} > 0 AND {v} < __min{v} + __g{v} * {w} THEN __g{v} - 1"
+            f" WHEN __g{v} < {n - 1} AND {v} >= __min{v} + (__g{v} + 1) * {w} THEN __g{v} + 1"
+            f" ELSE __g{v} END AS int) AS g{v}"
         )
-        return (g + step).cast("int")
 
-    inside = (
-        (F.col("x") >= F.col("__minx"))
-        & (F.col("x") <= F.col("__maxx"))
-        & (F.col("y") >= F.col("__miny"))
-        & (F.col("y") <= F.col("__maxy"))
-    )
+    inside = "x >= __minx AND x <= __maxx AND y >= __miny AND y <= __maxy"
     return (
         points.join(corner, "file_id")
         .where(inside)
-        .withColumns({"__gx": guess("x"), "__gy": guess("y")})
-        .withColumns({"gx": settle("x"), "gy": settle("y")})
-        .drop("__minx", "__miny", "__maxx", "__maxy", "__gx", "__gy")
+        .selectExpr("*", guess("x"), guess("y"))
+        .selectExpr(*points.columns, settle("x"), settle("y"))
     )
 
 
@@ -216,8 +208,8 @@ def tile_stats(tiled: DataFrame) -> DataFrame:
 def tile_pca(tiled: DataFrame, axes: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Count, mean, covariance, principal extents and axes of each tile.
 
-    Six mergeable moments are aggregated; the 3x3 eigenproblem is then closed
-    form on one row per tile.
+    Six mergeable moments are aggregated on the JVM side, map side first; the
+    3x3 eigenproblem is then solved for batches of tiles, one row each.
     """
     a, b, c = axes
     moments = tiled.groupBy(*TILE_KEYS).agg(
@@ -239,132 +231,29 @@ def principal_axes(moments: DataFrame) -> DataFrame:
     """Add eigenvalues l1 >= l2 >= l3, extents e1..e3 and unit axes a1..a3.
 
     The sign of an axis is chosen so that its largest component is positive.
-    Repeated eigenvalues get one arbitrary but valid set of axes.
+    Repeated eigenvalues get one valid set of axes.
     """
-    c = {k: F.col(k) for k in ("c00", "c01", "c02", "c11", "c12", "c22")}
-    mean = (c["c00"] + c["c11"] + c["c22"]) / 3.0
-    off = c["c01"] * c["c01"] + c["c02"] * c["c02"] + c["c12"] * c["c12"]
-    d = [c[k] - F.col("__q") for k in ("c00", "c11", "c22")]
-    spread = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + off * 2.0) / 6.0)
-    det = (
-        d[0] * (d[1] * d[2] - c["c12"] * c["c12"])
-        - c["c01"] * (c["c01"] * d[2] - c["c12"] * c["c02"])
-        + c["c02"] * (c["c01"] * c["c12"] - d[1] * c["c02"])
+    frame = principal_frame("c00", "c01", "c02", "c11", "c12", "c22")
+    return moments.withColumn("__f", frame).selectExpr(
+        *moments.columns,
+        *(f"get(__f, {k - 1}) AS l{k}" for k in (1, 2, 3)),
+        *(f"sqrt(greatest(0D, get(__f, {k - 1}))) AS e{k}" for k in (1, 2, 3)),
+        *(f"slice(__f, {3 * k + 1}, 3) AS a{k}" for k in (1, 2, 3)),
     )
-    p = F.col("__p")
-    cosine = F.when(p > 0, clamp(det / F.when(p > 0, p * p * p) / 2.0, -1.0, 1.0)).otherwise(1.0)
-    third = F.acos(cosine) / 3.0
-    l1 = F.col("__q") + p * 2.0 * F.cos(F.col("__t"))
-    l3 = F.col("__q") + p * 2.0 * F.cos(F.col("__t") + 2.0 * math.pi / 3.0)
-    values = (
-        moments.withColumn("__q", mean)
-        .withColumn("__p", spread)
-        .withColumn("__t", third)
-        .withColumn("l1", l1)
-        .withColumn("l3", l3)
-        .withColumn("l2", F.col("__q") * 3.0 - F.col("l1") - F.col("l3"))
-    )
-    for k in (1, 2, 3):
-        values = values.withColumn(f"e{k}", F.sqrt(F.greatest(F.lit(0.0), F.col(f"l{k}"))))
-    return _with_axes(values).drop("__q", "__p", "__t")
-
-
-Vector = tuple[Column, Column, Column]
-
-
-def _cross(u: Vector, v: Vector) -> Vector:
-    return (
-        u[1] * v[2] - u[2] * v[1],
-        u[2] * v[0] - u[0] * v[2],
-        u[0] * v[1] - u[1] * v[0],
-    )
-
-
-def _dot(u: Vector, v: Vector) -> Column:
-    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
 
-def _vector(name: str) -> Vector:
-    return tuple(F.get(F.col(name), F.lit(i)) for i in range(3))
-
-
-def _array(v: Vector) -> Column:
-    return F.array(*v)
-
-
-def _unit(name: str, fallback: Column) -> Column:
-    v = _vector(name)
-    norm = F.sqrt(_dot(v, v))
-    return F.when(norm > 0, F.array(*(x / F.when(norm > 0, norm) for x in v))).otherwise(fallback)
-
-
-def _signed(name: str) -> Column:
-    v = _vector(name)
-    big = F.greatest(*(F.abs(x) for x in v))
-    lead = F.coalesce(*(F.when(F.abs(x) == big, x) for x in v))
-    return F.when(lead < 0, F.array(*(-x for x in v))).otherwise(F.col(name))
-
-
-def _with_axes(df: DataFrame) -> DataFrame:
-    """The best separated eigenvector first, the other two inside its normal plane."""
-    first_is_largest = (F.col("l1") - F.col("l2")) >= (F.col("l2") - F.col("l3"))
-    df = df.withColumn("__lam", F.when(first_is_largest, F.col("l1")).otherwise(F.col("l3")))
-    lam = F.col("__lam")
-    rows: list[Vector] = [
-        (F.col("c00") - lam, F.col("c01"), F.col("c02")),
-        (F.col("c01"), F.col("c11") - lam, F.col("c12")),
-        (F.col("c02"), F.col("c12"), F.col("c22") - lam),
-    ]
-    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        df = df.withColumn(f"__x{k}", _array(_cross(rows[i], rows[j])))
-    norms = [_dot(_vector(f"__x{k}"), _vector(f"__x{k}")) for k in range(3)]
-    best = (
-        F.when((norms[0] >= norms[1]) & (norms[0] >= norms[2]), F.col("__x0"))
-        .when(norms[1] >= norms[2], F.col("__x1"))
-        .otherwise(F.col("__x2"))
-    )
-    df = df.withColumn("__x", best).withColumn(
-        "__n", _unit("__x", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
-    )
-    n = _vector("__n")
-    # Any unit vector across n, from the coordinate axis least along it.
-    small = F.least(*(F.abs(x) for x in n))
-    zero = F.lit(0.0)
-    across = (
-        F.when(F.abs(n[0]) == small, F.array(zero, -n[2], n[1]))
-        .when(F.abs(n[1]) == small, F.array(n[2], zero, -n[0]))
-        .otherwise(F.array(-n[1], n[0], zero))
-    )
-    df = df.withColumn("__y", across)
-    df = df.withColumn("__u", _unit("__y", F.array(zero, F.lit(1.0), zero)))
-    df = df.withColumn("__v", _array(_cross(_vector("__n"), _vector("__u"))))
-
-    def quadratic(a: Vector, b: Vector) -> Column:
-        m = (
-            (F.col("c00"), F.col("c01"), F.col("c02")),
-            (F.col("c01"), F.col("c11"), F.col("c12")),
-            (F.col("c02"), F.col("c12"), F.col("c22")),
-        )
-        return _dot(tuple(_dot(r, b) for r in m), a)
-
-    u, v = _vector("__u"), _vector("__v")
-    angle = F.atan2(quadratic(u, v) * 2.0, quadratic(u, u) - quadratic(v, v)) / 2.0
-    df = df.withColumn("__a", angle)
-    cos, sin = F.cos("__a"), F.sin("__a")
-    df = df.withColumn("__hi", F.array(*(u[i] * cos + v[i] * sin for i in range(3))))
-    df = df.withColumn("__lo", F.array(*(v[i] * cos - u[i] * sin for i in range(3))))
-    big_first = F.col("__lam") == F.col("l1")
-    df = (
-        df.withColumn("__a1", F.when(big_first, F.col("__n")).otherwise(F.col("__hi")))
-        .withColumn("__a2", F.when(big_first, F.col("__hi")).otherwise(F.col("__lo")))
-        .withColumn("__a3", F.when(big_first, F.col("__lo")).otherwise(F.col("__n")))
-    )
-    for k in (1, 2, 3):
-        df = df.withColumn(f"a{k}", _signed(f"__a{k}"))
-    return df.drop(
-        "__lam", "__x0", "__x1", "__x2", "__x", "__n", "__y", "__u", "__v", "__a",
-        "__hi", "__lo", "__a1", "__a2", "__a3",
-    )
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def principal_frame(
+    c00: pd.Series, c01: pd.Series, c02: pd.Series, c11: pd.Series, c12: pd.Series, c22: pd.Series
+) -> pd.Series:
+    """Eigenvalues of each covariance, largest first, and their three unit vectors."""
+    rows = [[c00, c01, c02], [c01, c11, c12], [c02, c12, c22]]
+    matrices = np.stack([np.stack([c.to_numpy(float) for c in r], axis=-1) for r in rows], axis=-2)
+    values, columns = np.linalg.eigh(matrices)
+    vectors = columns[:, :, ::-1].transpose(0, 2, 1)
+    largest = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)
+    signed = vectors * np.where(largest < 0, -1.0, 1.0)
+    return pd.Series(list(np.hstack([values[:, ::-1], signed.reshape(-1, 9)])))
 
 
 def point_spacing(e1: Column, e2: Column, count: Column) -> Column:

@@ -23,11 +23,10 @@ from terraframe.functions.frame import (
     texel_uv,
     to_scene,
 )
-from terraframe.functions.numeric import clamp, round_half_away
 from terraframe.functions.rules import level_for_span
-from terraframe.operators.blocks import BLOCK, at, to_blocks
+from terraframe.operators.blocks import BLOCK, pack, to_blocks
 from terraframe.operators.sampling import sample_filled
-from terraframe.session import checkpointed
+from terraframe.session import checkpointed, spread
 
 # Root cells per side, widest leaf in pixels, tolerance angle
 # in degrees, deepest level unless the span asks for more.
@@ -38,10 +37,6 @@ ROOT = ["raster_id", "rx", "ry"]
 _GEOMETRY = ["width", "height", "pw", "ph", "cw0", "ch0", "root_level", "max_level"]
 
 
-def _pow2(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level.cast("double"))
-
-
 def tree_geometry(
     catalog: DataFrame, coarse: int = COARSE, max_level: int = MAX_LEVEL, max_span: float = MAX_SPAN
 ) -> DataFrame:
@@ -60,78 +55,28 @@ def tree_geometry(
     )
 
 
-def cell_box(level: Column, ix: Column, iy: Column) -> dict[str, Column]:
-    """Pixel footprint of a cell, from the raster's cw0 and ch0."""
-    n = _pow2(level)
-    cw, ch = F.col("cw0") / n, F.col("ch0") / n
-    return {"cw": cw, "ch": ch, "pcol": ix * cw, "prow": iy * ch}
-
-
-def _roots_of(index: str, cell0: str, limit: Column) -> Column:
+def _near(index: str, cell0: str) -> str:
     """Root cells (one axis) whose block holds a pixel: floor(lo) .. floor(hi)+1."""
-    size = F.col(cell0) / _pow2(F.col("root_level"))
-    i = F.col(index)
-    first = F.greatest(F.floor((i - 1) / size) - 1, F.lit(0)).cast("int")
-    last = F.least(F.floor((i + 1) / size), limit - 1).cast("int")
-    near = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(
-        F.array().cast("array<int>")
+    size = f"({cell0} / __parts)"
+    first = f"greatest(cast(floor(({index} - 1) / {size}) AS int) - 1, 0)"
+    last = f"least(cast(floor(({index} + 1) / {size}) AS int), __roots - 1)"
+    return (
+        f"explode(filter(sequence(least({first}, {last}), {last}), k ->"
+        f" k >= 0 AND floor(k * {size}) <= {index} AND {index} <= floor(k * {size} + {size}) + 1))"
     )
-    return F.filter(near, lambda k: (F.floor(k * size) <= i) & (i <= F.floor(k * size + size) + 1))
 
 
 def root_blocks(pixels: DataFrame, geometry: DataFrame, coarse: int = COARSE) -> DataFrame:
     """Pixels (v, filled) packed into one block per root cell. The only full shuffle."""
-    roots = F.lit(coarse) * _pow2(F.col("root_level"))
-    spread = (
+    placed = (
         pixels.select("raster_id", "row", "col", "v", "filled")
         .join(geometry.select("raster_id", "cw0", "ch0", "root_level"), "raster_id")
-        .withColumn("rx", F.explode(_roots_of("col", "cw0", roots)))
-        .withColumn("ry", F.explode(_roots_of("row", "ch0", roots)))
+        .selectExpr("*", "pow(2D, cast(root_level AS double)) AS __parts")
+        .selectExpr("*", f"cast({coarse} * __parts AS int) AS __roots")
+        .selectExpr("*", f"{_near('col', 'cw0')} AS rx")
+        .selectExpr("*", f"{_near('row', 'ch0')} AS ry")
     )
-    packed = spread.groupBy(*ROOT).agg(
-        F.min("row").alias("row0"),
-        F.min("col").alias("col0"),
-        (F.max("col") - F.min("col") + 1).alias("bw"),
-        (F.max("row") - F.min("row") + 1).alias("bh"),
-        F.sort_array(F.collect_list(F.struct("row", "col", "v", "filled"))).alias("__px"),
-    )
-    complete = F.when(
-        F.size("__px") != F.col("bw") * F.col("bh"),
-        F.raise_error(F.lit("pixel table is not dense or has duplicates")).cast("int"),
-    ).otherwise(F.col("bw"))
-    return packed.select(
-        *ROOT,
-        "row0",
-        "col0",
-        complete.alias("bw"),
-        "bh",
-        F.col("__px.v").alias("v"),
-        F.col("__px.filled").alias("filled"),
-    )
-
-
-def _corner(value: str, pcol: Column, prow: Column) -> Column:
-    """Bilinear filled height at a fractional pixel of the block."""
-    x = clamp(pcol, 0.0, F.col("width") - 1.0)
-    y = clamp(prow, 0.0, F.col("height") - 1.0)
-    c0, r0 = F.floor(x).cast("int"), F.floor(y).cast("int")
-    fx, fy = x - c0, y - r0
-    total = F.lit(0.0)
-    for dr, dc, w in (
-        (0, 0, (1 - fx) * (1 - fy)),
-        (0, 1, fx * (1 - fy)),
-        (1, 0, (1 - fx) * fy),
-        (1, 1, fx * fy),
-    ):
-        total = total + F.when(w > 0, at(value, r0 + dr, c0 + dc) * w).otherwise(0.0)
-    return total
-
-
-def _unknown(pcol: Column, prow: Column) -> Column:
-    """1 where the pixel nearest to a position is unknown."""
-    c = clamp(round_half_away(pcol), 0, F.col("width") - 1)
-    r = clamp(round_half_away(prow), 0, F.col("height") - 1)
-    return F.when(at("v", r, c).isNull(), 1).otherwise(0)
+    return pack(placed, ROOT, ["v", "filled"])
 
 
 def cell_stats(
@@ -154,107 +99,138 @@ def cell_stats(
     blocks = root_blocks(pixels, geometry, coarse).join(
         geometry.select("raster_id", *_GEOMETRY), "raster_id"
     )
-    split = F.pow(F.lit(2.0), (F.col("level") - F.col("root_level")).cast("double")).cast("int")
-    cells = (
-        blocks.withColumn("level", F.explode(F.sequence(F.col("root_level"), F.col("max_level"))))
-        .withColumn("ix", F.explode(F.sequence(F.col("rx") * split, (F.col("rx") + 1) * split - 1)))
-        .withColumn("iy", F.explode(F.sequence(F.col("ry") * split, (F.col("ry") + 1) * split - 1)))
-    )
-    box = cell_box(F.col("level"), F.col("ix"), F.col("iy"))
-    cells = cells.select("*", *(c.alias(k) for k, c in box.items()))
-    x0, y0 = F.col("pcol"), F.col("prow")
-    x1, y1 = x0 + F.col("cw"), y0 + F.col("ch")
-    xm, ym = x0 + F.col("cw") * 0.5, y0 + F.col("ch") * 0.5
-    samples = _unknown(x0, y0) + _unknown(x1, y0) + _unknown(x0, y1) + _unknown(x1, y1)
-    cells = (
-        cells.withColumn("e00", _corner("filled", x0, y0))
-        .withColumn("e10", _corner("filled", x1, y0))
-        .withColumn("e01", _corner("filled", x0, y1))
-        .withColumn("e11", _corner("filled", x1, y1))
-        .withColumn("centre_unknown", _unknown(xm, ym))
-        .withColumn("unknown", samples + F.col("centre_unknown"))
-    )
 
-    def inside(low: Column, high: Column, limit: Column) -> Column:
-        first = F.greatest(F.ceil(low), F.lit(0)).cast("int")
-        last = F.least(F.floor(high), limit - 1).cast("int")
-        return F.when(first <= last, F.sequence(first, F.greatest(first, last)))
+    def axis(name: str, low: str, size: str, count: str) -> list[str]:
+        """Both ends of a cell on one axis: pixel before, fraction past it."""
+        out = []
+        for k, end in enumerate((low, f"{low} + {size}")):
+            x = f"least(greatest({end}, 0D), {count} - 1D)"
+            out += [f"cast(floor({x}) AS int) AS {name}{k}", f"{x} - floor({x}) AS f{name}{k}"]
+        return out
+
+    def nearest(low: str, size: str, count: str, share: str) -> str:
+        return f"cast(least(floor({low} + {size} * {share} + 0.5D), {count} - 1) AS int)"
+
+    def gap(x: str, y: str) -> str:
+        c, r = nearest("pcol", "cw", "width", x), nearest("prow", "ch", "height", y)
+        return f"CASE WHEN get(v, ({r} - row0) * bw + {c} - col0) IS NULL THEN 1 ELSE 0 END"
+
+    def height(i: int, j: int) -> str:
+        at = f"(r{j} - row0) * bw + c{i} - col0"
+        parts = [
+            (f"(1 - fc{i}) * (1 - fr{j})", at),
+            (f"fc{i} * (1 - fr{j})", f"{at} + 1"),
+            (f"(1 - fc{i}) * fr{j}", f"{at} + bw"),
+            (f"fc{i} * fr{j}", f"{at} + bw + 1"),
+        ]
+        # A zero weight may point past the block: its value is not looked at.
+        return " + ".join(f"CASE WHEN {w} > 0 THEN {w} * get(filled, {p}) ELSE 0D END" for w, p in parts)
+
+    def inside(low: str, size: str, count: str) -> str:
+        first = f"cast(ceil({low}) AS int)"
+        last = f"least(cast(floor({low} + {size}) AS int), {count} - 1)"
+        return f"CASE WHEN {first} <= {last} THEN sequence({first}, greatest({first}, {last})) END"
 
+    cells = (
+        blocks.selectExpr("*", "explode(sequence(root_level, max_level)) AS level")
+        .selectExpr("*", "shiftleft(1, level - root_level) AS __k", "pow(2D, cast(level AS double)) AS __n")
+        .selectExpr("*", "explode(sequence(rx * __k, rx * __k + __k - 1)) AS ix")
+        .selectExpr("*", "explode(sequence(ry * __k, ry * __k + __k - 1)) AS iy")
+        .selectExpr("*", "cw0 / __n AS cw", "ch0 / __n AS ch")
+        .selectExpr("*", "ix * cw AS pcol", "iy * ch AS prow")
+        .selectExpr(
+            "*",
+            *axis("c", "pcol", "cw", "width"),
+            *axis("r", "prow", "ch", "height"),
+            " + ".join(gap(x, y) for x in ("0", "1") for y in ("0", "1")) + " AS __corners",
+            gap("0.5D", "0.5D") + " AS centre_unknown",
+        )
+        .selectExpr(
+            *ROOT, "level", "ix", "iy", "cw", "ch", "pw", "ph", "root_level", "max_level",
+            "width", "height", "pcol", "prow", "row0", "col0", "bw", "v", "centre_unknown",
+            "__corners + centre_unknown AS unknown",
+            *(f"{height(i, j)} AS e{i}{j}" for i in (0, 1) for j in (0, 1)),
+        )
+    )
     # A cell narrower than a pixel may hold no pixel centre: it keeps one row
     # without a pixel, hence explode_outer.
-    tested = cells.withColumn("r", F.explode_outer(inside(y0, y1, F.col("height")))).withColumn(
-        "c", F.explode_outer(inside(x0, x1, F.col("width")))
+    tested = (
+        cells.selectExpr("*", f"explode_outer({inside('prow', 'ch', 'height')}) AS r")
+        .selectExpr("*", f"explode_outer({inside('pcol', 'cw', 'width')}) AS c")
+        .selectExpr("*", "(r - prow) / ch AS __t", "(c - pcol) / cw AS __s")
+        .selectExpr("*", "e00 + (e01 - e00) * __t AS __left", "e10 + (e11 - e10) * __t AS __right")
+        .selectExpr(
+            "*",
+            "abs(get(v, (r - row0) * bw + c - col0) - (__left + (__right - __left) * __s)) AS gap",
+        )
     )
-    t = (F.col("r") - y0) / F.col("ch")
-    s = (F.col("c") - x0) / F.col("cw")
-    left = F.col("e00") + (F.col("e01") - F.col("e00")) * t
-    right = F.col("e10") + (F.col("e11") - F.col("e10")) * t
-    gap = F.abs(at("v", F.col("r"), F.col("c")) - (left + (right - left) * s))
     return tested.groupBy(*ROOT, "level", "ix", "iy").agg(
-        F.coalesce(F.max(gap), F.lit(0.0)).alias("deviation"),
-        F.first("unknown").alias("unknown"),
-        F.first("centre_unknown").alias("centre_unknown"),
-        *(F.first(k).alias(k) for k in ("cw", "ch", "pw", "ph", "root_level", "max_level")),
+        F.expr("coalesce(max(gap), 0D)").alias("deviation"),
+        *(
+            F.first(k).alias(k)
+            for k in ("unknown", "centre_unknown", "cw", "ch", "pw", "ph", "root_level", "max_level")
+        ),
     )
 
 
-def _interleave(x: Column, y: Column, bits: int) -> Column:
+def _interleave(x: str, y: str, bits: int) -> str:
     """Z-order number of a position inside a root."""
-    total = F.lit(0).cast("long")
+    terms = []
     for k in range(bits):
-        for value, shift in ((x, 2 * k), (y, 2 * k + 1)):
-            bit = F.shiftright(value, k).bitwiseAND(F.lit(1)).cast("long")
-            total = total + F.shiftleft(bit, shift)
-    return total
+        terms.append(f"shiftleft(shiftright({x}, {k}) & 1L, {2 * k})")
+        terms.append(f"shiftleft(shiftright({y}, {k}) & 1L, {2 * k + 1})")
+    return " | ".join(terms) if terms else "0L"
 
 
-def blank_ancestors(
+def blank_roots(
     pixels: DataFrame, catalog: DataFrame, coarse: int, max_level: int, max_span: float
 ) -> DataFrame:
-    """Cells above the root level whose five samples are all unknown: they go whole."""
+    """Roots below a cell whose five samples are all unknown: such a cell goes whole."""
     geometry = tree_geometry(catalog, coarse, max_level, max_span)
-    cells = (
-        geometry.where(F.col("root_level") > 0)
-        .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("root_level") - 1)))
-        .withColumn("n", (F.lit(coarse) * _pow2(F.col("level"))).cast("int"))
-        .withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .repartition("raster_id", "level", "iy")
-        .withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    lines = (
+        geometry.where("root_level > 0")
+        .selectExpr("*", "explode(sequence(0, root_level - 1)) AS level")
+        .selectExpr("*", f"cast({coarse} * pow(2D, cast(level AS double)) AS int) AS n")
+        .selectExpr("*", "explode(sequence(0, n - 1)) AS iy")
+    )
+    cells = spread(lines, "raster_id", "level", "iy").selectExpr(
+        "*", "explode(sequence(0, n - 1)) AS ix"
+    )
+    blank = _sampled_unknown(cells, pixels).where("unknown = 5")
+    return (
+        blank.join(geometry.select("raster_id", "root_level"), "raster_id")
+        .selectExpr("*", "shiftleft(1, root_level - level) AS __k")
+        .selectExpr("*", "explode(sequence(ix * __k, ix * __k + __k - 1)) AS rx")
+        .selectExpr("*", "explode(sequence(iy * __k, iy * __k + __k - 1)) AS ry")
+        .select(*ROOT)
     )
-    return _sampled_unknown(cells, pixels).where(F.col("unknown") == 5).select(*CELL)
 
 
 def _sampled_unknown(cells: DataFrame, pixels: DataFrame) -> DataFrame:
     """Unknown samples of cells by equi-join on the five nearest pixels of each."""
-    box = cell_box(F.col("level"), F.col("ix"), F.col("iy"))
-    cells = cells.select("*", *(c.alias(k) for k, c in box.items()))
-    x0, y0, w, h = F.col("pcol"), F.col("prow"), F.col("cw"), F.col("ch")
-
-    def sample(x: Column, y: Column, centre: bool) -> Column:
-        return F.struct(
-            clamp(round_half_away(x), 0, F.col("width") - 1).alias("col"),
-            clamp(round_half_away(y), 0, F.col("height") - 1).alias("row"),
-            F.lit(centre).alias("centre"),
-        )
 
-    five = F.array(
-        sample(x0, y0, False),
-        sample(x0 + w, y0, False),
-        sample(x0, y0 + h, False),
-        sample(x0 + w, y0 + h, False),
-        sample(x0 + w * 0.5, y0 + h * 0.5, True),
-    )
-    probes = cells.select(*CELL, F.explode(five).alias("p")).select(*CELL, "p.*")
-    unknown = pixels.where(F.col("v").isNull()).select(
-        "raster_id", "row", "col", F.lit(1).alias("gap")
+    def sample(share_x: str, share_y: str, centre: str) -> str:
+        c = f"least(floor(ix * cw + cw * {share_x} + 0.5D), width - 1)"
+        r = f"least(floor(iy * ch + ch * {share_y} + 0.5D), height - 1)"
+        return f"struct(cast({c} AS int) AS col, cast({r} AS int) AS row, {centre} AS centre)"
+
+    five = [sample(x, y, "false") for x in ("0", "1") for y in ("0", "1")]
+    five.append(sample("0.5D", "0.5D", "true"))
+    probes = (
+        cells.selectExpr("*", "pow(2D, cast(level AS double)) AS __n")
+        .selectExpr("*", "cw0 / __n AS cw", "ch0 / __n AS ch")
+        .selectExpr(*CELL, f"explode(array({', '.join(five)})) AS p")
+        .selectExpr(*CELL, "p.*")
     )
-    hit = F.coalesce("gap", F.lit(0))
+    unknown = pixels.where("v IS NULL").selectExpr("raster_id", "row", "col", "1 AS gap")
     return (
         probes.join(unknown, ["raster_id", "row", "col"], "left")
         .groupBy(*CELL)
         .agg(
-            F.sum(hit).cast("int").alias("unknown"),
-            F.max(F.when(F.col("centre"), hit)).cast("int").alias("centre_unknown"),
+            F.expr("cast(count(gap) AS int)").alias("unknown"),
+            F.expr("cast(coalesce(max(CASE WHEN centre THEN gap END), 0) AS int)").alias(
+                "centre_unknown"
+            ),
         )
     )
 
@@ -277,70 +253,38 @@ def quadtree_leaves(
     descendants', so one running maximum per root settles that.
     """
     stats = cell_stats(pixels, catalog, coarse, max_level, max_span)
-    tolerance = F.lit(math.tan(math.radians(angle))) * F.least(
-        F.col("cw") * F.col("pw"), F.col("ch") * F.col("ph")
-    ) * F.lit(0.5)
-    whole = (
-        (F.col("unknown") == 0)
-        & (F.greatest("cw", "ch") <= max_span)
-        & (F.col("deviation") <= tolerance)
-    )
-    dropped = F.col("unknown") == 5
-    deepest = F.col("level") == F.col("max_level")
-    local = F.col("level") - F.col("root_level")
-    scale = F.pow(F.lit(2.0), (F.col("max_level") - F.col("level")).cast("double")).cast("int")
-    split = F.pow(F.lit(2.0), local.cast("double")).cast("int")
-    lx = (F.col("ix") - F.col("rx") * split) * scale
-    ly = (F.col("iy") - F.col("ry") * split) * scale
-    marked = stats.select(
-        *ROOT,
-        "level",
-        "ix",
-        "iy",
-        F.when(dropped, "drop")
-        .when(whole, "leaf")
-        .when(deepest & (F.col("unknown") > 0) & (F.col("centre_unknown") == 1), "drop")
-        .when(deepest, "leaf")
-        .otherwise("split")
-        .alias("fate"),
-        _interleave(lx, ly, 20).alias("z0"),
-        (scale.cast("long") * scale.cast("long")).alias("zn"),
-    )
+    tangent = math.tan(math.radians(angle))
+    fate = (
+        "CASE WHEN unknown = 5 THEN 'drop'"
+        f" WHEN unknown = 0 AND greatest(cw, ch) <= {float(max_span)!r}D"
+        f" AND deviation <= {tangent!r}D * least(cw * pw, ch * ph) * 0.5D THEN 'leaf'"
+        " WHEN level < max_level THEN 'split'"
+        " WHEN unknown > 0 AND centre_unknown = 1 THEN 'drop' ELSE 'leaf' END AS fate"
+    )
+    # Below a root there are at most max_level levels, whatever its own level.
+    marked = (
+        stats.selectExpr(
+            "*",
+            "shiftleft(1, max_level - level) AS __size",
+            "shiftleft(1, level - root_level) AS __k",
+        )
+        .selectExpr(
+            *CELL, "rx", "ry", fate, "__size",
+            "cast((ix - rx * __k) * __size AS bigint) AS __x",
+            "cast((iy - ry * __k) * __size AS bigint) AS __y",
+        )
+        .selectExpr("*", f"{_interleave('__x', '__y', max_level)} AS z0")
+        .selectExpr("*", "z0 + cast(__size AS bigint) * __size AS z1")
+    )
     order = (
-        Window.partitionBy(*ROOT)
-        .orderBy("z0", "level")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*ROOT).orderBy("z0", "level").rowsBetween(Window.unboundedPreceding, -1)
     )
-    ended = F.max(F.when(F.col("fate") != "split", F.col("z0") + F.col("zn"))).over(order)
+    ended = F.max(F.expr("CASE WHEN fate <> 'split' THEN z1 END")).over(order)
     reached = marked.withColumn("__end", ended).where(
-        (F.col("fate") == "leaf") & (F.col("__end").isNull() | (F.col("__end") <= F.col("z0")))
+        "fate = 'leaf' AND (__end IS NULL OR __end <= z0)"
     )
-    blank = blank_ancestors(pixels, catalog, coarse, max_level, max_span)
-    return _without_ancestors(reached.select(*CELL), blank)
-
-
-def _without_ancestors(cells: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Cells that have no proper ancestor in the other table.
-
-    The ancestor table is expanded to nothing; each cell looks its own
-    ancestors up, at most one per level.
-    """
-    up = F.col("level") - F.col("al")
-    probes = (
-        cells.where(F.col("level") > 0)
-        .withColumn("al", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
-        .withColumn("ax", F.expr("shiftright(ix, level - al)"))
-        .withColumn("ay", F.expr("shiftright(iy, level - al)"))
-        .where(up > 0)
-    )
-    keys = ancestors.select(
-        F.col("raster_id"),
-        F.col("level").alias("al"),
-        F.col("ix").alias("ax"),
-        F.col("iy").alias("ay"),
-    )
-    under = probes.join(keys, ["raster_id", "al", "ax", "ay"], "left_semi").select(*CELL).distinct()
-    return cells.join(under, CELL, "left_anti")
+    blank = blank_roots(pixels, catalog, coarse, max_level, max_span)
+    return reached.select(*CELL, "rx", "ry").join(blank, ROOT, "left_anti").select(*CELL)
 
 
 def leaf_at(probes: DataFrame, leaves: DataFrame, keys: list[str], max_level: int) -> DataFrame:
@@ -586,7 +530,7 @@ def patch_corners(
     )
     info = catalog.select("raster_id", "width", "height", geo_struct().alias("geo"))
     finest = float(coarse * 2**max_level)
-    spread = (
+    located = (
         leaves.select(*CELL)
         .withColumn("p", F.explode(corners))
         .select(*CELL, "p.*")
@@ -594,27 +538,20 @@ def patch_corners(
         .withColumn("px", F.col("fx") * ((F.col("width") - 1) / finest))
         .withColumn("py", F.col("fy") * ((F.col("height") - 1) / finest))
     )
-    placed = sample_filled(spread, to_blocks(pixels, ["filled"]), out="z", size=BLOCK)
+    placed = sample_filled(located, to_blocks(pixels, ["filled"]), out="z", size=BLOCK)
     world = pixel_to_world("px", "py", F.col("geo"))
     uv = texel_uv("px", "py", "width", "height")
-    placed = (
-        placed.withColumn("x", world["x"])
-        .withColumn("y", world["y"])
-        .withColumn("u", uv["u"])
-        .withColumn("v", uv["v"])
-    )
+    placed = placed.withColumns({**world, **uv})
     keep = [*CELL, "corner", "fx", "fy", "x", "y", "z", "u", "v"]
     if images is not None:
         iuv = image_uv(
             "px", "py", F.col("geo"), "width", "height", F.col("image_geo"), "image_w", "image_h"
         )
-        placed = placed.join(images, "raster_id", "left")
-        placed = placed.withColumn("iu", iuv["iu"]).withColumn("iv", iuv["iv"])
+        placed = placed.join(images, "raster_id", "left").withColumns(iuv)
         keep += ["iu", "iv"]
     if frame is not None:
-        scene = to_scene("x", "y", "z", frame)
-        for k, c in scene.items():
-            placed = placed.withColumn(k, c)
+        scene = to_scene("x", "y", "z", F.col("__frame"))
+        placed = placed.withColumn("__frame", frame).withColumns(scene)
         keep += ["gx", "gy", "gz"]
     return placed.select(*keep)
 

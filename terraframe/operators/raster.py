@@ -13,8 +13,9 @@ from terraframe.functions.crs import reproject
 from terraframe.functions.frame import geo_struct, pixel_to_world, raster_extent, world_to_pixel
 from terraframe.functions.numeric import clamp
 from terraframe.functions.rules import NODATA, valid_or_null
-from terraframe.operators.blocks import BLOCK, at, core_pixels, to_blocks
+from terraframe.operators.blocks import BLOCK, core_pixels, to_blocks
 from terraframe.operators.sampling import sample_ground, sample_known
+from terraframe.session import spread
 
 # Light of the hill-shade, its ambient share and brightest value.
 LIGHT = (-0.5, 0.70710678, -0.5)
@@ -29,11 +30,9 @@ def grid_pixels(catalog: DataFrame) -> DataFrame:
     Rows are spread over the cluster before columns are generated: a raster
     is never expanded by the one task that holds its catalog row.
     """
-    rows = catalog.withColumn(
-        "row", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1))
-    ).repartition("raster_id", "row")
-    return rows.withColumn(
-        "col", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1))
+    rows = catalog.selectExpr("*", "explode(sequence(0, cast(height AS int) - 1)) AS row")
+    return spread(rows, "raster_id", "row").selectExpr(
+        "*", "explode(sequence(0, cast(width AS int) - 1)) AS col"
     )
 
 
@@ -91,11 +90,10 @@ def on_raster(
     world = pixel_to_world("col", "row", F.col("grid_geo"))
     pixel = world_to_pixel(world["x"], world["y"], F.col("source_geo"))
     return (
-        joined.withColumn("px", pixel["px"])
-        .withColumn("py", pixel["py"])
-        .withColumn("raster_id", F.col("source_id"))
-        .withColumn("width", F.col("source_w"))
-        .withColumn("height", F.col("source_h"))
+        joined.withColumns(pixel)
+        .withColumns(
+            {"raster_id": F.col("source_id"), "width": F.col("source_w"), "height": F.col("source_h")}
+        )
         .drop("grid_geo", "grid_w", "grid_h", "source_geo", "source_w", "source_h")
     )
 
@@ -255,12 +253,12 @@ def box_downsample(pixels: DataFrame, catalog: DataFrame, cap: int) -> DataFrame
     sized = catalog.select("raster_id", "width", "height").select(
         "*", *(c.alias(k) for k, c in size.items())
     )
-    spread = (
+    shared = (
         pixels.join(sized, "raster_id")
         .withColumn("__r", F.explode(_targets("row", F.col("height"), F.col("dst_h"))))
         .withColumn("__c", F.explode(_targets("col", F.col("width"), F.col("dst_w"))))
     )
-    return spread.groupBy(
+    return shared.groupBy(
         "raster_id", F.col("__r").alias("row"), F.col("__c").alias("col")
     ).agg(F.avg("v").alias("v"))
 
@@ -289,14 +287,14 @@ def ortho_downsample(pixels: DataFrame, catalog: DataFrame, cap: int) -> DataFra
             ),
         )
 
-    spread = (
+    shared = (
         pixels.join(sized, "raster_id")
         .withColumn("__r", F.explode(shares("row", "height", "dst_h")))
         .withColumn("__c", F.explode(shares("col", "width", "dst_w")))
         .withColumn("__w", (F.col("__r.w") * F.col("__c.w")).cast("double"))
     )
     mean = {b: F.sum(F.col(b) * F.col("__w")) / F.sum("__w") for b in bands}
-    return spread.groupBy(
+    return shared.groupBy(
         "raster_id", F.col("__r.t").alias("row"), F.col("__c.t").alias("col")
     ).agg(*(F.floor(mean[b] + 0.5).cast("int").alias(b) for b in bands))
 
@@ -312,53 +310,44 @@ def fill_nearest(pixels: DataFrame) -> DataFrame:
     column = Window.partitionBy("raster_id", "col").orderBy("row")
     up = column.rowsBetween(Window.unboundedPreceding, 0)
     down = column.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("v").isNotNull(), F.struct(F.col("row").alias("r"), F.col("v").alias("v")))
+    source = F.expr("CASE WHEN v IS NOT NULL THEN struct(row AS r, v) END")
     vertical = (
-        pixels.withColumn("__k", known)
-        .withColumn("__up", F.last("__k", ignorenulls=True).over(up))
-        .withColumn("__dn", F.first("__k", ignorenulls=True).over(down))
-    )
-    up_d, dn_d = F.col("row") - F.col("__up.r"), F.col("__dn.r") - F.col("row")
-    best = F.when(
-        F.col("__dn").isNull() | (F.col("__up").isNotNull() & (up_d <= dn_d)), F.col("__up")
-    ).otherwise(F.col("__dn"))
-    vertical = vertical.withColumn("__b", best).withColumn(
-        "__d", F.abs(F.col("row") - F.col("__b.r"))
-    )
-
-    def candidate(shifted: Column) -> Column:
-        return F.when(
-            F.col("__b").isNotNull(),
-            F.struct(
-                shifted.alias("d"),
-                F.col("__b.r").alias("r"),
-                F.col("col").alias("c"),
-                F.col("__b.v").alias("v"),
-            ),
+        pixels.withColumn("__k", source)
+        .withColumns(
+            {
+                "__up": F.last("__k", ignorenulls=True).over(up),
+                "__dn": F.first("__k", ignorenulls=True).over(down),
+            }
         )
-
+        .selectExpr(
+            "raster_id",
+            "row",
+            "col",
+            "v",
+            "CASE WHEN __dn IS NULL OR row - __up.r <= __dn.r - row THEN __up ELSE __dn END AS __b",
+        )
+        .selectExpr("*", "abs(row - __b.r) AS __d")
+        .selectExpr(
+            "raster_id",
+            "row",
+            "col",
+            "v",
+            "CASE WHEN __b IS NOT NULL THEN struct(__d - col AS d, __b.r, col AS c, __b.v) END AS __toleft",
+            "CASE WHEN __b IS NOT NULL THEN struct(__d + col AS d, __b.r, col AS c, __b.v) END AS __toright",
+        )
+    )
     line = Window.partitionBy("raster_id", "row").orderBy("col")
     left = line.rowsBetween(Window.unboundedPreceding, 0)
     right = line.rowsBetween(0, Window.unboundedFollowing)
-    horizontal = vertical.withColumn(
-        "__l", F.min(candidate(F.col("__d") - F.col("col"))).over(left)
-    ).withColumn("__r", F.min(candidate(F.col("__d") + F.col("col"))).over(right))
-
-    def distance(side: str, sign: int) -> Column:
-        s = F.col(side)
-        return F.when(
-            s.isNotNull(),
-            F.struct(
-                (s["d"] + F.col("col") * sign).alias("d"),
-                s["r"].alias("r"),
-                s["c"].alias("c"),
-                s["v"].alias("v"),
-            ),
-        )
-
-    nearest = F.least(distance("__l", 1), distance("__r", -1))
-    return horizontal.withColumn("filled", F.coalesce(F.col("v"), nearest["v"])).drop(
-        "__k", "__up", "__dn", "__b", "__d", "__l", "__r"
+    horizontal = vertical.withColumns(
+        {"__l": F.min("__toleft").over(left), "__r": F.min("__toright").over(right)}
+    )
+    nearest = (
+        "least(CASE WHEN __l IS NOT NULL THEN struct(__l.d + col AS d, __l.r, __l.c, __l.v) END,"
+        " CASE WHEN __r IS NOT NULL THEN struct(__r.d - col AS d, __r.r, __r.c, __r.v) END)"
+    )
+    return horizontal.selectExpr(
+        "raster_id", "row", "col", "v", f"coalesce(v, ({nearest}).v) AS filled"
     )
 
 
@@ -369,29 +358,23 @@ def hillshade(filled: DataFrame, catalog: DataFrame, z_factor: float = 1.0) -> D
     neighbours.
     """
     blocks = to_blocks(filled, ["filled"], before=1, after=1)
-    size = catalog.select(
-        "raster_id", "width", "height", F.abs("a").alias("pw"), F.abs("e").alias("ph")
-    )
-    cells = core_pixels(blocks.join(size, "raster_id"), BLOCK)
-    r, c = F.col("row"), F.col("col")
-    zero = F.lit(0)
-    west = at("filled", r, F.greatest(c - 1, zero))
-    east = at("filled", r, F.least(c + 1, F.col("width") - 1))
-    north = at("filled", F.greatest(r - 1, zero), c)
-    south = at("filled", F.least(r + 1, F.col("height") - 1), c)
-    slopes = cells.select(
+    size = catalog.selectExpr("raster_id", "width", "height", "abs(a) AS pw", "abs(e) AS ph")
+    slopes = core_pixels(blocks.join(size, "raster_id"), BLOCK).selectExpr(
         "raster_id",
         "row",
         "col",
-        at("filled", r, c).alias("filled"),
-        ((east - west) / (F.col("pw") * 2.0) * z_factor).alias("hx"),
-        ((south - north) / (F.col("ph") * 2.0) * z_factor).alias("hz"),
+        "get(filled, pos) AS filled",
+        "(get(filled, pos + cast(col < width - 1 AS int)) - get(filled, pos - cast(col > 0 AS int)))"
+        f" / (pw * 2D) * {z_factor}D AS hx",
+        "(get(filled, pos + cast(row < height - 1 AS int) * bw)"
+        f" - get(filled, pos - cast(row > 0 AS int) * bw)) / (ph * 2D) * {z_factor}D AS hz",
+    )
+    toward = f"(-hx * {LIGHT[0]}D + {LIGHT[1]}D - hz * {LIGHT[2]}D) / sqrt(hx * hx + hz * hz + 1D)"
+    lit = f"greatest({toward}, 0D) / {LIGHT[1]}D"
+    shade = f"least(greatest({lit} * {DIFFUSE}D + {AMBIENT}D, 0D), {BRIGHTEST}D)"
+    return slopes.selectExpr(
+        "raster_id", "row", "col", "filled", f"CASE WHEN hx IS NOT NULL THEN {shade} END AS shade"
     )
-    hx, hz = F.col("hx"), F.col("hz")
-    toward = -hx * LIGHT[0] + LIGHT[1] - hz * LIGHT[2]
-    lit = F.greatest(toward / F.sqrt(hx * hx + hz * hz + 1.0), F.lit(0.0)) / LIGHT[1]
-    shade = F.when(hx.isNotNull(), clamp(lit * DIFFUSE + AMBIENT, 0.0, BRIGHTEST))
-    return slopes.withColumn("shade", shade).drop("hx", "hz")
 
 
 def find_voids(pixels: DataFrame, catalog: DataFrame, radius: int = 6) -> DataFrame:
@@ -401,24 +384,19 @@ def find_voids(pixels: DataFrame, catalog: DataFrame, radius: int = 6) -> DataFr
     """
     blocks = to_blocks(pixels, ["v"], before=radius, after=radius)
     size = catalog.select("raster_id", "width", "height")
-    r, c = F.col("row"), F.col("col")
     inner = (
-        (r >= radius)
-        & (c >= radius)
-        & (r < F.col("height") - radius)
-        & (c < F.col("width") - radius)
-    )
-    holes = core_pixels(blocks.join(size, "raster_id"), BLOCK).where(inner & at("v", r, c).isNull())
-
-    def along(dr: int, dc: int) -> Column:
-        found = F.lit(False)
-        for k in range(1, radius + 1):
-            found = found | at("v", r + dr * k, c + dc * k).isNotNull()
-        return found
-
-    return holes.where(along(-1, 0) & along(1, 0) & along(0, -1) & along(0, 1)).select(
-        "raster_id", "row", "col"
+        f"row >= {radius} AND col >= {radius}"
+        f" AND row < height - {radius} AND col < width - {radius}"
     )
+    holes = core_pixels(blocks.join(size, "raster_id"), BLOCK).where(f"{inner} AND get(v, pos) IS NULL")
+    known = "x -> x IS NOT NULL"
+    step = f"sequence(1, {radius})"
+    return holes.where(
+        f"exists(slice(v, pos + 2, {radius}), {known})"
+        f" AND exists(slice(v, pos + 1 - {radius}, {radius}), {known})"
+        f" AND exists({step}, k -> get(v, pos + k * bw) IS NOT NULL)"
+        f" AND exists({step}, k -> get(v, pos - k * bw) IS NOT NULL)"
+    ).select("raster_id", "row", "col")
 
 
 def block_means(pixels: DataFrame, catalog: DataFrame, nx: int, ny: int) -> DataFrame:

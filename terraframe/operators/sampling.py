@@ -1,48 +1,52 @@
-"""Bilinear sampling of rasters at arbitrary positions, on block tables."""
+"""Bilinear sampling of rasters at arbitrary positions, on block tables.
+
+Targets have raster_id, the fractional pixel px, py and the raster's width
+and height. Each is joined to the one block that holds its four neighbours.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from terraframe.functions.colour import OUTSIDE_GREY
-from terraframe.functions.numeric import clamp, round_half_away
-from terraframe.operators.blocks import BLOCK, BLOCK_COLUMNS, at, join_blocks
+from terraframe.operators.blocks import BLOCK, BLOCK_COLUMNS, join_blocks
 
+_WORK = (
+    "__in", "__x", "__y", "__c0", "__r0", "__fx", "__fy", "__w0", "__w1", "__w2", "__w3",
+    "__dx", "__dy", "pos",
+)
 
-def _corners(px: Column, py: Column) -> tuple[Column, Column, Column, Column]:
-    """Left column, top row and the two fractions of a clamped position."""
-    c0, r0 = F.floor(px).cast("int"), F.floor(py).cast("int")
-    return c0, r0, px - c0, py - r0
 
+def _placed(targets: DataFrame, inside: str, x: str, y: str) -> DataFrame:
+    """Add the corner pixel and the four weights of a position (x, y)."""
+    return (
+        targets.selectExpr("*", f"coalesce({inside}, false) AS __in", f"{x} AS __x", f"{y} AS __y")
+        .selectExpr("*", "cast(floor(__x) AS int) AS __c0", "cast(floor(__y) AS int) AS __r0")
+        .selectExpr("*", "__x - __c0 AS __fx", "__y - __r0 AS __fy")
+    )
 
-def _weights(fx: Column, fy: Column) -> list[tuple[int, int, Column]]:
-    one = F.lit(1.0)
-    return [
-        (0, 0, (one - fx) * (one - fy)),
-        (0, 1, fx * (one - fy)),
-        (1, 0, (one - fx) * fy),
-        (1, 1, fx * fy),
-    ]
 
+_WEIGHTS = (
+    "(1 - __fx) * (1 - __fy) AS __w0",
+    "__fx * (1 - __fy) AS __w1",
+    "(1 - __fx) * __fy AS __w2",
+    "__fx * __fy AS __w3",
+)
+_CLAMPED_X = "CASE WHEN px IS NOT NULL THEN least(greatest(px, 0D), width - 1D) END"
+_CLAMPED_Y = "CASE WHEN py IS NOT NULL THEN least(greatest(py, 0D), height - 1D) END"
+# Positions of the four neighbours. Past the raster's last column or row they
+# point elsewhere, but there the weight is zero and the value is not used.
+_AT = ("pos", "pos + 1", "pos + bw", "pos + bw + 1")
 
-def _prepare(targets: DataFrame, low: Column, clamped: bool = True) -> DataFrame:
-    """Add __c0, __r0, __fx, __fy for the position clamped to the raster."""
-    px, py = F.col("px"), F.col("py")
-    cx = clamp(px, 0.0, F.col("width") - 1.0) if clamped else px
-    cy = clamp(py, 0.0, F.col("height") - 1.0) if clamped else py
-    c0, r0, fx, fy = _corners(cx, cy)
-    return (
-        targets.withColumn("__in", F.coalesce(low, F.lit(False)))
-        .withColumn("__c0", c0)
-        .withColumn("__r0", r0)
-        .withColumn("__fx", fx)
-        .withColumn("__fy", fy)
+
+def _values(joined: DataFrame, value: str, positions: tuple[str, ...] = _AT) -> DataFrame:
+    return joined.selectExpr(
+        "*", *_WEIGHTS, *(f"get({value}, {p}) AS __v{k}" for k, p in enumerate(positions))
     )
 
 
 def _finish(df: DataFrame, values: list[str]) -> DataFrame:
-    return df.drop("__in", "__c0", "__r0", "__fx", "__fy", *BLOCK_COLUMNS, *values)
+    return df.drop(*_WORK, *(f"__v{k}" for k in range(4)), *BLOCK_COLUMNS, *values)
 
 
 def sample_known(
@@ -50,43 +54,28 @@ def sample_known(
 ) -> DataFrame:
     """Bilinear over the known neighbours only.
 
-    ``targets`` has raster_id, px, py (fractional pixel) and the raster's
-    width and height. Half a pixel outside is accepted; unknown neighbours
-    and zero weights are left out and the rest renormalised; null if none.
+    Half a pixel outside is accepted; unknown neighbours and zero weights are
+    left out and the rest renormalised; null if none.
     """
-    px, py = F.col("px"), F.col("py")
-    inside = (
-        (px >= -0.5)
-        & (px <= F.col("width") - 0.5)
-        & (py >= -0.5)
-        & (py <= F.col("height") - 0.5)
-    )
-    ready = _prepare(targets, inside)
-    joined = join_blocks(ready, blocks, F.col("__r0"), F.col("__c0"), size)
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for dr, dc, w in _weights(F.col("__fx"), F.col("__fy")):
-        v = at(value, F.col("__r0") + dr, F.col("__c0") + dc)
-        used = v.isNotNull() & (w > 0)
-        total = total + F.when(used, v * w).otherwise(0.0)
-        weight = weight + F.when(used, w).otherwise(0.0)
-    result = joined.withColumn("__sum", total).withColumn("__wsum", weight)
-    result = result.withColumn(
-        out, F.when(F.col("__in") & (F.col("__wsum") > 0), F.col("__sum") / F.col("__wsum"))
-    )
-    return _finish(result.drop("__sum", "__wsum"), [value])
+    inside = "px >= -0.5D AND px <= width - 0.5D AND py >= -0.5D AND py <= height - 0.5D"
+    ready = _placed(targets, inside, _CLAMPED_X, _CLAMPED_Y)
+    joined = _values(join_blocks(ready, blocks, "__r0", "__c0", size), value)
+    used = [f"CASE WHEN __v{k} IS NOT NULL AND __w{k} > 0 THEN {{}} ELSE 0D END" for k in range(4)]
+    total = " + ".join(u.format(f"__v{k} * __w{k}") for k, u in enumerate(used))
+    weight = " + ".join(u.format(f"__w{k}") for k, u in enumerate(used))
+    summed = joined.selectExpr("*", f"{total} AS __sum", f"{weight} AS __wsum")
+    done = summed.selectExpr("*", f"CASE WHEN __in AND __wsum > 0 THEN __sum / __wsum END AS {out}")
+    return _finish(done.drop("__sum", "__wsum"), [value])
 
 
 def sample_filled(
     targets: DataFrame, blocks: DataFrame, value: str = "filled", out: str = "sample", size: int = BLOCK
 ) -> DataFrame:
     """Bilinear of a raster without gaps, the position clamped to it."""
-    ready = _prepare(targets, F.lit(True))
-    joined = join_blocks(ready, blocks, F.col("__r0"), F.col("__c0"), size)
-    total = F.lit(0.0)
-    for dr, dc, w in _weights(F.col("__fx"), F.col("__fy")):
-        v = at(value, F.col("__r0") + dr, F.col("__c0") + dc)
-        total = total + F.when(w > 0, v * w).otherwise(0.0)
-    return _finish(joined.withColumn(out, total), [value])
+    ready = _placed(targets, "true", _CLAMPED_X, _CLAMPED_Y)
+    joined = _values(join_blocks(ready, blocks, "__r0", "__c0", size), value)
+    total = " + ".join(f"CASE WHEN __w{k} > 0 THEN __v{k} * __w{k} ELSE 0D END" for k in range(4))
+    return _finish(joined.selectExpr("*", f"{total} AS {out}"), [value])
 
 
 def sample_ground(
@@ -96,26 +85,24 @@ def sample_ground(
 
     ``blocks`` carries ``v`` (null where unknown) and ``filled``.
     """
-    px, py = F.col("px"), F.col("py")
-    w1, h1 = F.col("width") - 1, F.col("height") - 1
     inside = (
-        (px >= 0) & (py >= 0) & (px <= w1) & (py <= h1) & (F.col("width") >= 2) & (F.col("height") >= 2)
+        "px >= 0 AND py >= 0 AND px <= width - 1 AND py <= height - 1 AND width >= 2 AND height >= 2"
     )
     ready = (
-        targets.withColumn("__in", F.coalesce(inside, F.lit(False)))
-        .withColumn("__c0", F.least(F.floor(px).cast("int"), F.col("width") - 2))
-        .withColumn("__r0", F.least(F.floor(py).cast("int"), F.col("height") - 2))
-        .withColumn("__fx", px - F.col("__c0"))
-        .withColumn("__fy", py - F.col("__r0"))
+        targets.selectExpr(
+            "*",
+            f"coalesce({inside}, false) AS __in",
+            "least(cast(floor(px) AS int), width - 2) AS __c0",
+            "least(cast(floor(py) AS int), height - 2) AS __r0",
+        )
+        .selectExpr("*", "px - __c0 AS __fx", "py - __r0 AS __fy")
     )
-    joined = join_blocks(ready, blocks, F.col("__r0"), F.col("__c0"), size)
-    nearest = at("v", round_half_away(py), round_half_away(px))
-    total = None
-    for dr, dc, w in _weights(F.col("__fx"), F.col("__fy")):
-        part = at("filled", F.col("__r0") + dr, F.col("__c0") + dc) * w
-        total = part if total is None else total + part
-    result = joined.withColumn(out, F.when(F.col("__in") & nearest.isNotNull(), total))
-    return _finish(result, ["v", "filled"])
+    joined = _values(join_blocks(ready, blocks, "__r0", "__c0", size), "filled")
+    # Inside, the position is not negative and halves round up.
+    nearest = "get(v, pos + cast(floor(__fy + 0.5D) AS int) * bw + cast(floor(__fx + 0.5D) AS int))"
+    total = " + ".join(f"__v{k} * __w{k}" for k in range(4))
+    done = joined.selectExpr("*", f"CASE WHEN __in AND {nearest} IS NOT NULL THEN {total} END AS {out}")
+    return _finish(done, ["v", "filled"])
 
 
 def sample_image(
@@ -130,27 +117,16 @@ def sample_image(
     Inside is ``0 <= px < width``: half a pixel before the first centre is
     outside, up to one pixel past the last is clamped.
     """
-    px, py = F.col("px"), F.col("py")
-    inside = (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height"))
-    c0, r0, fx, fy = _corners(px, py)
-    ready = (
-        targets.withColumn("__in", F.coalesce(inside, F.lit(False)))
-        .withColumn("__c0", c0)
-        .withColumn("__r0", r0)
-        .withColumn("__fx", fx)
-        .withColumn("__fy", fy)
+    inside = "px >= 0 AND px < width AND py >= 0 AND py < height"
+    ready = _placed(targets, inside, "px", "py").selectExpr(
+        "*",
+        "CASE WHEN __c0 < width - 1 THEN 1 ELSE 0 END AS __dx",
+        "CASE WHEN __r0 < height - 1 THEN 1 ELSE 0 END AS __dy",
     )
-    joined = join_blocks(ready, blocks, F.col("__r0"), F.col("__c0"), size)
-    last_c, last_r = F.col("width") - 1, F.col("height") - 1
+    joined = join_blocks(ready, blocks, "__r0", "__c0", size).selectExpr("*", *_WEIGHTS)
+    positions = ("pos", "pos + __dx", "pos + __dy * bw", "pos + __dy * bw + __dx")
+    colours = []
     for band, out in zip(bands, outs, strict=True):
-        total = None
-        for dr, dc, w in _weights(F.col("__fx"), F.col("__fy")):
-            v = at(
-                band,
-                F.least(F.col("__r0") + dr, last_r),
-                F.least(F.col("__c0") + dc, last_c),
-            )
-            part = v / 255.0 * w
-            total = part if total is None else total + part
-        joined = joined.withColumn(out, F.when(F.col("__in"), total).otherwise(OUTSIDE_GREY))
-    return _finish(joined.withColumn("outside", ~F.col("__in")), list(bands))
+        total = " + ".join(f"get({band}, {p}) / 255D * __w{k}" for k, p in enumerate(positions))
+        colours.append(f"CASE WHEN __in THEN {total} ELSE {OUTSIDE_GREY}D END AS {out}")
+    return _finish(joined.selectExpr("*", "NOT __in AS outside", *colours), list(bands))

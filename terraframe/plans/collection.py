@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.functions.frame import geo_struct, raster_extent, to_scene, world_to_pixel
@@ -28,10 +28,6 @@ SQUARE = 250.0
 ACROSS = 32
 
 
-def _long(text: str) -> Column:
-    return F.expr(text).cast("long")
-
-
 class Collection:
     """Lazy DataFrames over one scale-factor folder."""
 
@@ -43,20 +39,18 @@ class Collection:
 
     @cached_property
     def points(self) -> DataFrame:
-        x0 = (F.col("l_suppkey") % ACROSS).cast("double") * SQUARE
-        y0 = F.floor(F.col("l_suppkey") / ACROSS).cast("double") * SQUARE
-        along = (F.col("l_orderkey") % 997).cast("double") * 0.25
-        return self.table("lineitem").select(
-            F.col("l_suppkey").alias("file_id"),
-            _long(
-                "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 64 + floor(l_quantity)"
-            ).alias("file_idx"),
-            (x0 + along + F.col("l_linenumber") * F.lit(0.01)).alias("x"),
-            (y0 + (F.col("l_partkey") % 499).cast("double") * 0.5).alias("y"),
-            (F.col("l_quantity") + F.col("l_discount") * 10.0).alias("z"),
-            (F.col("l_orderkey") * 37 % 65536).cast("int").alias("red"),
-            (F.col("l_partkey") * 101 % 65536).cast("int").alias("green"),
-            (F.col("l_suppkey") * 977 % 65536).cast("int").alias("blue"),
+        return self.table("lineitem").selectExpr(
+            "l_suppkey AS file_id",
+            "cast(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 64"
+            " + floor(l_quantity) AS bigint) AS file_idx",
+            f"cast(l_suppkey % {ACROSS} AS double) * {SQUARE}D + cast(l_orderkey % 997 AS double) * 0.25D"
+            " + l_linenumber * 0.01D AS x",
+            f"cast(floor(l_suppkey / {ACROSS}) AS double) * {SQUARE}D"
+            " + cast(l_partkey % 499 AS double) * 0.5D AS y",
+            "l_quantity + l_discount * 10D AS z",
+            "cast(l_orderkey * 37 % 65536 AS int) AS red",
+            "cast(l_partkey * 101 % 65536 AS int) AS green",
+            "cast(l_suppkey * 977 % 65536 AS int) AS blue",
         )
 
     @cached_property
@@ -67,16 +61,16 @@ class Collection:
     def frame(self) -> DataFrame:
         return scene_frame(self.bounds)
 
-    @cached_property
-    def frame_column(self) -> Column:
-        return as_scalar(self.frame)
+    def in_scene(self, df: DataFrame) -> DataFrame:
+        """Attach the frame as one struct column: a scalar subquery, evaluated once."""
+        return df.withColumn("frame", as_scalar(self.frame))
 
     @cached_property
     def squares(self) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_suppkey").alias("raster_id"),
-            ((F.col("s_suppkey") % ACROSS).cast("double") * SQUARE).alias("x0"),
-            (F.floor(F.col("s_suppkey") / ACROSS).cast("double") * SQUARE).alias("y0"),
+        return self.table("supplier").selectExpr(
+            "s_suppkey AS raster_id",
+            f"cast(s_suppkey % {ACROSS} AS double) * {SQUARE}D AS x0",
+            f"cast(floor(s_suppkey / {ACROSS}) AS double) * {SQUARE}D AS y0",
         )
 
     def raster_catalog(self, pixel: float, inset: float, size: int) -> DataFrame:
@@ -171,53 +165,51 @@ class Collection:
     def tiled(self) -> DataFrame:
         return points_to_tiles(self.points, self.bounds)
 
+    @cached_property
+    def scene_points(self) -> DataFrame:
+        """Points with scene coordinates gx (east), gy (up), gz (south)."""
+        scene = to_scene("x", "y", "z", F.col("frame"))
+        return self.in_scene(self.points).withColumns(scene).drop("frame")
+
     @cached_property
     def scene_tiles(self) -> DataFrame:
         """Occupied tiles in scene coordinates with their principal box, 4 x 4 per cloud."""
         n = 4
-        frame = self.frame_column
-        scene = to_scene("x", "y", "z", frame)
         tiled = points_to_tiles(self.points, self.bounds, n)
-        placed = tiled.select("file_id", "gx", "gy", "z", *(c.alias(f"s{k}") for k, c in scene.items()))
-        pca = tile_pca(placed.withColumnRenamed("z", "wz").withColumn("z", F.col("sgy")), ("sgx", "sgy", "sgz"))
+        scene = to_scene("x", "y", "z", F.col("frame"))
+        placed = self.in_scene(tiled).select(
+            "file_id", "gx", "gy", *(scene[k].alias(a) for k, a in (("gx", "x"), ("gy", "z"), ("gz", "y")))
+        )
+        # The moments only need the three axes in order east, up, south.
+        pca = tile_pca(placed, ("x", "z", "y"))
         boxes = tile_boxes(self.bounds, n).select("file_id", "gx", "gy", "tile", "tile_w", "tile_h")
-        t = F.col("tile")
-        low = to_scene(t["minx"], t["maxy"], F.lit(0.0), frame)
-        high = to_scene(t["maxx"], t["miny"], F.lit(0.0), frame)
-        return pca.join(boxes, ["file_id", "gx", "gy"]).select(
+        joined = self.in_scene(pca.join(boxes, ["file_id", "gx", "gy"]))
+        return joined.select(
             "file_id",
             "gx",
             "gy",
             "point_count",
-            (F.col("tile_w") * F.col("tile_h")).alias("tile_area"),
-            "e1",
-            "e2",
-            "e3",
-            "a1",
-            "a2",
-            "a3",
+            F.expr("tile_w * tile_h").alias("tile_area"),
+            *(f"{v}{k}" for v in ("e", "a") for k in (1, 2, 3)),
             point_spacing(F.col("e1"), F.col("e2"), F.col("point_count")).alias("spacing"),
-            F.struct(
-                low["gx"].alias("lox"),
-                F.col("minz").alias("loy"),
-                low["gz"].alias("loz"),
-                high["gx"].alias("hix"),
-                F.col("maxz").alias("hiy"),
-                high["gz"].alias("hiz"),
+            F.expr(
+                "struct((tile.minx - frame.cx) / frame.scale AS lox, minz AS loy,"
+                " -(tile.maxy - frame.cy) / frame.scale AS loz,"
+                " (tile.maxx - frame.cx) / frame.scale AS hix, maxz AS hiy,"
+                " -(tile.miny - frame.cy) / frame.scale AS hiz)"
             ).alias("box"),
         )
 
     @cached_property
     def views(self) -> DataFrame:
         """One view per supplier, orbiting the middle of its square; scene units."""
-        frame = self.frame_column
-        s = F.col("raster_id")
-        target = to_scene(F.col("x0") + 125.0, F.col("y0") + 125.0, F.lit(25.0), frame)
-        views = self.squares.select(
-            s.alias("view_id"),
-            *(target[k].alias(t) for k, t in (("gx", "tx"), ("gy", "ty"), ("gz", "tz"))),
-            (s * F.lit(0.7)).alias("yaw"),
-            (F.lit(0.2) + (s % 10) * F.lit(0.1)).alias("pitch"),
-            ((F.lit(40.0) + (s % 7) * F.lit(30.0)) / frame["scale"]).alias("view_distance"),
+        views = self.in_scene(self.squares).selectExpr(
+            "raster_id AS view_id",
+            "(x0 + 125D - frame.cx) / frame.scale AS tx",
+            "(25D - frame.cz) / frame.scale AS ty",
+            "-(y0 + 125D - frame.cy) / frame.scale AS tz",
+            "raster_id * 0.7D AS yaw",
+            "0.2D + (raster_id % 10) * 0.1D AS pitch",
+            "(40D + (raster_id % 7) * 30D) / frame.scale AS view_distance",
         )
         return with_eye(views)

@@ -50,7 +50,7 @@ _S = scene_of("p.x", "p.y", "p.z")
       FROM pts p, frame fr""",
 )
 def _(c: Collection):
-    return c.points.select(*KEY, *fixed_as(**frame.to_scene("x", "y", "z", c.frame_column)))
+    return c.scene_points.select(*KEY, *fixed_as(gx="gx", gy="gy", gz="gz"))
 
 
 @query(
@@ -60,10 +60,8 @@ def _(c: Collection):
       {q(f'cy - ({_S[2]})*scale')} AS y, {q(f'cz + ({_S[1]})*scale')} AS z FROM pts p, frame fr""",
 )
 def _(c: Collection):
-    f = c.frame_column
-    scene = frame.to_scene("x", "y", "z", f)
-    placed = c.points.select(*KEY, *(v.alias(k) for k, v in scene.items()))
-    return placed.select(*KEY, *fixed_as(**frame.to_world("gx", "gy", "gz", f)))
+    placed = c.in_scene(c.scene_points)
+    return placed.select(*KEY, *fixed_as(**frame.to_world("gx", "gy", "gz", F.col("frame"))))
 
 
 @query(
@@ -76,9 +74,8 @@ def _(c: Collection):
     + " FROM pts, frame",
 )
 def _(c: Collection):
-    f = c.frame_column
-    rgb = colour.ramp5("z", f["zmin"], f["zmax"])
-    return c.points.withColumn("c", rgb).select(*KEY, *fixed_as(r="c.r", g="c.g", b="c.b"))
+    rgb = colour.ramp5("z", "frame.zmin", "frame.zmax")
+    return c.in_scene(c.points).withColumn("c", rgb).select(*KEY, *fixed_as(r="c.r", g="c.g", b="c.b"))
 
 
 _HASH = """
@@ -99,9 +96,7 @@ _SCENE_PTS = (
     + f"SELECT file_id, file_idx, {q('h')} AS h FROM hashed",
 )
 def _(c: Collection):
-    scene = frame.to_scene("x", "y", "z", c.frame_column)
-    placed = c.points.select(*KEY, *(v.alias(k) for k, v in scene.items()))
-    return placed.select(*KEY, *fixed_as(h=frame.fine_hash("gx", "gy", "gz")))
+    return c.scene_points.select(*KEY, *fixed_as(h=frame.fine_hash("gx", "gy", "gz")))
 
 
 _CONE = cone_constants(resolve(2154))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terraframe.functions.frame import geo_struct
 from terraframe.operators import quadtree as Q
+from terraframe.operators.catalog import as_scalar
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import fixed as q, lround, with_sql
@@ -232,7 +233,7 @@ def corners(c: Collection) -> DataFrame:
         "raster_id", geo_struct().alias("image_geo"), F.col("width").alias("image_w"), F.col("height").alias("image_h")
     )
     return Q.patch_corners(
-        kept(c), c.dsm_filled, c.dsm_catalog, SETUP["max_level"], c.frame_column, images, SETUP["coarse"]
+        kept(c), c.dsm_filled, c.dsm_catalog, SETUP["max_level"], as_scalar(c.frame), images, SETUP["coarse"]
     )
 
 

@@ -13,7 +13,7 @@ from terraframe.operators.blocks import to_blocks
 from terraframe.plans.collection import Collection
 from terraframe.plans.point_queries import _HASH, _LOD_CTE, _SCENE_PTS, DEPTHS, SPACING
 from terraframe.plans.registry import fixed_as, query
-from terraframe.plans.sql import STOPS5, fixed as q, ramp, scene_of, with_sql
+from terraframe.plans.sql import STOPS5, fixed as q, ramp as ramp_sql, scene_of, with_sql
 
 FOV, HEIGHT = 55.0, 180.0
 TILE = ["file_id", "gx", "gy"]
@@ -168,12 +168,12 @@ _PLANES = " AND ".join(
 def _(c: Collection):
     # Distances are in scene units; scale the scene instead of the planes so
     # that near and far stay plain numbers (1 m and 300 m).
-    scale = c.frame_column["scale"]
-    b = F.col("box")
-    metres = c.scene_tiles.withColumn(
-        "box", F.struct(*((b[k] * scale).alias(k) for k in ("lox", "loy", "loz", "hix", "hiy", "hiz")))
+    sides = ("lox", "loy", "loz", "hix", "hiy", "hiz")
+    scaled = ", ".join(f"box.{k} * frame.scale AS {k}" for k in sides)
+    metres = c.in_scene(c.scene_tiles).selectExpr(*TILE, f"struct({scaled}) AS box")
+    views = c.in_scene(c.views).selectExpr(
+        "view_id", "yaw", "pitch", *(f"{k} * frame.scale AS {k}" for k in ("ex", "ey", "ez"))
     )
-    views = c.views.withColumns({k: F.col(k) * scale for k in ("ex", "ey", "ez")})
     return L.view_frustum(views, metres, FOV, 1.6, 1.0, 300.0).select("view_id", *TILE)
 
 
@@ -191,8 +191,7 @@ _STEP = f"({_DEPTH}*100e0*tan(radians({FOV}e0)*0.5e0)/{HEIGHT}e0)"
       WHERE h.h <= 1e0/greatest(d.density*{_STEP}*{_STEP}, 1e0)""",
 )
 def _(c: Collection):
-    scene = frame.to_scene("x", "y", "z", c.frame_column)
-    placed = c.points.select("file_id", "file_idx", *(v.alias(k) for k, v in scene.items()))
+    placed = c.scene_points.select("file_id", "file_idx", "gx", "gy", "gz")
     density = P.cloud_density(placed, "gx", "gz").select("file_id", "density")
     views = c.views.select(F.col("view_id").alias("file_id"), "ex", "ey", "ez", "yaw", "pitch")
     return L.screen_thin(placed.join(density, "file_id"), views, FOV, HEIGHT, 50.0).select("file_id", "file_idx")
@@ -201,7 +200,7 @@ def _(c: Collection):
 _S = scene_of("p.x", "p.y", "p.z")
 _TILE_QUERY = f"""
  SELECT p.file_id, p.file_idx, CAST(p.depth AS INTEGER) AS depth, {q(_S[0])} AS gx, {q(_S[1])} AS gy, {q(_S[2])} AS gz,
-  {', '.join(f"{q(ramp('(p.z - fr.zmin)/greatest(fr.zmax - fr.zmin, 1e-6)', STOPS5, k))} AS {n}" for k, n in enumerate('rgb'))},
+  {', '.join(f"{q(ramp_sql('(p.z - fr.zmin)/greatest(fr.zmax - fr.zmin, 1e-6)', STOPS5, k))} AS {n}" for k, n in enumerate('rgb'))},
   {q('o.ored')} AS ored, {q('o.ogreen')} AS ogreen, {q('o.oblue')} AS oblue
  FROM lod p JOIN tiled t USING (file_id, file_idx) JOIN coloured o USING (file_id, file_idx), frame fr
  WHERE p.depth <= 2 AND t.gx = p.file_id % 8 AND t.gy = p.file_id % 5"""
@@ -217,10 +216,10 @@ def _(c: Collection):
     ).select("file_id", "tile", "cloud_maxx", "cloud_maxy")
     inside = rules.in_tile("x", "y", F.col("tile"), "cloud_maxx", "cloud_maxy")
     found = leveled.where(F.col("depth") <= wanted_depth).join(tile_boxes, "file_id").where(inside)
-    f = c.frame_column
-    scene = frame.to_scene("x", "y", "z", f)
+    scene = frame.to_scene("x", "y", "z", F.col("frame"))
     coloured = P.colorize_points(c.image_positions(found), to_blocks(c.image, ["r", "g", "b"]))
-    done = coloured.withColumn("k", ramp5("z", f["zmin"], f["zmax"], 1e-6))
+    ramp = ramp5("z", "frame.zmin", "frame.zmax", 1e-6)
+    done = c.in_scene(coloured).withColumn("k", ramp)
     return done.select(
         "file_id", "file_idx", "depth",
         *fixed_as(**scene, r="k.r", g="k.g", b="k.b", ored="ored", ogreen="ogreen", oblue="oblue"),

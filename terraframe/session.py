@@ -56,3 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, before an operator that multiplies each.
+
+    Adaptive execution merges partitions by their size before the
+    multiplication, which would leave the work of a whole stage to one task;
+    it leaves an explicit number alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
