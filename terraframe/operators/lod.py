@@ -152,39 +152,47 @@ def view_frustum(
         .drop("__grow")
     )
     bound = f"{far * widest * (1.0 + 1e-9)!r}D"
-    eyes = views.selectExpr(
-        "*",
-        f"struct(ex - {bound} AS minx, ez - {bound} AS miny, ex + {bound} AS maxx, ez + {bound} AS maxy) AS __eye",
-        "cos(yaw) AS __cos_yaw",
-        "sin(yaw) AS __sin_yaw",
-        "cos(pitch) AS __cos_pitch",
-        "sin(pitch) AS __sin_pitch",
-    )
-    pairs = overlap_join(eyes, boxed, "__eye", "__around")
-    forward = ("(-__cos_pitch * __sin_yaw)", "(-__sin_pitch)", "(-__cos_pitch * __cos_yaw)")
-    right = ("__cos_yaw", "0D", "(-__sin_yaw)")
-    up = ("(-__sin_pitch * __sin_yaw)", "__cos_pitch", "(-__sin_pitch * __cos_yaw)")
+    forward = ("(-cos(pitch) * sin(yaw))", "(-sin(pitch))", "(-cos(pitch) * cos(yaw))")
+    right = ("cos(yaw)", "0D", "(-sin(yaw))")
+    up = ("(-sin(pitch) * sin(yaw))", "cos(pitch)", "(-sin(pitch) * cos(yaw))")
 
     def blend(axis: tuple[str, ...], sign: str, slope: float) -> list[str]:
-        return [f"({sign}{a} + {slope!r}D * {f})" for a, f in zip(axis, forward, strict=True)]
-
-    def farthest(normal: list[str]) -> str:
-        """Largest distance of a box corner along a normal, from the eye."""
-        return " + ".join(
-            f"greatest({n} * (box.lo{k} - e{k}), {n} * (box.hi{k} - e{k}))"
-            for n, k in zip(normal, "xyz", strict=True)
-        )
+        return [f"{sign}{a} + {slope!r}D * {f}" for a, f in zip(axis, forward, strict=True)]
 
+    # Inward normal and limit of each plane, per view: a point p is inside
+    # when normal . (p - eye) >= limit.
     planes = [
-        (blend(right, "", tx), "0D"),
-        (blend(right, "-", tx), "0D"),
-        (blend(up, "", ty), "0D"),
-        (blend(up, "-", ty), "0D"),
-        (list(forward), f"{near!r}D"),
-        ([f"(-{f})" for f in forward], f"{-far!r}D"),
+        (list(forward), near),
+        ([f"-{f}" for f in forward], -far),
+        (blend(right, "", tx), 0.0),
+        (blend(right, "-", tx), 0.0),
+        (blend(up, "", ty), 0.0),
+        (blend(up, "-", ty), 0.0),
+    ]
+    normals = [
+        f"{part} AS __n{i}{k}"
+        for i, (normal, _) in enumerate(planes)
+        for k, part in zip("xyz", normal, strict=True)
+    ]
+    limits = [
+        f"{float(limit)!r}D + __n{i}x * ex + __n{i}y * ey + __n{i}z * ez AS __limit{i}"
+        for i, (_, limit) in enumerate(planes)
     ]
-    visible = " AND ".join(f"{farthest(n)} >= {limit}" for n, limit in planes)
-    return pairs.where(visible).drop("__eye", "__around", "__cos_yaw", "__sin_yaw", "__cos_pitch", "__sin_pitch")
+    eyes = (
+        views.selectExpr(
+            "*",
+            f"struct(ex - {bound} AS minx, ez - {bound} AS miny, ex + {bound} AS maxx, ez + {bound} AS maxy) AS __eye",
+            *normals,
+        )
+        .selectExpr("*", *limits)
+    )
+    pairs = overlap_join(eyes, boxed, "__eye", "__around")
+    visible = " AND ".join(
+        " + ".join(f"greatest(__n{i}{k} * box.lo{k}, __n{i}{k} * box.hi{k})" for k in "xyz")
+        + f" >= __limit{i}"
+        for i in range(len(planes))
+    )
+    return pairs.where(visible).select(*views.columns, *tiles.columns)
 
 
 def screen_thin(

@@ -96,7 +96,7 @@ def file_order(points: DataFrame) -> DataFrame:
 def assign_depth(
     points: DataFrame, bounds: DataFrame, spacing: float, max_depth: int
 ) -> DataFrame:
-    """Multi-resolution depth of each point.
+    """Multi-resolution depth of each point, 0 to ``max_depth`` (at least 1).
 
     The points of depth <= d are exactly the first points, in file order, of
     the cells of size ``spacing / 2^d``; what no coarser level takes gets
@@ -104,30 +104,34 @@ def assign_depth(
     of its own finer cell too and every level can be found independently:
     no level waits for the one above.
     """
-    corner = bounds.select("file_id", F.col("minx").alias("__x0"), F.col("miny").alias("__y0"))
-    scaled = points.join(corner, "file_id").select(
-        "file_id",
-        "file_idx",
-        ((F.col("x") - F.col("__x0")) / spacing).alias("qx"),
-        ((F.col("y") - F.col("__y0")) / spacing).alias("qy"),
+    corner = bounds.selectExpr("file_id", "minx AS __x0", "miny AS __y0")
+    finest = 2.0 ** (max_depth - 1)
+    # Points are reduced to the heads of the finest grid first; the coarser
+    # levels are then found among those.
+    fine = (
+        points.select("file_id", "file_idx", "x", "y")
+        .join(corner, "file_id")
+        .groupBy(
+            "file_id",
+            F.expr(f"floor((x - __x0) / {float(spacing)!r}D * {finest!r}D)").alias("cx"),
+            F.expr(f"floor((y - __y0) / {float(spacing)!r}D * {finest!r}D)").alias("cy"),
+        )
+        .agg(F.min("file_idx").alias("file_idx"))
     )
-    factor = F.pow(F.lit(2.0), F.col("d").cast("double"))
     heads = (
-        scaled.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))))
+        fine.selectExpr("*", f"explode(sequence(0, {max_depth - 1})) AS d")
         .groupBy(
             "file_id",
             "d",
-            F.floor(F.col("qx") * factor).alias("cx"),
-            F.floor(F.col("qy") * factor).alias("cy"),
+            F.expr(f"shiftright(cx, {max_depth - 1} - d)").alias("cx"),
+            F.expr(f"shiftright(cy, {max_depth - 1} - d)").alias("cy"),
         )
         .agg(F.min("file_idx").alias("file_idx"))
         .groupBy("file_id", "file_idx")
         .agg(F.min("d").alias("__depth"))
     )
-    return (
-        points.join(heads, ["file_id", "file_idx"], "left")
-        .withColumn("depth", F.coalesce("__depth", F.lit(max_depth)).cast("int"))
-        .drop("__depth")
+    return points.join(heads, ["file_id", "file_idx"], "left").selectExpr(
+        *points.columns, f"cast(coalesce(__depth, {max_depth}) AS int) AS depth"
     )
 
 

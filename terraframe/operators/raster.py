@@ -127,17 +127,28 @@ def compose_above_ground(resampled: DataFrame, kind: Column) -> DataFrame:
     """Surface on the upper raster's grid; ``v`` is the upper raster, ``sample`` the ground.
 
     Heights below the ground are clamped onto it. ``surface`` is null where
-    either is unknown; a pair without any overlap is left out entirely.
+    either is unknown.
     """
     height = F.when(kind == "height", F.col("v")).otherwise(F.col("v") - F.col("sample"))
     surface = F.when(
         F.col("v").isNotNull() & F.col("sample").isNotNull(),
         F.col("sample") + F.greatest(height, F.lit(0.0)),
     )
-    composed = resampled.withColumn("surface", surface)
-    # One row per pair at most, so this side of the semi join stays small.
-    overlapping = composed.where(F.col("surface").isNotNull()).select("grid_id", "source_id").distinct()
-    return composed.join(overlapping, ["grid_id", "source_id"], "left_semi")
+    return resampled.withColumn("surface", surface)
+
+
+def composed_pairs(composed: DataFrame) -> DataFrame:
+    """Known surface pixels of each pair; 0 means that composing failed: no overlap.
+
+    Apart from the surface itself, which then need not be computed twice.
+    """
+    return composed.groupBy("grid_id", "source_id").agg(F.count("surface").alias("known"))
+
+
+def drop_failed(composed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Surfaces of pairs that overlap; ``pairs`` from :func:`composed_pairs`."""
+    good = pairs.where(F.col("known") > 0).select("grid_id", "source_id")
+    return composed.join(good, ["grid_id", "source_id"], "left_semi")
 
 
 def written_surface(composed: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from terraframe.operators.catalog import as_scalar
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import fixed as q, lround, with_sql
+from terraframe.session import checkpointed
 
 SETUP = {"coarse": 2, "max_level": 3, "max_span": 8.0}
 ANGLE = 60.0
@@ -117,7 +118,8 @@ def balanced(c: Collection) -> DataFrame:
 
 
 def kept(c: Collection) -> DataFrame:
-    return Q.drop_unknown_leaves(balanced(c), c.dsm, c.dsm_catalog, SETUP["coarse"])
+    """The final leaves, stored: what follows looks them up several times."""
+    return checkpointed(Q.drop_unknown_leaves(balanced(c), c.dsm, c.dsm_catalog, SETUP["coarse"]))
 
 
 @query(

@@ -223,6 +223,23 @@ def _(c: Collection):
     )
 
 
+@query(
+    "composed_pairs",
+    with_sql("dtm_on_dhm", "far", extra={
+        "far_on": on_raster("dhm", "dhm_catalog", "dtm_catalog").replace("raster_id) JOIN dtm_catalog s USING (raster_id)",
+          "raster_id) JOIN (SELECT * REPLACE (CASE WHEN raster_id % 4 = 0 THEN c + 100000e0 ELSE c END AS c) FROM dtm_catalog) s USING (raster_id)"),
+        "far": resample("far_on", "dtm"),
+    })
+    + """SELECT raster_id, count(*) FILTER (v IS NOT NULL AND sample IS NOT NULL) AS known FROM far GROUP BY raster_id""",
+)
+def _(c: Collection):
+    """One terrain in four is moved away, so that its pair fails."""
+    away = c.dtm_catalog.withColumn("c", F.expr("CASE WHEN raster_id % 4 = 0 THEN c + 100000D ELSE c END"))
+    resampled = R.resample_grid(c.dhm, c.dtm, _same_id(c), c.dhm_catalog, away)
+    pairs = R.composed_pairs(R.compose_above_ground(resampled, F.lit("height")))
+    return pairs.select(F.col("grid_id").alias("raster_id"), "known")
+
+
 _COVER = """SELECT t.raster_id, t.row, t.col, greatest(0e0, coalesce(a.sample - a.v, 0e0), coalesce(b.sample, 0e0)) AS cover
   FROM dtm t JOIN dtm_dsm a USING (raster_id, row, col) JOIN dtm_dhm b USING (raster_id, row, col)"""
 
