@@ -19,14 +19,21 @@ BLOCK = 64
 BLOCK_COLUMNS = ("row0", "col0", "bw", "bh")
 
 
-def pack(spread: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Pixels grouped into row-major arrays; a missing pixel is an error, not a shift."""
+def pack(
+    spread: DataFrame, keys: list[str], values: list[str], carried: list[str] | None = None
+) -> DataFrame:
+    """Pixels grouped into row-major arrays; a missing pixel is an error, not a shift.
+
+    ``carried`` are columns that are the same for all pixels of a block.
+    """
+    carried = carried or []
     packed = spread.groupBy(*keys).agg(
         F.min("row").alias("row0"),
         F.min("col").alias("col0"),
         F.expr("max(col) - min(col) + 1").alias("bw"),
         F.expr("max(row) - min(row) + 1").alias("bh"),
         F.sort_array(F.collect_list(F.struct("row", "col", *values))).alias("__px"),
+        *(F.first(k).alias(k) for k in carried),
     )
     return packed.selectExpr(
         *keys,
@@ -36,6 +43,7 @@ def pack(spread: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
         " ELSE cast(raise_error('pixel table is not dense or has duplicates') AS int) END AS bw",
         "bh",
         *(f"__px.{v} AS {v}" for v in values),
+        *carried,
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terraframe.functions.frame import fine_hash, view_axes, view_position
 from terraframe.functions.rules import coarse_resolution, keep_probability
 from terraframe.operators.boxes import overlap_join
+from terraframe.operators.lookup import join_catalog
 from terraframe.session import spread
 
 # Pixels per point, smallest area worth refining, point and
@@ -207,7 +208,7 @@ def screen_thin(
     ``points``: file_id, gx, gy, gz (scene) and density; ``views``: file_id,
     eye and angles. The choice depends on the position only, so it is stable.
     """
-    joined = points.join(views, "file_id")
+    joined = join_catalog(points, views, "file_id", ["gx", "gy", "gz"])
     forward = view_axes("yaw", "pitch")["forward"]
     depth = (
         (F.col("gx") - F.col("ex")) * forward[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraframe.functions.numeric import clamp
+from terraframe.operators.lookup import join_catalog
 from terraframe.operators.sampling import sample_image
 
 # Thinning target and grid limit per axis; tiles per side.
@@ -59,7 +60,7 @@ def thin_cells(points: DataFrame, bounds: DataFrame, target: int = THIN_TARGET)
         return clamp(F.floor((F.col(v) - F.col(low)) / F.col("cell")), 0, F.col(count) - 1)
 
     return (
-        points.join(grid, "file_id")
+        join_catalog(points, grid, "file_id", ["file_idx"])
         .withColumn(
             "cx", F.when(F.col("thin"), axis("x", "minx", "grid_x")).otherwise(F.col("file_idx"))
         )
@@ -109,8 +110,9 @@ def assign_depth(
     # Points are reduced to the heads of the finest grid first; the coarser
     # levels are then found among those.
     fine = (
-        points.select("file_id", "file_idx", "x", "y")
-        .join(corner, "file_id")
+        join_catalog(
+            points.select("file_id", "file_idx", "x", "y"), corner, "file_id", ["file_idx"]
+        )
         .groupBy(
             "file_id",
             F.expr(f"floor((x - __x0) / {float(spacing)!r}D * {finest!r}D)").alias("cx"),
@@ -192,7 +194,7 @@ def points_to_tiles(points: DataFrame, bounds: DataFrame, n: int = TILES) -> Dat
 
     inside = "x >= __minx AND x <= __maxx AND y >= __miny AND y <= __maxy"
     return (
-        points.join(corner, "file_id")
+        join_catalog(points, corner, "file_id", ["x", "y"])
         .where(inside)
         .selectExpr("*", guess("x"), guess("y"))
         .selectExpr(*points.columns, settle("x"), settle("y"))

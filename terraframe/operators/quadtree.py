@@ -25,6 +25,7 @@ from terraframe.functions.frame import (
 )
 from terraframe.functions.rules import level_for_span
 from terraframe.operators.blocks import BLOCK, pack, to_blocks
+from terraframe.operators.lookup import join_catalog
 from terraframe.operators.sampling import sample_filled
 from terraframe.session import checkpointed, spread
 
@@ -67,16 +68,20 @@ def _near(index: str, cell0: str) -> str:
 
 
 def root_blocks(pixels: DataFrame, geometry: DataFrame, coarse: int = COARSE) -> DataFrame:
-    """Pixels (v, filled) packed into one block per root cell. The only full shuffle."""
+    """Pixels (v, filled) packed into one block per root cell, with the raster's geometry."""
     placed = (
-        pixels.select("raster_id", "row", "col", "v", "filled")
-        .join(geometry.select("raster_id", "cw0", "ch0", "root_level"), "raster_id")
+        join_catalog(
+            pixels.select("raster_id", "row", "col", "v", "filled"),
+            geometry.select("raster_id", *_GEOMETRY),
+            "raster_id",
+            ["row", "col"],
+        )
         .selectExpr("*", "pow(2D, cast(root_level AS double)) AS __parts")
         .selectExpr("*", f"cast({coarse} * __parts AS int) AS __roots")
         .selectExpr("*", f"{_near('col', 'cw0')} AS rx")
         .selectExpr("*", f"{_near('row', 'ch0')} AS ry")
     )
-    return pack(placed, ROOT, ["v", "filled"])
+    return pack(placed, ROOT, ["v", "filled"], _GEOMETRY)
 
 
 def cell_stats(
@@ -96,9 +101,7 @@ def cell_stats(
     partitioned by root, the final aggregation does not shuffle again.
     """
     geometry = tree_geometry(catalog, coarse, max_level, max_span)
-    blocks = root_blocks(pixels, geometry, coarse).join(
-        geometry.select("raster_id", *_GEOMETRY), "raster_id"
-    )
+    blocks = root_blocks(pixels, geometry, coarse)
 
     def axis(name: str, low: str, size: str, count: str) -> list[str]:
         """Both ends of a cell on one axis: pixel before, fraction past it."""
@@ -427,7 +430,7 @@ def drop_unknown_leaves(
         ((F.col("width") - 1) / float(coarse)).alias("cw0"),
         ((F.col("height") - 1) / float(coarse)).alias("ch0"),
     )
-    sampled = _sampled_unknown(leaves.select(*CELL).join(size, "raster_id"), pixels)
+    sampled = _sampled_unknown(join_catalog(leaves.select(*CELL), size, "raster_id", ["ix", "iy"]), pixels)
     gone = (F.col("unknown") == 5) | ((F.col("unknown") > 0) & (F.col("centre_unknown") == 1))
     return sampled.where(~gone).select(*CELL)
 
@@ -443,7 +446,7 @@ def cell_nodata(
         ((F.col("width") - 1) / float(coarse)).alias("cw0"),
         ((F.col("height") - 1) / float(coarse)).alias("ch0"),
     )
-    return _sampled_unknown(cells.select(*CELL).join(size, "raster_id"), pixels)
+    return _sampled_unknown(join_catalog(cells.select(*CELL), size, "raster_id", ["ix", "iy"]), pixels)
 
 
 def level_histogram(leaves: DataFrame) -> DataFrame:
@@ -534,7 +537,7 @@ def patch_corners(
         leaves.select(*CELL)
         .withColumn("p", F.explode(corners))
         .select(*CELL, "p.*")
-        .join(info, "raster_id")
+        .transform(lambda df: join_catalog(df, info, "raster_id", ["fx", "fy"]))
         .withColumn("px", F.col("fx") * ((F.col("width") - 1) / finest))
         .withColumn("py", F.col("fy") * ((F.col("height") - 1) / finest))
     )

@@ -14,6 +14,7 @@ from terraframe.functions.frame import geo_struct, pixel_to_world, raster_extent
 from terraframe.functions.numeric import clamp
 from terraframe.functions.rules import NODATA, valid_or_null
 from terraframe.operators.blocks import BLOCK, core_pixels, to_blocks
+from terraframe.operators.lookup import join_catalog
 from terraframe.operators.sampling import sample_ground, sample_known
 from terraframe.session import spread
 
@@ -44,7 +45,7 @@ def points_to_raster(points: DataFrame, catalog: DataFrame, how: str = "max") ->
     """
     pick = {"max": F.max, "min": F.min}[how]
     at_pixel = world_to_pixel("x", "y", geo_struct())
-    cells = points.join(catalog, "raster_id").select(
+    cells = join_catalog(points, catalog, "raster_id", ["x", "y"]).select(
         "raster_id",
         clamp(F.floor(at_pixel["py"] + 0.5), 0, F.col("height") - 1).cast("int").alias("row"),
         clamp(F.floor(at_pixel["px"] + 0.5), 0, F.col("width") - 1).cast("int").alias("col"),
@@ -59,7 +60,7 @@ def points_to_raster(points: DataFrame, catalog: DataFrame, how: str = "max") ->
 def dem_pixels(raw: DataFrame, catalog: DataFrame) -> DataFrame:
     """Band values to a pixel table: nodata becomes null, rasters without georeference go."""
     kept = catalog.where(F.col("has_geo")).select("raster_id", "nodata")
-    return raw.join(kept, "raster_id").select(
+    return join_catalog(raw, kept, "raster_id", ["row", "col"]).select(
         "raster_id", "row", "col", valid_or_null(F.col("v"), F.col("nodata")).alias("v")
     )
 
@@ -86,7 +87,9 @@ def on_raster(
         pairs.join(_rename(grid_catalog, "grid"), "grid_id")
         .join(_rename(source_catalog, "source"), "source_id")
     )
-    joined = targets.withColumnRenamed("raster_id", "grid_id").join(lookup, "grid_id")
+    joined = join_catalog(
+        targets.withColumnRenamed("raster_id", "grid_id"), lookup, "grid_id", ["row", "col"]
+    )
     world = pixel_to_world("col", "row", F.col("grid_geo"))
     pixel = world_to_pixel(world["x"], world["y"], F.col("source_geo"))
     return (
@@ -180,7 +183,7 @@ def covered_mask(cover: DataFrame, threshold: float = HEIGHT_THRESHOLD) -> DataF
 
 def drape_points(points: DataFrame, ground_blocks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Ground height at points (raster_id, x, y); null outside or on nodata."""
-    positions = points.join(catalog, "raster_id")
+    positions = join_catalog(points, catalog, "raster_id", ["x", "y"])
     pixel = world_to_pixel("x", "y", geo_struct())
     positions = (
         positions.withColumn("px", pixel["px"]).withColumn("py", pixel["py"]).drop(*"abcdef")
@@ -265,7 +268,7 @@ def box_downsample(pixels: DataFrame, catalog: DataFrame, cap: int) -> DataFrame
         "*", *(c.alias(k) for k, c in size.items())
     )
     shared = (
-        pixels.join(sized, "raster_id")
+        join_catalog(pixels, sized, "raster_id", ["row", "col"])
         .withColumn("__r", F.explode(_targets("row", F.col("height"), F.col("dst_h"))))
         .withColumn("__c", F.explode(_targets("col", F.col("width"), F.col("dst_w"))))
     )
@@ -299,7 +302,7 @@ def ortho_downsample(pixels: DataFrame, catalog: DataFrame, cap: int) -> DataFra
         )
 
     shared = (
-        pixels.join(sized, "raster_id")
+        join_catalog(pixels, sized, "raster_id", ["row", "col"])
         .withColumn("__r", F.explode(shares("row", "height", "dst_h")))
         .withColumn("__c", F.explode(shares("col", "width", "dst_w")))
         .withColumn("__w", (F.col("__r.w") * F.col("__c.w")).cast("double"))
@@ -370,7 +373,8 @@ def hillshade(filled: DataFrame, catalog: DataFrame, z_factor: float = 1.0) -> D
     """
     blocks = to_blocks(filled, ["filled"], before=1, after=1)
     size = catalog.selectExpr("raster_id", "width", "height", "abs(a) AS pw", "abs(e) AS ph")
-    slopes = core_pixels(blocks.join(size, "raster_id"), BLOCK).selectExpr(
+    sized = join_catalog(blocks, size, "raster_id", ["brow", "bcol"])
+    slopes = core_pixels(sized, BLOCK).selectExpr(
         "raster_id",
         "row",
         "col",
@@ -399,7 +403,8 @@ def find_voids(pixels: DataFrame, catalog: DataFrame, radius: int = 6) -> DataFr
         f"row >= {radius} AND col >= {radius}"
         f" AND row < height - {radius} AND col < width - {radius}"
     )
-    holes = core_pixels(blocks.join(size, "raster_id"), BLOCK).where(f"{inner} AND get(v, pos) IS NULL")
+    sized = join_catalog(blocks, size, "raster_id", ["brow", "bcol"])
+    holes = core_pixels(sized, BLOCK).where(f"{inner} AND get(v, pos) IS NULL")
     known = "x -> x IS NOT NULL"
     step = f"sequence(1, {radius})"
     return holes.where(
@@ -414,7 +419,7 @@ def block_means(pixels: DataFrame, catalog: DataFrame, nx: int, ny: int) -> Data
     """Mean of each of nx x ny blocks, null where a block has an unknown pixel."""
     size = catalog.select("raster_id", "width", "height")
     return (
-        pixels.join(size, "raster_id")
+        join_catalog(pixels, size, "raster_id", ["row", "col"])
         .groupBy(
             "raster_id",
             F.floor(F.col("col") * nx / F.col("width")).cast("int").alias("bx"),
@@ -480,7 +485,7 @@ def warp_raster(
     else:
         cells = cells.withColumn("sx", F.col("wx")).withColumn("sy", F.col("wy"))
     src = source_catalog.select("raster_id", geo_struct().alias("source_geo"), "width", "height")
-    joined = cells.join(src, "raster_id")
+    joined = join_catalog(cells, src, "raster_id", ["row", "col"])
     pixel = world_to_pixel("sx", "sy", F.col("source_geo"))
     positions = joined.withColumn("px", pixel["px"]).withColumn("py", pixel["py"])
     sampled = sample_known(positions, to_blocks(source, ["v"]))

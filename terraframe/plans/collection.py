@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terraframe.functions.frame import geo_struct, raster_extent, to_scene, world_to_pixel
 from terraframe.operators.catalog import as_scalar, scene_frame
 from terraframe.operators.lod import with_eye
+from terraframe.operators.lookup import join_catalog
 from terraframe.operators.points import (
     cloud_bounds,
     point_spacing,
@@ -145,9 +146,8 @@ class Collection:
 
     def image_positions(self, points: DataFrame) -> DataFrame:
         """Points with their fractional pixel in their cloud's image."""
-        joined = points.withColumn("raster_id", F.col("file_id")).join(
-            self.image_catalog, "raster_id"
-        )
+        keyed = points.withColumn("raster_id", F.col("file_id"))
+        joined = join_catalog(keyed, self.image_catalog, "raster_id", ["file_idx"])
         pixel = world_to_pixel("x", "y", geo_struct())
         return (
             joined.withColumn("px", pixel["px"])
