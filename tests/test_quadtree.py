@@ -236,3 +236,18 @@ def test_level_for_span(spark):
     rows = [(19999 / 8, 19999 / 8), (1999 / 8, 1999 / 8), (64.0, 10.0), (10.0, 64.5)]
     df = spark.createDataFrame(rows, "w double, h double")
     assert [r[0] for r in df.select(level_for_span("w", "h", 64.0)).collect()] == [6, 2, 0, 1]
+
+
+def test_one_raster_is_many_tasks(spark):
+    """Neither the catalog join nor the packing may partition by raster alone."""
+    table = filled(pixels(spark, np.ones((20, 20))))
+    plan = leaves_plan(table, catalog(spark, 20, 20))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    keys = [line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1] for line in exchanges]
+    assert any(len(k) == 3 and k[1].startswith("rx#") and k[2].startswith("ry#") for k in keys)
+    assert not any(len(k) == 1 and k[0].startswith("raster_id#") for k in keys[:1])
+
+
+def leaves_plan(table, cat):
+    stats = Q.cell_stats(table, cat, coarse=2, max_level=2, max_span=10.0)
+    return stats._jdf.queryExecution().executedPlan().toString()
