@@ -8,11 +8,11 @@ the power of k. Nodes of at most ``NODE`` different sets are compared
 exhaustively, larger ones branch on.
 
 * ``TREES`` trees of ``LEVELS`` levels take all documents. Unrelated documents
-  part at once, so nearly all nodes are small here and ten trees miss a pair of
-  similarity 0.8 with a probability of 1e-7 (level 1) to 8e-4 (level 3).
+  part at once, so nearly all nodes are small here and twelve trees miss a pair
+  of similarity 0.8 with a probability of 4e-9 (level 1) to 2e-4 (level 3).
 * Members of nodes that are still large are many and alike. They alone go
-  through ``DENSE_TREES`` more trees, deeper ones: 0.4 % of pairs are missed
-  in nodes of level 8, 1 % at level 10.
+  through ``DENSE_TREES`` more trees, deeper ones: 2e-5 of such pairs are
+  missed in nodes of level 8, 1e-3 at level 10.
 
 Equal sets are one class from the start. A small node first gives a spanning
 forest of its plausible pairs, judged by the sketches; only members that are
@@ -35,10 +35,10 @@ from terraframe.llm.storage import small, stored
 from terraframe.llm.words import mixed, rolling, slices, words
 
 BINS = 256
-TREES, LEVELS = 10, 3
-DENSE_TREES, DENSE_LEVELS = 40, 16
+TREES, LEVELS = 12, 3
+DENSE_TREES, DENSE_LEVELS = 60, 16
 #: Different sets in a node that are compared exhaustively.
-NODE = 32
+NODE = 64
 #: A pair is plausible if its sketches agree within so many standard deviations of the wanted similarity.
 SLACK = 4.0
 
@@ -65,7 +65,9 @@ def shingle_rows(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.nd
 
 
 def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(documents, ``BINS``) 16-bit minwise tokens of sorted sets; all 0 for an empty set.
+    """(documents, 2 ``BINS``) bytes: the low, then the high bytes of the 16-bit minwise tokens of sorted sets.
+
+    All 0 for an empty set.
 
     One permutation: a shingle's first byte is its bin, the smallest of a bin
     its token. An empty bin copies the token of the first full bin that its
@@ -94,7 +96,7 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(full[r])
         rest = np.flatnonzero(~had[r])
         tokens[r, rest] = out[r, at[np.searchsorted(at, rest) % len(at)]]
-    return tokens
+    return np.hstack([tokens.astype(np.uint8), (tokens >> np.uint16(8)).astype(np.uint8)])
 
 
 def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -127,7 +129,7 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def _token(step: int) -> Column:
-    return F.substring("sketch", 2 * step + 1, 2)
+    return F.concat(F.substring("sketch", step + 1, 1), F.substring("sketch", BINS + step + 1, 1))
 
 
 def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size: int) -> tuple[list[DataFrame], DataFrame]:
@@ -164,8 +166,8 @@ def _nodes(classes: DataFrame, node_size: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _gathered(few: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """One row for each small node: its members with sketch, size and component."""
-    rows = few.join(classes.select("sig", "n", "sketch"), "sig")
+    """One row for each small node: its members with half their sketch, size and component."""
+    rows = few.join(classes.select("sig", "n", F.substring("sketch", 1, BINS).alias("sketch")), "sig")
     if roots is not None:
         rows = rows.join(small(roots.select(F.col("node").alias("sig"), "root")), "sig", "left")
     root = F.col("sig") if roots is None else F.coalesce("root", "sig")
@@ -194,7 +196,7 @@ def _pairs(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
         for batch in batches:
             pairs = set()
             for members in batch.column(0).to_pylist():
-                tokens = np.array([np.frombuffer(m["sketch"], dtype=np.uint16) for m in members])
+                tokens = np.array([np.frombuffer(m["sketch"], dtype=np.uint8) for m in members])
                 i, j, agree = _plausible(tokens, np.array([m["n"] for m in members]), percent / 100)
                 names = {m["root"]: m["root"] for m in members}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import decontamination, near, pieces, quality, sharding, tokens, urls
+from terraframe.llm import decontamination, near, passages, pieces, quality, sharding, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -218,3 +218,10 @@ FROM low LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return near.near_duplicates(docs, "doc_id", "text", width=4).drop("n_links")
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part of a passage of 50 words or more that an earlier document (or place) has already."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return passages.passages(docs, "doc_id", "text").drop("tag").withColumn("n_words", F.col("end") - F.col("start"))
