@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import decontamination, near, passages, pieces, quality, sharding, tokens, urls
+from terraframe.llm import decontamination, near, passages, pieces, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -225,3 +225,15 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each part of a passage of 50 words or more that an earlier document (or place) has already."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return passages.passages(docs, "doc_id", "text").drop("tag").withColumn("n_words", F.col("end") - F.col("start"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    def held_out(c) -> Column:
+        return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 5 == 0
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out("doc_id"))
+    model = toxicity.fit(docs, "doc_id", "text", labels, "toxic")
+    out = toxicity.score(docs, "text", model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
