@@ -11,8 +11,8 @@ exhaustively, larger ones branch on.
   part at once, so nearly all nodes are small here and twelve trees miss a pair
   of similarity 0.8 with a probability of 4e-9 (level 1) to 2e-4 (level 3).
 * Members of nodes that are still large are many and alike. They alone go
-  through ``DENSE_TREES`` more trees, deeper ones: 2e-5 of such pairs are
-  missed in nodes of level 8, 1e-3 at level 10.
+  through ``DENSE_TREES`` more trees, deeper ones: 2e-4 of such pairs are
+  missed in nodes of level 8, 4e-3 at level 10.
 
 Equal sets are one class from the start. A small node first gives a spanning
 forest of its plausible pairs, judged by the sketches; only members that are
@@ -36,11 +36,11 @@ from terraframe.llm.words import mixed, rolling, slices, words
 
 BINS = 256
 TREES, LEVELS = 12, 3
-DENSE_TREES, DENSE_LEVELS = 60, 16
+DENSE_TREES, DENSE_LEVELS = 48, 16
 #: Different sets in a node that are compared exhaustively.
 NODE = 64
 #: A pair is plausible if its sketches agree within so many standard deviations of the wanted similarity.
-SLACK = 4.0
+SLACK = 3.0
 
 _DRAW = np.random.default_rng(11)
 #: Tokens that name the children: (tree, level); no token twice in a tree.
@@ -65,9 +65,10 @@ def shingle_rows(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.nd
 
 
 def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(documents, 2 ``BINS``) bytes: the low, then the high bytes of the 16-bit minwise tokens of sorted sets.
+    """(documents, 2.5 ``BINS``) bytes of the 16-bit minwise tokens of sorted sets; all 0 for an empty set.
 
-    All 0 for an empty set.
+    First all low bytes, then all high bytes, then the lowest four bits of
+    each two tokens in one byte: enough to estimate a similarity.
 
     One permutation: a shingle's first byte is its bin, the smallest of a bin
     its token. An empty bin copies the token of the first full bin that its
@@ -96,7 +97,8 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(full[r])
         rest = np.flatnonzero(~had[r])
         tokens[r, rest] = out[r, at[np.searchsorted(at, rest) % len(at)]]
-    return np.hstack([tokens.astype(np.uint8), (tokens >> np.uint16(8)).astype(np.uint8)])
+    low, bits = tokens.astype(np.uint8), tokens.astype(np.uint8) & 15
+    return np.hstack([low, (tokens >> np.uint16(8)).astype(np.uint8), bits[:, ::2] << 4 | bits[:, 1::2]])
 
 
 def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -152,33 +154,39 @@ def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size:
     return fit, rows.select("tree", "node", "sig")
 
 
-def _nodes(classes: DataFrame, node_size: int) -> tuple[DataFrame, DataFrame]:
-    fit, many = _branch(classes, range(TREES), LEVELS, 1, node_size)
-    if not many.isEmpty():
-        dense = small(stored(many.select("sig").distinct()))
-        rows = stored(classes.select("sig", "sketch").join(dense, "sig"))
-        more, many = _branch(rows, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, 2, node_size)
-        fit += more
-    few = fit[0]
+def _merged(fit: list[DataFrame], roots: DataFrame | None) -> DataFrame:
+    """(``node``, ``sig``, ``root``) of the small nodes, those with the same members once.
+
+    With ``roots``, only nodes with members of more than one component.
+    """
+    rows = fit[0]
     for other in fit[1:]:
-        few = few.unionByName(other)
-    return few, many
+        rows = rows.unionByName(other)
+    rows = _rooted(rows, roots)
+    nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sig", "root"))).alias("m"))  # at most NODE
+    nodes = nodes.where(F.size(F.array_distinct("m.root")) > 1)
+    once = nodes.groupBy(F.xxhash64("m.sig").alias("node")).agg(F.first("m").alias("m"))
+    return once.select("node", F.explode("m").alias("m")).select("node", "m.sig", "m.root")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("sig"))
+    found = roots.select(F.col("node").alias("sig"), "root")
+    return rows.join(small(found), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
 
-def _gathered(few: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """One row for each small node: its members with half their sketch, size and component."""
-    rows = few.join(classes.select("sig", "n", F.substring("sketch", 1, BINS).alias("sketch")), "sig")
-    if roots is not None:
-        rows = rows.join(small(roots.select(F.col("node").alias("sig"), "root")), "sig", "left")
-    root = F.col("sig") if roots is None else F.coalesce("root", "sig")
-    member = F.struct("sig", "n", "sketch", root.alias("root"))
-    return rows.groupBy("node").agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)  # at most NODE members
+def _gathered(few: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row for each small node: its members with size, component and the last part of their sketch."""
+    rows = few.join(classes.select("sig", "n", F.substring("sketch", 2 * BINS + 1, BINS // 2).alias("sketch")), "sig")
+    return rows.groupBy("node").agg(F.collect_list(F.struct("sig", "n", "sketch", "root")).alias("m"))  # at most NODE
 
 
 def _plausible(sketch: np.ndarray, sizes: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows and the share of tokens they agree in, where that leaves room for the wanted similarity."""
     i, j = np.triu_indices(len(sizes), 1)
-    agree = (sketch[i] == sketch[j]).mean(axis=1)
+    bits = np.stack([sketch >> 4, sketch & 15], axis=2).reshape(len(sketch), -1)
+    agree = ((bits[i] == bits[j]).mean(axis=1) - 1 / 16) / (1 - 1 / 16)  # one token in 16 agrees by chance
     seen = np.minimum(BINS, np.maximum(1, np.maximum(sizes[i], sizes[j])))
     good = (agree >= wanted - SLACK * np.sqrt(wanted * (1 - wanted) / seen)) & (
         np.minimum(sizes[i], sizes[j]) >= wanted * np.maximum(sizes[i], sizes[j])
@@ -229,8 +237,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
 
 def _strays(many: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct pairs that share a node that stayed large, but no component, with a member outside the node's main one."""
-    roots = roots.select(F.col("node").alias("sig"), "root")
-    many = stored(many.join(small(roots), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    many = stored(_rooted(many, roots))
     share = many.groupBy("node", "root").agg(F.count("*").alias("n"))
     most = share.groupBy("node").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
     odd = many.join(small(stored(most.select("node", "main"))), "node").where("root != main")
@@ -242,7 +249,7 @@ def _strays(many: DataFrame, roots: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets have ``100 * intersection >= percent * union``."""
     where = classes.select("sig", F.col("first.__doc").alias("__doc"), F.col("first.__tag").alias("__tag"))
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sig")).select("sig").distinct()
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     wanted = stored(where.join(small(stored(ends)), "sig"))
     held = docs.withColumn("__tag", F.xxhash64("__text"))
     same = held["__doc"].eqNullSafe(wanted["__doc"]) & (held["__tag"] == wanted["__tag"])
@@ -285,15 +292,18 @@ def near_duplicates(
         F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__tag")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes)
-    few, many = _nodes(classes, node_size)
-    tried = stored(_pairs(_gathered(few, classes, None), percent, forest=True).union(_stars(many)).distinct())
+    fit, large = _branch(classes, range(TREES), LEVELS, 1, node_size)
+    tried = stored(_pairs(_gathered(_merged(fit, None), classes), percent, forest=True).union(_stars(large)).distinct())
     links = stored(_confirm(tried, classes, rows, width, percent))
     roots = stored(components(links))
-    rest = _pairs(_gathered(few, classes, roots), percent, forest=False).union(_strays(many, roots)).distinct()
+    # members of large nodes go on, each in its own trees; what is linked by now is not looked at again
+    dense = stored(classes.select("sig", "sketch").join(small(stored(large.select("sig").distinct())), "sig"))
+    more, large = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, 2, node_size)
+    rest = _pairs(_gathered(_merged(fit + more, roots), classes), percent, forest=False).union(_strays(large, roots)).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(_confirm(rest, classes, rows, width, percent)))
     roots = stored(components(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
     named = classes.select("sig", F.col("first.__doc").alias("__doc")).join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("__doc").alias("component_id"))
