@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import decontamination, near, passages, pieces, quality, sharding, tokens, toxicity, urls
+from terraframe.llm import decontamination, html, near, passages, pieces, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -237,3 +237,9 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, "doc_id", "text", labels, "toxic")
     out = toxicity.score(docs, "text", model)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extract(pages, "url", "html").withColumn("n_chars", F.char_length("text").cast("long"))
