@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.llm.storage import small, stored
-from terraframe.llm.words import rolling, slices, words
+from terraframe.llm.words import mixed, rolling, slices, words
 from terraframe.session import spread
 
 SEED, SPREAD = 6, 16
 #: A match is worth so much; a word of gap, on either side, costs so much.
 GAIN, GAP = 6.0, 0.1
+#: Matches a chain must have; 27 equal words always have two.
+LEAST_SEEDS = 2
+#: Requests for parts of one document that are answered together.
+REQUESTS = 256
 #: Words of context fetched around a chain; an unseeded margin is at most SEED + SPREAD - 1 words.
 MARGIN = 40
 #: Aligned words that a part of a passage must have, and the share of them that must be equal.
@@ -44,20 +48,23 @@ _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def winnow(values: np.ndarray, bounds: np.ndarray, spread: int = SPREAD) -> np.ndarray:
-    """Positions of the smallest value of each run of ``spread`` values inside a document, leftmost of equals.
+    """Positions of the smallest value of each run of ``spread`` values inside a document, any one of equals.
 
     ``bounds`` are the documents' first positions; a document of fewer values gives its smallest.
     """
     if not len(values):
         return np.zeros(0, dtype=np.int64)
     at, step = np.arange(len(values)), 1
+    chance = mixed(at.astype(np.uint64))
     while step < spread:
         move = min(step, spread - step)
         if len(at) <= move:
             at = at[:0]
             break
         left, right = at[:-move], at[move:]
-        at = np.where(values[right] < values[left], right, left)
+        a, b = values[left], values[right]
+        # equals, as in a stuttering text, are thinned by their places
+        at = np.where((b < a) | ((b == a) & (chance[right] < chance[left])), right, left)
         step += move
     length = np.diff(bounds)
     owner = np.repeat(np.arange(len(length)), length)
@@ -186,9 +193,8 @@ def _chained(matches: DataFrame) -> DataFrame:
             return made
 
         for g in groups(batches):
-            inside = g[0, 0] == g[2, 0] and g[1, 0] == g[3, 0]
             for c in chains(g[4], g[5]):
-                if inside and len(c) < 2:  # 50 words have two seeds; one alone is a stuttering text
+                if len(c) < LEAST_SEEDS:
                     continue
                 out.append((*g[:4, 0].tolist(), g[4][c].tolist(), g[5][c].tolist()))
             if len(out) > 2000:
@@ -250,20 +256,24 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     named = chained.withColumn("chain", F.xxhash64("doc", "tag", "first_doc", "first_tag", F.col("xs")[0], F.col("ys")[0]))
     named = stored(named)
     wanted = stored(named.select("chain", F.explode(F.array(side("a", "xs"), side("b", "ys"))).alias("w")).select("chain", "w.*"))
-    once = keyed.select("doc", "tag", "text")
-    met = once.join(small(wanted), ["doc", "tag"]).select("doc", "tag", "chain", "side", "lo", "hi", "text")
+    # a text goes along once for each REQUESTS of its parts, also if thousands of chains end in it
+    many = wanted.groupBy("doc", "tag").agg(F.count("*").alias("n")).where(F.col("n") > REQUESTS)
+    lots = wanted.join(small(stored(many)), ["doc", "tag"], "left")
+    lot = F.pmod(F.xxhash64("chain", "side"), F.coalesce(F.ceil(F.col("n") / REQUESTS), F.lit(1)))
+    lots = lots.withColumn("lot", lot).groupBy("doc", "tag", "lot").agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("asked"))
+    met = keyed.join(small(stored(lots)), ["doc", "tag"]).select("asked", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, last, hashes = [], None, None
-            texts = b.column(6)
-            for r, (d, t, lo, hi) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True)):
-                if (d, t) != last:
-                    last = (d, t)
-                    for _, _, buffer, offsets in slices(texts.slice(r, 1)):
+            for first in range(0, b.num_rows, 64):
+                out = []
+                for asked, text in zip(*(c.slice(first, 64) for c in b.columns), strict=True):
+                    for _, _, buffer, offsets in slices(pa.array([text.as_py()], pa.string())):
                         hashes = words(buffer, offsets).hashes().astype(np.uint32)
-                out.append(hashes[lo:hi].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(out, pa.binary())], names=["chain", "side", "lo", "cut"])
+                    out += [(r["chain"], r["side"], r["lo"], hashes[r["lo"] : r["hi"]].tobytes()) for r in asked.as_py()]
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                types = [pa.int64(), pa.string(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["chain", "side", "lo", "cut"])
 
     parts = met.mapInArrow(cut, "chain long, side string, lo int, cut binary")
     a, b = F.when(F.col("side") == "a", F.struct("lo", "cut")), F.when(F.col("side") == "b", F.struct("lo", "cut"))
