@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,10 +108,6 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
     schema = T.StructType([source.schema[c] for c in kept])
     schema = schema.add("n_shingles", "long").add("sig", T.BinaryType()).add("sketch", T.BinaryType())
 
-    def fixed(values: np.ndarray) -> pa.Array:
-        width = values.shape[1] * values.itemsize
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, sets in shingle_rows(b.column(len(kept)), width):
@@ -124,14 +120,35 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
                     key[full, 0] = np.add.reduceat(flat, starts)
                     key[full, 1] = np.add.reduceat(mixed(flat), starts)
                 rest = b.slice(first, len(sets)).columns[: len(kept)]
-                new = [pa.array(sizes), fixed(key), fixed(sketches(flat, sizes))]
+                new = [pa.array(sizes), _fixed(key), _fixed(sketches(flat, sizes))]
                 yield pa.RecordBatch.from_arrays([*rest, *new], names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
 
-def _token(step: int) -> Column:
-    return F.concat(F.substring("sketch", step + 1, 1), F.substring("sketch", BINS + step + 1, 1))
+def _paths(rows: DataFrame, trees: range, levels: int) -> DataFrame:
+    """(``tree``, ``sig``, ``path``): the tokens that name the children of a set in each tree, two bytes a level."""
+    steps = np.array([_STEPS[t][:levels] for t in trees])
+    places = np.stack([steps, steps + BINS], axis=2).reshape(len(trees), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                path = raw[:, places].reshape(-1, 2 * levels)
+                names = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(trees))))
+                number = pa.array(np.tile(np.array(trees, dtype=np.int32), part.num_rows))
+                yield pa.RecordBatch.from_arrays([number, names, _fixed(path)], names=["tree", "sig", "path"])
+
+    return rows.select("sig", "sketch").mapInArrow(run, "tree int, sig binary, path binary")
+
+
+def _fixed(values: np.ndarray) -> pa.Array:
+    """One binary for each row of bytes."""
+    values = np.ascontiguousarray(values)
+    width = values.shape[1] * values.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size: int) -> tuple[list[DataFrame], DataFrame]:
@@ -139,9 +156,7 @@ def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size:
 
     rows: ``sig`` and ``sketch``. ``stride`` tokens are taken before sizes are looked at.
     """
-    steps = [F.struct(F.lit(t).alias("tree"), F.concat(*[_token(s) for s in _STEPS[t][:levels]]).alias("path")) for t in trees]
-    rows = rows.select("sig", F.explode(F.array(*steps)).alias("x")).select("sig", "x.tree", "x.path")
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
+    rows = _paths(rows, trees, levels).withColumn("node", F.lit(0).cast("long"))
     fit = []
     for level in range(0, levels, stride):
         rows = rows.withColumn("node", F.xxhash64("node", "tree", F.substring("path", 2 * level + 1, 2 * stride)))
@@ -274,7 +289,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 def near_duplicates(
     docs: DataFrame, doc: str, text: str, width: int = 5, percent: int = 80, node_size: int = NODE
 ) -> DataFrame:
-    """One row for each row of ``docs``: ``doc``, ``n_shingles``, ``n_links``, ``component_id`` and ``kept``.
+    """One row for each row of ``docs``: ``doc``, ``n_shingles``, ``n_links``, ``component_id``, ``kept`` and ``tag`` (xxhash64 of the text).
 
     Words are runs outside ASCII white space, A-Z lower-cased; a shingle is
     ``width`` words, a shorter text is one shingle. Texts are linked if 100
@@ -308,14 +323,11 @@ def near_duplicates(
     named = named.withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("__doc").alias("component_id"))
     labels = stored(named.join(least, "root").join(degree, "sig", "left").select("sig", "component_id", "n_links"))
-    out = signed.select("__doc", "n_shingles", "sig").join(small(labels), "sig", "left")
+    out = signed.select("__doc", "__tag", "n_shingles", "sig").join(small(labels), "sig", "left")
     return out.select(
         F.col("__doc").alias(doc),
         "n_shingles",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__doc")).alias("component_id"),
-    ).withColumn("kept", _same(F.col(f"`{doc}`"), F.col("component_id")))
-
-
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+        F.col("__tag").alias("tag"),
+    ).withColumn("kept", F.col(f"`{doc}`").eqNullSafe(F.col("component_id")))

@@ -217,7 +217,7 @@ FROM low LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
 @query("op10_minhash_near_dedup", _NEAR_SQL)
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return near.near_duplicates(docs, "doc_id", "text", width=4).drop("n_links")
+    return near.near_duplicates(docs, "doc_id", "text", width=4).drop("n_links", "tag")
 
 
 @query("op9_substring_dedup")
