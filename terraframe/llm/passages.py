@@ -113,7 +113,7 @@ def _matches(keyed: DataFrame) -> DataFrame:
     seeds = _seeds(keyed)
     first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     again = stored(first.where("n > 1").select("seed", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
-    met = seeds.join(small(again), "seed")
+    met = seeds.join(again, "seed")
     return met.where("doc != first_doc OR at != first_at").select("doc", "at", "first_doc", "first_at")
 
 
@@ -261,7 +261,7 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     lots = wanted.join(small(stored(many)), ["doc", "tag"], "left")
     lot = F.pmod(F.xxhash64("chain", "side"), F.coalesce(F.ceil(F.col("n") / REQUESTS), F.lit(1)))
     lots = lots.withColumn("lot", lot).groupBy("doc", "tag", "lot").agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("asked"))
-    met = keyed.join(small(stored(lots)), ["doc", "tag"]).select("asked", "text")
+    met = keyed.join(stored(lots), ["doc", "tag"]).select("asked", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,7 +347,7 @@ def without_repeats(docs: DataFrame, doc: str, text: str, min_words: int = 50) -
     spans = stored(spans.select(F.col(f"`{doc}`").alias("__doc"), F.col("tag").alias("__tag"), "__spans"))
     tag = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 41)
     same = F.col(f"`{doc}`").cast("long").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))
-    met = docs.join(small(spans), same, "left").drop("__doc", "__tag")
+    met = docs.join(spans, same, "left").drop("__doc", "__tag")
     names, schema = docs.columns, docs.schema
     at, last = names.index(text), len(names)
 
