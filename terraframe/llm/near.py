@@ -7,17 +7,18 @@ so two sets of similarity s stay together for k levels with probability s to
 the power of k. Nodes of at most ``NODE`` different sets are compared
 exhaustively, larger ones branch on.
 
-* ``TREES`` trees of ``LEVELS`` levels take all documents. Unrelated documents
-  part at once, so nearly all nodes are small here and twelve trees miss a pair
-  of similarity 0.8 with a probability of 4e-9 (level 1) to 2e-4 (level 3).
+* ``TREES`` trees take all documents to level ``LEVELS``. Documents that share
+  no more than a passage have parted by then, so nearly all nodes are small, and
+  sixteen trees miss a pair of similarity 0.8 with a probability of 1e-5.
 * Members of nodes that are still large are many and alike. They alone go
   through ``DENSE_TREES`` more trees, deeper ones: 2e-4 of such pairs are
   missed in nodes of level 8, 4e-3 at level 10.
 
 Equal sets are one class from the start. A small node first gives a spanning
 forest of its plausible pairs, judged by the sketches; only members that are
-then still in different components are compared with each other. Every link
-is confirmed on the full sets, from the whole texts.
+then still in different components are compared with each other, now by the
+``FINE`` smallest shingles of each (the whole set, if it has no more). Every
+link is confirmed on the full sets, from the whole texts.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ from terraframe.llm.storage import small, stored
 from terraframe.llm.words import mixed, rolling, slices, words
 
 BINS = 256
-TREES, LEVELS = 12, 3
+TREES, LEVELS = 16, 3
 DENSE_TREES, DENSE_LEVELS = 48, 16
 #: Different sets in a node that are compared exhaustively.
 NODE = 64
+#: Shingles of a set that the second comparison looks at.
+FINE = 256
 #: A pair is plausible if its sketches agree within so many standard deviations of the wanted similarity.
 SLACK = 3.0
 
@@ -191,16 +194,17 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(small(found), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
 
-def _gathered(few: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row for each small node: its members with size, component and the last part of their sketch."""
-    rows = few.join(classes.select("sig", "n", F.substring("sketch", 2 * BINS + 1, BINS // 2).alias("sketch")), "sig")
+def _gathered(few: DataFrame, sketches: DataFrame) -> DataFrame:
+    """One row for each small node: its members with size ``n``, component and ``sketch``."""
+    rows = few.join(sketches, "sig")
     return rows.groupBy("node").agg(F.collect_list(F.struct("sig", "n", "sketch", "root")).alias("m"))  # at most NODE
 
 
-def _plausible(sketch: np.ndarray, sizes: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows and the share of tokens they agree in, where that leaves room for the wanted similarity."""
+def _coarse(sketches: list[bytes], sizes: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members and the share of tokens they agree in, where that leaves room for the wanted similarity."""
     i, j = np.triu_indices(len(sizes), 1)
-    bits = np.stack([sketch >> 4, sketch & 15], axis=2).reshape(len(sketch), -1)
+    tokens = np.array([np.frombuffer(s, dtype=np.uint8) for s in sketches])
+    bits = np.stack([tokens >> 4, tokens & 15], axis=2).reshape(len(tokens), -1)
     agree = ((bits[i] == bits[j]).mean(axis=1) - 1 / 16) / (1 - 1 / 16)  # one token in 16 agrees by chance
     seen = np.minimum(BINS, np.maximum(1, np.maximum(sizes[i], sizes[j])))
     good = (agree >= wanted - SLACK * np.sqrt(wanted * (1 - wanted) / seen)) & (
@@ -209,18 +213,42 @@ def _plausible(sketch: np.ndarray, sizes: np.ndarray, wanted: float) -> tuple[np
     return i[good], j[good], agree[good]
 
 
-def _pairs(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct plausible pairs (``a`` < ``b``) of the members of each small node that are in different components.
-
-    forest: only as many as connect what the sketches connect, most alike first.
+def _close(sketches: list[bytes], sizes: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_coarse``, by the smallest shingles: exact (but for equal 32-bit hashes) where they are the whole sets."""
+    sets = [np.frombuffer(s, dtype=np.uint32) for s in sketches]
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), len(values)), dtype=np.float32)
+    has[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = 1
+    common = has @ has.T
+    length = np.array([len(s) for s in sets])
+    top = np.array([s[-1] if n > len(s) else np.iinfo(np.uint32).max for s, n in zip(sets, sizes, strict=True)])
+    out = []
+    for i, j in np.argwhere(np.triu(common, 1) >= 0.5 * wanted * np.minimum(length[:, None], length)).tolist():
+        if min(sizes[i], sizes[j]) < wanted * max(sizes[i], sizes[j]):
+            continue
+        upto = min(top[i], top[j])  # up to here both are complete
+        a, b = sets[i][sets[i] <= upto], sets[j][sets[j] <= upto]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        whole = len(a) + len(b) - both
+        error = 0.01 if upto == np.iinfo(np.uint32).max else SLACK * (wanted * (1 - wanted) / whole) ** 0.5
+        if both >= (wanted - error) * whole:
+            out.append((i, j, both / whole))
+    i, j, alike = zip(*out, strict=True) if out else ((), (), ())
+    return np.array(i, dtype=int), np.array(j, dtype=int), np.array(alike)
+
+
+def _pairs(nodes: DataFrame, percent: int, judge, forest: bool) -> DataFrame:
+    """Distinct pairs (``a`` < ``b``) that ``judge`` finds plausible among the members of each small node, of different components.
+
+    forest: only as many as connect what is plausible, most alike first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = set()
-            for members in batch.column(0).to_pylist():
-                tokens = np.array([np.frombuffer(m["sketch"], dtype=np.uint8) for m in members])
-                i, j, agree = _plausible(tokens, np.array([m["n"] for m in members]), percent / 100)
+            for row in batch.column(0):
+                members = row.as_py()
+                i, j, alike = judge([m["sketch"] for m in members], np.array([m["n"] for m in members]), percent / 100)
                 names = {m["root"]: m["root"] for m in members}
 
                 def top(x, names=names):
@@ -228,7 +256,7 @@ def _pairs(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
                         x = names[x]
                     return x
 
-                for k in np.argsort(-agree, kind="stable").tolist():
+                for k in np.argsort(-alike, kind="stable").tolist():
                     x, y = members[i[k]], members[j[k]]
                     p, q = top(x["root"]), top(y["root"])
                     if p != q:
@@ -261,14 +289,35 @@ def _strays(many: DataFrame, roots: DataFrame) -> DataFrame:
     return rest.select(F.least("sig", "u").alias("a"), F.greatest("sig", "u").alias("b")).distinct()
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
+def _texts(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(``sig``, ``text``) of one document of each class in ``sigs`` (all its copies, if it is repeated with one id).
+
+    The only step that moves texts of documents that may have no partner.
+    """
     where = classes.select("sig", F.col("first.__doc").alias("__doc"), F.col("first.__tag").alias("__tag"))
-    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    wanted = stored(where.join(small(stored(ends)), "sig"))
+    wanted = stored(where.join(sigs, "sig"))
     held = docs.withColumn("__tag", F.xxhash64("__text"))
     same = held["__doc"].eqNullSafe(wanted["__doc"]) & (held["__tag"] == wanted["__tag"])
-    texts = held.join(small(wanted), same).select("sig", F.col("__text").alias("text"))
+    return stored(held.join(wanted, same).select("sig", F.col("__text").alias("text")))
+
+
+def _fine(sigs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(``sig``, ``n``, ``sketch``): the size of the set and its ``FINE`` smallest shingles, 32 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, sets in shingle_rows(b.column(1), width):
+                sketch = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32))[:FINE].tobytes() for s in sets], pa.binary())
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), sizes, sketch], names=["sig", "n", "sketch"])
+
+    wanted = texts.join(sigs, "sig").select("sig", "text")
+    found = wanted.mapInArrow(run, "sig binary, n long, sketch binary")
+    return found.groupBy("sig").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
     both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -283,7 +332,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema)
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
 def near_duplicates(
@@ -307,17 +356,27 @@ def near_duplicates(
         F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__tag")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes)
-    fit, large = _branch(classes, range(TREES), LEVELS, 1, node_size)
-    tried = stored(_pairs(_gathered(_merged(fit, None), classes), percent, forest=True).union(_stars(large)).distinct())
-    links = stored(_confirm(tried, classes, rows, width, percent))
+    fit, large = _branch(classes, range(TREES), LEVELS, LEVELS, node_size)
+    coarse = classes.select("sig", "n", F.substring("sketch", 2 * BINS + 1, BINS // 2).alias("sketch"))
+    together = stored(_merged(fit, None))
+    texts = _texts(together.select("sig").union(large.select("sig")).distinct(), classes, rows)
+    forest = _pairs(_gathered(together, coarse), percent, _coarse, forest=True)
+    tried = stored(forest.union(_stars(large)).distinct())
+    links = stored(_confirm(tried, texts, width, percent))
     roots = stored(components(links))
     # members of large nodes go on, each in its own trees; what is linked by now is not looked at again
     dense = stored(classes.select("sig", "sketch").join(small(stored(large.select("sig").distinct())), "sig"))
     more, large = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, 2, node_size)
-    rest = _pairs(_gathered(_merged(fit + more, roots), classes), percent, forest=False).union(_strays(large, roots)).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(_confirm(rest, classes, rows, width, percent)))
-    roots = stored(components(links))
+    small_nodes = fit + more
+    for forest in (True, False):  # what connects them first, then whatever is still apart
+        open_nodes = stored(_merged(small_nodes, roots))
+        fine = _fine(open_nodes.select("sig").distinct(), texts, width)
+        pairs = _pairs(_gathered(open_nodes, fine), percent, _close, forest)
+        pairs = pairs.union(_stars(large) if forest else _strays(large, roots)).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = stored(links.unionByName(_confirm(pairs, texts, width, percent)))
+        roots = stored(components(links))
     degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
     named = classes.select("sig", F.col("first.__doc").alias("__doc")).join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
