@@ -65,13 +65,25 @@ def scene_crs(catalog: DataFrame) -> DataFrame:
     )
 
 
+def is_declared(text: Column) -> Column:
+    return F.coalesce(F.trim(text), F.lit("")) != ""
+
+
+def same_declared_crs(a: Column, b: Column) -> Column:
+    """Whether two CRS texts name one horizontal CRS: by their codes if both have one, else by the text.
+
+    Two custom CRSs without a code differ unless they are spelt alike.
+    """
+    code_a, code_b = horizontal_epsg(a), horizontal_epsg(b)
+    return F.when((code_a != 0) & (code_b != 0), code_a == code_b).otherwise(F.trim(a) == F.trim(b))
+
+
 def crs_mismatch(catalog: DataFrame, scene: Column) -> DataFrame:
-    """Inputs in another horizontal CRS: clouds flagged, rasters to be warped."""
-    epsg = horizontal_epsg("wkt")
-    declared = F.col("wkt").isNotNull() & (F.col("wkt") != "")
-    return catalog.withColumn("epsg", epsg).withColumn(
+    """Inputs in another horizontal CRS than ``scene`` (``wkt``): clouds flagged, rasters to be warped."""
+    same = F.coalesce(same_declared_crs(F.col("wkt"), scene["wkt"]), F.lit(False))
+    return catalog.withColumn("epsg", horizontal_epsg("wkt")).withColumn(
         "action",
-        F.when(~declared | (F.col("epsg") == scene["epsg"]), "none")
+        F.when(~is_declared(F.col("wkt")) | same, "none")
         .when(F.col("kind") == "cloud", "misplaced")
         .otherwise("warp"),
     )
@@ -144,15 +156,17 @@ def pair_ground(above: DataFrame, ground: DataFrame) -> DataFrame:
 def image_coverage(clouds: DataFrame, images: DataFrame) -> DataFrame:
     """Covered share of each cloud's plan extent by each image it meets.
 
-    ``clouds``: file_id, cloud_box, cloud_epsg; ``images``: image_id,
-    image_box (null: not georeferenced), image_epsg. An image colours a cloud
-    when it covers a quarter of it in the same CRS.
+    ``clouds``: file_id, cloud_box, cloud_crs; ``images``: image_id,
+    image_box (null: not georeferenced), image_crs (texts). An image colours a
+    cloud when it covers a quarter of it in the same CRS; a cloud that
+    declares none is taken to be in the image's.
     """
     b = F.col("cloud_box")
     area = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"])
     covered = overlap_area(b, F.col("image_box"))
     pairs = overlap_join(clouds, images.where(F.col("image_box").isNotNull()), "cloud_box", "image_box")
-    same = (F.col("cloud_epsg") == 0) | (F.col("cloud_epsg") == F.col("image_epsg"))
+    alike = same_declared_crs(F.col("cloud_crs"), F.col("image_crs"))
+    same = ~is_declared(F.col("cloud_crs")) | F.coalesce(alike, F.lit(False))
     return pairs.select(
         "file_id",
         "image_id",

@@ -19,12 +19,11 @@ from terraframe.operators.lookup import join_catalog
 from terraframe.session import spread
 
 # Pixels per point, smallest area worth refining, point and
-# resolution limits, refinement factor, requests per view.
+# resolution limits, refinement factor.
 PIXELS_PER_POINT = 25.0
 MIN_POINTS, MAX_POINTS = 100.0, 500000.0
 COARSEST, FINEST = 50.0, 0.1
 REFINE_FACTOR = 1.5
-REQUESTS = 16
 
 
 def pixels_per_unit(fov_deg: float, viewport_h: float) -> float:
@@ -108,7 +107,7 @@ def refine_plan(wanted: DataFrame) -> DataFrame:
     )
 
 
-def refine_topk(plan: DataFrame, k: int = REQUESTS) -> DataFrame:
+def refine_topk(plan: DataFrame, k: int) -> DataFrame:
     """The first ``k`` tiles of each view in tile order (cloud, row, column)."""
     order = Window.partitionBy("view_id").orderBy("file_id", "gy", "gx")
     return plan.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

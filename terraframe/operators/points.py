@@ -12,9 +12,7 @@ from terraframe.functions.numeric import clamp
 from terraframe.operators.lookup import join_catalog
 from terraframe.operators.sampling import sample_image
 
-# Thinning target and grid limit per axis; tiles per side.
-THIN_TARGET = 2_000_000
-MAX_GRID = 2048
+# Fixed value: tiles per side.
 TILES = 8
 
 
@@ -27,13 +25,13 @@ def cloud_bounds(points: DataFrame) -> DataFrame:
     )
 
 
-def thin_grid(bounds: DataFrame, target: int = THIN_TARGET) -> DataFrame:
+def thin_grid(bounds: DataFrame, target: int) -> DataFrame:
     """Per cloud: cell size and cell counts of the thinning grid; ``thin`` if it applies."""
     dx, dy = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     first = F.greatest(F.sqrt(F.greatest(dx * dy, F.lit(1e-12)) / F.lit(float(target))), F.lit(1e-9))
 
     def cells(length: Column) -> Column:
-        return clamp(F.floor(length / F.col("__cell")) + 1, 1, MAX_GRID).cast("int")
+        return F.greatest(F.floor(length / F.col("__cell")) + 1, F.lit(1)).cast("long")
 
     return (
         bounds.withColumn("thin", F.col("point_count") > target)
@@ -47,7 +45,7 @@ def thin_grid(bounds: DataFrame, target: int = THIN_TARGET) -> DataFrame:
     )
 
 
-def thin_cells(points: DataFrame, bounds: DataFrame, target: int = THIN_TARGET) -> DataFrame:
+def thin_cells(points: DataFrame, bounds: DataFrame, target: int) -> DataFrame:
     """Points with their thinning cell (cx, cy).
 
     Points beyond the declared extent fall in the border cells. A cloud that
@@ -83,7 +81,7 @@ def first_in_cell(celled: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def grid_thin(points: DataFrame, bounds: DataFrame, target: int = THIN_TARGET) -> DataFrame:
+def grid_thin(points: DataFrame, bounds: DataFrame, target: int) -> DataFrame:
     """Clouds above ``target`` points reduced to the first point of each grid cell."""
     kept = first_in_cell(thin_cells(points, bounds, target), ["file_id", "cx", "cy"])
     return kept.select(*points.columns)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from terraframe.functions.crs import reproject
 from terraframe.functions.frame import geo_struct, pixel_to_world, raster_extent, world_to_pixel
-from terraframe.functions.numeric import clamp
 from terraframe.functions.rules import NODATA, valid_or_null
 from terraframe.operators.blocks import BLOCK, core_pixels, to_blocks
 from terraframe.operators.lookup import join_catalog
@@ -40,17 +39,21 @@ def grid_pixels(catalog: DataFrame) -> DataFrame:
 def points_to_raster(points: DataFrame, catalog: DataFrame, how: str = "max") -> DataFrame:
     """Highest (or lowest) point of each cell; empty cells are unknown pixels.
 
-    ``points`` carries raster_id. Points are reduced per cell on the map side
+    ``points`` carries raster_id; points outside all pixels of it do not count.
+    Points are reduced per cell on the map side
     before the empty cells are added, so a dense cell costs one row per task.
     """
     pick = {"max": F.max, "min": F.min}[how]
     at_pixel = world_to_pixel("x", "y", geo_struct())
     cells = join_catalog(points, catalog, "raster_id", ["x", "y"]).select(
         "raster_id",
-        clamp(F.floor(at_pixel["py"] + 0.5), 0, F.col("height") - 1).cast("int").alias("row"),
-        clamp(F.floor(at_pixel["px"] + 0.5), 0, F.col("width") - 1).cast("int").alias("col"),
+        F.floor(at_pixel["py"] + 0.5).cast("int").alias("row"),
+        F.floor(at_pixel["px"] + 0.5).cast("int").alias("col"),
         F.col("z").alias("v"),
+        "height",
+        "width",
     )
+    cells = cells.where("row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1").drop("height", "width")
     empty = grid_pixels(catalog).select(
         "raster_id", "row", "col", F.lit(None).cast("double").alias("v")
     )
@@ -318,19 +321,21 @@ def fill_nearest(pixels: DataFrame) -> DataFrame:
 
     Ties go to the first source pixel in row-major order. The distance is
     separable: the nearest known pixel up and down each column, then the best
-    of those along each row. Two window passes, partitioned by raster line.
+    of those along each row. Window passes in both directions of both kinds of
+    raster line, linear in the number of pixels.
     Rasters without any known pixel stay null.
     """
     column = Window.partitionBy("raster_id", "col").orderBy("row")
     up = column.rowsBetween(Window.unboundedPreceding, 0)
-    down = column.rowsBetween(0, Window.unboundedFollowing)
+    # the same growing frame from the other end: a frame that only shrinks is computed anew for each row
+    down = Window.partitionBy("raster_id", "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
     source = F.expr("CASE WHEN v IS NOT NULL THEN struct(row AS r, v) END")
     vertical = (
         pixels.withColumn("__k", source)
         .withColumns(
             {
                 "__up": F.last("__k", ignorenulls=True).over(up),
-                "__dn": F.first("__k", ignorenulls=True).over(down),
+                "__dn": F.last("__k", ignorenulls=True).over(down),
             }
         )
         .selectExpr(
@@ -352,7 +357,7 @@ def fill_nearest(pixels: DataFrame) -> DataFrame:
     )
     line = Window.partitionBy("raster_id", "row").orderBy("col")
     left = line.rowsBetween(Window.unboundedPreceding, 0)
-    right = line.rowsBetween(0, Window.unboundedFollowing)
+    right = Window.partitionBy("raster_id", "row").orderBy(F.desc("col")).rowsBetween(Window.unboundedPreceding, 0)
     horizontal = vertical.withColumns(
         {"__l": F.min("__toleft").over(left), "__r": F.min("__toright").over(right)}
     )

@@ -17,20 +17,22 @@ WKT = (
     'COMPD_CS["x",PROJCS["RGF93 / Lambert-93",GEOGCS["RGF93",AUTHORITY["EPSG","4171"]],'
     'AUTHORITY["EPSG","2154"]],VERT_CS["NGF-IGN69 height",AUTHORITY["EPSG","5720"]]]'
 )
-TEXTS = ["EPSG:2154", "EPSG:2154+5720", WKT, "", "EPSG:4326"]
-CODES = [2154, 2154, 2154, 0, 4326]
+SITE, MINE = 'LOCAL_CS["site grid"]', 'LOCAL_CS["mine grid"]'
+TEXTS = ["EPSG:2154", "EPSG:2154+5720", WKT, "", "EPSG:4326", SITE, MINE]
 
 _INPUTS_SQL = f"""
  SELECT s_suppkey AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'cloud' WHEN 1 THEN 'dem' ELSE 'ortho' END AS kind,
-  s_nationkey AS scene, s_suppkey % 5 AS t,
-  CASE s_suppkey % 5 WHEN 0 THEN 2154 WHEN 1 THEN 2154 WHEN 2 THEN 2154 WHEN 3 THEN 0 ELSE 4326 END AS epsg
+  s_nationkey AS scene, s_suppkey % 7 AS t,
+  CASE WHEN s_suppkey % 7 < 3 THEN 2154 WHEN s_suppkey % 7 = 4 THEN 4326 ELSE 0 END AS epsg
  FROM supplier"""
+# One number a horizontal CRS: what has no code counts by its text.
+_SAME = "CASE WHEN epsg <> 0 THEN epsg ELSE -t END"
 
 
 def inputs(c: Collection) -> DataFrame:
     """One declared input per supplier, grouped into one scene per nation."""
     s = F.col("s_suppkey")
-    text = F.get(F.array(*map(F.lit, TEXTS)), (s % 5).cast("int"))
+    text = F.get(F.array(*map(F.lit, TEXTS)), (s % len(TEXTS)).cast("int"))
     return c.table("supplier").select(
         s.alias("ord"),
         F.when(s % 3 == 0, "cloud").when(s % 3 == 1, "dem").otherwise("ortho").alias("kind"),
@@ -47,7 +49,7 @@ def _(c: Collection):
 @query(
     "scene_crs",
     with_sql("inputs", extra={"inputs": _INPUTS_SQL})
-    + """SELECT CAST(epsg AS INTEGER) AS epsg, ord, kind FROM inputs WHERE epsg <> 0
+    + """SELECT CAST(epsg AS INTEGER) AS epsg, ord, kind FROM inputs WHERE t <> 3
       ORDER BY CASE kind WHEN 'cloud' THEN 0 WHEN 'dem' THEN 1 ELSE 2 END, ord LIMIT 1""",
 )
 def _(c: Collection):
@@ -64,8 +66,8 @@ def _(c: Collection):
 @query(
     "crs_mismatch",
     with_sql("inputs", extra={"inputs": _INPUTS_SQL})
-    + """SELECT ord, kind, CAST(epsg AS INTEGER) AS epsg, CASE WHEN epsg = 0 OR epsg = (
-        SELECT epsg FROM inputs WHERE epsg <> 0
+    + f"""SELECT ord, kind, CAST(epsg AS INTEGER) AS epsg, CASE WHEN t = 3 OR {_SAME} = (
+        SELECT {_SAME} FROM inputs WHERE t <> 3
         ORDER BY CASE kind WHEN 'cloud' THEN 0 WHEN 'dem' THEN 1 ELSE 2 END, ord LIMIT 1) THEN 'none'
       WHEN kind = 'cloud' THEN 'misplaced' ELSE 'warp' END AS action FROM inputs""",
 )
@@ -146,24 +148,25 @@ def _(c: Collection):
     + f"""SELECT file_id, image_id, {q('coverage')} AS coverage, same_crs, same_crs AND coverage >= 0.25e0 AS colours
       FROM (SELECT a.file_id, g.raster_id AS image_id,
         CASE WHEN {_MEET} THEN {_PAIR_AREA} ELSE 0e0 END / ((a.maxx-a.minx)*(a.maxy-a.miny)) AS coverage,
-        a.file_id % 4 IN (0, 1) OR a.file_id % 4 = 2 AND g.raster_id % 2 = 0 AS same_crs
+        a.file_id % 4 = 0 OR a.file_id % 4 = 1 AND g.raster_id % 5 = 0
+          OR a.file_id % 4 = 2 AND g.raster_id % 2 = 0 AND g.raster_id % 5 <> 0 AS same_crs
       FROM bounds a JOIN (SELECT raster_id, minx - (raster_id % 3)*80e0 AS minx, maxx - (raster_id % 3)*80e0 AS maxx,
         miny, maxy FROM image_box) g
       ON a.minx <= g.maxx AND a.maxx >= g.minx AND a.miny <= g.maxy AND a.maxy >= g.miny)""",
 )
 def _(c: Collection):
     f = F.col("file_id")
-    epsg = F.when(f % 4 == 0, 0).when(f % 4 == 1, -1).when(f % 4 == 2, 2154).otherwise(27572)
+    crs = F.when(f % 4 == 0, "").when(f % 4 == 1, SITE).when(f % 4 == 2, "EPSG:2154").otherwise("EPSG:27572")
     clouds = c.bounds.select(
         "file_id",
         box(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("cloud_box"),
-        F.when(epsg == -1, 0).otherwise(epsg).alias("cloud_epsg"),
+        crs.alias("cloud_crs"),
     )
     b, shift = F.col("b"), (F.col("image_id") % 3) * 80.0
     images = c.boxes(c.image_catalog, "image_id", "b").select(
         "image_id",
         box(b["minx"] - shift, b["miny"], b["maxx"] - shift, b["maxy"]).alias("image_box"),
-        F.when(F.col("image_id") % 2 == 0, 2154).otherwise(4326).alias("image_epsg"),
+        F.when(F.col("image_id") % 5 == 0, SITE).when(F.col("image_id") % 2 == 0, "EPSG:2154").otherwise("EPSG:4326").alias("image_crs"),
     )
     covered = K.image_coverage(clouds, images)
     return covered.select("file_id", "image_id", *fixed_as(coverage="coverage"), "same_crs", "colours")

@@ -166,8 +166,8 @@ def _(c: Collection):
 
 _GRID = f"""
  SELECT file_id, minx, miny, thin, nx, ny, greatest((maxx-minx)/nx, (maxy-miny)/ny, 1e-9) AS cell FROM (
-  SELECT *, greatest(1, least(2048, CAST(floor((maxx-minx)/c0) AS BIGINT) + 1)) AS nx,
-   greatest(1, least(2048, CAST(floor((maxy-miny)/c0) AS BIGINT) + 1)) AS ny FROM (
+  SELECT *, greatest(1, CAST(floor((maxx-minx)/c0) AS BIGINT) + 1) AS nx,
+   greatest(1, CAST(floor((maxy-miny)/c0) AS BIGINT) + 1) AS ny FROM (
    SELECT *, point_count > {THIN} AS thin,
     greatest(sqrt(greatest((maxx-minx)*(maxy-miny), 1e-12)/{THIN}e0), 1e-9) AS c0 FROM bounds))"""
 _KEPT = """
@@ -285,16 +285,16 @@ def _extent_sql(k: int) -> str:
     "tile_pca",
     with_sql("pca_eigen")
     + f"""SELECT file_id, gx, gy, n AS point_count, {_extent_sql(1)} AS e1,
-      CASE WHEN n > 2 THEN {_extent_sql(2)} END AS e2, CASE WHEN n > 3 THEN {_extent_sql(3)} END AS e3
+      CAST(floor(greatest(0e0, l2)*1e3 + 0.5e0) AS BIGINT) AS e2_squared,
+      CAST(floor(greatest(0e0, l3)*1e3 + 0.5e0) AS BIGINT) AS e3_squared
       FROM pca_eigen""",
 )
 def _(c: Collection):
-    # Three points span a plane, two a line: the eigenvalues beyond are zero
-    # in exact arithmetic, and their roots are rounding noise in both engines.
+    # Three points span a plane, two a line: the squares beyond are zero in
+    # both engines up to rounding, their roots are noise.
     pca = P.tile_pca(c.tiled)
-    e2 = F.when(F.col("point_count") > 2, fixed("e2")).alias("e2")
-    e3 = F.when(F.col("point_count") > 3, fixed("e3")).alias("e3")
-    return pca.select(*P.TILE_KEYS, "point_count", *fixed_as(e1="e1"), e2, e3)
+    squares = [F.floor(F.col(e) * F.col(e) * 1e3 + 0.5).alias(f"{e}_squared") for e in ("e2", "e3")]
+    return pca.select(*P.TILE_KEYS, "point_count", *fixed_as(e1="e1"), *squares)
 
 
 @query("tile_axes")
@@ -309,13 +309,17 @@ def _(c: Collection):
     "point_spacing",
     with_sql("pca_eigen")
     + f"""SELECT file_id, gx, gy, n AS point_count,
-      CAST(floor(sqrt(greatest(12e0*sqrt(greatest(0e0,l1))*sqrt(greatest(0e0,l2)), 1e-12)/n)*1e4+0.5e0) AS BIGINT) AS spacing
-      FROM pca_eigen WHERE n > 2""",
+      CAST(floor(s*1e4 + 0.5e0) AS BIGINT) * CAST(l2 > 1e-2 AS BIGINT) AS spacing, CAST(floor(pow(s, 4)*1e1 + 0.5e0) AS BIGINT) AS fourth_power
+      FROM (SELECT *, sqrt(greatest(12e0*sqrt(greatest(0e0,l1))*sqrt(greatest(0e0,l2)), 1e-12)/n) AS s FROM pca_eigen)""",
 )
 def _(c: Collection):
-    pca = P.tile_pca(c.tiled).where(F.col("point_count") > 2)
+    # Points on a line have no width but rounding noise: the spacing is given
+    # for tiles with a width, its fourth power (the noise itself) for all.
+    pca = P.tile_pca(c.tiled)
     s = P.point_spacing(F.col("e1"), F.col("e2"), F.col("point_count"))
-    return pca.select(*P.TILE_KEYS, "point_count", F.floor(s * 1e4 + 0.5).alias("spacing"))
+    return pca.select(*P.TILE_KEYS, "point_count", F.when(F.col("e2") * F.col("e2") > 1e-2, F.floor(s * 1e4 + 0.5)).otherwise(0).alias("spacing"),
+        F.floor(F.pow(s, F.lit(4.0)) * 1e1 + 0.5).alias("fourth_power"),
+    )
 
 
 @query(

@@ -53,9 +53,7 @@ def _raster(catalog: str, value: str, how: str) -> str:
         FROM {catalog} k, range(25) r(i), range(25) c(i) WHERE r.i < k.height AND c.i < k.width) g
       LEFT JOIN (
         SELECT k.raster_id,
-          CAST({clamp(f"floor({py} + 0.5e0)", "0", "k.height - 1")} AS INTEGER) AS row,
-          CAST({clamp(f"floor({px} + 0.5e0)", "0", "k.width - 1")} AS INTEGER) AS col,
-          {how}({value}) AS v
+          CAST(floor({py} + 0.5e0) AS INTEGER) AS row, CAST(floor({px} + 0.5e0) AS INTEGER) AS col, {how}({value}) AS v
         FROM pts p JOIN {catalog} k ON k.raster_id = p.file_id GROUP BY ALL) m
       USING (raster_id, row, col)"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraframe.operators import lod as L
 from terraframe.operators.points import cloud_bounds
@@ -12,7 +13,7 @@ from terraframe.plans.fixture_files import scratch
 from terraframe.plans.registry import fixed_as, query
 from terraframe.plans.sql import fixed as q, with_sql
 from terraframe.plans.view_queries import _CTE, FOV, HEIGHT
-from terraframe.streaming.incremental import run_available, stream_refine, stream_thin, stream_tile_stats
+from terraframe.streaming.incremental import latest, run_available, stream_refine, stream_thin, stream_tile_stats
 
 _EVENTS = """
  SELECT event_id AS file_idx, user_id % 16 AS file_id, (event_id*7 % 997)*0.25e0 AS x, (user_id*13 % 499)*0.5e0 AS y,
@@ -32,25 +33,24 @@ def as_points(events: DataFrame) -> DataFrame:
     )
 
 
-def replay(c: Collection, table: str, key: str, files: int = 4) -> DataFrame:
-    """A table as a stream of several files, one per micro-batch, last keys first."""
+def replay(c: Collection, table: str, key: str, batches: int = 4) -> DataFrame:
+    """A table as a stream of a few micro-batches with many files each, last keys first in each file."""
     folder = scratch(c.spark, "arrivals")
+    files = int(c.spark.conf.get("spark.sql.shuffle.partitions"))
     rows = c.table(table)
-    part = (files - 1 - F.col(key) % files).cast("int")
-    rows.repartitionByRange(files, part).sortWithinPartitions(F.col(key).desc()).write.mode("overwrite").parquet(folder)
-    return c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows.repartition(files, key).sortWithinPartitions(F.col(key).desc()).write.mode("overwrite").parquet(folder)
+    per_batch = max(1, -(-files // batches))
+    return c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def finished(c: Collection, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and give its final table."""
-    checkpoint = scratch(c.spark, "stream")
-    if mode == "append":
-        sink = scratch(c.spark, "requests")
-        run_available(stream, sink, mode, checkpoint)
+def finished(c: Collection, stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there and give its final table; with ``keys`` by upserts, else by appending."""
+    checkpoint, sink = scratch(c.spark, "stream"), scratch(c.spark, "results")
+    run_available(stream, sink, "update" if keys else "append", checkpoint)
+    if not keys:
         return c.spark.read.schema(stream.schema).parquet(sink)
-    sink = "t" + checkpoint.rsplit("-", 1)[1]
-    run_available(stream, sink, mode, checkpoint)
-    return c.spark.table(sink)
+    updates = c.spark.read.option("basePath", sink).schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())]))
+    return latest(updates.parquet(sink), keys)
 
 
 def _event_tile(v: str) -> str:
@@ -72,14 +72,14 @@ def _event_tile(v: str) -> str:
 def _(c: Collection):
     bounds = cloud_bounds(as_points(c.table("events")))
     stats = stream_tile_stats(as_points(replay(c, "events", "event_id")), bounds)
-    done = finished(c, stats, "complete")
+    done = finished(c, stats, ["file_id", "gx", "gy"])
     return done.select("file_id", "gx", "gy", "point_count", *fixed_as(minz="minz", maxz="maxz"))
 
 
 _EV_GRID = f"""
  SELECT file_id, minx, miny, thin, nx, ny, greatest((maxx-minx)/nx, (maxy-miny)/ny, 1e-9) AS cell FROM (
-  SELECT *, greatest(1, least(2048, CAST(floor((maxx-minx)/c0) AS BIGINT) + 1)) AS nx,
-   greatest(1, least(2048, CAST(floor((maxy-miny)/c0) AS BIGINT) + 1)) AS ny FROM (
+  SELECT *, greatest(1, CAST(floor((maxx-minx)/c0) AS BIGINT) + 1) AS nx,
+   greatest(1, CAST(floor((maxy-miny)/c0) AS BIGINT) + 1) AS ny FROM (
    SELECT *, point_count > {TARGET} AS thin,
     greatest(sqrt(greatest((maxx-minx)*(maxy-miny), 1e-12)/{TARGET}e0), 1e-9) AS c0 FROM evb))"""
 
@@ -97,7 +97,7 @@ def _(c: Collection):
     """Points arrive last first; the kept ones are still the first by index."""
     bounds = cloud_bounds(as_points(c.table("events")))
     kept = stream_thin(as_points(replay(c, "events", "event_id")), bounds, TARGET)
-    done = finished(c, kept, "complete")
+    done = finished(c, kept, ["file_id", "cx", "cy"])
     return done.select("file_id", "file_idx", *fixed_as(x="x", y="y", z="z"))
 
 
@@ -105,12 +105,12 @@ def _(c: Collection):
     "stream_refine",
     with_sql("wanted", extra=_CTE)
     + """SELECT view_id, file_id, gx, gy FROM wanted
-      WHERE point_count > 5 AND desired > 0 AND loaded > desired*1.5e0""",
+      WHERE desired > 0 AND loaded > desired*1.5e0""",
 )
 def _(c: Collection):
     """Views arrive as a stream; the tiles are a table."""
     tiles_at = scratch(c.spark, "tile-table")
-    L.with_coarse_resolution(c.scene_tiles.where(F.col("point_count") > 5)).write.mode("overwrite").parquet(tiles_at)
+    L.with_coarse_resolution(c.scene_tiles).write.mode("overwrite").parquet(tiles_at)
     tiles = c.spark.read.parquet(tiles_at)
     views_at = scratch(c.spark, "view-arrivals")
     c.views.select("view_id", "ex", "ey", "ez").repartition(3, "view_id").write.mode("overwrite").parquet(views_at)
@@ -118,4 +118,4 @@ def _(c: Collection):
         "maxFilesPerTrigger", 1
     ).parquet(views_at)
     plan = stream_refine(views, tiles, FOV, HEIGHT)
-    return finished(c, plan.select("view_id", "file_id", "gx", "gy"), "append")
+    return finished(c, plan.select("view_id", "file_id", "gx", "gy"))

@@ -96,14 +96,14 @@ _MM = "CAST(floor(desired*1e3 + 0.5e0) AS BIGINT)"
 @query(
     "desired_resolution",
     with_sql("wanted", extra=_CTE)
-    + f"SELECT view_id, file_id, gx, gy, {_MM} AS desired_mm FROM wanted WHERE point_count > 5",
+    + f"SELECT view_id, file_id, gx, gy, {_MM} AS desired_mm FROM wanted",
 )
 def _(c: Collection):
-    done = wanted(c).where(F.col("point_count") > 5)
+    done = wanted(c)
     return done.select("view_id", *TILE, F.floor(F.col("desired") * 1e3 + 0.5).alias("desired_mm"))
 
 
-_PLAN = "point_count > 5 AND desired > 0 AND loaded > desired*1.5e0"
+_PLAN = "desired > 0 AND loaded > desired*1.5e0"
 
 
 @query(
@@ -111,7 +111,7 @@ _PLAN = "point_count > 5 AND desired > 0 AND loaded > desired*1.5e0"
     with_sql("wanted", extra=_CTE) + f"SELECT view_id, file_id, gx, gy FROM wanted WHERE {_PLAN}",
 )
 def _(c: Collection):
-    return L.refine_plan(wanted(c).where(F.col("point_count") > 5)).select("view_id", *TILE)
+    return L.refine_plan(wanted(c)).select("view_id", *TILE)
 
 
 @query(
@@ -122,8 +122,8 @@ def _(c: Collection):
       WHERE rk <= 16""",
 )
 def _(c: Collection):
-    plan = L.refine_plan(wanted(c).where(F.col("point_count") > 5))
-    return L.refine_topk(plan).select("view_id", *TILE, "rank")
+    plan = L.refine_plan(wanted(c))
+    return L.refine_topk(plan, 16).select("view_id", *TILE, "rank")
 
 
 @query(

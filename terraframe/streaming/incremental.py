@@ -8,11 +8,11 @@ cell: bounded by the grid, whatever the length of the stream.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terraframe.operators.lod import desired_resolution, refine_plan, views_tiles
 from terraframe.operators.points import (
-    THIN_TARGET,
     TILES,
     first_in_cell,
     points_to_tiles,
@@ -22,11 +22,11 @@ from terraframe.operators.points import (
 
 
 def stream_tile_stats(points: DataFrame, bounds: DataFrame, n: int = TILES) -> DataFrame:
-    """Tile counts and ranges kept current as points arrive (update or complete mode)."""
+    """Tile counts and ranges kept current as points arrive (update mode)."""
     return tile_stats(points_to_tiles(points, bounds, n))
 
 
-def stream_thin(points: DataFrame, bounds: DataFrame, target: int = THIN_TARGET) -> DataFrame:
+def stream_thin(points: DataFrame, bounds: DataFrame, target: int) -> DataFrame:
     """First point of each cell by file index, whatever order points arrive in.
 
     Keeping the first *arrived* (``dropDuplicates``) would give another
@@ -44,12 +44,26 @@ def stream_refine(
 
 
 def run_available(df: DataFrame, sink: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Process everything available now into a Parquet folder or in-memory table."""
+    """Process everything available now into a Parquet folder.
+
+    append: new rows as they are. update: the rows that a batch changed, in a
+    folder ``batch=<number>`` of its own, so a batch that is run again after a
+    failure replaces itself; :func:`latest` gives the current table.
+    """
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True)
-    if "/" in sink:
+    if mode == "append":
         query = writer.format("parquet").option("path", sink).start()
     else:
-        query = writer.format("memory").queryName(sink).start()
+        query = writer.foreachBatch(
+            lambda rows, number: rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        ).start()
     query.awaitTermination()
     return query
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key of what :func:`run_available` wrote in update mode."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*keys, "row.*")
