@@ -56,6 +56,24 @@ def tree_geometry(
     )
 
 
+def deepest_level(
+    catalog: DataFrame, coarse: int = COARSE, max_level: int = MAX_LEVEL, max_span: float = MAX_SPAN
+) -> int:
+    """The deepest level of any raster: the lattice on which leaves of all of them are compared.
+
+    A raster too large for ``max_level`` starts deeper than that; what works
+    on leaves takes this number instead (an aggregate of the catalog).
+    """
+    found = tree_geometry(catalog, coarse, max_level, max_span).agg(F.max("max_level")).first()[0]
+    return max_level if found is None else int(found)
+
+
+def within_lattice(leaves: DataFrame, max_level: int) -> DataFrame:
+    """``leaves`` as they are; a leaf below ``max_level`` is an error, since nothing could be said about it."""
+    deep = F.raise_error(F.concat(F.lit(f"a leaf is below max_level {max_level}: level "), F.col("level").cast("string")))
+    return leaves.withColumn("level", F.when(F.col("level") <= max_level, F.col("level")).otherwise(deep.cast("int")))
+
+
 def _near(index: str, cell0: str) -> str:
     """Root cells (one axis) whose block holds a pixel: floor(lo) .. floor(hi)+1."""
     size = f"({cell0} / __parts)"
@@ -302,7 +320,7 @@ def leaf_at(probes: DataFrame, leaves: DataFrame, keys: list[str], max_level: in
         .withColumn("iy", F.expr(f"shiftright(fy, {max_level} - level)"))
         .where((F.col("fx") >= 0) & (F.col("fy") >= 0))
     )
-    hits = tried.join(leaves.select(*CELL), CELL).select(*keys, F.col("level").alias("found"))
+    hits = tried.join(within_lattice(leaves.select(*CELL), max_level), CELL).select(*keys, F.col("level").alias("found"))
     return probes.join(hits, keys, "left")
 
 
@@ -327,7 +345,7 @@ def neighbour_levels(leaves: DataFrame, max_level: int) -> DataFrame:
         )
     )
     probes = (
-        leaves.select(*CELL)
+        within_lattice(leaves.select(*CELL), max_level)
         .withColumn("__s", _span(max_level))
         .select(*(F.col(k).alias(f"leaf_{k}") if k != "raster_id" else F.col(k) for k in CELL),
                 F.explode(sides).alias("p"))
@@ -355,7 +373,7 @@ def balance_leaves(leaves: DataFrame, max_level: int) -> DataFrame:
     is the same as repeating simultaneous passes until nothing changes. The
     lineage is cut after each step.
     """
-    current = checkpointed(leaves.select(*CELL))
+    current = checkpointed(within_lattice(leaves.select(*CELL), max_level))
     for level in range(max_level, 1, -1):
         current = checkpointed(_balance_step(current, level))
     return current
@@ -534,7 +552,7 @@ def patch_corners(
     info = catalog.select("raster_id", "width", "height", geo_struct().alias("geo"))
     finest = float(coarse * 2**max_level)
     located = (
-        leaves.select(*CELL)
+        within_lattice(leaves.select(*CELL), max_level)
         .withColumn("p", F.explode(corners))
         .select(*CELL, "p.*")
         .transform(lambda df: join_catalog(df, info, "raster_id", ["fx", "fy"]))

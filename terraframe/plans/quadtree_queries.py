@@ -114,7 +114,7 @@ def leaves(c: Collection) -> DataFrame:
 
 
 def balanced(c: Collection) -> DataFrame:
-    return Q.balance_leaves(leaves(c), SETUP["max_level"])
+    return Q.balance_leaves(leaves(c), Q.deepest_level(c.dsm_catalog, **SETUP))
 
 
 def kept(c: Collection) -> DataFrame:

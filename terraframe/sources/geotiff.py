@@ -208,12 +208,14 @@ class _Reader(DataSourceReader):
                 raise ValueError(f"{path} ends inside chunk {index}")
             return np.frombuffer(raw, kind).reshape(stored_h, lay.chunk_w, samples)[:h, :w]
 
+        if lay.bands > 4:
+            raise ValueError(f"{path} has {lay.bands} bands; pixels of up to four are read")
         per_band = lay.across * lay.down
         if lay.separate:
-            planes = [plane(b * per_band + chunk, 1)[:, :, 0] for b in range(min(lay.bands, 4))]
+            planes = [plane(b * per_band + chunk, 1)[:, :, 0] for b in range(lay.bands)]
         else:
             block = plane(chunk, lay.bands)
-            planes = [block[:, :, b] for b in range(min(lay.bands, 4))]
+            planes = [block[:, :, b] for b in range(lay.bands)]
         n = h * w
         rows = np.repeat(np.arange(row0, row0 + h, dtype="i4"), w)
         cols = np.tile(np.arange(col0, col0 + w, dtype="i4"), h)

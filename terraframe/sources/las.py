@@ -98,7 +98,9 @@ def _projection_records(data: Ranges, header: Header) -> Iterator[tuple[int, byt
             if len(raw) < extra:
                 break
             _, user, record_id, length = struct.unpack_from(head, raw)
-            if user.rstrip(b"\0") == b"LASF_Projection" and length < _LARGEST_RECORD:
+            if user.rstrip(b"\0") == b"LASF_Projection":
+                if length >= _LARGEST_RECORD:
+                    raise ValueError(f"projection record of {length} bytes")
                 yield record_id, data.read(position + extra, length)
             position += extra + length
 

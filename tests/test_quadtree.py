@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraframe.functions.rules import level_for_span
 from terraframe.operators import quadtree as Q
-from terraframe.operators.raster import fill_nearest
+from terraframe.operators.raster import fill_nearest, grid_pixels
 
 NAN = float("nan")
 
@@ -251,3 +251,29 @@ def test_one_raster_is_many_tasks(spark):
 def leaves_plan(table, cat):
     stats = Q.cell_stats(table, cat, coarse=2, max_level=2, max_span=10.0)
     return stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaf_below_the_lattice_raises(spark):
+    leaves = spark.createDataFrame([(1, 0, 0, 0), (1, 3, 60, 60)], "raster_id long, level int, ix int, iy int")
+    for work in (Q.balance_leaves, Q.neighbour_levels, Q.edge_codes):
+        with pytest.raises(Exception, match="below max_level 1"):
+            work(leaves, 1).collect()
+
+
+def test_two_sizes_share_the_deepest_lattice(spark):
+    """A raster wider than one block and too large for the asked level, beside a small one: balanced and without holes."""
+    catalog = spark.createDataFrame(
+        [(1, 1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 65, 65), (2, 1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 17, 17)],
+        "raster_id long, a double, b double, c double, d double, e double, f double, width int, height int",
+    )
+    setup = {"coarse": 2, "max_level": 1, "max_span": 8.0}
+    deepest = Q.deepest_level(catalog, **setup)
+    assert deepest == 2
+    flat = grid_pixels(catalog).select("raster_id", "row", "col", F.when((F.col("row") == 7) & (F.col("col") == 9), 9.0).otherwise(1.0).alias("v"))
+    leaves = Q.quadtree_leaves(flat.withColumn("filled", F.col("v")), catalog, angle=5.0, **setup)
+    done = Q.balance_leaves(leaves, deepest)
+    area = {r[0]: r[1] for r in done.groupBy("raster_id").agg(F.sum(F.pow(F.lit(4.0), -F.col("level")))).collect()}
+    assert area == {1: 4.0, 2: 4.0}
+    sides = Q.neighbour_levels(done, deepest).where(F.abs(F.col("level") - F.col("neighbour")) > 1)
+    assert sides.count() == 0
+    assert Q.edge_codes(done, deepest).count() == 4 * done.count()
