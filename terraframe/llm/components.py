@@ -32,11 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node move to its smallest neighbour
         wide = _both(now)
         least = wide.groupBy("a").agg(F.min("b").alias("m"))
-        least = stored(least.select("a", F.least("a", "m").alias("m")))
-        moved = wide.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        large = stored(moved)
+        least = least.select("a", F.least("a", "m").alias("m"))
+        large = wide.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its neighbours below it move to the smallest of them
-        least = stored(large.groupBy("b").agg(F.min("a").alias("m")))
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
         down = large.join(least, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         now = stored(down.union(least.select(F.col("m").alias("a"), "b")).distinct())
         after = _mark(now)

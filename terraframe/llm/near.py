@@ -11,8 +11,11 @@ exhaustively, larger ones branch on.
   no more than a passage have parted by then, so nearly all nodes are small, and
   sixteen trees miss a pair of similarity 0.8 with a probability of 1e-5.
 * Members of nodes that are still large are many and alike. They alone go
-  through ``DENSE_TREES`` more trees, deeper ones: 2e-4 of such pairs are
-  missed in nodes of level 8, 4e-3 at level 10.
+  through ``DENSE_TREES`` more trees, deeper ones with twice as large nodes: 2e-4
+  of such pairs are missed at level 6, 13 % where only level 12 is small enough.
+* Nodes that are large even then are dealt into blocks, and each two blocks are
+  compared like a small node: no pair is left out, at a cost that is quadratic
+  in such a node, unless all of it is connected already.
 
 Equal sets are one class from the start. A small node first gives a spanning
 forest of its plausible pairs, judged by the sketches; only members that are
@@ -37,7 +40,7 @@ from terraframe.llm.words import mixed, rolling, slices, words
 
 BINS = 256
 TREES, LEVELS = 16, 3
-DENSE_TREES, DENSE_LEVELS = 48, 16
+DENSE_TREES, DENSE_LEVELS = 28, 12
 #: Different sets in a node that are compared exhaustively.
 NODE = 64
 #: Shingles of a set that the second comparison looks at.
@@ -278,15 +281,20 @@ def _stars(nodes: DataFrame) -> DataFrame:
     return met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
 
 
-def _strays(many: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs that share a node that stayed large, but no component, with a member outside the node's main one."""
-    many = stored(_rooted(many, roots))
-    share = many.groupBy("node", "root").agg(F.count("*").alias("n"))
-    most = share.groupBy("node").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    odd = many.join(small(stored(most.select("node", "main"))), "node").where("root != main")
-    odd = stored(odd.select("node", F.col("sig").alias("u"), F.col("root").alias("ru")))
-    rest = many.join(small(odd), "node").where("root != ru")
-    return rest.select(F.least("sig", "u").alias("a"), F.greatest("sig", "u").alias("b")).distinct()
+def _blocks(large: DataFrame, roots: DataFrame, node_size: int) -> DataFrame:
+    """Nodes (``tree, node, sig``) of about ``node_size`` members that hold all pairs of nodes that stayed large.
+
+    A large node is dealt into blocks of half that size and each two blocks
+    meet; nodes of one component only are left out.
+    """
+    rows = stored(_rooted(large, roots))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    blocks = F.ceil(F.col("n") * 2 / node_size).cast("int")
+    rows = rows.join(small(stored(sizes.select("node", blocks.alias("blocks")))), "node")
+    own = F.pmod(F.xxhash64(F.lit(7), "sig"), F.col("blocks")).cast("int")
+    met = rows.select("tree", "node", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select("tree", node.alias("node"), "sig")
 
 
 def _texts(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -295,7 +303,7 @@ def _texts(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     The only step that moves texts of documents that may have no partner.
     """
     where = classes.select("sig", F.col("first.__doc").alias("__doc"), F.col("first.__tag").alias("__tag"))
-    wanted = stored(where.join(sigs, "sig"))
+    wanted = stored(where.join(sigs, "sig")).hint("merge")  # the same join at every size
     held = docs.withColumn("__tag", F.xxhash64("__text"))
     same = held["__doc"].eqNullSafe(wanted["__doc"]) & (held["__tag"] == wanted["__tag"])
     return stored(held.join(wanted, same).select("sig", F.col("__text").alias("text")))
@@ -366,13 +374,13 @@ def near_duplicates(
     roots = stored(components(links))
     # members of large nodes go on, each in its own trees; what is linked by now is not looked at again
     dense = stored(classes.select("sig", "sketch").join(small(stored(large.select("sig").distinct())), "sig"))
-    more, large = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, 2, node_size)
-    small_nodes = fit + more
+    more, large = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, DENSE_LEVELS // 2, 2 * node_size)
     for forest in (True, False):  # what connects them first, then whatever is still apart
-        open_nodes = stored(_merged(small_nodes, roots))
+        rest = fit + more if forest else [*fit, *more, _blocks(large, roots, 2 * node_size)]
+        open_nodes = stored(_merged(rest, roots))
         fine = _fine(open_nodes.select("sig").distinct(), texts, width)
         pairs = _pairs(_gathered(open_nodes, fine), percent, _close, forest)
-        pairs = pairs.union(_stars(large) if forest else _strays(large, roots)).distinct()
+        pairs = pairs.union(_stars(large)).distinct() if forest else pairs
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = stored(links.unionByName(_confirm(pairs, texts, width, percent)))

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct parts and text bytes that a task handles at once; neither limits what is encoded.
-KNOWN_PARTS = 600_000
-GROUP_BYTES = 4 << 20
+KNOWN_PARTS = 400_000
+GROUP_BYTES = 2 << 20
 
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _ANY_PART = re.compile(r"(?s).+")
