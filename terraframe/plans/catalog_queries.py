@@ -9,6 +9,7 @@ from terraframe.functions import frame, rules
 from terraframe.functions.crs import LAMBERT_WGS84, horizontal_epsg
 from terraframe.operators import catalog as K
 from terraframe.operators.boxes import box
+from terraframe.operators.lookup import join_catalog
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed_as, query
 from terraframe.plans.sql import clamp, fixed as q, with_sql
@@ -299,7 +300,7 @@ def _(c: Collection):
     side = F.lit(256.0) / F.pow(F.lit(2.0), F.col("depth").cast("double"))
     nodes = (
         c.points.withColumn("depth", (F.col("file_idx") % 5).cast("int"))
-        .join(corner, "file_id")
+        .transform(lambda df: join_catalog(df, corner, "file_id", ["file_idx"]))
         .select(
             "file_id",
             "depth",

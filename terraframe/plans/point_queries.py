@@ -8,6 +8,7 @@ from terraframe.functions import colour, frame, rules
 from terraframe.functions.crs import cone_constants, reproject, resolve
 from terraframe.operators import points as P
 from terraframe.operators.blocks import to_blocks
+from terraframe.operators.lookup import join_catalog
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import STOPS5, fixed as q, ramp, scene_of, with_sql
@@ -263,7 +264,7 @@ def _(c: Collection):
     )
     wanted = boxes.select("file_id", "tile", "cloud_maxx", "cloud_maxy")
     hit = rules.in_tile("x", "y", F.col("tile"), "cloud_maxx", "cloud_maxy")
-    return c.points.join(wanted, "file_id").where(hit).select(*KEY)
+    return join_catalog(c.points, wanted, "file_id", ["file_idx"]).where(hit).select(*KEY)
 
 
 @query(

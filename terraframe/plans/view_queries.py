@@ -10,6 +10,7 @@ from terraframe.functions.colour import ramp5
 from terraframe.operators import lod as L
 from terraframe.operators import points as P
 from terraframe.operators.blocks import to_blocks
+from terraframe.operators.lookup import join_catalog
 from terraframe.plans.collection import Collection
 from terraframe.plans.point_queries import _HASH, _LOD_CTE, _SCENE_PTS, DEPTHS, SPACING
 from terraframe.plans.registry import fixed_as, query
@@ -194,7 +195,7 @@ def _(c: Collection):
     placed = c.scene_points.select("file_id", "file_idx", "gx", "gy", "gz")
     density = P.cloud_density(placed, "gx", "gz").select("file_id", "density")
     views = c.views.select(F.col("view_id").alias("file_id"), "ex", "ey", "ez", "yaw", "pitch")
-    return L.screen_thin(placed.join(density, "file_id"), views, FOV, HEIGHT, 50.0).select("file_id", "file_idx")
+    return L.screen_thin(join_catalog(placed, density, "file_id", ["file_idx"]), views, FOV, HEIGHT, 50.0).select("file_id", "file_idx")
 
 
 _S = scene_of("p.x", "p.y", "p.z")
@@ -215,7 +216,7 @@ def _(c: Collection):
         (F.col("gx") == F.col("file_id") % 8) & (F.col("gy") == F.col("file_id") % 5)
     ).select("file_id", "tile", "cloud_maxx", "cloud_maxy")
     inside = rules.in_tile("x", "y", F.col("tile"), "cloud_maxx", "cloud_maxy")
-    found = leveled.where(F.col("depth") <= wanted_depth).join(tile_boxes, "file_id").where(inside)
+    found = join_catalog(leveled.where(F.col("depth") <= wanted_depth), tile_boxes, "file_id", ["file_idx"]).where(inside)
     scene = frame.to_scene("x", "y", "z", F.col("frame"))
     coloured = P.colorize_points(c.image_positions(found), to_blocks(c.image, ["r", "g", "b"]))
     ramp = ramp5("z", "frame.zmin", "frame.zmax", 1e-6)
