@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terraframe.llm import decontamination, html, near, passages, quality, queries, toxicity
+from terraframe.llm import decontamination, html, near, passages, quality, toxicity
 from terraframe.llm.components import components
 from terraframe.llm.words import words
 
@@ -353,9 +353,3 @@ def test_pipeline(spark, tmp_path):
         ids = [*library.encode(cut[r.doc_id]), library.eos_id()]
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
-
-
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_registered(spark, name):
-    """Every registered form on the smallest tables; the driver and tests/test_queries.py compare those with SQL."""
-    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
