@@ -21,12 +21,6 @@ def clamp(value: ColumnLike, low: ColumnLike, high: ColumnLike) -> Column:
     return F.when(v.isNotNull(), F.least(F.greatest(v, lo), hi))
 
 
-def round_half_away(value: ColumnLike) -> Column:
-    """Nearest integer, halves away from zero."""
-    v = col(value)
-    return F.when(v < 0, -F.floor(F.lit(0.5) - v)).otherwise(F.floor(v + 0.5)).cast("int")
-
-
 def fract(value: ColumnLike) -> Column:
     v = col(value)
     return v - F.floor(v)

@@ -79,6 +79,26 @@ def _(c: Collection):
     return c.in_scene(c.points).withColumn("c", rgb).select(*KEY, *fixed_as(r="c.r", g="c.g", b="c.b"))
 
 
+def _own_or_ramp(channel: str, k: int) -> str:
+    by_height = ramp('(z - zmin)/greatest(zmax - zmin, 1e-9)', STOPS5, k)
+    return q(f"CASE WHEN file_id % 2 = 0 THEN {channel}/65535e0 ELSE {by_height} END")
+
+
+@query(
+    "point_colour",
+    with_sql("pts", "frame")
+    + "SELECT file_id, file_idx, "
+    + ", ".join(f"{_own_or_ramp(c, k)} AS {c[0]}" for k, c in enumerate(("red", "green", "blue")))
+    + " FROM pts, frame",
+)
+def _(c: Collection):
+    # Every second cloud is of a point format without colours.
+    own = {k: F.when(F.col("file_id") % 2 == 0, F.col(k)) for k in ("red", "green", "blue")}
+    points = c.in_scene(c.points.withColumns(own))
+    rgb = colour.point_colour("red", "green", "blue", colour.ramp5("z", "frame.zmin", "frame.zmax"))
+    return points.withColumn("c", rgb).select(*KEY, *fixed_as(r="c.r", g="c.g", b="c.b"))
+
+
 _HASH = """
  SELECT file_id, file_idx, (qx + qy)*qz - floor((qx + qy)*qz) AS h FROM (
   SELECT file_id, file_idx, ax + d AS qx, ay + d AS qy, az + d AS qz FROM (
