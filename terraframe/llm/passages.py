@@ -244,6 +244,20 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple
     return start, i + right, other, j + right, equal + same
 
 
+def _apart(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, shift: int) -> tuple[int, int, int, int, int]:
+    """As ``align``, for two places of one document that meet: the earlier copy ends where the later one starts.
+
+    ``shift`` is what a place in ``a`` is further to the front in ``b``.
+    """
+    start, _, other, _, _ = align(a, b, xs, ys)
+    b = b[: start + shift]
+    within = ys + SEED <= len(b)
+    if within.any():
+        return align(a, b, xs[within], ys[within])
+    n = min(len(b) - other, len(a) - start)
+    return start, start + n, other, other + n, int((a[start : start + n] == b[other : other + n]).sum())
+
+
 def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     """Parts (``doc, tag, start, end, first_doc, first_tag, first_start, first_end, equal``) of chains that align well."""
     side = lambda p, s: F.struct(
@@ -285,9 +299,13 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
             rows = []
             for d, t, fd, ft, xs, ys, lo, ca, lb, cb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 left, right = (np.frombuffer(c, dtype=np.uint32) for c in (ca, cb))
-                s, e, fs, fe, equal = align(left, right, np.array(xs) - lo, np.array(ys) - lb)
+                xs, ys = np.array(xs) - lo, np.array(ys) - lb
+                s, e, fs, fe, equal = align(left, right, xs, ys)
+                long = e - s >= PART_WORDS
+                if (d, t) == (fd, ft) and fe + lb > s + lo:
+                    s, e, fs, fe, equal = _apart(left, right, xs, ys, lo - lb)
                 n = max(e - s, fe - fs)
-                if e - s >= PART_WORDS and equal >= IDENTITY * n:
+                if long and equal >= IDENTITY * n:
                     rows.append((d, t, s + lo, e + lo, fd, ft, fs + lb, fe + lb, equal))
             columns = zip(*rows, strict=True) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
@@ -310,7 +328,7 @@ def passages(docs: DataFrame, doc: str, text: str, min_words: int = 50) -> DataF
     """
     keyed = _keyed(docs, doc, text)
     parts = _aligned(_chained(_matches(keyed)), keyed)
-    parts = parts.where("doc != first_doc OR tag != first_tag OR start >= first_end").distinct()
+    parts = parts.distinct()
     listed = parts.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc", "first_start", "first_end", "equal"))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

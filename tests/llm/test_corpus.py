@@ -228,6 +228,19 @@ def test_passages(spark):
     assert passages.passages(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize(("size", "times"), [(60, 3), (500, 3), (30, 10)])
+def test_adjacent_copies(spark, size, times):
+    """T P P P: all copies of P but the first are reported and cut."""
+    head, part = prose(80), prose(size)
+    docs = documents(spark, [f"{head} {' '.join([part] * times)}", prose(300)])
+    parts = passages.passages(docs, "doc_id", "text").collect()
+    found = {w for r in parts for w in range(r.start, r.end)}
+    assert {r.doc_id for r in parts} == {0} and all(r.first_end <= r.start for r in parts)
+    assert len(found) >= 0.97 * size * (times - 1) and abs(min(found) - 80 - size) <= 3
+    left = passages.without_repeats(docs, "doc_id", "text").where("doc_id = 0").first().text
+    assert 80 + size - 3 <= len(left.split()) <= 80 + size * 1.05 + 3
+
+
 def test_word_positions():
     raw = "a  bb\n\té c ".encode()
     w = words(np.frombuffer(raw, np.uint8), np.array([0, 2, len(raw)]))
