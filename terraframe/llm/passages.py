@@ -12,6 +12,11 @@
 4. Chains are aligned word by word between their matches and extended at both
    ends over the words themselves; overlapping parts of a document are
    merged, and passages of ``min_words`` words or more are kept.
+5. The first occurrences of a passage's seeds may lie in several unrelated
+   documents, and then it has no chain. So runs of ``min_words`` words that
+   no passage covers are compared as wholes with all earlier ones: each that
+   occurs twice, word for word, is found whatever its seeds meet. Longer seeds,
+   of which any such run has one, tell where to look.
 
 Groups are at most a document long. Hot seeds are aggregated before they are
 shuffled, and the join back to their occurrences can be split by adaptive execution.
@@ -84,28 +89,38 @@ def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(key.alias("doc"), tag.cast("long").alias("tag"), F.col(f"`{text}`").alias("text"))
 
 
-def _seeds(keyed: DataFrame) -> DataFrame:
-    """(``seed``, ``doc``, ``at``): at is tag and position in one long."""
+def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """``rolling`` for any width: a long run is hashed by its two halves, which may overlap."""
+    if width <= 64:
+        return rolling(hashes, width)
+    half = (width + 1) // 2
+    parts, n = _runs(hashes, half), max(len(hashes) - width + 1, 0)
+    return mixed(mixed(parts[:n] + np.uint64(width)) + parts[width - half : width - half + n])
+
+
+def _seeds(keyed: DataFrame, size: int = SEED, apart: int = SPREAD) -> DataFrame:
+    """(``seed``, ``doc``, ``at``) of runs of ``size`` words, one of each ``apart`` neighbours: at is tag and position in one long; ``n``: words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, tag = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, last, buffer, offsets in slices(b.column(2)):
                 w = words(buffer, offsets)
-                runs = rolling(w.hashes(), SEED)
-                count = np.maximum(np.diff(w.bounds) - SEED + 1, 0)
+                runs = _runs(w.hashes(), size)
+                count = np.maximum(np.diff(w.bounds) - size + 1, 0)
                 owner = np.repeat(np.arange(len(count)), count)
                 begin = np.cumsum(count) - count
                 inner = np.arange(len(owner)) - begin[owner]
                 values = runs[w.bounds[owner] + inner] if len(owner) else runs[:0]
-                at = winnow(values, np.r_[begin, len(owner)])
+                at = winnow(values, np.r_[begin, len(owner)], apart)
                 who = owner[at] + first
                 place = (tag[who] << _SHIFT) + inner[at]
+                length = np.diff(w.bounds)[owner[at]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[at].view(np.int64)), pa.array(doc[who]), pa.array(place)], names=["seed", "doc", "at"]
+                    [pa.array(values[at].view(np.int64)), pa.array(doc[who]), pa.array(place), pa.array(length)], names=["seed", "doc", "at", "n"]
                 )
 
-    return keyed.select("doc", "tag", "text").mapInArrow(run, "seed long, doc long, at long")
+    return keyed.select("doc", "tag", "text").mapInArrow(run, "seed long, doc long, at long, n int")
 
 
 def _matches(keyed: DataFrame) -> DataFrame:
@@ -314,6 +329,103 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 
+def _covered(found: DataFrame) -> DataFrame:
+    """(``doc``, ``tag``, ``spans``): the words of each document that parts cover, as spans that don't touch."""
+    listed = found.groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("p"))
+    schema = "doc long, tag long, spans array<struct<start: long, end: long>>"
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p in batch.column(2).to_pylist():
+                spans: list[dict] = []
+                for x in p:
+                    if spans and x["start"] <= spans[-1]["end"]:
+                        spans[-1]["end"] = max(spans[-1]["end"], x["end"])
+                    else:
+                        spans.append(x)
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc", "tag", "spans"])
+
+    return listed.mapInArrow(run, schema)
+
+
+def _whole_runs(keyed: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Parts, as ``found``, of runs of ``min_words`` words that an earlier place has word for word and no passage in ``found`` covers.
+
+    A run of one document that overlaps its own first occurrence is left out.
+    """
+    size = min(min_words, max(SEED, min_words - SPREAD + 1))
+    apart = min_words - size + 1
+    mask = F.lit((1 << _SHIFT) - 1)
+    seeds = _seeds(keyed, size, apart)
+    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"))
+    again = stored(first.where("times > 1").select("seed", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
+    met = seeds.join(again, "seed")
+    met = met.withColumn("tag", F.shiftright("at", _SHIFT)).withColumn("p", F.col("at").bitwiseAND(mask))
+    met = stored(met.withColumn("later", F.expr("doc != first_doc OR at != first_at")).select("seed", "doc", "tag", "p", "n", "later"))
+    spans = stored(_covered(found))
+    # seeds of which some run around a later occurrence is not in a passage
+    held = met.where("later").join(small(spans), ["doc", "tag"], "left")
+    around = lambda s: (s["start"] <= F.greatest(F.col("p") - (apart - 1), F.lit(0))) & (s["end"] >= F.least(F.col("p") + min_words, "n"))
+    bare = held.where(F.col("spans").isNull() | ~F.exists("spans", around))
+    asked = met.join(small(stored(bare.select("seed").distinct())), "seed").groupBy("doc", "tag").agg(F.collect_set("p").alias("asked"))
+    texts = keyed.join(stored(asked), ["doc", "tag"]).select("doc", "tag", "asked", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                doc, tag, asked = (b.column(k)[i].as_py() for k in range(3))
+                for _, _, buffer, offsets in slices(b.column(3).slice(i, 1)):
+                    runs = _runs(words(buffer, offsets).hashes(), min_words)
+                x = np.unique(np.add.outer(np.array(asked), -np.arange(apart)))
+                x = x[(x >= 0) & (x < len(runs))]
+                place = pa.array((tag << _SHIFT) + x)
+                yield pa.RecordBatch.from_arrays([pa.array(runs[x].view(np.int64)), pa.array(np.full(len(x), doc)), place], names=["seed", "doc", "at"])
+
+    runs = stored(texts.mapInArrow(cut, "seed long, doc long, at long").distinct())
+    first = runs.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    twice = runs.join(small(stored(first.select("seed", "first"))), "seed").select(
+        "doc",
+        F.shiftright("at", _SHIFT).alias("tag"),
+        F.col("at").bitwiseAND(mask).alias("start"),
+        F.col("first.doc").alias("first_doc"),
+        F.shiftright("first.at", _SHIFT).alias("first_tag"),
+        F.col("first.at").bitwiseAND(mask).alias("first_start"),
+    )
+    twice = twice.where(f"doc != first_doc OR tag != first_tag OR start >= first_start + {min_words}").join(small(spans), ["doc", "tag"], "left")
+    inside = lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("start") + min_words)
+    twice = twice.where(F.col("spans").isNull() | ~F.exists("spans", inside))
+    listed = twice.groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.struct("start", "first_doc", "first_tag", "first_start"))).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                group: list[list[int]] = []
+                for x in p:
+                    s, other, f = x["start"], (x["first_doc"], x["first_tag"]), x["first_start"]
+                    g = group[-1] if group else None
+                    itself = other == (d, t)  # the earlier place ends before the later one starts
+                    if g and g[4:] == [other] and s - g[0] == f - g[2] and s <= g[1] and not (itself and f + min_words > g[0]):
+                        g[1], g[3] = s + min_words, f + min_words
+                        continue
+                    # a part between two that meet adds nothing
+                    if len(group) > 1 and s <= group[-2][1]:
+                        group.pop()
+                    group.append([s, s + min_words, f, f + min_words, other])
+                rows += [(d, t, s, e, other[0], f, fe, e - s) for s, e, f, fe, other in group]
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=_FOUND)
+
+    return listed.mapInArrow(run, ", ".join(f"`{n}` long" for n in _FOUND))
+
+
+#: Columns of parts of passages.
+_FOUND = ["doc", "tag", "start", "end", "first_doc", "first_start", "first_end", "n_equal"]
+
+
 def passages(docs: DataFrame, doc: str, text: str, min_words: int = 50) -> DataFrame:
     """Parts of repeated passages: ``doc``, ``start``, ``end``, ``first_`` document, start and end, ``n_equal``, ``tag``.
 
@@ -346,10 +458,10 @@ def passages(docs: DataFrame, doc: str, text: str, min_words: int = 50) -> DataF
                         group.append(x)
                         upto = max(upto, x["end"])
             columns = zip(*rows, strict=True) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=_FOUND)
 
-    names = ["doc", "tag", "start", "end", "first_doc", "first_start", "first_end", "n_equal"]
-    found = listed.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+    found = stored(listed.mapInArrow(run, ", ".join(f"`{n}` long" for n in _FOUND)))
+    found = found.unionByName(_whole_runs(keyed, found, min_words))
     back = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c))
     return found.select(back("doc").alias(doc), "start", "end", back("first_doc").alias(f"first_{doc}"), "first_start", "first_end", "n_equal", "tag")
 

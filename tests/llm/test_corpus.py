@@ -228,6 +228,40 @@ def test_passages(spark):
     assert passages.passages(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("size", [50, 60, 75])
+def test_seeds_of_other_documents(spark, size):
+    """Two documents share a passage, each six-word run of which stands in an earlier document of its own."""
+    shared = prose(size)
+    w = shared.split()
+    decoys = [f"{prose(30)} {' '.join(w[i : i + 6])} {prose(30)}" for i in range(size - 5)]
+    docs = documents(spark, [*decoys, f"{prose(60)} {shared} {prose(20)}", f"{prose(35)} {shared} {prose(70)}", prose(200)])
+    a = len(decoys)
+    got = passages.passages(docs, "doc_id", "text").collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(a + 1, a)}
+    assert {x for r in got for x in range(r.start, r.end)} == set(range(35, 35 + size))
+    assert all(r.first_start - r.start == 25 == r.first_end - r.end and r.n_equal == r.end - r.start for r in got)
+    left = {r.doc_id: r.text for r in passages.without_repeats(docs, "doc_id", "text").collect()}
+    assert shared in left[a] and len(left[a + 1].split()) == 105
+
+
+def test_repeats_against_brute_force(spark):
+    """Every run of min_words words that stands earlier, word for word, is covered, whatever else the texts share."""
+    rng = random.Random(4)
+    lines = [prose(rng.randint(6, 25), rng) for _ in range(12)]
+    texts = [" ".join(rng.choice(lines) if rng.random() < 0.7 else prose(12, rng) for _ in range(rng.randint(3, 25))) for _ in range(40)]
+    for least in (50, 70):
+        covered: dict = {}
+        for r in passages.passages(documents(spark, texts), "doc_id", "text", least).collect():
+            covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        seen: dict = {}
+        for i, t in enumerate(texts):
+            w = t.lower().split()
+            for x in range(len(w) - least + 1):
+                d, y = seen.setdefault(tuple(w[x : x + least]), (i, x))
+                if d != i or x >= y + least:
+                    assert covered.get(i, set()) >= set(range(x, x + least)), (least, i, x)
+
+
 @pytest.mark.parametrize(("size", "times"), [(60, 3), (500, 3), (30, 10)])
 def test_adjacent_copies(spark, size, times):
     """T P P P: all copies of P but the first are reported and cut."""
