@@ -11,11 +11,13 @@ exhaustively, larger ones branch on.
   no more than a passage have parted by then, so nearly all nodes are small, and
   sixteen trees miss a pair of similarity 0.8 with a probability of 1e-5.
 * Members of nodes that are still large are many and alike. They alone go
-  through ``DENSE_TREES`` more trees, deeper ones with twice as large nodes: 2e-4
-  of such pairs are missed at level 6, 13 % where only level 12 is small enough.
-* Nodes that are large even then are dealt into blocks, and each two blocks are
-  compared like a small node: no pair is left out, at a cost that is quadratic
-  in such a node, unless all of it is connected already.
+  through ``DENSE_TREES`` more trees, deeper ones with twice as large nodes. A pair
+  of similarity 0.8 shares no node of level 6 with a probability of 2e-4.
+* Nodes that are large at level 6 branch on to level 12, which connects most of
+  their members cheaply but would miss 13 % of such pairs. So they are also dealt
+  into blocks, and each two blocks with members of different components
+  are compared like a small node: no pair of a node of level 6 is left out, at a
+  cost that is quadratic in such a node where it is not connected by then.
 
 Equal sets are one class from the start. A small node first gives a spanning
 forest of its plausible pairs, judged by the sketches; only members that are
@@ -157,22 +159,23 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
-def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size: int) -> tuple[list[DataFrame], DataFrame]:
-    """Nodes (``tree, node, sig``) of two to ``node_size`` sets, and larger ones left after the last level.
+def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Nodes (``tree, node, sig``) of two to ``node_size`` sets, and the larger ones of each level that was looked at.
 
     rows: ``sig`` and ``sketch``. ``stride`` tokens are taken before sizes are looked at.
     """
     rows = _paths(rows, trees, levels).withColumn("node", F.lit(0).cast("long"))
-    fit = []
+    fit, large = [], []
     for level in range(0, levels, stride):
         rows = rows.withColumn("node", F.xxhash64("node", "tree", F.substring("path", 2 * level + 1, 2 * stride)))
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         rows = stored(rows.join(small(stored(counts)), "node"))
         fit.append(rows.where(F.col("n") <= node_size).select("tree", "node", "sig"))
         rows = rows.where(F.col("n") > node_size).drop("n")
+        large.append(rows.select("tree", "node", "sig"))
         if rows.isEmpty():
             break
-    return fit, rows.select("tree", "node", "sig")
+    return fit, large
 
 
 def _merged(fit: list[DataFrame], roots: DataFrame | None) -> DataFrame:
@@ -364,7 +367,7 @@ def near_duplicates(
         F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__tag")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes)
-    fit, large = _branch(classes, range(TREES), LEVELS, LEVELS, node_size)
+    fit, (large,) = _branch(classes, range(TREES), LEVELS, LEVELS, node_size)
     coarse = classes.select("sig", "n", F.substring("sketch", 2 * BINS + 1, BINS // 2).alias("sketch"))
     together = stored(_merged(fit, None))
     texts = _texts(together.select("sig").union(large.select("sig")).distinct(), classes, rows)
@@ -374,13 +377,13 @@ def near_duplicates(
     roots = stored(components(links))
     # members of large nodes go on, each in its own trees; what is linked by now is not looked at again
     dense = stored(classes.select("sig", "sketch").join(small(stored(large.select("sig").distinct())), "sig"))
-    more, large = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, DENSE_LEVELS // 2, 2 * node_size)
+    more, larger = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, DENSE_LEVELS // 2, 2 * node_size)
     for forest in (True, False):  # what connects them first, then whatever is still apart
-        rest = fit + more if forest else [*fit, *more, _blocks(large, roots, 2 * node_size)]
+        rest = fit + more if forest else [*fit, *more, _blocks(larger[0], roots, 2 * node_size)]
         open_nodes = stored(_merged(rest, roots))
         fine = _fine(open_nodes.select("sig").distinct(), texts, width)
         pairs = _pairs(_gathered(open_nodes, fine), percent, _close, forest)
-        pairs = pairs.union(_stars(large)).distinct() if forest else pairs
+        pairs = pairs.union(_stars(larger[-1])).distinct() if forest else pairs
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = stored(links.unionByName(_confirm(pairs, texts, width, percent)))
