@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import decontamination, html, near, passages, pieces, quality, sharding, tokens, toxicity, urls
+from terraframe.llm import decontamination, html, near, negatives, passages, pieces, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -243,3 +243,34 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return html.extract(pages, "url", "html").withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+_NEGATIVES_SQL = """
+WITH valid AS (
+  SELECT vec_id, row_number() OVER () AS uid, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS same,
+         coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score
+  FROM valid a, valid b WHERE a.vec_id % 100 = 0 AND a.uid <> b.uid),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; a seventh of the labels is shifted by one."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, "vec_id", "embedding", shifted, F.col("vec_id") % 100 == 0)
