@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import decontamination, html, near, negatives, passages, pieces, quality, sharding, tokens, toxicity, urls
+from terraframe.llm import decontamination, html, katz, near, negatives, passages, pieces, quality, sharding, tokens, toxicity, trie, urls
+from terraframe.llm.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -274,3 +275,68 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors, "vec_id", "embedding", shifted, F.col("vec_id") % 100 == 0)
+
+
+_TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c:
+      list_prepend(ascii(c)::BIGINT, list_transform(range(8), lambda i: -1::BIGINT))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS seg, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > h),
+seqs AS (
+  SELECT c.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY seg, pos) FILTER (r.pos IS NOT NULL), []) AS seq
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id),
+members AS (SELECT conv_id, len(seq) AS size, d, list_slice(seq, 1, d) AS prefix FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '') AS ends
+  FROM members GROUP BY prefix, d),
+tied AS (
+  SELECT n.*, p.conv AS parent, n.n_convs AS m,
+         CASE WHEN n.d = 0 THEN 0 ELSE len(regexp_extract_all(n.prefix[n.d].text, '[^ 	-
+]+')) END AS words
+  FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = list_slice(n.prefix, 1, n.d - 1)),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n FROM tied WHERE d > 0 GROUP BY ALL),
+own AS (SELECT t.*, coalesce(k.n, 0) AS n_children, (m - 1) * words AS saved FROM tied t LEFT JOIN kids k ON k.parent = t.conv AND k.d = t.d),
+sums AS (
+  SELECT list_slice(prefix, 1, up) AS prefix, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM own) GROUP BY 1)
+SELECT conv AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM own JOIN sums USING (prefix)
+"""
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations begin with up to three turns of the one whose id is the next lower multiple of 20. Null ids take no part.
+
+    Turns with the same number follow each other by role and hash.
+    """
+    source = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    keys = trie.turn_keys(source, "conv_id", "role", "text", "turn", "role")
+    turns = trie.numbered(keys, F.asc_nulls_first("turn"), F.coalesce("role", F.lit("")), "t1", "t2")
+    convs = stored(turns.where("pos = 1").select("conv"))
+    h = F.crc32(F.col("conv").cast("string")) % 4
+    columns = ["conv", "seg", "pos", "t1", "t2", "words"]
+    own = turns.where(F.col("pos") > h).withColumn("seg", F.lit(1)).select(*columns)
+    heads = turns.where("pos <= 3 AND conv % 20 = 0").select(F.col("conv").alias("head"), "pos", "t1", "t2", "words")
+    wanted = convs.where(h > 0).select("conv", (F.col("conv") - F.col("conv") % 20).alias("head"), h.alias("h"))
+    begun = wanted.join(heads, "head").where("pos <= h").withColumn("seg", F.lit(0)).select(*columns)
+    return trie.prefix_trie(own.unionByName(begun), convs, "seg", "pos")
+
+
+@query("op13_lm_scores")
+def op13_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from nine tenths of the documents, by their id, and scores all."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return katz.score(docs, "doc_id", "text", ~held_out).withColumn("held_out", held_out)
