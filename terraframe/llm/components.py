@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from terraframe.llm.storage import stored
 
 
+#: A node with more than this share of all edges is joined in so many parts; there are fewer such nodes than the inverse share, twice.
+HOT_SHARE, PARTS = 500, 16
+
+
+def _with_least(wide: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``wide`` (``a``, ``b``) with ``m`` of its ``a``; ``least``: ``a, m, n``. Rows of a hot ``a`` go to several tasks."""
+    hot = least.where(F.col("n") > edges / HOT_SHARE).select("a", F.lit(PARTS).alias("parts"))
+    left = wide.join(F.broadcast(hot), "a", "left")
+    left = left.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int"))
+    parts = F.when(F.col("n") > edges / HOT_SHARE, PARTS).otherwise(1)
+    right = least.select("a", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return left.drop("parts").join(right, ["a", "part"]).drop("part")
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -31,9 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         # large star: neighbours above a node move to its smallest neighbour
         wide = _both(now)
-        least = wide.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
-        large = wide.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        least = wide.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = least.select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(wide.where("b > a"), least, 2 * mark[0]).select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its neighbours below it move to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         down = large.join(least, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))

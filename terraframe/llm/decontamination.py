@@ -155,7 +155,13 @@ def report(docs: DataFrame, doc: str, text: str, bench: DataFrame, item: str, it
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.sum(F.col("start").isNull().cast("long")).alias("__copies"),
     )
-    one = by_doc.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    by_doc = stored(by_doc)
+    twice = stored(by_doc.where("__copies > 1"))
+    one = by_doc.where("__copies = 1")
+    if not twice.isEmpty():  # rows repeated with id and text take the result of all of them
+        named = twice.withColumnRenamed("__doc", "__of").withColumnRenamed("__tag", "__named")
+        same = F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__tag") == F.col("__named"))
+        one = one.unionByName(rows.drop("__text").join(small(named), same).drop("__of", "__named"))
     return one.select(F.col("__doc").alias(doc), F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"), "spans", "items")
 
 

@@ -32,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraframe.llm.storage import stored
+from terraframe.llm.storage import give_back, stored
 from terraframe.llm.words import mixed, slices, words
 
 #: Counts up to this are discounted; the share of a count kept back for new followers.
 CUT, RESERVE = 5, 0.1
 #: Tokens and documents of a batch, tokens of a partition.
-BATCH_TOKENS, BATCH_DOCS, GROUP_TOKENS = 1_500_000, 30_000, 3_000_000
+BATCH_TOKENS, BATCH_DOCS, GROUP_TOKENS = 800_000, 30_000, 3_000_000
+#: Ranges of histories in which a partition is counted, one after the other.
+PIECES = 16
 #: A word with clearly more than one in so many training tokens is hot; there are fewer than twice as many hot words.
 HOT = 1000
 
@@ -175,6 +177,8 @@ def _packets(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             tokens.append(t)
         if tokens:
             yield from packed(number, ids, np.concatenate(train), tokens)
+        tokens.clear()
+        give_back()
 
     return docs.select("id", "train", "text").mapInArrow(run, schema)
 
@@ -183,7 +187,27 @@ def _array(cell, kind) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), dtype=kind) if cell.is_valid else np.zeros(0, dtype=kind)
 
 
-#: What a partition returns for the documents ``docs`` of one batch: ``sums`` are base and score, ``counts`` known tokens and pairs by count.
+class _Packet:
+    """Pairs of one batch in one partition, by history."""
+
+    def __init__(self, cells: dict):
+        self.history, self.followers = _array(cells["history"], np.uint64), _array(cells["followers"], np.int32)
+        self.word, self.times = _array(cells["word"], np.uint64), _array(cells["times"], np.int32)
+        self.docs, self.train = _array(cells["docs"], np.uint16), _array(cells["train"], np.bool_)
+        self.pair_at = np.r_[0, np.cumsum(self.followers, dtype=np.int64)]
+        self.token_at = np.r_[0, np.cumsum(self.times, dtype=np.int64)]
+
+    def part(self, first: int, last: int) -> tuple[np.ndarray, ...]:
+        """history and word of each pair of some histories, times, documents, and times in training."""
+        a, z = self.pair_at[first], self.pair_at[last]
+        history = np.repeat(self.history[first:last], self.followers[first:last])
+        times, docs = self.times[a:z], self.docs[self.token_at[a] : self.token_at[z]]
+        trained = np.bincount(np.repeat(np.arange(z - a), times), weights=self.train[docs], minlength=z - a)
+        return history, self.word[a:z], times, docs, trained
+
+
+#: What a partition returns for the documents ``docs`` of one batch. ``sums``: log10 of what histories occur (with RESERVE), for all
+#: tokens and for those of new pairs, and log10 of the counts of pairs beyond CUT. ``counts``: known tokens, pairs with counts 1 to CUT.
 _DOC_FIELDS = "part long, batch long, docs binary, sums binary, counts binary"
 _TABLE_FIELDS = "history binary, followers binary, word binary, count binary, new_part binary, new_batch binary, new_doc binary, new_history binary, new_word binary, by_count array<long>"
 
@@ -196,44 +220,60 @@ def _count(packets: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> DataF
     def run(key: tuple, t: pa.Table) -> pa.Table:
         rows = t.num_rows
         col = {n: t.column(n) for n in t.column_names}
-        h = [_array(c, np.uint64) for c in col["history"]]
-        h = np.concatenate([np.repeat(x, _array(c, np.int32)) for x, c in zip(h, col["followers"], strict=True)])
-        w = np.concatenate([_array(c, np.uint64) for c in col["word"]])
-        times = [_array(c, np.int32) for c in col["times"]]
-        docs = [_array(c, np.uint16) for c in col["docs"]]
-        train = [_array(c, np.bool_) for c in col["train"]]
-        pairs = np.cumsum([0] + [len(x) for x in times])
-        trained = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), weights=g[d], minlength=len(n)) for n, d, g in zip(times, docs, train, strict=True)])
-        order = np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        lead = np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])] if len(hs) else np.zeros(0, dtype=bool)
-        group = np.empty(len(hs), dtype=np.int64)
-        group[order] = np.cumsum(lead) - 1
-        gh, gw = hs[lead], ws[lead]
-        c = np.rint(np.bincount(group, weights=trained, minlength=len(gh))).astype(np.int64)
-        own, of = np.unique(gh, return_inverse=True)
-        total = np.rint(np.bincount(of, weights=c, minlength=len(own))).astype(np.int64)
-        place = _find(hot, own)
-        total[place >= 0] = hot_counts[place[place >= 0]]
-        ch = total[of]
-        log_h = np.log10(ch + RESERVE)
-        score = np.where(c > 0, np.log10(np.maximum(c, 1)) - log_h, 0.0)
-        out, new = [], []
+        sent = [_Packet({n: col[n][i] for n in ("history", "followers", "word", "times", "docs", "train")}) for i in range(rows)]
+        sums = [np.zeros((len(x.train), 3)) for x in sent]
+        counts = [np.zeros((len(x.train), 1 + CUT), dtype=np.int32) for x in sent]
+        table: list[list[np.ndarray]] = [[] for _ in range(4)]
+        new: list[list[np.ndarray]] = [[] for _ in range(5)]
+        by_count = np.zeros(CUT + 1, dtype=np.int64)
+        ends = [int(i * 2**64 // PIECES) for i in range(1, PIECES)]
+        cuts = [np.r_[0, np.searchsorted(x.history, np.array(ends, dtype=np.uint64)), len(x.history)] for x in sent]
+        for piece in range(PIECES):  # ranges of histories, one after the other: a group needs memory for one
+            parts = [x.part(z[piece], z[piece + 1]) for x, z in zip(sent, cuts, strict=True)]
+            h, w = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+            trained = np.concatenate([x[4] for x in parts])
+            order = np.lexsort((w, h))
+            h, w = h[order], w[order]
+            lead = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])] if len(h) else np.zeros(0, dtype=bool)
+            group = np.empty(len(h), dtype=np.int32)
+            group[order] = np.cumsum(lead) - 1
+            gh, gw = h[lead], w[lead]
+            del h, w, order, lead
+            c = np.rint(np.bincount(group, weights=trained, minlength=len(gh))).astype(np.int64)
+            own, of = np.unique(gh, return_inverse=True)
+            total = np.rint(np.bincount(of, weights=c, minlength=len(own))).astype(np.int64)
+            place = _find(hot, own)
+            total[place >= 0] = hot_counts[place[place >= 0]]
+            ch = total[of]
+            log_h = np.log10(ch + RESERVE)
+            log_new = np.where(c == 0, log_h, 0.0)
+            log_often = np.where(c > CUT, np.log10(np.maximum(c, 1)), 0.0)
+            first = 0
+            for i, (ph, _, times, d, _) in enumerate(parts):
+                g = np.repeat(group[first : first + len(ph)], times)  # of each token
+                first += len(ph)
+                n = len(sent[i].train)
+                for k, x in enumerate((log_h, log_new, log_often)):
+                    if x.any():
+                        sums[i][:, k] += np.bincount(d, weights=x[g], minlength=n)
+                counts[i][:, 0] += np.bincount(d[ch[g] > 0], minlength=n).astype(np.int32)
+                few = c[g]
+                for r in range(1, CUT + 1):
+                    counts[i][:, r] += np.bincount(d[few == r], minlength=n).astype(np.int32)
+                rest = few == 0
+                m = int(rest.sum())
+                place_of = (col["part"][i].as_py(), col["batch"][i].as_py())
+                for out, x in zip(new, (np.full(m, place_of[0]), np.full(m, place_of[1]), d[rest], gh[g[rest]], gw[g[rest]]), strict=True):
+                    out.append(x)
+            seen = c > 0
+            by_count += np.bincount(np.minimum(c[seen], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
+            own, followers = np.unique(gh[seen], return_counts=True)
+            for out, x in zip(table, (own, followers.astype(np.int32), gw[seen], c[seen]), strict=True):
+                out.append(x)
+        out = []
         for i in range(rows):
-            g = np.repeat(group[pairs[i] : pairs[i + 1]], times[i])  # of each token
-            d, n = docs[i], len(train[i])
-            part, batch = col["part"][i].as_py(), col["batch"][i].as_py()
-            at = np.flatnonzero(np.bincount(d, minlength=n))
-            sums = np.stack([np.bincount(d, weights=x[g], minlength=n)[at] for x in (log_h, score)], axis=1)
-            counts = [np.bincount(d[ch[g] > 0], minlength=n)[at]] + [np.bincount(d[c[g] == r], minlength=n)[at] for r in range(1, CUT + 1)]
-            out.append((part, batch, at.astype(np.uint16), sums, np.stack(counts, axis=1).astype(np.int32), i))
-            rest = c[g] == 0
-            new.append((np.full(int(rest.sum()), part), np.full(int(rest.sum()), batch), d[rest], gh[g[rest]], gw[g[rest]]))
-        seen = c > 0
-        th, tw, tc = gh[seen], gw[seen], c[seen]
-        own, followers = np.unique(th, return_counts=True)
-        by_count = np.bincount(np.minimum(tc, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()
-        table = [own, followers.astype(np.int32), tw, tc, *[np.concatenate(x) for x in zip(*new, strict=True)]]
+            at = np.flatnonzero(sums[i].any(axis=1) | counts[i].any(axis=1))
+            out.append((col["part"][i].as_py(), col["batch"][i].as_py(), at.astype(np.uint16), sums[i][at], counts[i][at]))
         names = [f.split()[0] for f in _TABLE_FIELDS.split(", ")]
         kinds = [pa.binary()] * 9 + [pa.list_(pa.int64())]
         columns = {
@@ -241,13 +281,16 @@ def _count(packets: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> DataF
             "part": pa.array([x[0] for x in out] + [None], pa.int64()),
             "batch": pa.array([x[1] for x in out] + [None], pa.int64()),
             "docs": pa.array([x[2].tobytes() for x in out] + [None], pa.binary()),
-            "sums": pa.array([x[3].tobytes() for x in out] + [None], pa.binary()),
-            "counts": pa.array([x[4].tobytes() for x in out] + [None], pa.binary()),
+            # column by column: most of it is zeros
+            "sums": pa.array([x[3].tobytes(order="F") for x in out] + [None], pa.binary()),
+            "counts": pa.array([x[4].tobytes(order="F") for x in out] + [None], pa.binary()),
             "ids": pa.chunked_array([*col["ids"].chunks, pa.nulls(1, col["ids"].type)]),
             "n_tokens": pa.chunked_array([*col["n_tokens"].chunks, pa.nulls(1, col["n_tokens"].type)]),
         }
-        cells = [x.tobytes() for x in table] + [by_count]
+        cells = [np.concatenate(x).tobytes() for x in (*table, *new)] + [by_count.tolist()]
         columns |= {n: pa.array([None] * rows + [x], k) for n, x, k in zip(names, cells, kinds, strict=True)}
+        del sent, sums, counts, table, new, cuts, out, cells
+        give_back()
         return pa.table(columns)
 
     return packets.groupBy("p").applyInArrow(run, schema)
@@ -286,7 +329,12 @@ class Lower:
 
 def _wanted(r: dict) -> np.ndarray:
     """Distinct words whose counts a partition needs."""
-    return np.unique(np.concatenate([_array(r["word"], np.uint64), _array(r["new_word"], np.uint64)]))
+    return np.unique(_counted(np.concatenate([_array(r["word"], np.uint64), _array(r["new_word"], np.uint64)])))
+
+
+def _counted(w: np.ndarray) -> np.ndarray:
+    """Words under the name of the history that has their count: the end occurs as often as the beginning."""
+    return np.where(w == _END, _BEGIN, w)
 
 
 def _answers(tables: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
@@ -349,12 +397,12 @@ def _weights(tables: DataFrame, answers: DataFrame, hot: np.ndarray, hot_counts:
         of = np.repeat(np.arange(len(own)), f)
         share = np.where(c <= CUT, np.r_[0.0, d][np.minimum(c, CUT)], 1.0) * c / (total[of] + RESERVE)
         used = np.bincount(of, weights=share, minlength=len(own))
-        below = np.bincount(of, weights=p_of[np.searchsorted(wanted, _array(r["word"], np.uint64))], minlength=len(own))
+        below = np.bincount(of, weights=p_of[np.searchsorted(wanted, _counted(_array(r["word"], np.uint64)))], minlength=len(own))
         alpha = np.where(place >= 0, 1.0, (1 - used) / (1 - below))
         h, w = _array(r["new_history"], np.uint64), _array(r["new_word"], np.uint64)
         part, batch, doc = _array(r["new_part"], np.int64), _array(r["new_batch"], np.int64), _array(r["new_doc"], np.uint16)
         at = _find(own, h)
-        value = np.log10(p_of[np.searchsorted(wanted, w)]) + np.log10(np.r_[alpha, 1.0][at])  # -1: an unknown history
+        value = np.log10(p_of[np.searchsorted(wanted, _counted(w))]) + np.log10(np.r_[alpha, 1.0][at])  # -1: an unknown history
         hot_at = _find(hot, h)
         order = np.lexsort((batch, part))
         cut = np.flatnonzero(np.r_[True, (np.diff(part[order]) != 0) | (np.diff(batch[order]) != 0)]) if len(h) else []
@@ -362,7 +410,7 @@ def _weights(tables: DataFrame, answers: DataFrame, hot: np.ndarray, hot_counts:
         for rows in np.split(order, cut[1:]) if len(h) else []:
             docs, inverse = np.unique(doc[rows], return_inverse=True)
             added = np.bincount(inverse, weights=value[rows])
-            sums = np.stack([np.zeros(len(docs)), added], axis=1)
+            sums = added
             late = rows[hot_at[rows] >= 0]
             out.append((int(part[rows[0]]), int(batch[rows[0]]), docs, sums, doc[late], hot_at[late].astype(np.int32)))
         n = len(out)
@@ -407,17 +455,19 @@ def _texts(pieces: DataFrame, hot_log: np.ndarray, log_d: np.ndarray, log_total:
         own = next(i for i in range(t.num_rows) if t.column("n_tokens")[i].is_valid)
         n_tokens = t.column("n_tokens")[own].values.to_numpy()
         n = len(n_tokens)
-        sums, counts = np.zeros((n, 2)), np.zeros((n, 1 + CUT), dtype=np.int64)
+        sums, counts, added = np.zeros((n, 3)), np.zeros((n, 1 + CUT), dtype=np.int64), np.zeros(n)
         for i in range(t.num_rows):
             at = _array(t.column("docs")[i], np.uint16)
-            if len(at):
-                sums[at] += _array(t.column("sums")[i], np.float64).reshape(-1, 2)
-                if t.column("counts")[i].is_valid:
-                    counts[at] += _array(t.column("counts")[i], np.int32).reshape(-1, 1 + CUT)
+            if t.column("counts")[i].is_valid:
+                sums[at] += _array(t.column("sums")[i], np.float64).reshape(3, -1).T
+                counts[at] += _array(t.column("counts")[i], np.int32).reshape(1 + CUT, -1).T
+            else:
+                added[at] += _array(t.column("sums")[i], np.float64)
             late = _array(t.column("hot_docs")[i], np.uint16)
             if len(late):
-                sums[:, 1] += np.bincount(late, weights=hot_log[_array(t.column("hot_words")[i], np.int32)], minlength=n)
-        score = sums[:, 1] + counts[:, 1:] @ log_d
+                added += np.bincount(late, weights=hot_log[_array(t.column("hot_words")[i], np.int32)], minlength=n)
+        # seen pairs: log10(d c) - log10(c(h) + R); new ones were added by the partitions
+        score = added + sums[:, 2] + counts[:, 1:] @ (log_d + np.log10(np.arange(1, CUT + 1))) - (sums[:, 0] - sums[:, 1])
         columns = [t.column("ids")[own].values, n_tokens, counts[:, 0], sums[:, 0] - n_tokens * log_total, score]
         return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["id", "n_tokens", "n_known", "base_score", "score"])
 

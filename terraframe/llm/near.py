@@ -14,10 +14,10 @@ exhaustively, larger ones branch on.
   through ``DENSE_TREES`` more trees, deeper ones with twice as large nodes. A pair
   of similarity 0.8 shares no node of level 6 with a probability of 2e-4.
 * Nodes that are large at level 6 branch on to level 12, which connects most of
-  their members cheaply but would miss 13 % of such pairs. So they are also dealt
-  into blocks, and each two blocks with members of different components
-  are compared like a small node: no pair of a node of level 6 is left out, at a
-  cost that is quadratic in such a node where it is not connected by then.
+  their members cheaply but would miss 13 % of such pairs. So members outside
+  a node's largest component are then compared with all members of the node,
+  in blocks: no pair of a node of level 6 is left out but those that are
+  connected already, at a cost of the node times those that are still apart.
 
 Equal sets are one class from the start. A small node first gives a spanning
 forest of its plausible pairs, judged by the sketches; only members that are
@@ -285,23 +285,30 @@ def _stars(nodes: DataFrame) -> DataFrame:
 
 
 def _blocks(large: DataFrame, roots: DataFrame, node_size: int) -> DataFrame:
-    """Nodes (``tree, node, sig``) of about ``node_size`` members that hold all pairs of nodes that stayed large.
+    """Nodes (``tree, node, sig``) of about ``node_size`` members that hold all pairs still to be compared in nodes that stayed large.
 
-    A large node is dealt into blocks of half that size and each two blocks
-    meet; nodes of one component only are left out.
+    Members outside the node's largest component are the *rest*. All members
+    are dealt into blocks, the rest also into lots, both of half that size,
+    and each block meets each lot: a member is in as many of these as there
+    are lots, one of the rest also in as many as there are blocks. Nodes of one component are left out.
     """
+    half = node_size // 2
     rows = stored(_rooted(large, roots))
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("n") * 2 / node_size).cast("int")
-    rows = rows.join(small(stored(sizes.select("node", blocks.alias("blocks")))), "node")
-    own = F.pmod(F.xxhash64(F.lit(7), "sig"), F.col("blocks")).cast("int")
-    met = rows.select("tree", "node", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return met.select("tree", node.alias("node"), "sig")
+    parts = rows.groupBy("node", "root").agg(F.count("*").alias("m"))
+    sizes = parts.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    blocks, lots = F.ceil(F.col("n") / half).cast("int"), F.ceil((F.col("n") - F.col("most.m")) / half).cast("int")
+    sizes = stored(sizes.select("node", F.col("most.root").alias("most"), blocks.alias("blocks"), lots.alias("lots")))
+    rows = rows.join(small(sizes), "node")
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "sig"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    member = rows.select("tree", "node", "sig", deal(7, "blocks").alias("block"), every("lots").alias("lot"))
+    rest = rows.where("root != most").select("tree", "node", "sig", every("blocks").alias("block"), deal(8, "lots").alias("lot"))
+    met = member.unionByName(rest).distinct()
+    return met.select("tree", F.xxhash64("node", "block", "lot").alias("node"), "sig")
 
 
 def _texts(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(``sig``, ``text``) of one document of each class in ``sigs`` (all its copies, if it is repeated with one id).
+    """(``sig``, ``text``) of one document of each class in ``sigs``.
 
     The only step that moves texts of documents that may have no partner.
     """
@@ -309,7 +316,10 @@ def _texts(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = stored(where.join(sigs, "sig")).hint("merge")  # the same join at every size
     held = docs.withColumn("__tag", F.xxhash64("__text"))
     same = held["__doc"].eqNullSafe(wanted["__doc"]) & (held["__tag"] == wanted["__tag"])
-    return stored(held.join(wanted, same).select("sig", F.col("__text").alias("text")))
+    found = stored(held.join(wanted, same).select("sig", F.col("__text").alias("text")))
+    if found.count() > wanted.count():  # rows repeated with id and text
+        found = stored(found.groupBy("sig").agg(F.first("text").alias("text")))
+    return found
 
 
 def _fine(sigs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -349,7 +359,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def near_duplicates(
     docs: DataFrame, doc: str, text: str, width: int = 5, percent: int = 80, node_size: int = NODE
 ) -> DataFrame:
-    """One row for each row of ``docs``: ``doc``, ``n_shingles``, ``n_links``, ``component_id``, ``kept`` and ``tag`` (xxhash64 of the text).
+    """One row for each row of ``docs``: ``doc``, ``n_shingles``, ``n_links``, ``component_id``, ``kept``, ``stays`` and ``tag`` (xxhash64 of the text).
 
     Words are runs outside ASCII white space, A-Z lower-cased; a shingle is
     ``width`` words, a shorter text is one shingle. Texts are linked if 100
@@ -358,7 +368,9 @@ def near_duplicates(
     the row's own. n_links: confirmed comparisons of the row's set with
     different sets. Texts without words (or null) are linked with nothing and
     stand for themselves; equal sets are linked; a null id is larger than all
-    others. Repeated rows give repeated rows.
+    others. Repeated rows give repeated rows. stays: of each component, the
+    rows of one id and text only, also where ids are null or repeated (then
+    the text with the smallest hash); of a text without words, always.
     """
     rows = docs.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{text}`").alias("__text"))
     signed = stored(signatures(rows.withColumn("__tag", F.xxhash64("__text")), "__text", width))
@@ -389,10 +401,11 @@ def near_duplicates(
         links = stored(links.unionByName(_confirm(pairs, texts, width, percent)))
         roots = stored(components(links))
     degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
-    named = classes.select("sig", F.col("first.__doc").alias("__doc")).join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    named = classes.select("sig", "first").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
-    least = named.groupBy("root").agg(F.min("__doc").alias("component_id"))
-    labels = stored(named.join(least, "root").join(degree, "sig", "left").select("sig", "component_id", "n_links"))
+    least = named.groupBy("root").agg(F.min("first").alias("lead"))
+    lead = [F.col("lead.__doc").alias("component_id"), F.col("lead.__tag").alias("lead_tag")]
+    labels = stored(named.join(least, "root").join(degree, "sig", "left").select("sig", *lead, "n_links"))
     out = signed.select("__doc", "__tag", "n_shingles", "sig").join(small(labels), "sig", "left")
     return out.select(
         F.col("__doc").alias(doc),
@@ -400,4 +413,5 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__doc")).alias("component_id"),
         F.col("__tag").alias("tag"),
+        ((F.col("n_shingles") == 0) | (F.col("__doc").eqNullSafe(F.col("component_id")) & (F.col("__tag") == F.col("lead_tag")))).alias("stays"),
     ).withColumn("kept", F.col(f"`{doc}`").eqNullSafe(F.col("component_id")))

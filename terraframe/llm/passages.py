@@ -48,7 +48,6 @@ MARGIN = 40
 PART_WORDS, IDENTITY = 15, 0.8
 #: Words between two parts of one passage, at most.
 BRIDGE = 12
-_SHIFT = 40  # a position is packed behind 23 bits of the text's hash
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,10 +82,9 @@ def winnow(values: np.ndarray, bounds: np.ndarray, spread: int = SPREAD) -> np.n
 
 
 def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc`` (null last), ``tag`` (23 bits of the text's hash, so that a repeated id is another document) and ``text``."""
+    """``doc`` (null last), ``tag`` (the text's hash, so that a repeated or missing id is another document) and ``text``."""
     key = F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(2**63 - 1))
-    tag = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 41)
-    return docs.select(key.alias("doc"), tag.cast("long").alias("tag"), F.col(f"`{text}`").alias("text"))
+    return docs.select(key.alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").alias("text"))
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -99,7 +97,7 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _seeds(keyed: DataFrame, size: int = SEED, apart: int = SPREAD) -> DataFrame:
-    """(``seed``, ``doc``, ``at``) of runs of ``size`` words, one of each ``apart`` neighbours: at is tag and position in one long; ``n``: words of the text."""
+    """(``seed``, ``doc``, ``tag``, ``at``) of runs of ``size`` words, one of each ``apart`` neighbours; ``n``: words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,22 +112,28 @@ def _seeds(keyed: DataFrame, size: int = SEED, apart: int = SPREAD) -> DataFrame
                 values = runs[w.bounds[owner] + inner] if len(owner) else runs[:0]
                 at = winnow(values, np.r_[begin, len(owner)], apart)
                 who = owner[at] + first
-                place = (tag[who] << _SHIFT) + inner[at]
+                place = inner[at].astype(np.int32)
                 length = np.diff(w.bounds)[owner[at]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[at].view(np.int64)), pa.array(doc[who]), pa.array(place), pa.array(length)], names=["seed", "doc", "at", "n"]
+                    [pa.array(values[at].view(np.int64)), pa.array(doc[who]), pa.array(tag[who]), pa.array(place), pa.array(length)],
+                    names=["seed", "doc", "tag", "at", "n"],
                 )
 
-    return keyed.select("doc", "tag", "text").mapInArrow(run, "seed long, doc long, at long, n int")
+    return keyed.select("doc", "tag", "text").mapInArrow(run, "seed long, doc long, tag long, at int, n int")
 
 
 def _matches(keyed: DataFrame) -> DataFrame:
-    """(``doc, at, first_doc, first_at``) of each occurrence of a repeated seed that is not its first."""
-    seeds = _seeds(keyed)
-    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-    again = stored(first.where("n > 1").select("seed", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
-    met = seeds.join(again, "seed")
-    return met.where("doc != first_doc OR at != first_at").select("doc", "at", "first_doc", "first_at")
+    """(``doc, tag, at, first_doc, first_tag, first_at``) of each occurrence of a repeated seed that is not its first."""
+    seeds = _seeds(keyed).drop("n")
+    met = seeds.join(_repeated(seeds), "seed")
+    return met.where("doc != first_doc OR tag != first_tag OR at != first_at").drop("seed")
+
+
+def _repeated(seeds: DataFrame) -> DataFrame:
+    """(``seed, first_doc, first_tag, first_at``) of seeds that occur twice, written."""
+    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "tag", "at")).alias("first"), F.count("*").alias("times"))
+    names = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc", "tag", "at")]
+    return stored(first.where("times > 1").select("seed", *names))
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -174,15 +178,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 def _chained(matches: DataFrame) -> DataFrame:
     """Chains as (``doc, tag, first_doc, first_tag, xs, ys``): word positions of the seeds on both sides."""
     keys = ["doc", "tag", "first_doc", "first_tag"]
-    mask = (1 << _SHIFT) - 1
-    rows = matches.select(
-        "doc",
-        F.shiftright("at", _SHIFT).alias("tag"),
-        "first_doc",
-        F.shiftright("first_at", _SHIFT).alias("first_tag"),
-        F.col("at").bitwiseAND(F.lit(mask)).alias("x"),
-        F.col("first_at").bitwiseAND(F.lit(mask)).alias("y"),
-    ).distinct()
+    rows = matches.select(*keys, F.col("at").cast("long").alias("x"), F.col("first_at").cast("long").alias("y")).distinct()
     rows = spread(rows, *keys).sortWithinPartitions(*keys, "x")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -358,13 +354,9 @@ def _whole_runs(keyed: DataFrame, found: DataFrame, min_words: int) -> DataFrame
     """
     size = min(min_words, max(SEED, min_words - SPREAD + 1))
     apart = min_words - size + 1
-    mask = F.lit((1 << _SHIFT) - 1)
     seeds = _seeds(keyed, size, apart)
-    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"))
-    again = stored(first.where("times > 1").select("seed", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
-    met = seeds.join(again, "seed")
-    met = met.withColumn("tag", F.shiftright("at", _SHIFT)).withColumn("p", F.col("at").bitwiseAND(mask))
-    met = stored(met.withColumn("later", F.expr("doc != first_doc OR at != first_at")).select("seed", "doc", "tag", "p", "n", "later"))
+    met = seeds.join(_repeated(seeds), "seed").withColumn("later", F.expr("doc != first_doc OR tag != first_tag OR at != first_at"))
+    met = stored(met.select("seed", "doc", "tag", F.col("at").alias("p"), "n", "later"))
     spans = stored(_covered(found))
     # seeds of which some run around a later occurrence is not in a passage
     held = met.where("later").join(small(spans), ["doc", "tag"], "left")
@@ -381,19 +373,12 @@ def _whole_runs(keyed: DataFrame, found: DataFrame, min_words: int) -> DataFrame
                     runs = _runs(words(buffer, offsets).hashes(), min_words)
                 x = np.unique(np.add.outer(np.array(asked), -np.arange(apart)))
                 x = x[(x >= 0) & (x < len(runs))]
-                place = pa.array((tag << _SHIFT) + x)
-                yield pa.RecordBatch.from_arrays([pa.array(runs[x].view(np.int64)), pa.array(np.full(len(x), doc)), place], names=["seed", "doc", "at"])
-
-    runs = stored(texts.mapInArrow(cut, "seed long, doc long, at long").distinct())
-    first = runs.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    twice = runs.join(small(stored(first.select("seed", "first"))), "seed").select(
-        "doc",
-        F.shiftright("at", _SHIFT).alias("tag"),
-        F.col("at").bitwiseAND(mask).alias("start"),
-        F.col("first.doc").alias("first_doc"),
-        F.shiftright("first.at", _SHIFT).alias("first_tag"),
-        F.col("first.at").bitwiseAND(mask).alias("first_start"),
-    )
+                columns = [runs[x].view(np.int64), np.full(len(x), doc), np.full(len(x), tag), x.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "doc", "tag", "at"])
+
+    runs = stored(texts.mapInArrow(cut, "seed long, doc long, tag long, at long").distinct())
+    twice = runs.join(small(_repeated(runs)), "seed").drop("seed")
+    twice = twice.withColumnRenamed("at", "start").withColumnRenamed("first_at", "first_start")
     twice = twice.where(f"doc != first_doc OR tag != first_tag OR start >= first_start + {min_words}").join(small(spans), ["doc", "tag"], "left")
     inside = lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("start") + min_words)
     twice = twice.where(F.col("spans").isNull() | ~F.exists("spans", inside))
@@ -475,7 +460,7 @@ def without_repeats(docs: DataFrame, doc: str, text: str, min_words: int = 50) -
     found = passages(docs, doc, text, min_words)
     spans = found.groupBy(doc, "tag").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     spans = stored(spans.select(F.col(f"`{doc}`").alias("__doc"), F.col("tag").alias("__tag"), "__spans"))
-    tag = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 41)
+    tag = F.xxhash64(F.col(f"`{text}`"))
     same = F.col(f"`{doc}`").cast("long").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))
     met = docs.join(spans, same, "left").drop("__doc", "__tag")
     names, schema = docs.columns, docs.schema

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct parts and text bytes that a task handles at once; neither limits what is encoded.
-KNOWN_PARTS = 400_000
-GROUP_BYTES = 2 << 20
+KNOWN_PARTS = 150_000
+GROUP_BYTES = 1 << 20
 
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _ANY_PART = re.compile(r"(?s).+")
@@ -233,7 +234,7 @@ class Encoder:
     """Encodes texts with the parts seen so far; new parts are checked against the library."""
 
     def __init__(self, path: str):
-        self.v = Vocabulary(path)
+        self.v = vocabulary(path)
         self.forget()
 
     def forget(self) -> None:
@@ -280,6 +281,12 @@ class Encoder:
         return ids, np.r_[0, ends][np.r_[0, np.cumsum(per)]]
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """The model, read once a worker."""
+    return Vocabulary(path)
+
+
 def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
@@ -324,7 +331,7 @@ def decode(df: DataFrame, ids: str, path: str, text: str = "decoded") -> DataFra
     schema = source.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(path)
+        v = vocabulary(path)
         for b in batches:
             lists = b.column(len(kept))
             sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -341,6 +348,26 @@ def decode(df: DataFrame, ids: str, path: str, text: str = "decoded") -> DataFra
     return source.mapInArrow(run, schema)
 
 
+def recode(df: DataFrame, text: str, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` (with the end id) and ``decode`` in one pass: one worker and one model a task."""
+    kept = [c for c in df.columns if c not in (text, ids, decoded)]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    schema = source.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for b in batches:
+            for first, texts in _groups(b.column(len(kept)).fill_null("")):
+                found, at = encoder.encode(texts)
+                found = np.insert(found, at[1:], encoder.v.eos)
+                at = at + np.arange(len(at))
+                out = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32())), encoder.v.decode(found, at)]
+                rest = b.slice(first, len(texts)).columns[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*rest, *out], names=schema.fieldNames())
+
+    return source.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list[Column]:
     """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the two results above."""
     i = F.col(f"`{ids}`")

@@ -149,7 +149,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, "text", model), "ids", model)
+    coded = pieces.recode(docs, "text", model)
     return coded.select("doc_id", *pieces.digests(coded))
 
 
@@ -218,7 +218,7 @@ FROM low LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
 @query("op10_minhash_near_dedup", _NEAR_SQL)
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return near.near_duplicates(docs, "doc_id", "text", width=4).drop("n_links", "tag")
+    return near.near_duplicates(docs, "doc_id", "text", width=4).drop("n_links", "tag", "stays")
 
 
 @query("op9_substring_dedup")

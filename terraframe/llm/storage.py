@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: Python workers stay alive between stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``, inside one row."""
     return F.transform(F.array(value), body)[0]

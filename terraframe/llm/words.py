@@ -2,7 +2,7 @@
 
 Texts are read as one UTF-8 buffer, so a batch of documents costs a few
 vector passes instead of one Python object per word. All tables below are
-derived from a seed; nothing is kept between batches but powers of the base.
+derived from a seed; nothing is kept between batches.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE_HASH[65:91] = _BYTE_HASH[97:123]  # A-Z count as a-z
 _ROLL = [np.uint64(int(x) | 1) for x in np.random.default_rng(7).integers(1, 1 << 62, 64)]
@@ -33,22 +32,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = max(n + 1, SLICE_BYTES + 1)
-            steps = np.full(size, _BASE, dtype=np.uint64)
-            steps[0] = 1
-            cls.up = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = pow(_BASE, -1, 1 << 64)
-            cls.down = np.cumprod(steps, dtype=np.uint64)
-        return cls.up, cls.down
-
-
 @dataclass
 class Words:
     """Word ``i`` is ``buffer[starts[i]:ends[i]]``; document ``d`` has words ``bounds[d]:bounds[d+1]``."""
@@ -60,11 +43,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit value per word, the same for words that differ only in the case of A-Z."""
-        n = len(self.buffer)
-        up, down = _Powers.upto(n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_HASH[self.buffer] * up[:n], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        if not len(self.starts):
+            return np.zeros(0, dtype=np.uint64)
+        size = self.ends - self.starts
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)  # of each byte in its word
+        powers = np.full(int(size.max()), _BASE, dtype=np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        value = powers[place]
+        place += np.repeat(self.starts, size)
+        value *= _BYTE_HASH[self.buffer[place]]
+        return mixed(np.add.reduceat(value, first))
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -418,3 +418,54 @@ def test_pipeline(spark, tmp_path):
         ids = [*library.encode(cut[r.doc_id]), library.eos_id()]
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_rows_without_ids(spark, tmp_path):
+    """Near copies with null ids: one stays; different texts with one id, or none, all stay whole."""
+    base = prose(100)
+    near_copy = f"{base} more."
+    others = [prose(80) for _ in range(4)]
+    texts = [base, near_copy, base, *others, others[0], None, None, ""]
+    ids = [None, None, None, None, None, 5, 5, None, None, None, None]
+    docs = documents(spark, texts, ids)
+    stayed = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = sorted(r.text or "" for r in stayed.collect())
+    one = [t for t in got if t in (base, near_copy)]
+    assert len(one) == 1 and got == sorted([*one, *others, "", "", ""])
+    judged = near.near_duplicates(docs.select("doc_id", "text"), "doc_id", "text").collect()
+    assert sum(r.stays for r in judged if r.n_shingles) in (6, 7)  # five rows of other texts, and one text of the group, which may be two equal rows
+    cut = passages.without_repeats(documents(spark, others, [None] * 4), "doc_id", "text").collect()
+    assert sorted(r.text for r in cut) == sorted(others)
+
+
+def test_many_rows_without_ids(spark):
+    """The hash of a text, all of it, tells rows without an id apart: no clean text is cut by another's passages."""
+    rng = random.Random(11)
+    shared = prose(60, rng)
+    clean = [" ".join(rng.choice(VOCAB) for _ in range(70)) for _ in range(3000)]
+    dirty = [f"{' '.join(rng.choice(VOCAB) for _ in range(10))} {shared} x{i}" for i in range(3000)]
+    out = passages.without_repeats(documents(spark, clean + dirty, [None] * 6000), "doc_id", "text").collect()
+    assert len(out) == 6000 and set(clean) <= {r.text for r in out}
+    assert sum(shared in r.text for r in out) == 1
+
+
+def test_leaks_of_repeated_rows(spark):
+    leak = prose(12)
+    texts = [leak, leak, None, None, "", f"x {leak}"]
+    ids = [1, 1, None, None, None, 1]
+    bench = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    got = decontamination.report(documents(spark, texts, ids), "doc_id", "text", bench, "item_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in got) == [(0, 0, 0)] * 3 + [(1, 12, 12)] * 2 + [(1, 13, 12)]
+
+
+def test_blocks_hold_every_open_pair(spark):
+    """Members outside the largest component meet all members of a large node, each other included."""
+    sigs = [bytes([i]) * 16 for i in range(200)]
+    large = spark.createDataFrame([(1, 9, bytearray(s)) for s in sigs], "tree int, node long, sig binary")
+    roots = spark.createDataFrame([(bytearray(s), bytearray(sigs[0])) for s in sigs[:150]], "node binary, root binary")
+    nodes = {}
+    for r in near._blocks(large, roots, 32).collect():
+        nodes.setdefault(r.node, set()).add(bytes(r.sig)[0])
+    met = {(a, b) for m in nodes.values() for a in m for b in m if a < b}
+    assert {(a, b) for a in range(200) for b in range(max(a + 1, 150), 200)} <= met
+    assert max(map(len, nodes.values())) < 70 and sum(map(len, nodes.values())) <= 200 * 4 + 50 * 13
