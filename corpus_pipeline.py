@@ -27,21 +27,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest id.
 
-    Texts without words are in no group and stay. Rows with the same id are
-    one document: one of those that stay is left. Null ids come last and are
-    told apart by their texts.
+    Null ids come last; where ids are null or repeated, the text with the
+    smallest hash stays, and of rows that share id and text any one. Rows of
+    one id with texts that are no near duplicates all stay, and so do texts
+    without words, which are in no group.
     """
     judged = near.near_duplicates(docs.select("doc_id", "text"), "doc_id", "text", width=5, percent=80)
-    judged = stored(judged.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "kept"))
-    gone = stored(judged.where(~F.col("kept")).select("__id", "__tag").distinct())
+    judged = stored(judged.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "stays", "n_shingles"))
+    gone = stored(judged.where("NOT stays").select("__id", "__tag").distinct())
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tag"))
     left = docs.join(small(gone), same, "left_anti")
-    twice = stored(judged.where("kept AND __id IS NOT NULL").groupBy("__id").count().where("count > 1").select("__id"))
-    if twice.isEmpty():
+    copies = judged.where("stays AND n_shingles > 0").groupBy("__id", "__tag").count().where("count > 1").select("__id", "__tag")
+    copies = stored(copies)
+    if copies.isEmpty():
         return left
-    id_twice = F.col("doc_id") == F.col("__id")
-    doubled = left.join(small(twice), id_twice, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(small(twice), id_twice, "left_anti").unionByName(doubled)
+    first = left.join(small(copies), same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    return left.join(small(copies), same, "left_anti").unionByName(first.drop("__hash"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text with an end id, and what they decode to, as digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     model = vocabulary("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), "text", model), "ids", model)
+    coded = pieces.recode(docs.select("doc_id", "text"), "text", model)
     return coded.select("doc_id", *pieces.digests(coded))
 
 
