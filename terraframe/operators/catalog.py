@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraframe.functions.crs import horizontal_epsg, is_geographic, reproject
+from terraframe.functions.crs import horizontal_epsg, reproject
+from terraframe.functions.crs_columns import DEGREES, METRES, moved_over, same_crs
 from terraframe.functions.rules import boxes_meet
 from terraframe.operators.boxes import overlap_area, overlap_join
 
-# Coverage an image needs to colour a cloud; practical CRS
-# equality in metres and degrees; samples of the CRS tests.
+# Coverage an image needs to colour a cloud; samples along an
+# edge of an extent that is transformed.
 MIN_COVERAGE = 0.25
-SAME_CRS_METRES, SAME_CRS_DEGREES = 1e-3, 1e-8
-CRS_SAMPLES, EDGE_SAMPLES = 5, 21
+EDGE_SAMPLES = 21
 
 
 def union_bounds(catalogs: list[DataFrame]) -> DataFrame:
@@ -69,24 +69,19 @@ def is_declared(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) != ""
 
 
-def same_declared_crs(a: Column, b: Column) -> Column:
-    """Whether two CRS texts name one horizontal CRS: by their codes if both have one, else by the text.
+def crs_mismatch(catalog: DataFrame, scene: Column) -> DataFrame:
+    """Inputs in another horizontal CRS than ``scene`` (``wkt``): clouds flagged, rasters to be warped.
 
-    Two custom CRSs without a code differ unless they are spelt alike.
+    catalog: ``kind``, ``wkt`` and ``box``, the input's extent in its own
+    CRS. CRSs that are the same in practice over that extent do not differ.
     """
-    code_a, code_b = horizontal_epsg(a), horizontal_epsg(b)
-    return F.when((code_a != 0) & (code_b != 0), code_a == code_b).otherwise(F.trim(a) == F.trim(b))
-
-
-def crs_mismatch(catalog: DataFrame, scene: Column) -> DataFrame:
-    """Inputs in another horizontal CRS than ``scene`` (``wkt``): clouds flagged, rasters to be warped."""
-    same = F.coalesce(same_declared_crs(F.col("wkt"), scene["wkt"]), F.lit(False))
-    return catalog.withColumn("epsg", horizontal_epsg("wkt")).withColumn(
+    named = catalog.withColumn("__scene", scene["wkt"]).withColumn("epsg", horizontal_epsg("wkt"))
+    return named.withColumn(
         "action",
-        F.when(~is_declared(F.col("wkt")) | same, "none")
+        F.when(~is_declared(F.col("wkt")) | same_crs("wkt", "__scene", F.col("box")), "none")
         .when(F.col("kind") == "cloud", "misplaced")
         .otherwise("warp"),
-    )
+    ).drop("__scene")
 
 
 def classify_inputs(files: DataFrame) -> DataFrame:
@@ -158,15 +153,14 @@ def image_coverage(clouds: DataFrame, images: DataFrame) -> DataFrame:
 
     ``clouds``: file_id, cloud_box, cloud_crs; ``images``: image_id,
     image_box (null: not georeferenced), image_crs (texts). An image colours a
-    cloud when it covers a quarter of it in the same CRS; a cloud that
-    declares none is taken to be in the image's.
+    cloud when it covers a quarter of it in the same CRS, by declaration or
+    in practice over the cloud; a cloud that declares none is taken to be in the image's.
     """
     b = F.col("cloud_box")
     area = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"])
     covered = overlap_area(b, F.col("image_box"))
     pairs = overlap_join(clouds, images.where(F.col("image_box").isNotNull()), "cloud_box", "image_box")
-    alike = same_declared_crs(F.col("cloud_crs"), F.col("image_crs"))
-    same = ~is_declared(F.col("cloud_crs")) | F.coalesce(alike, F.lit(False))
+    same = ~is_declared(F.col("cloud_crs")) | same_crs("cloud_crs", "image_crs", b)
     return pairs.select(
         "file_id",
         "image_id",
@@ -220,30 +214,17 @@ def edge_extent(boxes: DataFrame, source, target) -> DataFrame:
     )
 
 
-def same_crs_in_practice(boxes: DataFrame, source, target) -> DataFrame:
-    """Whether two CRSs place a 5 x 5 grid over each box within 1 mm (1e-8 degrees).
+def same_crs_in_practice(boxes: DataFrame, source: Column, target: Column) -> DataFrame:
+    """Whether two CRSs place a 5 x 5 grid over each box (id, minx..maxy) within 1 mm (1e-8 degrees).
 
-    CRSs of different kinds (geographic, projected) are never the same.
+    source, target: parameters of each row's CRSs, as ``crs_parameters`` or
+    ``known_parameters`` give them. CRSs of different kinds (geographic,
+    projected) are never the same: ``moved`` is null.
     """
-    if is_geographic(source) != is_geographic(target):
-        return boxes.select("id", F.lit(None).cast("double").alias("moved"), F.lit(False).alias("same"))
-    limit = SAME_CRS_DEGREES if is_geographic(target) else SAME_CRS_METRES
-    steps = F.sequence(F.lit(0), F.lit(CRS_SAMPLES - 1))
-    last = float(CRS_SAMPLES - 1)
-    x = F.col("minx") + (F.col("maxx") - F.col("minx")) * F.col("i") / F.lit(last)
-    y = F.col("miny") + (F.col("maxy") - F.col("miny")) * F.col("j") / F.lit(last)
-    grid = (
-        boxes.withColumn("i", F.explode(steps))
-        .withColumn("j", F.explode(steps))
-        .select("id", x.alias("x"), y.alias("y"))
-    )
-    nx, ny = reproject("x", "y", source, target)
-    moved = F.greatest(F.abs(nx - F.col("x")), F.abs(ny - F.col("y")))
-    return (
-        grid.groupBy("id")
-        .agg(F.max(moved).alias("moved"))
-        .withColumn("same", F.col("moved") <= limit)
-    )
+    box = F.struct("minx", "miny", "maxx", "maxy")
+    limit = F.when(target["geographic"], F.lit(DEGREES)).otherwise(F.lit(METRES))
+    moved = boxes.select("id", moved_over(box, source, target).alias("moved"), limit.alias("__limit"))
+    return moved.select("id", "moved", F.coalesce(F.col("moved") <= F.col("__limit"), F.lit(False)).alias("same"))
 
 
 def nodes_for_box(nodes: DataFrame, query: Column) -> DataFrame:

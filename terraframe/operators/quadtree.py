@@ -4,16 +4,14 @@ A level-L cell covers pixels ``ix*cw .. (ix+1)*cw`` with
 ``cw = (width-1) / (coarse * 2^L)``. Cells may only stay whole once they span
 at most ``max_span`` pixels, so nothing is decided above the first level that
 is that fine. One cell of that level (a *root* here) is at most about
-``max_span`` pixels a side: pixels are packed once into root blocks, and
-everything below a root is worked out where its block is. A raster of any
-size is many small roots.
+``max_span`` pixels a side: pixels are packed once into root blocks
+(:mod:`terraframe.operators.roots`), and everything below a root is worked
+out where its block is. A raster of any size is many small roots.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions.frame import (
@@ -23,49 +21,22 @@ from terraframe.functions.frame import (
     texel_uv,
     to_scene,
 )
-from terraframe.functions.rules import level_for_span
-from terraframe.operators.blocks import BLOCK, pack, to_blocks
+from terraframe.operators import descent
+from terraframe.operators.blocks import BLOCK, to_blocks
 from terraframe.operators.lookup import join_catalog
+from terraframe.operators.roots import (  # noqa: F401
+    ANGLE,
+    COARSE,
+    MAX_LEVEL,
+    MAX_SPAN,
+    deepest_level,
+    root_blocks,
+    tree_geometry,
+)
 from terraframe.operators.sampling import sample_filled
-from terraframe.session import checkpointed, spread
-
-# Root cells per side, widest leaf in pixels, tolerance angle
-# in degrees, deepest level unless the span asks for more.
-COARSE, MAX_SPAN, ANGLE, MAX_LEVEL = 8, 64.0, 1.0, 5
+from terraframe.session import stored
 
 CELL = ["raster_id", "level", "ix", "iy"]
-ROOT = ["raster_id", "rx", "ry"]
-_GEOMETRY = ["width", "height", "pw", "ph", "cw0", "ch0", "root_level", "max_level"]
-
-
-def tree_geometry(
-    catalog: DataFrame, coarse: int = COARSE, max_level: int = MAX_LEVEL, max_span: float = MAX_SPAN
-) -> DataFrame:
-    """Per raster: level-0 cell size, first level within the span, deepest level."""
-    sized = catalog.select(
-        "raster_id",
-        "width",
-        "height",
-        F.abs("a").alias("pw"),
-        F.abs("e").alias("ph"),
-        ((F.col("width") - 1) / float(coarse)).alias("cw0"),
-        ((F.col("height") - 1) / float(coarse)).alias("ch0"),
-    )
-    return sized.withColumn("root_level", level_for_span("cw0", "ch0", max_span)).withColumn(
-        "max_level", F.greatest(F.col("root_level"), F.lit(max_level))
-    )
-
-
-def deepest_level(
-    catalog: DataFrame, coarse: int = COARSE, max_level: int = MAX_LEVEL, max_span: float = MAX_SPAN
-) -> int:
-    """The deepest level of any raster: the lattice on which leaves of all of them are compared.
-
-    A raster too large for ``max_level`` starts deeper than that; what works
-    on leaves takes this number instead (an aggregate of the catalog).
-    """
-    found = tree_geometry(catalog, coarse, max_level, max_span).agg(F.max("max_level")).first()[0]
-    return max_level if found is None else int(found)
 
 
 def within_lattice(leaves: DataFrame, max_level: int) -> DataFrame:
@@ -74,34 +45,6 @@ def within_lattice(leaves: DataFrame, max_level: int) -> DataFrame:
     return leaves.withColumn("level", F.when(F.col("level") <= max_level, F.col("level")).otherwise(deep.cast("int")))
 
 
-def _near(index: str, cell0: str) -> str:
-    """Root cells (one axis) whose block holds a pixel: floor(lo) .. floor(hi)+1."""
-    size = f"({cell0} / __parts)"
-    first = f"greatest(cast(floor(({index} - 1) / {size}) AS int) - 1, 0)"
-    last = f"least(cast(floor(({index} + 1) / {size}) AS int), __roots - 1)"
-    return (
-        f"explode(filter(sequence(least({first}, {last}), {last}), k ->"
-        f" k >= 0 AND floor(k * {size}) <= {index} AND {index} <= floor(k * {size} + {size}) + 1))"
-    )
-
-
-def root_blocks(pixels: DataFrame, geometry: DataFrame, coarse: int = COARSE) -> DataFrame:
-    """Pixels (v, filled) packed into one block per root cell, with the raster's geometry."""
-    placed = (
-        join_catalog(
-            pixels.select("raster_id", "row", "col", "v", "filled"),
-            geometry.select("raster_id", *_GEOMETRY),
-            "raster_id",
-            ["row", "col"],
-        )
-        .selectExpr("*", "pow(2D, cast(root_level AS double)) AS __parts")
-        .selectExpr("*", f"cast({coarse} * __parts AS int) AS __roots")
-        .selectExpr("*", f"{_near('col', 'cw0')} AS rx")
-        .selectExpr("*", f"{_near('row', 'ch0')} AS ry")
-    )
-    return pack(placed, ROOT, ["v", "filled"], _GEOMETRY)
-
-
 def cell_stats(
     pixels: DataFrame,
     catalog: DataFrame,
@@ -114,117 +57,9 @@ def cell_stats(
     ``pixels`` has v and filled. ``deviation`` is the largest distance of a
     known pixel from the bilinear patch through the cell's corners, borders
     included; ``unknown`` counts the unknown among corners and centre;
-    ``centre_unknown`` is the centre alone. Cells are generated and their
-    pixels compared inside each root block; since blocks are already
-    partitioned by root, the final aggregation does not shuffle again.
+    ``centre_unknown`` is the centre alone. Worked out inside each root block.
     """
-    geometry = tree_geometry(catalog, coarse, max_level, max_span)
-    blocks = root_blocks(pixels, geometry, coarse)
-
-    def axis(name: str, low: str, size: str, count: str) -> list[str]:
-        """Both ends of a cell on one axis: pixel before, fraction past it."""
-        out = []
-        for k, end in enumerate((low, f"{low} + {size}")):
-            x = f"least(greatest({end}, 0D), {count} - 1D)"
-            out += [f"cast(floor({x}) AS int) AS {name}{k}", f"{x} - floor({x}) AS f{name}{k}"]
-        return out
-
-    def nearest(low: str, size: str, count: str, share: str) -> str:
-        return f"cast(least(floor({low} + {size} * {share} + 0.5D), {count} - 1) AS int)"
-
-    def gap(x: str, y: str) -> str:
-        c, r = nearest("pcol", "cw", "width", x), nearest("prow", "ch", "height", y)
-        return f"CASE WHEN get(v, ({r} - row0) * bw + {c} - col0) IS NULL THEN 1 ELSE 0 END"
-
-    def height(i: int, j: int) -> str:
-        at = f"(r{j} - row0) * bw + c{i} - col0"
-        parts = [
-            (f"(1 - fc{i}) * (1 - fr{j})", at),
-            (f"fc{i} * (1 - fr{j})", f"{at} + 1"),
-            (f"(1 - fc{i}) * fr{j}", f"{at} + bw"),
-            (f"fc{i} * fr{j}", f"{at} + bw + 1"),
-        ]
-        # A zero weight may point past the block: its value is not looked at.
-        return " + ".join(f"CASE WHEN {w} > 0 THEN {w} * get(filled, {p}) ELSE 0D END" for w, p in parts)
-
-    def inside(low: str, size: str, count: str) -> str:
-        first = f"cast(ceil({low}) AS int)"
-        last = f"least(cast(floor({low} + {size}) AS int), {count} - 1)"
-        return f"CASE WHEN {first} <= {last} THEN sequence({first}, greatest({first}, {last})) END"
-
-    cells = (
-        blocks.selectExpr("*", "explode(sequence(root_level, max_level)) AS level")
-        .selectExpr("*", "shiftleft(1, level - root_level) AS __k", "pow(2D, cast(level AS double)) AS __n")
-        .selectExpr("*", "explode(sequence(rx * __k, rx * __k + __k - 1)) AS ix")
-        .selectExpr("*", "explode(sequence(ry * __k, ry * __k + __k - 1)) AS iy")
-        .selectExpr("*", "cw0 / __n AS cw", "ch0 / __n AS ch")
-        .selectExpr("*", "ix * cw AS pcol", "iy * ch AS prow")
-        .selectExpr(
-            "*",
-            *axis("c", "pcol", "cw", "width"),
-            *axis("r", "prow", "ch", "height"),
-            " + ".join(gap(x, y) for x in ("0", "1") for y in ("0", "1")) + " AS __corners",
-            gap("0.5D", "0.5D") + " AS centre_unknown",
-        )
-        .selectExpr(
-            *ROOT, "level", "ix", "iy", "cw", "ch", "pw", "ph", "root_level", "max_level",
-            "width", "height", "pcol", "prow", "row0", "col0", "bw", "v", "centre_unknown",
-            "__corners + centre_unknown AS unknown",
-            *(f"{height(i, j)} AS e{i}{j}" for i in (0, 1) for j in (0, 1)),
-        )
-    )
-    # A cell narrower than a pixel may hold no pixel centre: it keeps one row
-    # without a pixel, hence explode_outer.
-    tested = (
-        cells.selectExpr("*", f"explode_outer({inside('prow', 'ch', 'height')}) AS r")
-        .selectExpr("*", f"explode_outer({inside('pcol', 'cw', 'width')}) AS c")
-        .selectExpr("*", "(r - prow) / ch AS __t", "(c - pcol) / cw AS __s")
-        .selectExpr("*", "e00 + (e01 - e00) * __t AS __left", "e10 + (e11 - e10) * __t AS __right")
-        .selectExpr(
-            "*",
-            "abs(get(v, (r - row0) * bw + c - col0) - (__left + (__right - __left) * __s)) AS gap",
-        )
-    )
-    return tested.groupBy(*ROOT, "level", "ix", "iy").agg(
-        F.expr("coalesce(max(gap), 0D)").alias("deviation"),
-        *(
-            F.first(k).alias(k)
-            for k in ("unknown", "centre_unknown", "cw", "ch", "pw", "ph", "root_level", "max_level")
-        ),
-    )
-
-
-def _interleave(x: str, y: str, bits: int) -> str:
-    """Z-order number of a position inside a root."""
-    terms = []
-    for k in range(bits):
-        terms.append(f"shiftleft(shiftright({x}, {k}) & 1L, {2 * k})")
-        terms.append(f"shiftleft(shiftright({y}, {k}) & 1L, {2 * k + 1})")
-    return " | ".join(terms) if terms else "0L"
-
-
-def blank_roots(
-    pixels: DataFrame, catalog: DataFrame, coarse: int, max_level: int, max_span: float
-) -> DataFrame:
-    """Roots below a cell whose five samples are all unknown: such a cell goes whole."""
-    geometry = tree_geometry(catalog, coarse, max_level, max_span)
-    lines = (
-        geometry.where("root_level > 0")
-        .selectExpr("*", "explode(sequence(0, root_level - 1)) AS level")
-        .selectExpr("*", f"cast({coarse} * pow(2D, cast(level AS double)) AS int) AS n")
-        .selectExpr("*", "explode(sequence(0, n - 1)) AS iy")
-    )
-    cells = spread(lines, "raster_id", "level", "iy").selectExpr(
-        "*", "explode(sequence(0, n - 1)) AS ix"
-    )
-    blank = _sampled_unknown(cells, pixels).where("unknown = 5")
-    return (
-        blank.join(geometry.select("raster_id", "root_level"), "raster_id")
-        .selectExpr("*", "shiftleft(1, root_level - level) AS __k")
-        .selectExpr("*", "explode(sequence(ix * __k, ix * __k + __k - 1)) AS rx")
-        .selectExpr("*", "explode(sequence(iy * __k, iy * __k + __k - 1)) AS ry")
-        .select(*ROOT)
-    )
+    return descent.cell_stats(root_blocks(pixels, catalog, coarse, max_span), max_level)
 
 
 def _sampled_unknown(cells: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -269,43 +104,11 @@ def quadtree_leaves(
     A cell stays whole when none of its samples is unknown, it spans at most
     ``max_span`` pixels and its deviation is within the tolerance angle. It
     is dropped when all samples are unknown, and at the deepest level when
-    its centre is. All levels are judged at once; a cell then survives if no
-    ancestor ended before it. In Z-order an ancestor's interval contains its
-    descendants', so one running maximum per root settles that.
+    its centre is. The rasters are packed into root blocks and judged there
+    (:mod:`terraframe.operators.descent`); with a stored block table call
+    ``leaves_of_blocks`` instead, which reads no pixel table.
     """
-    stats = cell_stats(pixels, catalog, coarse, max_level, max_span)
-    tangent = math.tan(math.radians(angle))
-    fate = (
-        "CASE WHEN unknown = 5 THEN 'drop'"
-        f" WHEN unknown = 0 AND greatest(cw, ch) <= {float(max_span)!r}D"
-        f" AND deviation <= {tangent!r}D * least(cw * pw, ch * ph) * 0.5D THEN 'leaf'"
-        " WHEN level < max_level THEN 'split'"
-        " WHEN unknown > 0 AND centre_unknown = 1 THEN 'drop' ELSE 'leaf' END AS fate"
-    )
-    # Below a root there are at most max_level levels, whatever its own level.
-    marked = (
-        stats.selectExpr(
-            "*",
-            "shiftleft(1, max_level - level) AS __size",
-            "shiftleft(1, level - root_level) AS __k",
-        )
-        .selectExpr(
-            *CELL, "rx", "ry", fate, "__size",
-            "cast((ix - rx * __k) * __size AS bigint) AS __x",
-            "cast((iy - ry * __k) * __size AS bigint) AS __y",
-        )
-        .selectExpr("*", f"{_interleave('__x', '__y', max_level)} AS z0")
-        .selectExpr("*", "z0 + cast(__size AS bigint) * __size AS z1")
-    )
-    order = (
-        Window.partitionBy(*ROOT).orderBy("z0", "level").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ended = F.max(F.expr("CASE WHEN fate <> 'split' THEN z1 END")).over(order)
-    reached = marked.withColumn("__end", ended).where(
-        "fate = 'leaf' AND (__end IS NULL OR __end <= z0)"
-    )
-    blank = blank_roots(pixels, catalog, coarse, max_level, max_span)
-    return reached.select(*CELL, "rx", "ry").join(blank, ROOT, "left_anti").select(*CELL)
+    return descent.leaves_of_blocks(root_blocks(pixels, catalog, coarse, max_span), max_level, angle, max_span)
 
 
 def leaf_at(probes: DataFrame, leaves: DataFrame, keys: list[str], max_level: int) -> DataFrame:
@@ -370,17 +173,19 @@ def balance_leaves(leaves: DataFrame, max_level: int) -> DataFrame:
     parent, cells of level L-1 at least. Any coarser leaf there is split down
     to that cell, and the new leaves take part in the later, coarser steps.
     Every split is one that any balanced refinement must make, so the result
-    is the same as repeating simultaneous passes until nothing changes. The
-    lineage is cut after each step.
+    is the same as repeating simultaneous passes until nothing changes. Only
+    what a step breaks is written; a step that breaks nothing costs one look.
     """
-    current = checkpointed(within_lattice(leaves.select(*CELL), max_level))
+    current = stored(within_lattice(leaves.select(*CELL), max_level))
     for level in range(max_level, 1, -1):
-        current = checkpointed(_balance_step(current, level))
+        broken = stored(_broken(current, level))
+        if not broken.isEmpty():
+            current = stored(current.unionByName(children(broken)).join(broken, CELL, "left_anti"))
     return current
 
 
-def _balance_step(leaves: DataFrame, level: int) -> DataFrame:
-    """Make room beside the leaves of one level."""
+def _broken(leaves: DataFrame, level: int) -> DataFrame:
+    """Cells that stop being leaves so that there is room beside the leaves of one level."""
     fine = leaves.where(F.col("level") == level)
     px, py = F.expr("shiftright(ix, 1)"), F.expr("shiftright(iy, 1)")
     # Only the outer sides: the inner neighbours are siblings.
@@ -406,9 +211,9 @@ def _balance_step(leaves: DataFrame, level: int) -> DataFrame:
         .withColumn("iy", F.expr(f"shiftright(wy, {wl} - level)"))
         .join(leaves, CELL, "left_semi")
     )
-    # Cells that stop being leaves, from the covering leaf down to the parent
-    # of the wanted cell; their children that are not among them are leaves.
-    broken = (
+    # From the covering leaf down to the parent of the wanted cell; their
+    # children that are not among them are leaves.
+    return (
         covering.withColumn("k", F.explode(F.sequence(F.col("level"), F.lit(wl - 1))))
         .select(
             "raster_id",
@@ -418,7 +223,6 @@ def _balance_step(leaves: DataFrame, level: int) -> DataFrame:
         )
         .distinct()
     )
-    return leaves.unionByName(children(broken)).join(broken, CELL, "left_anti")
 
 
 def children(cells: DataFrame) -> DataFrame:

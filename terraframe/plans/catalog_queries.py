@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import frame, rules
-from terraframe.functions.crs import LAMBERT_WGS84, horizontal_epsg
+from terraframe.functions.crs import horizontal_epsg
+from terraframe.functions.crs_columns import crs_parameters
 from terraframe.operators import catalog as K
 from terraframe.operators.boxes import box
 from terraframe.operators.lookup import join_catalog
@@ -19,26 +20,37 @@ WKT = (
     'AUTHORITY["EPSG","2154"]],VERT_CS["NGF-IGN69 height",AUTHORITY["EPSG","5720"]]]'
 )
 SITE, MINE = 'LOCAL_CS["site grid"]', 'LOCAL_CS["mine grid"]'
-TEXTS = ["EPSG:2154", "EPSG:2154+5720", WKT, "", "EPSG:4326", SITE, MINE]
+# One custom cone, spelt twice, and the projection of EPSG:2154 on another ellipsoid, without a code.
+CONE = (
+    'PROJCS["valley",GEOGCS["g",DATUM["d",SPHEROID["GRS 1980",6378137,298.257222101]],UNIT["degree",0.0174532925199433]],'
+    'PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["standard_parallel_1",45.5],PARAMETER["standard_parallel_2",46.75],'
+    'PARAMETER["latitude_of_origin",46],PARAMETER["central_meridian",6.25],PARAMETER["false_easting",500000],'
+    'PARAMETER["false_northing",1000000.5],UNIT["metre",1]]'
+)
+CONE_PROJ = "+proj=lcc +lat_0=46.0 +lon_0=6.25 +lat_1=45.5 +lat_2=46.75 +x_0=5e5 +y_0=1000000.5 +ellps=GRS80 +units=m +no_defs"
+LAMBERT_PROJ = "+proj=lcc +lat_0=46.5 +lon_0=3 +lat_1=49 +lat_2=44 +x_0=700000 +y_0=6600000 +ellps=WGS84 +units=m"
+TEXTS = ["EPSG:2154", "EPSG:2154+5720", WKT, CONE, "", "EPSG:4326", SITE, MINE, CONE_PROJ, LAMBERT_PROJ]
 
 _INPUTS_SQL = f"""
  SELECT s_suppkey AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'cloud' WHEN 1 THEN 'dem' ELSE 'ortho' END AS kind,
-  s_nationkey AS scene, s_suppkey % 7 AS t,
-  CASE WHEN s_suppkey % 7 < 3 THEN 2154 WHEN s_suppkey % 7 = 4 THEN 4326 ELSE 0 END AS epsg
+  s_nationkey AS scene, s_suppkey % 10 AS t,
+  CASE WHEN s_suppkey % 10 < 3 THEN 2154 WHEN s_suppkey % 10 = 5 THEN 4326 ELSE 0 END AS epsg
  FROM supplier"""
-# One number a horizontal CRS: what has no code counts by its text.
-_SAME = "CASE WHEN epsg <> 0 THEN epsg ELSE -t END"
+# One number a horizontal CRS: what is the same in practice has the same number.
+_SAME = "CASE t WHEN 0 THEN 2154 WHEN 1 THEN 2154 WHEN 2 THEN 2154 WHEN 9 THEN 2154 WHEN 3 THEN 1 WHEN 8 THEN 1 ELSE -t END"
 
 
 def inputs(c: Collection) -> DataFrame:
-    """One declared input per supplier, grouped into one scene per nation."""
+    """One declared input per supplier with its extent, grouped into one scene per nation."""
     s = F.col("s_suppkey")
+    x, y = (s % 32) * 250.0 + 983000.0, F.floor(s / 32) * 250.0 + 6547000.0
     text = F.get(F.array(*map(F.lit, TEXTS)), (s % len(TEXTS)).cast("int"))
     return c.table("supplier").select(
         s.alias("ord"),
         F.when(s % 3 == 0, "cloud").when(s % 3 == 1, "dem").otherwise("ortho").alias("kind"),
         F.col("s_nationkey").alias("scene"),
         text.alias("wkt"),
+        box(x, y, x + 250.0, y + 250.0).alias("box"),
     )
 
 
@@ -50,7 +62,7 @@ def _(c: Collection):
 @query(
     "scene_crs",
     with_sql("inputs", extra={"inputs": _INPUTS_SQL})
-    + """SELECT CAST(epsg AS INTEGER) AS epsg, ord, kind FROM inputs WHERE t <> 3
+    + """SELECT CAST(epsg AS INTEGER) AS epsg, ord, kind FROM inputs WHERE t <> 4
       ORDER BY CASE kind WHEN 'cloud' THEN 0 WHEN 'dem' THEN 1 ELSE 2 END, ord LIMIT 1""",
 )
 def _(c: Collection):
@@ -67,8 +79,8 @@ def _(c: Collection):
 @query(
     "crs_mismatch",
     with_sql("inputs", extra={"inputs": _INPUTS_SQL})
-    + f"""SELECT ord, kind, CAST(epsg AS INTEGER) AS epsg, CASE WHEN t = 3 OR {_SAME} = (
-        SELECT {_SAME} FROM inputs WHERE t <> 3
+    + f"""SELECT ord, kind, CAST(epsg AS INTEGER) AS epsg, CASE WHEN t = 4 OR {_SAME} = (
+        SELECT {_SAME} FROM inputs WHERE t <> 4
         ORDER BY CASE kind WHEN 'cloud' THEN 0 WHEN 'dem' THEN 1 ELSE 2 END, ord LIMIT 1) THEN 'none'
       WHEN kind = 'cloud' THEN 'misplaced' ELSE 'warp' END AS action FROM inputs""",
 )
@@ -149,15 +161,15 @@ def _(c: Collection):
     + f"""SELECT file_id, image_id, {q('coverage')} AS coverage, same_crs, same_crs AND coverage >= 0.25e0 AS colours
       FROM (SELECT a.file_id, g.raster_id AS image_id,
         CASE WHEN {_MEET} THEN {_PAIR_AREA} ELSE 0e0 END / ((a.maxx-a.minx)*(a.maxy-a.miny)) AS coverage,
-        a.file_id % 4 = 0 OR a.file_id % 4 = 1 AND g.raster_id % 5 = 0
-          OR a.file_id % 4 = 2 AND g.raster_id % 2 = 0 AND g.raster_id % 5 <> 0 AS same_crs
+        a.file_id % 5 = 0 OR a.file_id % 5 = 1 AND g.raster_id % 5 = 0
+          OR a.file_id % 5 IN (2, 4) AND g.raster_id % 2 = 0 AND g.raster_id % 5 <> 0 AS same_crs
       FROM bounds a JOIN (SELECT raster_id, minx - (raster_id % 3)*80e0 AS minx, maxx - (raster_id % 3)*80e0 AS maxx,
         miny, maxy FROM image_box) g
       ON a.minx <= g.maxx AND a.maxx >= g.minx AND a.miny <= g.maxy AND a.maxy >= g.miny)""",
 )
 def _(c: Collection):
     f = F.col("file_id")
-    crs = F.when(f % 4 == 0, "").when(f % 4 == 1, SITE).when(f % 4 == 2, "EPSG:2154").otherwise("EPSG:27572")
+    crs = F.when(f % 5 == 0, "").when(f % 5 == 1, SITE).when(f % 5 == 2, "EPSG:2154").when(f % 5 == 3, "EPSG:27572").otherwise(LAMBERT_PROJ)
     clouds = c.bounds.select(
         "file_id",
         box(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("cloud_box"),
@@ -373,18 +385,16 @@ def _(c: Collection):
 
 @query(
     "same_crs_in_practice",
-    """SELECT s_suppkey AS id, 'lambert' AS compared, true AS same FROM supplier UNION ALL
-       SELECT s_suppkey, 'geographic', false FROM supplier""",
+    with_sql("inputs", extra={"inputs": _INPUTS_SQL})
+    + f"""SELECT ord AS id, 'lambert' AS compared, {_SAME} = 2154 AS same FROM inputs
+      UNION ALL SELECT ord, 'cone', {_SAME} = 1 FROM inputs""",
 )
 def _(c: Collection):
-    """The same projection on two ellipsoids moves nothing; degrees are never metres."""
-    x, y = F.col("x0") + 983000.0, F.col("y0") + 6547000.0
-    projected = c.squares.select(
-        F.col("raster_id").alias("id"), x.alias("minx"), y.alias("miny"),
-        (x + 250.0).alias("maxx"), (y + 250.0).alias("maxy"),
-    )
-    same = K.same_crs_in_practice(projected, LAMBERT_WGS84, 2154)
-    other = K.same_crs_in_practice(projected, 4326, 2154)
-    return same.select("id", F.lit("lambert").alias("compared"), "same").unionByName(
-        other.select("id", F.lit("geographic").alias("compared"), "same")
-    )
+    """Each input's CRS against two others, over its own extent; degrees are never metres, what is not understood is nothing."""
+    declared = inputs(c).select(F.col("ord").alias("id"), "wkt", "box.*")
+    own = crs_parameters("wkt")
+    out = [
+        K.same_crs_in_practice(declared, own, crs_parameters(F.lit(text))).select("id", F.lit(name).alias("compared"), "same")
+        for name, text in (("lambert", "EPSG:2154"), ("cone", CONE_PROJ))
+    ]
+    return out[0].unionByName(out[1])

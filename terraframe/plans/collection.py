@@ -7,6 +7,7 @@ tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from terraframe.operators.catalog import as_scalar, scene_frame
 from terraframe.operators.lod import with_eye
 from terraframe.operators.lookup import join_catalog
 from terraframe.operators.points import (
+    assign_depth,
     cloud_bounds,
     point_spacing,
     points_to_tiles,
@@ -24,6 +26,8 @@ from terraframe.operators.points import (
     tile_pca,
 )
 from terraframe.operators.raster import fill_nearest, grid_pixels, points_to_raster
+from terraframe.session import shared_dir, stored
+from terraframe.sources.tables import write_lod_points
 
 SQUARE = 250.0
 ACROSS = 32
@@ -34,6 +38,14 @@ class Collection:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
+
+    def once(self, name: str, make) -> DataFrame:
+        """A derived table that several steps look at: written once a collection."""
+        if name not in self._kept:
+            self._kept[name] = stored(make())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -56,7 +68,7 @@ class Collection:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return cloud_bounds(self.points)
+        return self.once("bounds", lambda: cloud_bounds(self.points))
 
     @cached_property
     def frame(self) -> DataFrame:
@@ -165,6 +177,15 @@ class Collection:
     def tiled(self) -> DataFrame:
         return points_to_tiles(self.points, self.bounds)
 
+    def lod_table(self, spacing: float, depths: int) -> str:
+        """Path of the points' multi-resolution table, written once a collection."""
+        path = f"{shared_dir(self.spark).rstrip('/')}/tables/lod-{uuid.uuid4().hex}"
+        if "lod" not in self._paths:
+            leveled = assign_depth(points_to_tiles(self.points, self.bounds), self.bounds, spacing, depths)
+            write_lod_points(leveled, path)
+            self._paths["lod"] = path
+        return self._paths["lod"]
+
     @cached_property
     def scene_points(self) -> DataFrame:
         """Points with scene coordinates gx (east), gy (up), gz (south)."""

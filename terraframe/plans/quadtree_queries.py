@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from terraframe.functions.frame import geo_struct
 from terraframe.operators import quadtree as Q
 from terraframe.operators.catalog import as_scalar
+from terraframe.operators.descent import cell_stats, drop_unknown_splits, leaves_of_blocks
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import fixed as q, lround, with_sql
-from terraframe.session import checkpointed
 
 SETUP = {"coarse": 2, "max_level": 3, "max_span": 8.0}
 ANGLE = 60.0
@@ -105,12 +105,12 @@ _TREE = {
 }
 
 
-def stats(c: Collection) -> DataFrame:
-    return Q.cell_stats(c.dsm_filled, c.dsm_catalog, **SETUP)
+def blocks(c: Collection) -> DataFrame:
+    return c.once("root_blocks", lambda: Q.root_blocks(c.dsm_filled, c.dsm_catalog, SETUP["coarse"], SETUP["max_span"]))
 
 
 def leaves(c: Collection) -> DataFrame:
-    return Q.quadtree_leaves(c.dsm_filled, c.dsm_catalog, angle=ANGLE, **SETUP)
+    return c.once("leaves", lambda: leaves_of_blocks(blocks(c), SETUP["max_level"], ANGLE, SETUP["max_span"]))
 
 
 def balanced(c: Collection) -> DataFrame:
@@ -119,7 +119,7 @@ def balanced(c: Collection) -> DataFrame:
 
 def kept(c: Collection) -> DataFrame:
     """The final leaves, stored: what follows looks them up several times."""
-    return checkpointed(Q.drop_unknown_leaves(balanced(c), c.dsm, c.dsm_catalog, SETUP["coarse"]))
+    return c.once("kept_leaves", lambda: drop_unknown_splits(balanced(c), leaves(c), blocks(c)))
 
 
 @query(
@@ -128,7 +128,7 @@ def kept(c: Collection) -> DataFrame:
     + f"SELECT raster_id, level, ix, iy, {q('deviation')} AS deviation FROM dev WHERE level > 0",
 )
 def _(c: Collection):
-    return stats(c).select(*CELL, *fixed_as(deviation="deviation"))
+    return cell_stats(blocks(c), SETUP["max_level"]).select(*CELL, *fixed_as(deviation="deviation"))
 
 
 @query(

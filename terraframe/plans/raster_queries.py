@@ -11,6 +11,7 @@ from terraframe.operators import raster as R
 from terraframe.operators.blocks import to_blocks
 from terraframe.operators.boxes import box, overlap_join
 from terraframe.operators.catalog import as_scalar
+from terraframe.operators.sampling import sample_image
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import (
@@ -490,26 +491,30 @@ _TINT_EXTRA = {"cover": _COVER, "shaded": _DTM_SHADE}
 
 @query(
     "ground_tint",
-    with_sql("shaded", "cover", "image", "dtm", extra=_TINT_EXTRA)
+    with_sql("shaded", "cover", "image", "dtm", "dtm_catalog", "image_catalog", extra=_TINT_EXTRA)
     + f"""SELECT t.raster_id, t.row, t.col, {_tint(0, 'r')} AS r, {_tint(1, 'g')} AS g, {_tint(2, 'b')} AS b
       FROM dtm t JOIN shaded s USING (raster_id, row, col) JOIN cover c USING (raster_id, row, col)
       JOIN (SELECT min(v) AS lo, max(v) AS hi FROM dtm) ON true
-      LEFT JOIN image m ON m.raster_id = t.raster_id AND m.row = t.row*4 AND m.col = t.col*4 AND t.raster_id % 2 = 0
+      JOIN dtm_catalog g ON g.raster_id = t.raster_id JOIN image_catalog i ON i.raster_id = t.raster_id
+      LEFT JOIN image m ON m.raster_id = t.raster_id AND t.raster_id % 2 = 0
+       AND m.col = CAST(round((g.c + g.a*t.col - i.c)/i.a) AS INTEGER) AND m.row = CAST(round((g.f + g.e*t.row - i.f)/i.e) AS INTEGER)
       WHERE t.v IS NOT NULL""",
 )
 def _(c: Collection):
-    """Half of the terrains carry an image, the others the ramp."""
+    """Half of the terrains carry an image, sampled at each of their pixels; the others, and pixels outside it, the ramp.
+
+    Terrain pixels fall on centres of image pixels here, so the twin needs no weights.
+    """
     scale = as_scalar(R.shared_ramp(R.dem_range(c.dtm)))
-    image = c.image.where((F.col("row") % 4 == 0) & (F.col("col") % 4 == 0) & (F.col("raster_id") % 2 == 0)).select(
-        "raster_id",
-        (F.col("row") / 4).cast("int").alias("row"),
-        (F.col("col") / 4).cast("int").alias("col"),
-        F.struct(*((F.col(k) / 255.0).alias(k) for k in "rgb")).alias("image"),
+    known = c.dtm.where(F.col("v").isNotNull())
+    flown = c.squares.where(F.col("raster_id") % 2 == 0).select(F.col("raster_id").alias("grid_id"), F.col("raster_id").alias("source_id"))
+    placed = R.on_raster(known.select(*PIXEL), flown, c.dtm_catalog, c.image_catalog)
+    image = sample_image(placed, to_blocks(c.image, ["r", "g", "b"]), outs=("ir", "ig", "ib")).where("NOT outside").select(
+        F.col("grid_id").alias("raster_id"), "row", "col", F.struct(*(F.col(f"i{k}").alias(k) for k in "rgb")).alias("image")
     )
     shaded = R.hillshade(c.dtm_filled, c.dtm_catalog)
     joined = (
-        c.dtm.where(F.col("v").isNotNull())
-        .join(shaded.select(*PIXEL, "shade"), PIXEL)
+        known.join(shaded.select(*PIXEL, "shade"), PIXEL)
         .join(cover(c), PIXEL)
         .join(image, PIXEL, "left")
     )

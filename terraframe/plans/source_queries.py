@@ -14,7 +14,6 @@ from terraframe.plans.point_queries import _LOD_CTE, DEPTHS, SPACING
 from terraframe.plans.registry import fixed_as, query
 from terraframe.plans.sql import fixed as q, with_sql
 from terraframe.sources import read_lod_points, read_world_files, register, write_lod_points, write_tables
-from terraframe.sources.tables import synthetic_value
 
 
 def _las_folder(c: Collection) -> str:
@@ -129,36 +128,3 @@ def _(c: Collection):
     return found.groupBy("gx", "gy").agg(
         F.count(F.lit(1)).alias("points"), *fixed_as(minx=F.min("x"), maxz=F.max("z"))
     )
-
-
-def _terrain_sql(kind: str, x: str, y: str) -> str:
-    if kind == "slope":
-        return f"100e0 + 0.2e0*{x} + 10e0*sin({x}*6.2832e0/200e0)*cos({y}*6.2832e0/260e0)"
-    if kind == "height":
-        inside = " AND ".join(f"{v} % 64 > 20 AND {v} % 64 < 40" for v in (x, y))
-        return f"CASE WHEN {inside} THEN 8e0 ELSE 0e0 END"
-    waves = " + ".join(
-        f"0.06e0*{w}*sin({x}*6.2832e0/{w} + {w})*cos({y}*6.2832e0/({w}*1.3e0) + 2*{w})"
-        for w in (f"{200.0 / 2**k!r}::DOUBLE" for k in range(7))
-    )
-    return f"100e0 + {waves} + CASE WHEN {x} > 300 THEN 6e0 ELSE 0e0 END"
-
-
-_GRID = "SELECT p.raster_id, p.row, p.col, p.col*10e0 + (p.raster_id % 32)*250 AS x, p.row*10e0 + (p.raster_id // 32)*250 AS y FROM dsm p"
-
-
-@query(
-    "synthetic_dem",
-    with_sql("grid", extra={"grid": _GRID})
-    + "SELECT raster_id, row, col, "
-    + ", ".join(f"{q(_terrain_sql(k, 'x', 'y'))} AS {k}" for k in ("slope", "terrain", "height"))
-    + " FROM grid",
-)
-def _(c: Collection):
-    """The three synthetic terrains evaluated on every supplier's grid."""
-    s = F.col("raster_id")
-    x = F.col("col") * 10.0 + (s % 32) * 250
-    y = F.col("row") * 10.0 + F.floor(s / 32) * 250
-    values = {k: synthetic_value(k, x, y) for k in ("slope", "terrain", "height")}
-    return R.grid_pixels(c.dsm_catalog).select("raster_id", "row", "col", *fixed_as(**values))
-

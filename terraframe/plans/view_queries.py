@@ -15,6 +15,7 @@ from terraframe.plans.collection import Collection
 from terraframe.plans.point_queries import _HASH, _LOD_CTE, _SCENE_PTS, DEPTHS, SPACING
 from terraframe.plans.registry import fixed_as, query
 from terraframe.plans.sql import STOPS5, fixed as q, ramp as ramp_sql, scene_of, with_sql
+from terraframe.sources.tables import read_plan
 
 FOV, HEIGHT = 55.0, 180.0
 TILE = ["file_id", "gx", "gy"]
@@ -120,11 +121,11 @@ def _(c: Collection):
     with_sql("wanted", extra=_CTE)
     + f"""SELECT view_id, file_id, gx, gy, CAST(rk AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY file_id, gy, gx) AS rk FROM wanted WHERE {_PLAN})
-      WHERE rk <= 16""",
+      WHERE rk <= 2""",
 )
 def _(c: Collection):
     plan = L.refine_plan(wanted(c))
-    return L.refine_topk(plan, 16).select("view_id", *TILE, "rank")
+    return L.refine_topk(plan, 2).select("view_id", *TILE, "rank")
 
 
 @query(
@@ -209,14 +210,12 @@ _TILE_QUERY = f"""
 
 @query("tile_query", with_sql("lod", "tiled", "coloured", "frame", extra=_LOD_CTE) + _TILE_QUERY)
 def _(c: Collection):
-    """One tile of each cloud at 10 m: its coarse points, placed and coloured both ways."""
-    leveled = P.assign_depth(c.points, c.bounds, SPACING, DEPTHS)
-    wanted_depth = rules.depth_at_resolution(F.lit(SPACING), F.lit(DEPTHS), F.lit(10.0))
-    tile_boxes = P.tile_boxes(c.bounds).where(
-        (F.col("gx") == F.col("file_id") % 8) & (F.col("gy") == F.col("file_id") % 5)
-    ).select("file_id", "tile", "cloud_maxx", "cloud_maxy")
-    inside = rules.in_tile("x", "y", F.col("tile"), "cloud_maxx", "cloud_maxy")
-    found = join_catalog(leveled.where(F.col("depth") <= wanted_depth), tile_boxes, "file_id", ["file_idx"]).where(inside)
+    """One tile of each cloud at 10 m, read from the stored levels: its coarse points, placed and coloured both ways."""
+    upto = rules.depth_at_resolution(F.lit(SPACING), F.lit(DEPTHS), F.lit(10.0))
+    plan = c.bounds.select(
+        "file_id", (F.col("file_id") % 8).cast("int").alias("gx"), (F.col("file_id") % 5).cast("int").alias("gy"), upto.alias("upto")
+    )
+    found = read_plan(c.spark, c.lod_table(SPACING, DEPTHS), plan)
     scene = frame.to_scene("x", "y", "z", F.col("frame"))
     coloured = P.colorize_points(c.image_positions(found), to_blocks(c.image, ["r", "g", "b"]))
     ramp = ramp5("z", "frame.zmin", "frame.zmax", 1e-6)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.functions.rules import depth_at_resolution
+from terraframe.operators.lookup import sized
+from terraframe.session import stored
 
 
 def write_tables(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str]) -> None:
@@ -24,9 +26,15 @@ def write_tables(df: DataFrame, path: str, partition_by: list[str], sort_by: lis
     )
 
 
+def tile_number(gx: Column, gy: Column, n: int = 8) -> Column:
+    """One number a tile of an n x n grid, row by row."""
+    return (gy * n + gx).cast("int")
+
+
 def write_lod_points(points: DataFrame, path: str, n: int = 8) -> None:
-    """Multi-resolution points, one folder per depth, sorted by tile."""
-    write_tables(points, path, ["depth"], ["file_id", "gy", "gx"])
+    """Multi-resolution points (with ``depth, gx, gy``): one folder per depth and tile number, sorted by cloud."""
+    tiled = points.withColumn("tile", tile_number(F.col("gx"), F.col("gy"), n))
+    write_tables(tiled, path, ["depth", "tile"], ["file_id", "file_idx"])
 
 
 def read_lod_points(
@@ -37,39 +45,17 @@ def read_lod_points(
     return spark.read.parquet(path).where(F.col("depth") <= wanted)
 
 
-def synthetic_value(kind: str, x: Column, y: Column) -> Column:
-    """Elevation of the synthetic terrains at metres (x, y) from the origin."""
-    # The turn used by the generators and their shapes.
-    turn = 6.2832
-    if kind == "slope":
-        wave = F.sin(x * turn / 200.0) * F.cos(y * turn / 260.0)
-        return F.lit(100.0) + x * 0.2 + wave * 10.0
-    if kind == "terrain":
-        height = F.lit(100.0)
-        for octave in range(7):
-            wl = 200.0 / 2**octave
-            height = height + F.sin(x * turn / wl + wl) * F.cos(y * turn / (wl * 1.3) + 2 * wl) * (0.06 * wl)
-        return height + F.when(x > 300.0, 6.0).otherwise(0.0)
-    if kind == "height":
-        def inside(v: Column) -> Column:
-            m = F.pmod(v, F.lit(64.0))
-            return (m > 20.0) & (m < 40.0)
-
-        return F.when(inside(x) & inside(y), 8.0).otherwise(0.0)
-    raise ValueError(f"unknown terrain {kind}")
-
+def read_plan(spark: SparkSession, path: str, plan: DataFrame, n: int = 8) -> DataFrame:
+    """Points of a table by ``write_lod_points`` that a plan asks for; all columns of both.
 
-def synthetic_dem(
-    spark: SparkSession, kind: str, part: str = "full", size: int = 1025, pixel: float = 0.5
-) -> DataFrame:
-    """Pixel table of a synthetic terrain; the halves share their middle column."""
-    first, last = {"full": (0, size - 1), "west": (0, size // 2), "east": (size // 2, size - 1)}[part]
-    width = last - first + 1
-    cells = spark.range(size * width).select(
-        F.floor(F.col("id") / width).cast("int").alias("row"),
-        (F.col("id") % width).cast("int").alias("col"),
-    )
-    x, y = (F.col("col") + first) * pixel, F.col("row") * pixel
-    return cells.select(
-        F.lit(f"{kind}-{part}").alias("raster_id"), "row", "col", synthetic_value(kind, x, y).alias("v")
-    )
+    plan: ``file_id, gx, gy`` and ``upto``, the deepest level wanted; one row
+    a tile and whatever else asks for it (a view, say). The plan is written
+    and, within a checked size, broadcast; Spark then prunes the table's
+    folders by it while it runs (dynamic partition pruning), so that depths
+    and tiles nobody wants are not read. Row groups are skipped by cloud.
+    """
+    levels = plan.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("upto").cast("int"))))
+    asked = levels.withColumn("tile", tile_number(F.col("gx"), F.col("gy"), n)).drop("gx", "gy", "upto")
+    # Spark prunes only by a side that is filtered; the comparison always holds
+    asked = sized(stored(asked).where(F.col("depth") >= 0))
+    return spark.read.parquet(path).join(asked, ["depth", "tile", "file_id"])

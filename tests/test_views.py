@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraframe.functions.crs import LAMBERT_WGS84, horizontal_epsg, reproject
+from terraframe.functions.crs_columns import cone, crs_parameters, known_parameters, same_crs, to_degrees, to_metres
 from terraframe.operators import catalog as K
 from terraframe.operators import lod as L
 from terraframe.operators.boxes import overlap_join
+from terraframe.plans.catalog_queries import LAMBERT_PROJ
 
 
 def boxes(spark, array, key, name):
@@ -123,10 +125,52 @@ def test_projection_range_and_round_trip(spark):
     assert np.allclose(back["x"], back["lon"], atol=1e-10) and np.allclose(back["y"], back["lat"], atol=1e-10)
 
 
+ALPS = [(1, 983000.0, 6547000.0, 986000.0, 6550000.0)]
+
+
 def test_same_crs_in_practice(spark):
-    alps = spark.createDataFrame([(1, 983000.0, 6547000.0, 986000.0, 6550000.0)], "id int, minx double, miny double, maxx double, maxy double")
-    assert K.same_crs_in_practice(alps, LAMBERT_WGS84, 2154).first()["same"]
-    assert not K.same_crs_in_practice(alps, 4326, 2154).first()["same"]
+    alps = spark.createDataFrame(ALPS, "id int, minx double, miny double, maxx double, maxy double")
+    lambert = known_parameters(2154)
+    assert K.same_crs_in_practice(alps, known_parameters(LAMBERT_WGS84), lambert).first()["same"]
+    assert not K.same_crs_in_practice(alps, known_parameters(4326), lambert).first()["same"]
+    assert not K.same_crs_in_practice(alps, crs_parameters(F.lit("LOCAL_CS")), lambert).first()["same"]
+
+
+CONE_WKT2 = (
+    'PROJCRS["c",BASEGEOGCRS["g",DATUM["d",ELLIPSOID["GRS 1980",6378137,298.257222101]]],CONVERSION["l",'
+    'METHOD["Lambert Conic Conformal (2SP)",ID["EPSG",9802]],PARAMETER["Latitude of false origin",46.5],'
+    'PARAMETER["Longitude of false origin",3],PARAMETER["Latitude of 1st standard parallel",49],'
+    'PARAMETER["Latitude of 2nd standard parallel",44],PARAMETER["Easting at false origin",700000],'
+    'PARAMETER["Northing at false origin",6600000]],CS[Cartesian,2],LENGTHUNIT["metre",1]]'
+)
+
+
+def test_crs_texts_as_columns(spark):
+    """Texts of three kinds give the parameters of one cone; what is not understood gives null."""
+    texts = ["EPSG:2154", "EPSG:2154+5720", CONE_WKT2, LAMBERT_PROJ]
+    odd = [CONE_WKT2.replace('"metre",1', '"US survey foot",0.3048'), "+proj=utm +zone=31 +ellps=GRS80", "", None, CONE_WKT2.replace("44", "x")]
+    rows = spark.createDataFrame([(t,) for t in texts + odd], "t string").select(crs_parameters("t").alias("p")).collect()
+    for r in rows[:4]:
+        assert not r.p.geographic and (r.p.lat0, r.p.lon0, r.p.lat1, r.p.lat2, r.p.x0, r.p.y0) == (46.5, 3.0, 49.0, 44.0, 700000.0, 6600000.0)
+    assert [r.p for r in rows[4:]] == [None] * 5
+    box = F.struct(*(F.lit(v).alias(k) for k, v in zip(("minx", "miny", "maxx", "maxy"), ALPS[0][1:])))
+    pairs = [(a, b) for a in texts for b in texts]
+    same = spark.createDataFrame(pairs, "a string, b string").select(same_crs("a", "b", box).alias("same")).collect()
+    assert all(r.same for r in same)
+    moved = LAMBERT_PROJ.replace("x_0=700000", "x_0=700000.002")
+    out = spark.createDataFrame([(moved, "EPSG:2154"), ("odd", "odd"), ("odd", "EPSG:2154"), (None, "EPSG:2154")], "a string, b string")
+    assert [r.same for r in out.select(same_crs("a", "b", box).alias("same")).collect()] == [False, True, False, False]
+
+
+def test_projection_by_row_is_the_fixed_one(spark):
+    p = known_parameters(2154)
+    df = spark.createDataFrame([(6.8, 46.05), (2.0, 43.0)], "lon double, lat double")
+    x, y = to_metres(F.col("lon"), F.col("lat"), p, cone(p))
+    fx, fy = reproject("lon", "lat", 4171, 2154)
+    lon, lat = to_degrees(F.col("x"), F.col("y"), p, cone(p))
+    out = df.select("lon", "lat", x.alias("x"), y.alias("y"), fx.alias("fx"), fy.alias("fy")).select("*", lon.alias("lon2"), lat.alias("lat2")).toPandas()
+    assert np.allclose(out["x"], out["fx"], atol=1e-6) and np.allclose(out["y"], out["fy"], atol=1e-6)
+    assert np.allclose(out["lon"], out["lon2"], atol=1e-10) and np.allclose(out["lat"], out["lat2"], atol=1e-10)
 
 
 def test_input_rules(spark):
