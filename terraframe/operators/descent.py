@@ -5,8 +5,8 @@ keep a cell) with a halo of one pixel, as two arrays. A table of them
 (:mod:`terraframe.sources.block_table`) is written once and serves every
 operator here; nothing below shuffles pixels. Each row carries its own
 frontier of open cells from level to level: a cell is compared with its
-pixels only if its samples and its span let it stay, and only the children of
-cells that split are looked at. Where nothing splits, one level is all that is read.
+pixels only if its samples and its span let it stay, and only until one of
+them is too far off; only the children of cells that split are looked at.
 """
 
 from __future__ import annotations
@@ -69,10 +69,14 @@ def _height(x: str, y: str) -> str:
     return _let(_let(clamped, "o", split), "q", total)
 
 
-def _deviation(g: str) -> str:
-    """Largest distance of a known pixel of the cell from the patch through its corners, 0 if it has none."""
+def _over_pixels(g: str, of_area) -> str:
+    """``of_area(rows, bind, columns, gap)`` with the pieces to walk over a cell's pixels.
+
+    rows, columns: arrays of the pixels ``r`` and ``c`` inside; bind: puts the
+    patch's heights on both ends of line ``r`` around its argument; gap: the distance of pixel (r, c) from the patch, null if it is unknown.
+    """
     ends = {
-        f"e{i}{j}": _height(f"{g}.pcol + {i}D * {g}.cw" if i else f"{g}.pcol", f"{g}.prow + {g}.ch" if j else f"{g}.prow")
+        f"e{i}{j}": _height(f"{g}.pcol + {g}.cw" if i else f"{g}.pcol", f"{g}.prow + {g}.ch" if j else f"{g}.prow")
         for i in (0, 1)
         for j in (0, 1)
     }
@@ -84,9 +88,30 @@ def _deviation(g: str) -> str:
     t = f"(r - {g}.prow) / {g}.ch"
     edge = f"struct(e.e00 + (e.e01 - e.e00) * ({t}) AS l, e.e10 + (e.e11 - e.e10) * ({t}) AS r)"
     gap = f"abs(get(v, (r - row0) * bw + c - col0) - (y.l + (y.r - y.l) * ((c - {g}.pcol) / {g}.cw)))"
-    line = f"aggregate({inside(f'{g}.pcol', f'{g}.cw', 'width')}, m, (n, c) -> greatest(n, {gap}))"
-    area = f"aggregate({inside(f'{g}.prow', f'{g}.ch', 'height')}, 0D, (m, r) -> {_let(edge, 'y', line)})"
-    return _let("struct(" + ", ".join(f"{x} AS {k}" for k, x in ends.items()) + ")", "e", area)
+    rows, columns = inside(f"{g}.prow", f"{g}.ch", "height"), inside(f"{g}.pcol", f"{g}.cw", "width")
+    area = of_area(rows, lambda line: _let(edge, "y", line), "e.cs", gap)
+    # the columns of a cell are the same for each of its lines
+    return _let("struct(" + ", ".join(f"{x} AS {k}" for k, x in ends.items()) + f", {columns} AS cs)", "e", area)
+
+
+def _deviation(g: str) -> str:
+    """Largest distance of a known pixel of the cell from the patch through its corners, 0 if it has none."""
+
+    def area(rows: str, bind, columns: str, gap: str) -> str:
+        line = f"aggregate({columns}, m, (n, c) -> greatest(n, {gap}))"
+        return f"aggregate({rows}, 0D, (m, r) -> {bind(line)})"
+
+    return _over_pixels(g, area)
+
+
+def _exceeds(g: str, limit: str) -> str:
+    """Whether any known pixel of the cell is farther than ``limit`` from its patch; stops at the first."""
+
+    def area(rows: str, bind, columns: str, gap: str) -> str:
+        line = f"exists({columns}, c -> coalesce({gap} > e.limit, false))"
+        return f"exists({rows}, r -> {bind(line)})"
+
+    return _over_pixels(g, area).replace(" AS cs)", f" AS cs, {limit} AS limit)", 1)
 
 
 def cell_stats(blocks: DataFrame, max_level: int) -> DataFrame:
@@ -110,7 +135,7 @@ def _marks(blocks: DataFrame, max_level: int, angle: float, max_span: float) ->
     """Leaves under each root, and the unknown samples of coarser cells (``sample``) that a root's corners are."""
     tangent = math.tan(math.radians(angle))
     small = f"greatest(g.cw, g.ch) <= {float(max_span)!r}D"
-    flat = f"{_deviation('g')} <= {tangent!r}D * least(g.cw * pw, g.ch * ph) * 0.5D"
+    flat = f"NOT {_exceeds('g', f'{tangent!r}D * least(g.cw * pw, g.ch * ph) * 0.5D')}"
     fate = (
         f"CASE WHEN u.corners + u.centre = 5 THEN 'drop' WHEN u.corners + u.centre = 0 AND {small} AND {flat} THEN 'leaf'"
         f" WHEN g.level < {max_level} THEN 'split' WHEN u.centre = 1 THEN 'drop' ELSE 'leaf' END"
