@@ -14,7 +14,7 @@ from terraframe.functions.frame import geo_struct, pixel_to_world, raster_extent
 from terraframe.functions.rules import NODATA, valid_or_null
 from terraframe.operators.blocks import BLOCK, core_pixels, to_blocks
 from terraframe.operators.lookup import join_catalog
-from terraframe.operators.sampling import sample_ground, sample_known
+from terraframe.operators.sampling import sample_covered, sample_ground, sample_known
 from terraframe.session import spread
 
 # Light of the hill-shade, its ambient share and brightest value.
@@ -316,28 +316,57 @@ def ortho_downsample(pixels: DataFrame, catalog: DataFrame, cap: int) -> DataFra
     ).agg(*(F.floor(mean[b] + 0.5).cast("int").alias(b) for b in bands))
 
 
-def fill_nearest(pixels: DataFrame) -> DataFrame:
+def _along(df: DataFrame, line: list[str], pos: str, block: int | None, scans: dict[str, tuple[str, str, bool]]) -> DataFrame:
+    """Running values along raster lines: ``scans`` maps a new column to (``last`` or ``min``, column, backwards).
+
+    ``last`` is the nearest non-null struct so far, ``min`` the smallest. With
+    ``block``, a line is cut into pieces of so many pixels: each piece is
+    scanned by itself, then takes over what the pieces before it end with
+    (a scan over one summary a piece), so a line of any length is many tasks.
+    """
+
+    def over(keys: list[str], at: str, backwards: bool) -> Window:
+        # the same growing frame from either end: a frame that only shrinks is computed anew for each row
+        return Window.partitionBy(*keys).orderBy(F.desc(at) if backwards else F.col(at))
+
+    def running(kind: str, column: str) -> Column:
+        return F.last(column, ignorenulls=True) if kind == "last" else F.min(column)
+
+    upto_here = (Window.unboundedPreceding, 0)
+    if block is None:
+        return df.withColumns({out: running(kind, c).over(over(line, pos, back).rowsBetween(*upto_here)) for out, (kind, c, back) in scans.items()})
+    keys = [*line, "__piece"]
+    df = df.withColumn("__piece", F.expr(f"cast({pos} div {block} AS int)"))
+
+    def summary(kind: str, column: str, backwards: bool) -> Column:
+        if kind == "min":
+            return F.min(column)
+        place = F.when(F.col(column).isNotNull(), F.col(pos))
+        return F.min_by(column, place) if backwards else F.max_by(column, place)
+
+    ends = df.groupBy(*keys).agg(*[summary(kind, c, back).alias(f"{out}_end") for out, (kind, c, back) in scans.items()])
+    before = (Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, *[running(kind, f"{out}_end").over(over(line, "__piece", back).rowsBetween(*before)).alias(f"{out}_in") for out, (kind, _, back) in scans.items()])
+    df = df.withColumns({out: running(kind, c).over(over(keys, pos, back).rowsBetween(*upto_here)) for out, (kind, c, back) in scans.items()})
+    joined = df.join(ends, keys)
+    merged = {out: (F.coalesce if kind == "last" else F.least)(F.col(out), F.col(f"{out}_in")) for out, (kind, _, _) in scans.items()}
+    return joined.withColumns(merged).drop("__piece", *[f"{out}_in" for out in scans])
+
+
+def fill_nearest(pixels: DataFrame, block: int | None = None) -> DataFrame:
     """Unknown pixels take the nearest known one (4-neighbour distance); adds ``filled``.
 
     Ties go to the first source pixel in row-major order. The distance is
     separable: the nearest known pixel up and down each column, then the best
     of those along each row. Window passes in both directions of both kinds of
-    raster line, linear in the number of pixels.
-    Rasters without any known pixel stay null.
+    raster line, linear in the number of pixels. ``block``: cut lines into
+    pieces of so many pixels, for rasters whose lines are too long for one
+    task; the result is the same. Rasters without any known pixel stay null.
     """
-    column = Window.partitionBy("raster_id", "col").orderBy("row")
-    up = column.rowsBetween(Window.unboundedPreceding, 0)
-    # the same growing frame from the other end: a frame that only shrinks is computed anew for each row
-    down = Window.partitionBy("raster_id", "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
     source = F.expr("CASE WHEN v IS NOT NULL THEN struct(row AS r, v) END")
+    up_down = {"__up": ("last", "__k", False), "__dn": ("last", "__k", True)}
     vertical = (
-        pixels.withColumn("__k", source)
-        .withColumns(
-            {
-                "__up": F.last("__k", ignorenulls=True).over(up),
-                "__dn": F.last("__k", ignorenulls=True).over(down),
-            }
-        )
+        _along(pixels.select("raster_id", "row", "col", "v", source.alias("__k")), ["raster_id", "col"], "row", block, up_down)
         .selectExpr(
             "raster_id",
             "row",
@@ -355,12 +384,8 @@ def fill_nearest(pixels: DataFrame) -> DataFrame:
             "CASE WHEN __b IS NOT NULL THEN struct(__d + col AS d, __b.r, col AS c, __b.v) END AS __toright",
         )
     )
-    line = Window.partitionBy("raster_id", "row").orderBy("col")
-    left = line.rowsBetween(Window.unboundedPreceding, 0)
-    right = Window.partitionBy("raster_id", "row").orderBy(F.desc("col")).rowsBetween(Window.unboundedPreceding, 0)
-    horizontal = vertical.withColumns(
-        {"__l": F.min("__toleft").over(left), "__r": F.min("__toright").over(right)}
-    )
+    sideways = {"__l": ("min", "__toleft", False), "__r": ("min", "__toright", True)}
+    horizontal = _along(vertical, ["raster_id", "row"], "col", block, sideways)
     nearest = (
         "least(CASE WHEN __l IS NOT NULL THEN struct(__l.d + col AS d, __l.r, __l.c, __l.v) END,"
         " CASE WHEN __r IS NOT NULL THEN struct(__r.d - col AS d, __r.r, __r.c, __r.v) END)"
@@ -465,19 +490,8 @@ def raster_diff(
     )
 
 
-def warp_raster(
-    source: DataFrame,
-    source_catalog: DataFrame,
-    target_catalog: DataFrame,
-    source_crs=None,
-    target_crs=None,
-) -> DataFrame:
-    """A raster on a north-up grid, possibly in another CRS, bilinear; gaps are null.
-
-    ``target_catalog`` gives the grid wanted for each raster_id. Every target
-    pixel is taken back to the source CRS and sampled there, so the work is
-    spread by target pixel and each source block is read once.
-    """
+def _taken_back(source_catalog: DataFrame, target_catalog: DataFrame, source_crs, target_crs) -> DataFrame:
+    """Every pixel of the target grids with its position (px, py) in the source raster of the same id."""
     target = target_catalog.select(
         "raster_id", geo_struct().alias("target_geo"), "width", "height"
     )
@@ -492,11 +506,40 @@ def warp_raster(
     src = source_catalog.select("raster_id", geo_struct().alias("source_geo"), "width", "height")
     joined = join_catalog(cells, src, "raster_id", ["row", "col"])
     pixel = world_to_pixel("sx", "sy", F.col("source_geo"))
-    positions = joined.withColumn("px", pixel["px"]).withColumn("py", pixel["py"])
+    return joined.withColumn("px", pixel["px"]).withColumn("py", pixel["py"]).select("raster_id", "row", "col", "px", "py", "width", "height")
+
+
+def warp_raster(
+    source: DataFrame,
+    source_catalog: DataFrame,
+    target_catalog: DataFrame,
+    source_crs=None,
+    target_crs=None,
+) -> DataFrame:
+    """A raster on a north-up grid, possibly in another CRS, bilinear; gaps are null.
+
+    ``target_catalog`` gives the grid wanted for each raster_id. Every target
+    pixel is taken back to the source CRS and sampled there, so the work is
+    spread by target pixel and each source block is read once.
+    """
+    positions = _taken_back(source_catalog, target_catalog, source_crs, target_crs)
     sampled = sample_known(positions, to_blocks(source, ["v"]))
     return sampled.select("raster_id", "row", "col", F.col("sample").alias("v"))
 
 
+def warp_image(
+    source: DataFrame,
+    source_catalog: DataFrame,
+    target_catalog: DataFrame,
+    source_crs=None,
+    target_crs=None,
+) -> DataFrame:
+    """An image (r, g, b, a bytes) on a north-up grid, possibly in another CRS; what the source does not cover has alpha 0."""
+    positions = _taken_back(source_catalog, target_catalog, source_crs, target_crs)
+    sampled = sample_covered(positions, to_blocks(source, ["r", "g", "b", "a"]))
+    return sampled.select("raster_id", "row", "col", "r", "g", "b", "a")
+
+
 def north_up_grid(catalog: DataFrame) -> DataFrame:
     """Target grids of rotated rasters: their bounding box, same mean pixel size."""
     geo = geo_struct()

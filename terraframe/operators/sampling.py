@@ -130,3 +130,41 @@ def sample_image(
         total = " + ".join(f"get({band}, {p}) / 255D * __w{k}" for k, p in enumerate(positions))
         colours.append(f"CASE WHEN __in THEN {total} ELSE {OUTSIDE_GREY}D END AS {out}")
     return _finish(joined.selectExpr("*", "NOT __in AS outside", *colours), list(bands))
+
+
+def sample_covered(
+    targets: DataFrame, blocks: DataFrame, bands: tuple[str, ...] = ("r", "g", "b"), alpha: str = "a", size: int = BLOCK
+) -> DataFrame:
+    """Bilinear image colour with coverage: adds the bands and ``alpha`` as bytes.
+
+    Colours are weighted by their pixels' alpha (premultiplied), so a
+    transparent neighbour gives none of its colour; neighbours outside the
+    image are transparent. Alpha is the weighted coverage; where it is 0 the
+    bands are 0 too. Half a pixel outside is accepted, as for values.
+    """
+    inside = "px >= -0.5D AND px <= width - 0.5D AND py >= -0.5D AND py <= height - 0.5D"
+
+    def shares(axis: str, count: str) -> list[str]:
+        # before the first centre the neighbour in front is outside, past the last the one behind
+        at, past = f"__{axis}0", f"__f{axis}"
+        return [
+            f"CASE WHEN {at} < 0 THEN {past} ELSE 1 - {past} END AS __{axis}a",
+            f"CASE WHEN {at} < 0 OR {at} + 1 > {count} - 1 THEN 0D ELSE {past} END AS __{axis}b",
+        ]
+
+    ready = (
+        targets.selectExpr("*", f"coalesce({inside}, false) AS __in")
+        .selectExpr("*", "CASE WHEN __in THEN cast(floor(px) AS int) END AS __c0", "CASE WHEN __in THEN cast(floor(py) AS int) END AS __r0")
+        .selectExpr("*", "px - __c0 AS __fc", "py - __r0 AS __fr")
+        .selectExpr("*", *shares("c", "width"), *shares("r", "height"))
+        .selectExpr("*", "greatest(__c0, 0) AS __cc", "greatest(__r0, 0) AS __rr")
+    )
+    joined = join_blocks(ready, blocks, "__rr", "__cc", size)
+    weights = ("__ca * __ra", "__cb * __ra", "__ca * __rb", "__cb * __rb")
+    # a weight of 0 may point past the block
+    parts = [f"CASE WHEN {w} > 0 THEN {w} * get({alpha}, {p}) ELSE 0D END AS __k{i}" for i, (w, p) in enumerate(zip(weights, _AT, strict=True))]
+    covered = joined.selectExpr("*", *parts).selectExpr("*", "__k0 + __k1 + __k2 + __k3 AS __cover")
+    mixed = {b: " + ".join(f"CASE WHEN __k{i} > 0 THEN __k{i} * get({b}, {p}) ELSE 0D END" for i, p in enumerate(_AT)) for b in bands}
+    colours = [f"CASE WHEN __cover > 0 THEN cast(floor(({m}) / __cover + 0.5D) AS int) ELSE 0 END AS __out_{b}" for b, m in mixed.items()]
+    out = covered.selectExpr(*targets.columns, *colours, f"cast(floor(coalesce(__cover, 0D) + 0.5D) AS int) AS __out_{alpha}")
+    return out.withColumnsRenamed({f"__out_{b}": b for b in (*bands, alpha)})

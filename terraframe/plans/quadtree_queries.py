@@ -15,6 +15,7 @@ from terraframe.functions.frame import geo_struct
 from terraframe.operators import quadtree as Q
 from terraframe.operators.catalog import as_scalar
 from terraframe.operators.descent import cell_stats, drop_unknown_splits, leaves_of_blocks
+from terraframe.operators.raster import grid_pixels
 from terraframe.plans.collection import Collection
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import fixed as q, lround, with_sql
@@ -261,3 +262,64 @@ def _(c: Collection):
 def _(c: Collection):
     names = [m + k for m in ("min", "max") for k in "xyz"]
     return Q.patch_bounds(corners(c)).select("raster_id", *(fixed(n).alias(n) for n in names))
+
+
+# --- rasters of two sizes --------------------------------------------------------
+# Every other raster has 97 x 97 pixels of 2.5 m (wider than a block of 64); two levels are asked
+# for, but their first level within the span is 3. What has no point is filled with 25 m.
+MIXED = {"coarse": 2, "max_level": 2, "max_span": 8.0}
+_MIXED = {
+    "geo": """SELECT raster_id, CASE WHEN raster_id % 2 = 0 THEN 25 ELSE 97 END AS size,
+      CASE WHEN raster_id % 2 = 0 THEN 10e0 ELSE 2.5e0 END AS pixel, CASE WHEN raster_id % 2 = 0 THEN 2 ELSE 3 END AS deepest FROM squares""",
+    "mixed": """SELECT d.raster_id, d.row, d.col, d.v, coalesce(d.v, 25e0) AS filled FROM dsm d WHERE d.raster_id % 2 = 0
+      UNION ALL SELECT d.raster_id, CAST(r.i AS INTEGER), CAST(c.i AS INTEGER), d.v, coalesce(d.v, 25e0)
+      FROM range(97) r(i), range(97) c(i) JOIN dsm d ON d.row = r.i // 4 AND d.col = c.i // 4 WHERE d.raster_id % 2 = 1""",
+    "mcells": """SELECT g.*, CAST(l.i AS INTEGER) AS level, CAST(x.i AS INTEGER) AS ix, CAST(y.i AS INTEGER) AS iy,
+        (size - 1)/(2e0*pow(2e0, l.i)) AS w, x.i*(size - 1)/(2e0*pow(2e0, l.i)) AS px, y.i*(size - 1)/(2e0*pow(2e0, l.i)) AS py
+      FROM geo g, range(4) l(i), range(16) x(i), range(16) y(i) WHERE l.i <= deepest AND x.i < 2*pow(2, l.i) AND y.i < 2*pow(2, l.i)""",
+    "mcorner": """SELECT c.raster_id, c.level, c.ix, c.iy, c.k, sum(f.filled*CASE WHEN n.dr = 0 THEN 1 - fy ELSE fy END
+        *CASE WHEN n.dc = 0 THEN 1 - fx ELSE fx END) AS e FROM (
+       SELECT *, floor(x) AS c0, floor(y) AS r0, x - floor(x) AS fx, y - floor(y) AS fy FROM (
+        SELECT raster_id, size, level, ix, iy, k, px + (k & 1)*w AS x, py + (k >> 1)*w AS y FROM mcells, (VALUES (0),(1),(2),(3)) k(k) WHERE w <= 8)) c,
+       (VALUES (0,0),(0,1),(1,0),(1,1)) n(dr,dc), mixed f
+      WHERE f.raster_id = c.raster_id AND f.row = least(size - 1, r0 + dr) AND f.col = least(size - 1, c0 + dc) GROUP BY ALL""",
+    "mdev": """SELECT c.raster_id, c.level, c.ix, c.iy, coalesce(max(abs(f.v - (
+        (e0 + (e2-e0)*((f.row-py)/w)) + ((e1 + (e3-e1)*((f.row-py)/w)) - (e0 + (e2-e0)*((f.row-py)/w)))*((f.col-px)/w)))), 0e0) AS deviation
+      FROM (SELECT c.*, max(e) FILTER (k = 0) AS e0, max(e) FILTER (k = 1) AS e1, max(e) FILTER (k = 2) AS e2, max(e) FILTER (k = 3) AS e3
+        FROM mcells c JOIN mcorner USING (raster_id, level, ix, iy) GROUP BY ALL) c
+      LEFT JOIN mixed f ON f.raster_id = c.raster_id AND f.row BETWEEN ceil(py) AND floor(py + w) AND f.col BETWEEN ceil(px) AND floor(px + w)
+      GROUP BY ALL""",
+    "mnd": """SELECT c.raster_id, c.level, c.ix, c.iy, sum(CASE WHEN f.v IS NULL THEN 1 ELSE 0 END) AS unknown,
+        max(CASE WHEN k = 4 AND f.v IS NULL THEN 1 ELSE 0 END) AS centre_unknown FROM (
+       SELECT *, least(size - 1, floor(px + w*CASE k WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0.5e0 ELSE 0 END + 0.5e0)) AS col,
+        least(size - 1, floor(py + w*CASE k WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0.5e0 ELSE 0 END + 0.5e0)) AS row
+       FROM mcells, (VALUES (0),(1),(2),(3),(4)) k(k)) c JOIN mixed f USING (raster_id, row, col) GROUP BY ALL""",
+    "mfate": f"""SELECT *, unknown = 5 OR (level = deepest AND NOT good AND centre_unknown = 1) AS gone, level = deepest OR good AS stays
+      FROM (SELECT c.*, unknown, centre_unknown, unknown = 0 AND w <= 8 AND coalesce(deviation, 1e9) <= {_TOL}*w*pixel*0.5e0 AS good
+       FROM mcells c JOIN mnd USING (raster_id, level, ix, iy) LEFT JOIN mdev USING (raster_id, level, ix, iy))""",
+    "mleaves": """SELECT c.raster_id, c.level, c.ix, c.iy FROM mfate c WHERE c.stays AND NOT c.gone AND NOT EXISTS (
+      SELECT 1 FROM mfate a WHERE a.raster_id = c.raster_id AND a.level < c.level AND (a.stays OR a.gone)
+       AND a.ix = c.ix >> (c.level - a.level) AND a.iy = c.iy >> (c.level - a.level))""",
+}
+
+
+def mixed_catalog(c: Collection) -> DataFrame:
+    even = F.col("raster_id") % 2 == 0
+    pixel, size = F.when(even, 10.0).otherwise(2.5), F.when(even, 25).otherwise(97)
+    return c.dsm_catalog.withColumns({"a": pixel, "e": -pixel, "width": size, "height": size})
+
+
+def mixed_pixels(c: Collection) -> DataFrame:
+    dsm = c.once("dsm", lambda: c.dsm)
+    fine = grid_pixels(mixed_catalog(c).where(F.col("raster_id") % 2 == 1)).select(
+        "raster_id", F.col("row").alias("r"), F.col("col").alias("k"), F.expr("cast(row div 4 AS int)").alias("row"), F.expr("cast(col div 4 AS int)").alias("col")
+    )
+    fine = fine.join(dsm, ["raster_id", "row", "col"]).select("raster_id", F.col("r").alias("row"), F.col("k").alias("col"), "v")
+    return dsm.where(F.col("raster_id") % 2 == 0).unionByName(fine).withColumn("filled", F.coalesce("v", F.lit(25.0)))
+
+
+@query("leaves_of_two_sizes", with_sql("mleaves", extra=_MIXED) + "SELECT raster_id, level, ix, iy FROM mleaves")
+def _(c: Collection):
+    """Rasters of 25 and of 97 pixels in one table of root blocks; the larger ones start below the asked level."""
+    table = c.once("mixed_blocks", lambda: Q.root_blocks(mixed_pixels(c), mixed_catalog(c), MIXED["coarse"], MIXED["max_span"]))
+    return leaves_of_blocks(table, MIXED["max_level"], ANGLE, MIXED["max_span"])

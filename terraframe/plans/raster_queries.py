@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import colour, frame, rules
-from terraframe.functions.crs import reproject
+from terraframe.functions.crs import cone_constants, reproject, resolve
 from terraframe.operators import raster as R
 from terraframe.operators.blocks import to_blocks
 from terraframe.operators.boxes import box, overlap_join
 from terraframe.operators.catalog import as_scalar
 from terraframe.operators.sampling import sample_image
 from terraframe.plans.collection import Collection
+from terraframe.plans.point_queries import _CONE, _project_sql
 from terraframe.plans.registry import fixed, fixed_as, query
 from terraframe.plans.sql import (
+    NEIGHBOURS,
     STOPS3,
     fixed as q,
     ground,
@@ -562,9 +564,38 @@ def _(c: Collection):
     return warped.select(*PIXEL, *fixed_as(v="v"))
 
 
-@query("warp_raster")
+# Metres back to degrees: the cone of EPSG:2154 inverted, latitude in six passes.
+_K = cone_constants(resolve(2154))
+
+
+def _degrees_sql(x: str, y: str) -> tuple[str, str]:
+    dx, dy = f"({x} - 700000e0)", f"({_K['rho0']!r}::DOUBLE - ({y} - 6600000e0))"
+    t = f"pow(sqrt({dx}*{dx} + {dy}*{dy})/{_K['scale']!r}::DOUBLE, {1 / _K['n']!r}::DOUBLE)"
+    phi = "pi()/2 - 2*atan(t)"
+    for _ in range(6):
+        phi = f"pi()/2 - 2*atan(t*exp(-{_K['e']!r}::DOUBLE*atanh({_K['e']!r}::DOUBLE*sin({phi}))))"
+    return f"degrees(atan2({dx}, {dy})/{_K['n']!r}::DOUBLE) + 3e0", f"(SELECT degrees({phi}) FROM (SELECT {t} AS t))"
+
+
+_LON, _LAT = _degrees_sql("u.c + 10e0*p.col", "u.f - 10e0*p.row")
+_FX, _FY = _project_sql("c", "f", _CONE, (3, 700000, 6600000))
+_WARPED = {
+    "degrees": "SELECT raster_id, c/5000e0 + 2e0 AS c, f/5000e0 + 45e0 AS f, width, height FROM dsm_catalog",
+    "metres": f"SELECT raster_id, {_FX} AS c, {_FY} AS f FROM degrees",
+    "placed": f"""SELECT (u.raster_id*100 + p.row)*100 + p.col AS tid, u.raster_id, p.row, p.col,
+       ({_LON} - s.c)/0.0001e0 AS px, ({_LAT} - s.f)/-0.0001e0 AS py, s.width, s.height
+      FROM metres u JOIN degrees s USING (raster_id),
+       (SELECT CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col FROM range(30) r(i), range(24) c(i)) p""",
+    "back": resample("placed", "dsm"),
+}
+
+
+@query(
+    "warp_raster",
+    with_sql("back", "dsm", extra=_WARPED) + "SELECT raster_id, row, col, CAST(floor(sample*1e2 + 0.5e0) AS BIGINT) AS v_cm FROM back",
+)
 def _(c: Collection):
-    """Rasters in degrees onto a metre grid; the wanted grid is a parameter."""
+    """Rasters in degrees onto a metre grid; the wanted grid is a parameter. In centimetres: the two engines differ in the last bits of a degree."""
     step = 0.0001
     geographic = c.dsm_catalog.select(
         "raster_id", F.lit(step).alias("a"), F.lit(0.0).alias("b"), (F.col("c") / 5000.0 + 2.0).alias("c"),
@@ -575,5 +606,46 @@ def _(c: Collection):
         "raster_id", F.lit(10.0).alias("a"), F.lit(0.0).alias("b"), x.alias("c"), F.lit(0.0).alias("d"),
         F.lit(-10.0).alias("e"), y.alias("f"), F.lit(24).alias("width"), F.lit(30).alias("height"),
     )
-    return R.warp_raster(c.dsm, geographic, target, 4171, 2154)
+    warped = R.warp_raster(c.dsm, geographic, target, 4171, 2154)
+    return warped.select(*PIXEL, F.floor(F.col("v") * 1e2 + 0.5).cast("long").alias("v_cm"))
+
+
+_TURNED = f"""SELECT raster_id, 5e0*{_COS}e0 AS a, 5e0*{_SIN}e0 AS b, c, 5e0*{_SIN}e0 AS d,
+  -5e0*{_COS}e0 AS e, f, width, height FROM image_catalog"""
+_IMAGE_AT = pixel_of("g.c + g.a*p.col", "g.f + g.e*p.row", "s")
+_TURNED_CTE = {
+    "turned": _TURNED,
+    "level": _UPRIGHT.replace("*24", "*45").replace("FROM rotated", "FROM turned"),
+    "seen": f"""SELECT g.raster_id, p.row, p.col, {_IMAGE_AT[0]} AS px, {_IMAGE_AT[1]} AS py, s.width, s.height
+      FROM level g JOIN turned s USING (raster_id),
+       (SELECT CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col FROM range(80) r(i), range(80) c(i)) p
+      WHERE p.row < g.height AND p.col < g.width""",
+    # a hole without cover inside each image
+    "holed": "SELECT raster_id, row, col, r, g, b, CASE WHEN row BETWEEN 10 AND 14 AND col BETWEEN 20 AND 29 THEN 0 ELSE 255 - col END AS a FROM image",
+    "near": f"""SELECT t.raster_id, t.row, t.col, sum(w*m.a) AS cover, sum(w*m.a*m.r) AS r, sum(w*m.a*m.g) AS g, sum(w*m.a*m.b) AS b
+      FROM (SELECT *, floor(py) + dr AS sr, floor(px) + dc AS sc, CASE WHEN dr = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END
+         * CASE WHEN dc = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END AS w FROM seen, {NEIGHBOURS}
+       WHERE px >= -0.5e0 AND px <= width - 0.5e0 AND py >= -0.5e0 AND py <= height - 0.5e0) t
+      JOIN holed m ON m.raster_id = t.raster_id AND m.row = t.sr AND m.col = t.sc GROUP BY ALL""",
+}
+
+
+def _byte(band: str) -> str:
+    return f"CAST(CASE WHEN n.cover > 0 THEN floor(n.{band}/n.cover + 0.5e0) ELSE 0 END AS INTEGER) AS {band}"
+
+
+@query(
+    "warp_image",
+    with_sql("near", "level", extra=_TURNED_CTE)
+    + f"""SELECT s.raster_id, s.row, s.col, {_byte('r')}, {_byte('g')}, {_byte('b')},
+      CAST(floor(coalesce(n.cover, 0e0) + 0.5e0) AS INTEGER) AS a FROM seen s LEFT JOIN near n USING (raster_id, row, col)""",
+)
+def _(c: Collection):
+    """Rotated images north-up: no cover outside, colours of transparent pixels do not bleed in."""
+    hole = F.col("row").between(10, 14) & F.col("col").between(20, 29)
+    image = c.image.withColumn("a", F.when(hole, 0).otherwise(255 - F.col("col")))
+    catalog = c.image_catalog.withColumns(
+        {"a": F.lit(5.0 * _COS), "b": F.lit(5.0 * _SIN), "d": F.lit(5.0 * _SIN), "e": F.lit(-5.0 * _COS)}
+    )
+    return R.warp_image(image, catalog, R.north_up_grid(catalog))
 
