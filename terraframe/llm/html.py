@@ -3,24 +3,29 @@
 1. Every page is cut into tokens: opening tags with the path of their
    ancestors (tag, id and class), and text nodes. For each host and token Spark
    adds up the occurrence vector over the pages as sums (pages, occurrences,
-   and two sums of page hashes), so equal sums mean equal vectors.
-2. Tokens of a host with the same vector form an equivalence class. Classes
-   that occur in many pages are kept; one is valid if its tags come in the same order
-   and nest in one another. The class that occurs once on every page is the
-   outer template; what repeats inside a page (list entries, links) nests in its slots by its path.
-3. Text of the template itself is furniture. Of the slots, the main one is the
-   deepest element of the outer template that holds most of the host's text outside
-   menus, headers, footers, side bars, notices, adverts, forms and comments.
-   Its text is the page's; blocks are joined in page order.
+   and two sums of page hashes), so equal sums mean equal vectors. Empty pages have no tokens and count for nothing.
+2. Tokens of a host with the same vector form an equivalence class. Classes on
+   at least ``SUPPORT`` of the host's pages are kept. A class is valid if its
+   tags nest: each lies, on its path, inside a tag of its own or of another valid class, or
+   at the top. Valid classes nest in one another by these paths; together they are the template.
+3. Text nodes of a class on nearly all pages (``FIXED``) are text of the template, whatever
+   their tag: mastheads, imprints, notices. On a host whose pages are copies of one page
+   everything is on all pages, so there nothing is taken to be fixed.
+4. What is between the template's tags are its slots. The article's root is the
+   deepest template element that still holds nearly all (``MASS``) of the host's varying text
+   outside furniture; every slot below it that is no menu, header, footer, side
+   bar, notice, advert, form or comment is extracted, and blocks are joined in page order.
 
 Pages of hosts with fewer than ``HOST_PAGES`` pages, and pages that lack the
-host's main element, use the page's own ``article``, ``main`` or ``body``.
+host's root, use the page's own ``article``, ``main`` or ``body``.
+
+Pages are read in one pass that is linear in their length, however broken they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -33,8 +38,9 @@ from pyspark.sql import types as T
 from terraframe.llm.storage import small, stored
 from terraframe.llm.urls import host
 
-#: Pages from which a host has a template; share of them that a class must be on; share of text in the main element.
-HOST_PAGES, SUPPORT, MASS = 5, 0.5, 0.6
+#: Pages from which a host has a template; shares of them that a class, and a fixed text, must be on; share of varying text
+#: that the article's root holds; share of a host's text that must vary for any of it to be fixed.
+HOST_PAGES, SUPPORT, FIXED, MASS, VARIES = 5, 0.5, 0.8, 0.9, 0.1
 
 # Fixed values of HTML: elements without content, elements that start a block, elements whose text is no page text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,90 +49,131 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
     "td tfoot th thead title tr ul".split()
 )
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|title|select|xmp|noframes"
+RAW = "script|style|noscript|template|textarea|iframe|title|xmp|noframes"
 FURNITURE = frozenset("nav header footer aside form button dialog menu".split())
-#: Sentences of an article, not of its template, even on a host whose pages are all copies of one.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td dd figcaption".split())
-#: What can be a main element.
+#: Elements that a name never makes furniture: the page itself and its article.
+NEVER = frozenset("html body main article".split())
+#: What can be the article's root.
 CONTAINERS = frozenset("article main section div body td center".split())
 #: A tag that may be left open is closed by these.
 CLOSES = {"p": BLOCKS - {"html", "body", "title"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in an id, class or role that mark furniture.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|"
-    r"comments?|commentlist|disqus|replies|respond|side-?bar\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|share\w*|sharing|"
-    r"social\w*|related\w*|recommend\w*|newsletter|subscribe\w*|signup|login|search\w*|footer\w*|masthead|site-?header|"
-    r"page-?header|widget\w*|toolbar|skip-?link\w*|complementary|contentinfo|navigation)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(
-    rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)"
+#: Words of an id, class or role that mark furniture, as a whole name or as a part of one between hyphens;
+#: a name that begins with a word of STATES says something about the page, not what the element is.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr "
+    "notice notices alert popup modal overlay comment comments commentlist disqus replies respond sidebar sidebars menu menus nav "
+    "navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations newsletter "
+    "subscribe subscription signup login search searchform footer masthead widget widgets toolbar complementary contentinfo "
+    "side-bar site-header page-header skip-link skip-links".split()
 )
-_NAMES = re.compile(r"""(?is)\b(?:id|class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
-_HIDDEN = re.compile(r"""(?is)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+STATES = frozenset("has no not with without is in on".split())
+
+_RAW = re.compile(rf"(?i)(?:{RAW})(?=[\s/>])")
+#: Attributes up to the end of the tag. A quote counts only behind "=", and only if it is closed.
+_TAG = re.compile(r"""</?+([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_NAMES = re.compile(r"""(?is)(?<![\w-])(?:id|class|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
+
+
+def marked(names: str) -> bool:
+    """Whether one of the names says that the element is furniture."""
+    for name in names.lower().split():
+        parts = re.split(r"[-_]+", name)
+        if name in MARKS or (parts[0] not in STATES and not MARKS.isdisjoint(parts)):
+            return True
+    return False
 
 
 class Element:
-    __slots__ = ("tag", "path", "furniture", "link", "prose", "key")
+    __slots__ = ("tag", "furniture", "link", "article", "key", "above", "depth", "block", "text")
 
-    def __init__(self, tag: str, names: str, hidden: bool, parent: Element | None):
-        self.tag = tag
-        self.path = f"{parent.path if parent else ''}/{tag}{'.' + names if names else ''}"
-        own = tag in FURNITURE or hidden or bool(names and _MARKS.search(names))
+    def __init__(self, tag: str, names: str, parent: Element | None, place: int):
+        self.tag, self.depth, self.text = tag, place, 0
+        self.article = tag in ("article", "main") or bool(parent and parent.article)
+        mark = tag not in NEVER and bool(names) and marked(names)
         # a header inside the article holds its title; a menu or form in it is still one
-        if tag == "header" and parent and parent.inside("article", "main") and not (names and _MARKS.search(names)):
-            own = False
-        self.furniture = (parent.furniture if parent else False) or own
+        own = mark or (tag in FURNITURE and not (tag == "header" and parent is not None and parent.article))
+        self.furniture = own or bool(parent and parent.furniture)
         self.link = tag == "a" or bool(parent and parent.link)
-        self.prose = tag in PROSE or bool(parent and parent.prose)
-        self.key = crc32(self.path.encode())
-
-    def inside(self, *tags: str) -> bool:
-        return any(f"/{t}" in self.path for t in tags)
+        self.above = parent.key if parent else 0
+        self.key = crc32(f"/{tag}.{names}".encode(), self.above)
+        self.block = self if tag in BLOCKS else parent.block if parent else None
 
 
 def walk(html: str) -> Iterator[tuple[str, Element | None, str]]:
     """("open" | "close" | "text", element, text) in page order; elements left open are closed as browsers do."""
     stack: list[Element] = []
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            yield "text", stack[-1] if stack else None, html[at : m.start()]
-        at = m.end()
-        tag = m.group(3)
-        if not tag:
+    opened: Counter[str] = Counter()
+
+    def close() -> Element:
+        e = stack.pop()
+        opened[e.tag] -= 1
+        return e
+
+    at, low = 0, None
+    while True:
+        start = html.find("<", at)
+        # a "<" that begins nothing is text
+        while start >= 0 and not (start + 1 < len(html) and (html[start + 1] in "!/?" or html[start + 1].isalpha())):
+            start = html.find("<", start + 1)
+        end = start if start >= 0 else len(html)
+        if end > at:
+            yield "text", stack[-1] if stack else None, html[at:end]
+        if start < 0:
+            break
+        if html.startswith("<!--", start):
+            stop = html.find("-->", start + 4)
+            at = len(html) if stop < 0 else stop + 3
             continue
-        tag = tag.lower()
-        if m.group(2):
-            if any(e.tag == tag for e in stack):
-                while stack:
-                    e = stack.pop()
+        if html[start + 1] in "!?" or (html[start + 1] == "/" and not html[start + 2 : start + 3].isalpha()):
+            stop = html.find(">", start)
+            at = len(html) if stop < 0 else stop + 1
+            continue
+        m = _TAG.match(html, start)
+        if m is None:  # no tag ends from here on
+            yield "text", stack[-1] if stack else None, html[start:]
+            break
+        at = m.end()
+        tag, rest = m.group(1).lower(), m.group(2)
+        if html[start + 1] == "/":
+            if opened[tag]:
+                while True:
+                    e = close()
                     yield "close", e, ""
                     if e.tag == tag:
                         break
             continue
+        if _RAW.match(html, start + 1):
+            low = html.lower() if low is None else low  # lengths agree but for a few letters; then search on as it is
+            stop = low.find(f"</{tag}", at) if len(low) == len(html) else _find(html, tag, at)
+            if stop < 0:
+                at = len(html)
+            else:
+                gt = html.find(">", stop)
+                at = len(html) if gt < 0 else gt + 1
+            continue
         # an open paragraph ends with the next block, whatever inline elements are open in it
-        for i in range(len(stack) - 1, -1, -1):
-            e = stack[i]
-            if tag in CLOSES.get(e.tag, ()):
-                while len(stack) > i:
-                    yield "close", stack.pop(), ""
-                break
-            if e.tag in BLOCKS:
-                break
-        rest = m.group(4) or ""
+        block = stack[-1].block if stack else None
+        if block is not None and tag in CLOSES.get(block.tag, ()):
+            while True:
+                e = close()
+                yield "close", e, ""
+                if e is block:
+                    break
         names = " ".join(x.strip("\"' ") for x in _NAMES.findall(rest)) if rest else ""
-        e = Element(tag, names, bool(rest and _HIDDEN.search(rest)), stack[-1] if stack else None)
+        e = Element(tag, names, stack[-1] if stack else None, len(stack))
         yield "open", e, ""
         if tag in VOID or rest.endswith("/"):
             yield "close", e, ""
         else:
             stack.append(e)
-    if at < len(html):
-        yield "text", stack[-1] if stack else None, html[at:]
+            opened[tag] += 1
     while stack:
-        yield "close", stack.pop(), ""
+        yield "close", close(), ""
+
+
+def _find(html: str, tag: str, at: int) -> int:
+    m = re.compile(rf"(?i)</{tag}").search(html, at)
+    return m.start() if m else -1
 
 
 def _clean(text: str) -> str:
@@ -134,34 +181,39 @@ def _clean(text: str) -> str:
 
 
 def page_tokens(html: str) -> dict[tuple[int, int], list]:
-    """(kind, hash) -> [occurrences, first position, text below, path] of a page; kind 0 are tags, 1 text nodes.
+    """(kind, hash) -> [occurrences, first position, text below, key above, depth, container] of a page; kind 0 are tags, 1 text nodes.
 
-    Text below an element counts only if no furniture is around it and it is no link.
+    Text below an element, and the length of a text node, count only where no furniture is around them and they are no link.
     """
     found: dict[tuple[int, int], list] = {}
     order = 0
+    sums: list[list] = []  # of the open elements
     for what, e, text in walk(html):
         if what == "open":
             order += 1
-            t = found.setdefault((0, e.key), [0, order, 0, e.path])
+            t = found.setdefault((0, e.key), [0, order, 0, e.above, e.depth, int(e.tag in CONTAINERS)])
             t[0] += 1
-        elif what == "text" and (text := _clean(text)):
+            sums.append([t, 0])
+        elif what == "close":
+            t, n = sums.pop()
+            t[2] += n
+            if sums:
+                sums[-1][1] += n
+        elif text := _clean(text):
             order += 1
-            t = found.setdefault((1, crc32(text.encode())), [0, order, 0, ""])
+            t = found.setdefault((1, crc32(text.encode())), [0, order, 0, 0, 0, 0])
             t[0] += 1
-            if e and not e.furniture and not e.link:
-                path = ""
-                for part in e.path.split("/")[1:]:
-                    path += f"/{part}"
-                    if (above := found.get((0, crc32(path.encode())))) is not None:
-                        above[2] += len(text)
+            if not e or (not e.furniture and not e.link):
+                t[2] += len(text)
+                if sums:
+                    sums[-1][1] += len(text)
     return found
 
 
 def main_text(html: str, main: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
     """Text of the elements with a key in ``main``, else of the outermost ``article``s, ``main`` or the whole page.
 
-    Text nodes with a hash in ``fixed`` belong to the template and are left out, unless they stand in a paragraph or heading.
+    Text nodes with a hash in ``fixed`` belong to the template and are left out.
     """
     events = list(walk(html))
     keys = {e.key for what, e, _ in events if what == "open"}
@@ -180,7 +232,7 @@ def main_text(html: str, main: frozenset[int] = frozenset(), fixed: frozenset[in
         if what == "text":
             if depth and not (e and e.furniture):
                 text = unescape(text)
-                if (e and e.prose) or not (fixed and crc32(" ".join(text.split()).encode()) in fixed):
+                if not (fixed and crc32(" ".join(text.split()).encode()) in fixed):
                     now.append(text)
             continue
         if e.tag == "br":
@@ -193,27 +245,59 @@ def main_text(html: str, main: frozenset[int] = frozenset(), fixed: frozenset[in
     return "\n".join(blocks)
 
 
-def _last_tag(path: str) -> str:
-    return path.rpartition("/")[2].partition(".")[0]
+def deduce(pages: int, mass: int, tokens: list[dict]) -> tuple[int | None, list[int]]:
+    """Root key and fixed texts of a host from its tokens on at least ``SUPPORT`` of its ``pages``.
+
+    tokens: ``kind, token, pages, total, s1, s2, place, below, above, depth, container``. mass: characters of all text outside furniture and links.
+    """
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    for t in tokens:
+        if t["pages"] >= SUPPORT * pages:
+            classes[t["pages"], t["total"], t["s1"], t["s2"]].append(t)
+    # classes with more pages first: what nests in them comes later
+    valid: dict[int, dict] = {}
+    for _, members in sorted(classes.items(), key=lambda x: (-x[0][0], min(t["depth"] for t in x[1]), x[0])):
+        tags = sorted((t for t in members if t["kind"] == 0), key=lambda t: (t["depth"], t["place"]))
+        own = {t["token"] for t in tags}
+        if all(t["depth"] == 0 or t["above"] in own or t["above"] in valid for t in tags):
+            valid.update((t["token"], t) for t in tags)
+    texts = [t for t in tokens if t["kind"] == 1 and t["pages"] >= FIXED * pages and (t["pages"], t["total"], t["s1"], t["s2"]) in classes]
+    repeated = sum(t["below"] for t in texts)
+    varies = mass - repeated
+    fixed = [t["token"] for t in texts] if varies >= VARIES * mass else []
+    # text that varies, below each template element: all text below it is an upper bound once fixed text is out
+    root = None
+    whole = max((t["below"] for t in valid.values()), default=0)
+    heavy = [t for t in valid.values() if whole and t["container"] and t["below"] >= MASS * whole]
+    if heavy:
+        root = max(heavy, key=lambda t: (t["depth"], t["pages"], -t["token"]))["token"]
+    return root, fixed
+
+
+_SUMS = ["pages", "total", "s1", "s2", "place", "below"]
 
 
 def templates(pages: DataFrame, html: str) -> DataFrame:
-    """(``host``, ``main``, ``fixed``) of hosts with a template: keys of the main element and hashes of template texts.
+    """(``host``, ``main``, ``fixed``) of hosts with a template: key of the article's root and hashes of template texts.
 
     pages: ``host`` and ``html``. What is left after the support test is
     bounded by the size of a page, for each host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "kind", "token", "pages", "total", "s1", "s2", "place", "below", "path"]
+        names = ["host", "kind", "token", *_SUMS, "above", "depth", "container"]
+        types = [pa.string(), *[pa.int64()] * 11]
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                sums: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0, 0, 0, ""])
+                sums: dict[tuple, list] = defaultdict(lambda: [0] * 9)
                 part = b.slice(i, 1000)
                 for h, mark, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     own = page_tokens(page or "")
-                    own[(2, 0)] = [1, 0, 0, ""]  # the page itself
-                    for (kind, token), (n, place, below, path) in own.items():
+                    if not own:
+                        continue
+                    mass = sum(t[2] for (kind, _), t in own.items() if kind == 1)
+                    own[(2, 0)] = [1, 0, mass, 0, 0, 0]  # the page itself
+                    for (kind, token), (n, place, below, above, depth, container) in own.items():
                         s = sums[(h, kind, token)]
                         s[0] += 1
                         s[1] += n
@@ -221,50 +305,31 @@ def templates(pages: DataFrame, html: str) -> DataFrame:
                         s[3] += n * (mark >> 33 & 0x7FFFFFFF)
                         s[4] += place
                         s[5] += below
-                        s[6] = path
+                        s[6:] = [above, depth, container]
                 rows = [(*k, *v) for k, v in sums.items()]
-                types = [pa.string(), *[pa.int64()] * 8, pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, types, strict=True)], names=names)
+                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
     mark = F.xxhash64(*[F.col(c) for c in pages.columns])
-    schema = "host string, kind long, token long, pages long, total long, s1 long, s2 long, place long, below long, path string"
-    tokens = pages.select("host", mark.alias("mark"), F.col(html)).mapInArrow(run, schema)
-    sums = tokens.groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2", "place", "below")], F.min("path").alias("path"))
-    # a text node on one page only can't be part of a template
+    longs = ", ".join(f"{c} long" for c in ["kind", "token", *_SUMS, "above", "depth", "container"])
+    tokens = pages.select("host", mark.alias("mark"), F.col(html)).mapInArrow(run, f"host string, {longs}")
+    same = [F.min(c).alias(c) for c in ("above", "depth", "container")]  # a key names one path
+    sums = tokens.groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in _SUMS], *same)
+    # a token of one page only can't be part of a template
     sums = stored(sums.where("pages > 1 OR kind = 2"))
-    size = sums.where("kind = 2").select("host", F.col("pages").alias("n"), F.col("s1").alias("p1"), F.col("s2").alias("p2")).where(F.col("n") >= HOST_PAGES)
+    size = sums.where("kind = 2").select("host", F.col("pages").alias("n"), F.col("below").alias("mass")).where(F.col("n") >= HOST_PAGES)
     often = sums.where("kind < 2").join(size, "host").where(F.col("pages") >= SUPPORT * F.col("n"))
-    vector = ["host", "n", "pages", "total", "s1", "s2"]
-    outer = (F.col("total") == F.col("n")) & (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2"))
-    member = F.struct("place", "kind", "token", "below", "path")
-    classes = often.groupBy(*vector, outer.alias("outer")).agg(F.sort_array(F.collect_list(member)).alias("tokens"))
+    member = F.struct("kind", "token", *_SUMS, "above", "depth", "container")
+    hosts = often.groupBy("host", "n", "mass").agg(F.collect_list(member).alias("tokens"))  # at most two pages' worth
 
-    def deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for h, outer, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tags = [t for t in tokens if t["kind"] == 0]
-                fixed = [t["token"] for t in tokens if t["kind"] == 1] if outer else []
-                # in page order each tag must lie in one that came before, or the class is not nested
-                seen: set[str] = set()
-                valid = []
-                for t in tags:
-                    parent = t["path"].rpartition("/")[0]
-                    if not parent or parent in seen or not outer:
-                        seen.add(t["path"])
-                        valid.append(t)
-                main = None
-                if outer and valid:
-                    whole = max(t["below"] for t in valid)
-                    heavy = [t for t in valid if whole and t["below"] >= MASS * whole and _last_tag(t["path"]) in CONTAINERS]
-                    main = max(heavy, key=lambda t: (t["path"].count("/"), t["place"]))["token"] if heavy else None
-                if outer:
-                    out.append((h, main, fixed))
+            out = [(h, *deduce(n, mass, tokens)) for h, n, mass, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             columns = zip(*out, strict=True) if out else [[]] * 3
             types = [pa.string(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["host", "main", "fixed"])
 
-    return classes.select("host", "outer", "tokens").mapInArrow(deduce, "host string, main long, fixed array<long>")
+    return hosts.select("host", "n", "mass", "tokens").mapInArrow(of_host, "host string, main long, fixed array<long>")
 
 
 def extract(pages: DataFrame, url: str, html: str, text: str = "text") -> DataFrame:
