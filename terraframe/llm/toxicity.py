@@ -7,9 +7,9 @@ the square of the change of the score (its log-odds) is penalised. A mention
 that decides between two labels only through who is named thus gets no weight.
 
 The fit runs on a bounded sample: at most ``SAMPLE`` labelled texts of each
-class, those with the smallest hashes of their ids, whatever the size of the
+class, those with the smallest hashes of their ids, one text an id, whatever the size of the
 corpus. Feature counts of the sample are made by Spark; the driver gets at most
-``FEATURES`` names and the sample's rows as indexes into them. Scoring is one
+``FEATURES`` names and the sample's rows as indexes into them, in Arrow arrays. Scoring is one
 pass over all texts without a shuffle.
 """
 
@@ -124,15 +124,26 @@ def sample(labels: DataFrame, doc: str, label: str, most: int = SAMPLE) -> DataF
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
-def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, most: int = SAMPLE) -> Model:
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Views of the lists of a column."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    flat = column.values.to_numpy(zero_copy_only=False)
+    at = column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, most: int = SAMPLE, features_kept: int = FEATURES) -> Model:
     """Model of ``labels`` (``doc``, ``label`` 0 or 1) for the texts of ``docs``.
 
     Without labelled texts, or with one class only, the score is the share of
-    that class everywhere (0 without labels).
+    that class everywhere (0 without labels). ``most`` bounds the sample (ids of
+    each class), ``features_kept`` the model. Of several texts with one id the first in order is used.
     """
     picked = F.broadcast(stored(sample(labels, doc, label, most)))  # at most 2 * most rows
     rows = docs.select(F.col(f"`{doc}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(picked, "__id")
-    rows = stored(rows.select("__text", "__y", "__of"))
+    rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y"), F.max("__of").alias("__of"))
+    rows = stored(rows.drop("__id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
@@ -155,7 +166,7 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, mos
     cells = [(F.col(c), e) for c, e in cells] + [(F.lit(n) - F.col(c), n - e) for (c, e), n in zip(cells, (n0, n1), strict=True)]
     # likelihood ratio of the two classes: holds for rare features too
     ratio = sum((F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-    best = seen.select("f", ratio.alias("g")).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "f").limit(FEATURES)
+    best = seen.select("f", ratio.alias("g")).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "f").limit(features_kept)
     names = sorted({r[0] for r in best.collect()} | set(SWAP))
     index = {n: i for i, n in enumerate(names)}
 
@@ -169,11 +180,11 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, mos
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (own, other)]
             yield pa.RecordBatch.from_arrays([*lists, b.column(1)], names=["x", "cf", "y"])
 
-    data = rows.select("__text", "__y").mapInArrow(encode, "x array<int>, cf array<int>, y int").toArrow().to_pydict()
-    y = np.array(data["y"], dtype=float)
+    data = rows.select("__text", "__y").mapInArrow(encode, "x array<int>, cf array<int>, y int").toArrow()
+    y = data.column("y").to_numpy().astype(float)
     # each class weighs what it weighs among all labelled texts
     weight = np.where(y > 0, of1 / n1, of0 / n0)
-    beta = fit_rows([np.array(v) for v in data["x"]], [np.array(v) for v in data["cf"]], y, weight, len(names))
+    beta = fit_rows(_lists(data.column("x")), _lists(data.column("cf")), y, weight, len(names))
     return Model({n: float(beta[i]) for n, i in index.items() if beta[i]}, float(beta[-1]))
 
 
