@@ -56,6 +56,7 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 URL_GLOBS = (
     ("block", "*.spam*/*"), ("block", "*spam-farm.*/*"), ("block", "*cheap-pills.*/*"), ("block", "*.ads.*/*"),
     ("block", "*.doubleclick.*/*"), ("block", "*/*/wp-login.php*"), ("block", "*/*/cart/*"), ("block", "*/*/search/*"),
+    ("block", "*/wp-login.php*"), ("block", "*/cart/*"), ("block", "*/search/*"),
     ("allow", "*.gov.*/*"), ("allow", "*.edu.*/*"),
 )
 
@@ -81,7 +82,7 @@ SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
     WHEN path LIKE '/%' AND (host LIKE '%.doubleclick.%' OR '.' || host LIKE '%.doubleclick.%') THEN 'block'
-    WHEN path LIKE '/%/wp-login.php%' THEN 'block'
+    WHEN path LIKE '/%/wp-login.php%' OR path LIKE '/wp-login.php%' OR path LIKE '/cart/%' OR path LIKE '/search/%' THEN 'block'
     WHEN path LIKE '/%' AND '.' || host LIKE '%cheap-pills.%' THEN 'block'
     WHEN path LIKE '/%' AND '.' || host LIKE '%spam-farm.%' THEN 'block'
     WHEN path LIKE '/%/search/%' THEN 'block'
