@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terraframe.llm.storage import stored
@@ -26,11 +26,15 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _marked(edges: DataFrame, parts: int | None) -> tuple[DataFrame, tuple]:
+    """``edges``, written, and their number and the sum of their hashes, found while writing."""
+    seen = Observation()
+    total = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))
+    kept = stored(edges.observe(seen, F.count("*").alias("n"), total.alias("sum")), parts)
+    return kept, (seen.get["n"], seen.get["sum"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(``node``, ``root``) of each node of ``edges`` (``a``, ``b``); the root is the smallest node it can reach.
 
     Every node is hung under its smallest neighbour, alternately with its
@@ -38,10 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     rounds in the order of the square of the logarithm of the longest path.
     Minima are aggregates and hot nodes meet them in joins that adaptive
     execution can split; no group is collected. Each round is written to the
-    shared folder. Loops and repeated edges do no harm; nulls are ignored.
+    shared folder, in ``parts`` files at most. Loops and repeated edges do no harm; nulls are ignored.
     """
-    now = stored(edges.where("a < b").union(edges.where("a > b").select("b", "a")).toDF("a", "b").distinct())
-    mark = _mark(now)
+    now, mark = _marked(edges.where("a < b").union(edges.where("a > b").select("b", "a")).toDF("a", "b").distinct(), parts)
     while mark[0]:
         # large star: neighbours above a node move to its smallest neighbour
         wide = _both(now)
@@ -51,8 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below it move to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         down = large.join(least, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        now = stored(down.union(least.select(F.col("m").alias("a"), "b")).distinct())
-        after = _mark(now)
+        now, after = _marked(down.union(least.select(F.col("m").alias("a"), "b")).distinct(), parts)
         if after == mark:
             break
         mark = after

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraframe.llm.components import components
-from terraframe.llm.storage import small, stored
+from terraframe.llm.storage import parts_of, small, stored
 from terraframe.llm.words import mixed, rolling, slices, words
 
 BINS = 256
@@ -159,7 +159,7 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
-def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size: int, parts: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Nodes (``tree, node, sig``) of two to ``node_size`` sets, and the larger ones of each level that was looked at.
 
     rows: ``sig`` and ``sketch``. ``stride`` tokens are taken before sizes are looked at.
@@ -169,7 +169,7 @@ def _branch(rows: DataFrame, trees: range, levels: int, stride: int, node_size:
     for level in range(0, levels, stride):
         rows = rows.withColumn("node", F.xxhash64("node", "tree", F.substring("path", 2 * level + 1, 2 * stride)))
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        rows = stored(rows.join(small(stored(counts)), "node"))
+        rows = stored(rows.join(small(stored(counts, parts)), "node"), parts)
         fit.append(rows.where(F.col("n") <= node_size).select("tree", "node", "sig"))
         rows = rows.where(F.col("n") > node_size).drop("n")
         large.append(rows.select("tree", "node", "sig"))
@@ -275,16 +275,16 @@ def _pairs(nodes: DataFrame, percent: int, judge, forest: bool) -> DataFrame:
     return nodes.select("m").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
+def _stars(nodes: DataFrame, parts: int) -> DataFrame:
     """Distinct pairs of a member and the node's pivot, for nodes that stayed large; the pivot differs from tree to tree."""
     order = F.xxhash64("tree", "sig")
     pivots = nodes.groupBy("node").agg(F.min(F.struct(order.alias("o"), "sig")).alias("p"))
-    pivots = stored(pivots.select("node", F.col("p.sig").alias("pivot")))
+    pivots = stored(pivots.select("node", F.col("p.sig").alias("pivot")), parts)
     met = nodes.join(small(pivots), "node").where("sig != pivot")
     return met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
 
 
-def _blocks(large: DataFrame, roots: DataFrame, node_size: int) -> DataFrame:
+def _blocks(large: DataFrame, roots: DataFrame, node_size: int, parts: int) -> DataFrame:
     """Nodes (``tree, node, sig``) of about ``node_size`` members that hold all pairs still to be compared in nodes that stayed large.
 
     Members outside the node's largest component are the *rest*. All members
@@ -293,11 +293,11 @@ def _blocks(large: DataFrame, roots: DataFrame, node_size: int) -> DataFrame:
     are lots, one of the rest also in as many as there are blocks. Nodes of one component are left out.
     """
     half = node_size // 2
-    rows = stored(_rooted(large, roots))
-    parts = rows.groupBy("node", "root").agg(F.count("*").alias("m"))
-    sizes = parts.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rows = stored(_rooted(large, roots), parts)
+    joined = rows.groupBy("node", "root").agg(F.count("*").alias("m"))
+    sizes = joined.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("k")).where("k > 1")
     blocks, lots = F.ceil(F.col("n") / half).cast("int"), F.ceil((F.col("n") - F.col("most.m")) / half).cast("int")
-    sizes = stored(sizes.select("node", F.col("most.root").alias("most"), blocks.alias("blocks"), lots.alias("lots")))
+    sizes = stored(sizes.select("node", F.col("most.root").alias("most"), blocks.alias("blocks"), lots.alias("lots")), parts)
     rows = rows.join(small(sizes), "node")
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "sig"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -379,33 +379,34 @@ def near_duplicates(
         F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__tag")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes)
-    fit, (large,) = _branch(classes, range(TREES), LEVELS, LEVELS, node_size)
+    parts = parts_of(classes)  # of all that follows
+    fit, (large,) = _branch(classes, range(TREES), LEVELS, LEVELS, node_size, parts)
     coarse = classes.select("sig", "n", F.substring("sketch", 2 * BINS + 1, BINS // 2).alias("sketch"))
-    together = stored(_merged(fit, None))
+    together = stored(_merged(fit, None), parts)
     texts = _texts(together.select("sig").union(large.select("sig")).distinct(), classes, rows)
     forest = _pairs(_gathered(together, coarse), percent, _coarse, forest=True)
-    tried = stored(forest.union(_stars(large)).distinct())
-    links = stored(_confirm(tried, texts, width, percent))
-    roots = stored(components(links))
+    tried = stored(forest.union(_stars(large, parts)).distinct(), parts)
+    links = stored(_confirm(tried, texts, width, percent), parts)
+    roots = stored(components(links, parts), parts)
     # members of large nodes go on, each in its own trees; what is linked by now is not looked at again
-    dense = stored(classes.select("sig", "sketch").join(small(stored(large.select("sig").distinct())), "sig"))
-    more, larger = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, DENSE_LEVELS // 2, 2 * node_size)
+    dense = stored(classes.select("sig", "sketch").join(small(stored(large.select("sig").distinct(), parts)), "sig"), parts)
+    more, larger = _branch(dense, range(TREES, TREES + DENSE_TREES), DENSE_LEVELS, DENSE_LEVELS // 2, 2 * node_size, parts)
     for forest in (True, False):  # what connects them first, then whatever is still apart
-        rest = fit + more if forest else [*fit, *more, _blocks(larger[0], roots, 2 * node_size)]
-        open_nodes = stored(_merged(rest, roots))
+        rest = fit + more if forest else [*fit, *more, _blocks(larger[0], roots, 2 * node_size, parts)]
+        open_nodes = stored(_merged(rest, roots), parts)
         fine = _fine(open_nodes.select("sig").distinct(), texts, width)
         pairs = _pairs(_gathered(open_nodes, fine), percent, _close, forest)
-        pairs = pairs.union(_stars(larger[-1])).distinct() if forest else pairs
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = pairs.union(_stars(larger[-1], parts)).distinct() if forest else pairs
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), parts)
         tried = tried.unionByName(pairs)
-        links = stored(links.unionByName(_confirm(pairs, texts, width, percent)))
-        roots = stored(components(links))
+        links = stored(links.unionByName(_confirm(pairs, texts, width, percent)), parts)
+        roots = stored(components(links, parts), parts)
     degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
     named = classes.select("sig", "first").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("first").alias("lead"))
     lead = [F.col("lead.__doc").alias("component_id"), F.col("lead.__tag").alias("lead_tag")]
-    labels = stored(named.join(least, "root").join(degree, "sig", "left").select("sig", *lead, "n_links"))
+    labels = stored(named.join(least, "root").join(degree, "sig", "left").select("sig", *lead, "n_links"), parts)
     out = signed.select("__doc", "__tag", "n_shingles", "sig").join(small(labels), "sig", "left")
     return out.select(
         F.col("__doc").alias(doc),

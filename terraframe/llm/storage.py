@@ -12,16 +12,26 @@ from terraframe.session import shared_dir
 
 #: A stored table of at most so many bytes (Parquet) may be sent to every executor.
 BROADCAST_BYTES = 4 << 20
+#: Bytes (Parquet) of a table for each task that works on it.
+PART_BYTES = 4 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    parts: files to write at most, where the caller knows the size; the last step then runs in as many tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(table: DataFrame, size: int = PART_BYTES) -> int:
+    """Tasks for work on a stored table and what is derived from it: one for ``size`` bytes, one for each core at least."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(table) // size))
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files of a stored table, by the file system that holds it."""
     jvm = df.sparkSession.sparkContext._jvm

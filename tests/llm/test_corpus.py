@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -340,6 +341,17 @@ def test_sample_is_bounded(spark):
     assert {(r[0], r[1], r[2]) for r in got.groupBy("__y").agg(F.count("*"), F.max("__of")).collect()} == {(0, 50, 375), (1, 50, 125)}
 
 
+def test_one_text_for_each_labelled_id(spark):
+    """An id with thousands of texts adds one of them to the sample, always the same."""
+    rows = [(i % 40, f"{'vilewort' if i % 2 else 'nice'} {prose(10)}") for i in range(40)]
+    many = rows + [(0, f"zzz {i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    one = toxicity.fit(spark.createDataFrame(rows, schema), "doc_id", "text", labels, "toxic")
+    other = toxicity.fit(spark.createDataFrame(many, schema).repartition(5), "doc_id", "text", labels, "toxic")
+    assert one == other
+
+
 # HTML
 
 
@@ -355,7 +367,7 @@ def test_html(spark):
         page("<div class='cookie-notice'>ok?</div><div><p>plain &#233;&lt;</p><ul><li>u<li>v</ul></div>"): "plain é<\nu\nv",
         page("<article><p>first</article><article><p>second</article>"): "first\nsecond",
         "<p>no body &amp": "no body &",
-        "<article><p title='a > b'>q</p><p hidden>z</p><blockquote>w": "q\nw",
+        "<article><p title='a > b'>q</p><p hidden>z</p><blockquote>w": "q\nz\nw",
         "just text": "just text",
         "": "",
         None: "",
@@ -371,17 +383,77 @@ def test_html(spark):
     assert html.extract(df.limit(0), "url", "html").count() == 0
 
 
+COMMON_PAGES = [
+    "<body class='has-sidebar'><p>{}</p></body>", "<body class='no-sidebar'><div><p>{}</p></div></body>", "<body id='search-page'><p>{}</p></body>",
+    "<body class='navy-theme'><p>{}</p></body>", "<body><article class='related-science'><p>{}</p></article></body>",
+    "<main class='sidebar'><p>{}</p></main>", "<article><svg><text>{}</text></svg></article>", "<article><math><mi>{}</mi></math></article>",
+]
+
+
+@pytest.mark.parametrize("shell", COMMON_PAGES)
+def test_names_that_mark_nothing(shell):
+    assert html.main_text(shell.format("the text")) == "the text"
+
+
+def test_marks():
+    assert all(html.marked(n) for n in ("ad", "x cookie-notice", "left-sidebar", "site-footer", "Main_Nav", "comments", "share-buttons"))
+    assert not any(html.marked(n) for n in ("navy-theme", "has-sidebar", "header", "shareholder", "searching", "admin", "noticeboard"))
+
+
+@pytest.mark.parametrize(
+    "broken",
+    ["<b>" * 100_000 + "x", "<a " * 100_000, "<p>" * 100_000, "<b></i>" * 50_000, "<a x=\"" * 100_000 + ">", "<" * 300_000, "<!--" * 100_000, "<script>" * 50_000, "<a b='>\"" * 50_000],
+)
+def test_broken_pages_take_no_time(broken):
+    begin = time.perf_counter()
+    html.page_tokens(broken)
+    html.main_text(broken)
+    assert time.perf_counter() - begin < 15
+
+
+def brute_deduce(pages):
+    """Keys of tags and hashes of texts on most pages, by vectors written out in full."""
+    found = [html.page_tokens(p) for p in pages if html.page_tokens(p)]
+    vectors = {}
+    for i, own in enumerate(found):
+        for k, t in own.items():
+            vectors.setdefault(k, {})[i] = t[0]
+    classes = {}
+    for k, v in vectors.items():
+        if len(v) >= html.SUPPORT * len(found):
+            classes.setdefault(tuple(sorted(v.items())), []).append(k)
+    parent = {k: t[3] for own in found for k, t in own.items()}
+    depth = {k: t[4] for own in found for k, t in own.items()}
+    valid = set()
+    for _ in range(len(classes) + 1):
+        for members in classes.values():
+            tags = [k for k in members if k[0] == 0]
+            if all(depth[k] == 0 or (0, parent[k]) in valid or (0, parent[k]) in tags for k in tags):
+                valid.update(tags)
+    fixed = {k[1] for k, v in vectors.items() if k[0] == 1 and len(v) >= html.FIXED * len(found)}
+    return {k[1] for k in valid}, fixed
+
+
 def test_template(spark):
-    """No article or main: the main element is the slot with most of the host's text; fixed text outside paragraphs goes."""
-    shell = "<body><div class='top'>Daily Paper</div><div id='x1'><div id='x2'><span>Printed from Daily Paper</span>{}</div></div><div id='x3'><span>Imprint 2020</span></div></body>"
-    body = [f"<p>{prose(30)}</p><p>{prose(20)}</p>" for _ in range(9)]
-    rows = [(i, "http://paper.x/1" if i else None, shell.format(b)) for i, b in enumerate(body)]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()
-    for r in got:
-        want = "\n".join(re.findall("<p>(.*?)</p>", body[r.page_id]))
-        assert r.text == (want if r.page_id else "Daily Paper\nPrinted from Daily Paper\n" + want + "\nImprint 2020")
+    """Masthead, imprint and printed notes go, in paragraphs too, with an empty page among the others; all of the article stays."""
+    shell = (
+        "<body><div class='top'><p>Daily Paper</p></div><div id='x1'><div id='x2'><span>Printed from Daily Paper</span>{}</div>"
+        "<div id='x4'>{}</div></div><div id='x3'><p>Imprint 2020</p></div></body>"
+    )
+    body = [(f"<p>{prose(30)}</p><p>{prose(20)}</p>", f"<p>{prose(25)}</p>") for _ in range(9)]
+    pages = [shell.format(*b) for b in body] + ["", None]
+    rows = [(i, "http://paper.x/1", p) for i, p in enumerate(pages)] + [(99, None, pages[0])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()}
+    for i, b in enumerate(body):
+        assert got[i] == "\n".join(re.findall("<p>(.*?)</p>", "".join(b)))
+    assert got[9] == got[10] == ""
+    own = "\n".join(re.findall("<p>(.*?)</p>", body[0][0]))
+    assert got[99] == "\n".join(["Daily Paper", "Printed from Daily Paper", own, re.findall("<p>(.*?)</p>", body[0][1])[0], "Imprint 2020"])
     same = spark.createDataFrame([(i, "http://c.x/", page("<article><h1>t</h1><p>copy</p></article>")) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in html.extract(same, "url", "html").collect()} == {"t\ncopy"}
+    found = html.templates(spark.createDataFrame([("h", p) for p in pages], "host string, html string"), "html").first()
+    valid, fixed = brute_deduce([p or "" for p in pages])
+    assert found.main in valid and set(found.fixed) == fixed and len(fixed) == 3
 
 
 # pipeline
@@ -464,7 +536,7 @@ def test_blocks_hold_every_open_pair(spark):
     large = spark.createDataFrame([(1, 9, bytearray(s)) for s in sigs], "tree int, node long, sig binary")
     roots = spark.createDataFrame([(bytearray(s), bytearray(sigs[0])) for s in sigs[:150]], "node binary, root binary")
     nodes = {}
-    for r in near._blocks(large, roots, 32).collect():
+    for r in near._blocks(large, roots, 32, 4).collect():
         nodes.setdefault(r.node, set()).add(bytes(r.sig)[0])
     met = {(a, b) for m in nodes.values() for a in m for b in m if a < b}
     assert {(a, b) for a in range(200) for b in range(max(a + 1, 150), 200)} <= met
