@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraframe.operators.lookup import known
+
 _MIN_LEVEL, _MAX_LEVEL = -30, 60
 # Point against box: cells this many halvings smaller than the box. At most
 # 5 x 5 cells a box, and few points of them outside it.
@@ -50,7 +52,8 @@ def overlap_join(
         ok = f"{box_name}.minx <= {box_name}.maxx AND {box_name}.miny <= {box_name}.maxy"
         return df.where(ok).selectExpr("*", f"{_level(box_name, finer)} AS __{tag}_level")
 
-    left, right = usable(left, a, "l"), usable(right, b, "r", _FINER if left_points else 0)
+    # the right side is looked at twice, for its levels and for its boxes: written once, if it is not stored
+    left, right = usable(left, a, "l"), usable(known(right), b, "r", _FINER if left_points else 0)
     # The distinct levels: at most 91 integers by construction.
     seen = right.selectExpr("__r_level AS v")
     if not left_points:

@@ -49,8 +49,8 @@ def sized(catalog: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(catalog) if size_of(catalog) <= limit else catalog
 
 
-def join_catalog(df: DataFrame, catalog: DataFrame, key: str, spread_by: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows with the catalog row of their ``key``; rows without one are left out.
+def join_catalog(df: DataFrame, catalog: DataFrame, key: str, spread_by: list[str], limit: int = BROADCAST_BYTES, how: str = "inner") -> DataFrame:
+    """Rows with the catalog row of their ``key``; rows without one are left out, or kept with ``how`` "left".
 
     A catalog within ``limit`` bytes is broadcast and the rows are not
     shuffled. A larger one is joined on the key and a salt taken from
@@ -61,7 +61,7 @@ def join_catalog(df: DataFrame, catalog: DataFrame, key: str, spread_by: list[st
     """
     catalog = known(catalog)
     if not catalog.isStreaming and size_of(catalog) <= limit:
-        return df.join(F.broadcast(catalog), key)
+        return df.join(F.broadcast(catalog), key, how)
     salted = df.withColumn("__salt", F.pmod(F.hash(*spread_by), F.lit(SALTS)))
     copies = catalog.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies.hint("merge"), [key, "__salt"]).drop("__salt")
+    return salted.join(copies.hint("merge"), [key, "__salt"], how).drop("__salt")

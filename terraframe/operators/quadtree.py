@@ -372,7 +372,7 @@ def patch_corners(
         iuv = image_uv(
             "px", "py", F.col("geo"), "width", "height", F.col("image_geo"), "image_w", "image_h"
         )
-        placed = placed.join(images, "raster_id", "left").withColumns(iuv)
+        placed = join_catalog(placed, images, "raster_id", ["fx", "fy"], how="left").withColumns(iuv)
         keep += ["iu", "iv"]
     if frame is not None:
         scene = to_scene("x", "y", "z", F.col("__frame"))

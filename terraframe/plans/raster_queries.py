@@ -11,6 +11,7 @@ from terraframe.operators import raster as R
 from terraframe.operators.blocks import to_blocks
 from terraframe.operators.boxes import box, overlap_join
 from terraframe.operators.catalog import as_scalar
+from terraframe.operators.lookup import join_catalog
 from terraframe.operators.sampling import sample_image
 from terraframe.plans.collection import Collection
 from terraframe.plans.point_queries import _CONE, _project_sql
@@ -61,7 +62,7 @@ def ground_with_dhm(c: Collection) -> DataFrame:
 )
 def _(c: Collection):
     sheared = c.dsm_catalog.withColumn("b", F.lit(0.5)).withColumn("d", F.lit(0.25))
-    joined = c.dsm.join(sheared, "raster_id")
+    joined = join_catalog(c.dsm, sheared, "raster_id", ["row", "col"])
     return joined.select(*PIXEL, *fixed_as(**frame.pixel_to_world("col", "row", frame.geo_struct())))
 
 
@@ -76,7 +77,7 @@ _W2P = pixel_of("p.x", "p.y", "k")
 )
 def _(c: Collection):
     sheared = c.dsm_catalog.withColumn("b", F.lit(0.5)).withColumn("d", F.lit(0.25))
-    joined = c.points.join(sheared.withColumnRenamed("raster_id", "file_id"), "file_id")
+    joined = join_catalog(c.points, sheared.withColumnRenamed("raster_id", "file_id"), "file_id", ["file_idx"])
     pixel = frame.world_to_pixel("x", "y", frame.geo_struct())
     return joined.select("file_id", "file_idx", *fixed_as(**pixel))
 
@@ -165,7 +166,7 @@ def _(c: Collection):
         F.col("height").alias("ih"),
     )
     info = c.dsm_catalog.select("raster_id", "width", "height", frame.geo_struct().alias("geo"))
-    joined = c.dsm.join(info, "raster_id").join(images, "raster_id")
+    joined = join_catalog(join_catalog(c.dsm, info, "raster_id", ["row", "col"]), images, "raster_id", ["row", "col"])
     uv = frame.texel_uv("col", "row", "width", "height")
     iuv = frame.image_uv("col", "row", F.col("geo"), "width", "height", F.col("ig"), "iw", "ih")
     return joined.select(*PIXEL, *fixed_as(**uv, **iuv))

@@ -64,9 +64,9 @@ def files_read(df) -> int:
     total, todo = 0, [plan]
     while todo:
         node = todo.pop()
-        if "Stage" in node.nodeName() and hasattr(node, "plan"):
+        if node.nodeName().endswith("QueryStage"):
             node = node.plan()
-        if node.nodeName().startswith("Scan parquet") and "tile" in node.toString():
+        if node.nodeName().startswith("Scan parquet") and "file_idx" in node.toString():
             total += node.metrics().apply("numFiles").value()
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return total
