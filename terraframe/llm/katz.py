@@ -38,7 +38,7 @@ from terraframe.llm.words import mixed, slices, words
 #: Counts up to this are discounted; the share of a count kept back for new followers.
 CUT, RESERVE = 5, 0.1
 #: Tokens and documents of a batch, tokens of a partition.
-BATCH_TOKENS, BATCH_DOCS, GROUP_TOKENS = 800_000, 30_000, 3_000_000
+BATCH_TOKENS, BATCH_DOCS, GROUP_TOKENS = 1_200_000, 30_000, 3_000_000
 #: Ranges of histories in which a partition is counted, one after the other.
 PIECES = 16
 #: A word with clearly more than one in so many training tokens is hot; there are fewer than twice as many hot words.
