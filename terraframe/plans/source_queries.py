@@ -95,7 +95,7 @@ def _(c: Collection):
 def _(c: Collection):
     folder = files.scratch(c.spark, "world")
     files.write_world_files(c.dsm_catalog, folder)
-    number = F.regexp_extract("path", r"raster_id=(\d+)", 1).cast("long").alias("raster_id")
+    number = F.regexp_extract("path", r"dem-(\d+)\.tfw$", 1).cast("long").alias("raster_id")
     return read_world_files(c.spark, folder).select(number, *fixed_as(**{k: k for k in "abcdef"}))
 
 
