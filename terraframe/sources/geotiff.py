@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from terraframe.sources.files import Ranges, list_files, split_count
+from terraframe.sources.files import Bundle, Ranges, bundles, list_files, merged
 
 PIXELS = "path string, row int, col int, band1 double, band2 double, band3 double, band4 double"
 CATALOG = (
@@ -155,13 +155,6 @@ def _catalog_row(path: str, lay: Layout) -> tuple:
     )
 
 
-@dataclass
-class Slice(InputPartition):
-    path: str
-    part: int
-    parts: int
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -170,26 +163,21 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = list_files(self.root, (".tif", ".tiff"))
-        if self.header_only:
-            return [Slice(path, 0, 1) for path, _ in files]
-        return [
-            Slice(path, k, n)
-            for path, size in files
-            for n in [split_count(size, self.split_bytes)]
-            for k in range(n)
-        ]
-
-    def read(self, partition: Slice) -> Iterator:
-        with Ranges(self.root, partition.path) as data:
+        return bundles(files, self.split_bytes, heads=self.header_only)
+
+    def read(self, partition: Bundle) -> Iterator:
+        found = (row for piece in partition.slices for row in self._file(*piece))
+        return found if self.header_only else merged(found)
+
+    def _file(self, path: str, part: int, parts: int) -> Iterator:
+        with Ranges(self.root, path) as data:
             layout = read_layout(data)
             if self.header_only:
-                yield _catalog_row(partition.path, layout)
+                yield _catalog_row(path, layout)
                 return
             chunks = layout.across * layout.down
-            first = chunks * partition.part // partition.parts
-            last = chunks * (partition.part + 1) // partition.parts
-            for chunk in range(first, last):
-                yield self._chunk(partition.path, data, layout, chunk)
+            for chunk in range(chunks * part // parts, chunks * (part + 1) // parts):
+                yield self._chunk(path, data, layout, chunk)
 
     def _chunk(self, path: str, data: Ranges, lay: Layout, chunk: int):
         import numpy as np

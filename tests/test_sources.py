@@ -149,3 +149,26 @@ def test_lod_table_prunes_depths(spark, tmp_path):
     found = read_lod_points(spark, str(tmp_path / "lod"), 10.0, 2, 5.0)
     assert found.count() == 20
     assert "PartitionFilters: [isnotnull(depth" in found._jdf.queryExecution().toString()
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    """A task a file took longer than reading it."""
+    content = tiff_bytes(bands([[1, 2], [3, 4]], kind="<f4"), (0.0, 1.0, 0.0, 10.0, 0.0, -1.0))
+    for k in range(40):
+        save(tmp_path, f"{k}.tif", content)
+        save(tmp_path, f"{k}.las", las12())
+        save(tmp_path, f"{k}.tfw", f"{k}.5\n0\n0\n-1\n7\n8\n".encode())
+    folder = str(tmp_path)
+    for name, rows in (("geotiff", 160), ("las", 120)):
+        heads = spark.read.format(name).option("header_only", "true").load(folder)
+        assert heads.rdd.getNumPartitions() == 1 and heads.count() == 40
+        whole = spark.read.format(name).load(folder)
+        assert whole.rdd.getNumPartitions() == 1 and whole.count() == rows
+        assert spark.read.format(name).option("split_bytes", 200).load(folder).count() == rows
+    worlds = tmp_path / "w"
+    worlds.mkdir()
+    for k in range(700):
+        save(worlds, f"{k}.tfw", f"{k}.5\n0\n0\n-1\n7\n8\n".encode())
+    found = read_world_files(spark, str(worlds))
+    assert found.rdd.getNumPartitions() == 2
+    assert sorted(r["a"] for r in found.collect()) == [k + 0.5 for k in range(700)]
