@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terraframe.functions.rules import COLOUR_OFFSET, MIN_RECORD_LENGTH
-from terraframe.sources.files import Ranges, list_files, split_count
+from terraframe.sources.files import Bundle, Ranges, bundles, list_files
 
 POINTS = (
     "file_id string, file_idx bigint, x double, y double, z double, red int, green int, blue int"
@@ -126,13 +126,6 @@ def read_crs(data: Ranges, header: Header) -> tuple[str, int]:
     return (wkt or (f"EPSG:{code}" if code else "")), code
 
 
-@dataclass
-class Slice(InputPartition):
-    path: str
-    part: int
-    parts: int
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -142,29 +135,23 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = list_files(self.root, (".las",))
-        if self.header_only:
-            return [Slice(path, 0, 1) for path, _ in files]
-        return [
-            Slice(path, k, n)
-            for path, size in files
-            for n in [split_count(size, self.split_bytes)]
-            for k in range(n)
-        ]
-
-    def read(self, partition: Slice) -> Iterator:
-        with Ranges(self.root, partition.path) as data:
-            header = parse_header(data.read(0, 375))
-            yield from (
-                self._header(partition.path, data, header)
-                if self.header_only
-                else self._points(partition, data, header)
-            )
+        return bundles(files, self.split_bytes, heads=self.header_only)
+
+    def read(self, partition: Bundle) -> Iterator:
+        for path, part, parts in partition.slices:
+            with Ranges(self.root, path) as data:
+                header = parse_header(data.read(0, 375))
+                yield from (
+                    self._header(path, data, header)
+                    if self.header_only
+                    else self._points(path, part, parts, data, header)
+                )
 
     def _header(self, path: str, data: Ranges, h: Header) -> Iterator[tuple]:
         wkt, code = read_crs(data, h)
         yield (path, h.minor, h.format_id, h.record_length, h.point_count, *h.low, *h.high, wkt, code)
 
-    def _points(self, part: Slice, data: Ranges, h: Header) -> Iterator:
+    def _points(self, path: str, part: int, parts: int, data: Ranges, h: Header) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
@@ -175,13 +162,13 @@ class _Reader(DataSourceReader):
             fields["formats"].append("<3u2")
             fields["offsets"].append(colour)
         record = np.dtype(fields)
-        first = h.point_count * part.part // part.parts
-        last = h.point_count * (part.part + 1) // part.parts
+        first = h.point_count * part // parts
+        last = h.point_count * (part + 1) // parts
         for start in range(first, last, _BATCH):
             n = min(_BATCH, last - start)
             raw = data.read(h.point_offset + start * h.record_length, n * h.record_length)
             if len(raw) != n * h.record_length:
-                raise ValueError(f"{part.path} ends before its {h.point_count} points")
+                raise ValueError(f"{path} ends before its {h.point_count} points")
             rows = np.frombuffer(raw, dtype=record)
             axes = [rows["xyz"][:, k] * h.scale[k] + h.offset[k] for k in range(3)]
             if "rgb" in fields["names"]:
@@ -190,7 +177,7 @@ class _Reader(DataSourceReader):
                 colours = [pa.nulls(n, pa.int32())] * 3
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part.path] * n, pa.string()),
+                    pa.array([path] * n, pa.string()),
                     pa.array(np.arange(start, start + n, dtype="i8")),
                     *(pa.array(a) for a in axes),
                     *colours,
