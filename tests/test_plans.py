@@ -71,7 +71,7 @@ def broadcast_outputs(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["colorize_points"])
+@pytest.mark.parametrize("name", ["colorize_points", "tile_query", "ground_tint", "warp_image"])
 def test_generated_blocks_are_not_broadcast(spark, name):
     """A grid is taken to be as small as its catalog: its blocks went through the driver."""
     df = entry_module.queries()[name](spark, "/root/testdata/sf0.001")
