@@ -191,6 +191,22 @@ def test_components(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 5: 2, 3: 2, 9: 2, 2: 2, 50: 50, 60: 50}
 
 
+def test_components_of_few_edges_take_no_rounds(spark):
+    edges = spark.createDataFrame([(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(300) if i % 100 != 99], "a binary, b binary")
+    want = {f"{i:03}".encode(): f"{i // 100 * 100:03}".encode() for i in range(300)}
+    spark.sparkContext.setJobGroup("few edges", "one task connects them")
+    try:
+        rows = components(edges).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {bytes(r.node): bytes(r.root) for r in rows} == want and len(rows) == len(want)
+    assert jobs <= 8
+    # several tasks, none of which has a whole component
+    rows = components(edges, task_edges=40).collect()
+    assert {bytes(r.node): bytes(r.root) for r in rows} == want and len(rows) == len(want)
+
+
 # passages
 
 
