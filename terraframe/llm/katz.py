@@ -93,6 +93,7 @@ def _hot_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
             count = [*n[often].tolist(), total, len(t.doc)]
             role = [0] * int(often.sum()) + [1, 2]
             yield pa.RecordBatch.from_arrays([pa.array(role), word, pa.array(count)], names=["role", "word", "n"])
+        give_back()
 
     seen = docs.mapInArrow(candidates, "role long, word long, n long").groupBy("role", "word").agg(F.sum("n").alias("n"))
     seen = stored(seen)
@@ -109,6 +110,7 @@ def _hot_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
             good = at < len(hot)
             good[good] = hot[at[good]] == h[good]
             count += np.bincount(at[good], minlength=len(hot))
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hot))), pa.array(count)], names=["i", "n"])
 
     counts = np.zeros(len(hot), dtype=np.int64)
@@ -140,10 +142,13 @@ def _packets(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         starts = np.cumsum([0] + [len(t.n) for t in tokens[:-1]])
         h, w = np.concatenate([t.history for t in tokens]), np.concatenate([t.word for t in tokens])
-        doc = np.concatenate([t.doc + s for t, s in zip(tokens, starts.tolist(), strict=True)]).astype(np.uint16)
+        doc = np.concatenate([(t.doc + s).astype(np.uint16) for t, s in zip(tokens, starts.tolist(), strict=True)])
+        n_tokens = np.concatenate([t.n for t in tokens])
+        tokens.clear()
         p = bucket(np.where(_find(hot, h) >= 0, h ^ mixed(w), h), parts)
         order = np.lexsort((w, h, p))
         p, h, w, doc = p[order], h[order], w[order], doc[order]
+        del order
         new_h = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]
         first = np.flatnonzero(np.r_[True, new_h[1:] | (w[1:] != w[:-1])])
         times = np.diff(np.r_[first, len(h)]).astype(np.int32)
@@ -158,7 +163,7 @@ def _packets(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             if at[q] == at[q + 1] and q != home:
                 continue
             pieces = (h[first[h_first[hs]]], followers[hs], w[first[pairs]], times[pairs], doc[at[q] : at[q + 1]], train)
-            own = (pa.concat_arrays(ids).to_pylist(), np.concatenate([t.n for t in tokens]).tolist()) if q == home else (None, None)
+            own = (pa.concat_arrays(ids).to_pylist(), n_tokens.tolist()) if q == home else (None, None)
             row = [[q], [part], [number], *[[x.tobytes()] for x in pieces], [own[0]], [own[1]]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
@@ -177,7 +182,6 @@ def _packets(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             tokens.append(t)
         if tokens:
             yield from packed(number, ids, np.concatenate(train), tokens)
-        tokens.clear()
         give_back()
 
     return docs.select("id", "train", "text").mapInArrow(run, schema)
@@ -351,6 +355,8 @@ def _answers(tables: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                 cells = [x.tobytes() for x in np.split(w[order], at[1:])] if len(names) else []
                 columns = [pa.array(np.full(len(names), b.column("p")[i].as_py())), pa.array(names.astype(np.int64)), pa.array(cells, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["p", "u", "asked"])
+            del b
+            give_back()
 
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
         own, c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -360,6 +366,8 @@ def _answers(tables: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         for cell in asked.column("asked"):
             at = _find(own, _array(cell, np.uint64))
             cells.append(np.where(at >= 0, np.r_[c, 0][at], 0).tobytes())
+        del own, c
+        give_back()
         return pa.table({"p": asked.column("p"), "u": asked.column("u"), "count": pa.array(cells, pa.binary())})
 
     asked = tables.select("p", "word", "new_word").mapInArrow(ask, "p long, u long, asked binary")
@@ -422,6 +430,8 @@ def _weights(tables: DataFrame, answers: DataFrame, hot: np.ndarray, hot_counts:
         columns |= {k: pa.array([None] + [x[i].tobytes() for x in out], pa.binary()) for k, i in (("docs", 2), ("sums", 3))}
         columns |= {"counts": pa.nulls(n + 1, pa.binary())}
         columns |= {k: pa.array([None] + [x[i].tobytes() for x in out], pa.binary()) for k, i in (("hot_docs", 4), ("hot_words", 5))}
+        del r, wanted, count, u, p_of, f, c, of, share, h, w, part, batch, doc, at, value, order, cells, out
+        give_back()
         return pa.table(columns)
 
     one = tables.select("p", "history", "followers", "word", "count", "new_part", "new_batch", "new_doc", "new_history", "new_word")
@@ -469,6 +479,8 @@ def _texts(pieces: DataFrame, hot_log: np.ndarray, log_d: np.ndarray, log_total:
         # seen pairs: log10(d c) - log10(c(h) + R); new ones were added by the partitions
         score = added + sums[:, 2] + counts[:, 1:] @ (log_d + np.log10(np.arange(1, CUT + 1))) - (sums[:, 0] - sums[:, 1])
         columns = [t.column("ids")[own].values, n_tokens, counts[:, 0], sums[:, 0] - n_tokens * log_total, score]
+        del sums, counts, added
+        give_back()
         return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     schema = f"id {ids}, n_tokens long, n_known long, base_score double, score double"
@@ -501,6 +513,7 @@ def score(docs: DataFrame, doc: str, text: str, train: Column) -> DataFrame:
                 own, c = _histories({k: b.column(k)[i] for k in ("history", "followers", "count")})
                 c = c[_find(hot, own) < 0]
                 out += np.r_[np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[1 : CUT + 2], len(c)]
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CUT + 2)), pa.array(out)], names=["i", "n"])
 
     known = np.bincount(np.minimum(hot_counts, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist() + [int((hot_counts > 0).sum())]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def give_back() -> None:
-    """Return freed memory to the system, where the C library can: Python workers stay alive between stages."""
+    """Return freed memory to the system, Arrow's and, where the C library can, the rest: Python workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +249,20 @@ def test_katz_small(spark):
     close(run_katz(spark, ["a b", "a c", None], [True, False, True]), brute_katz(["a b", "a c", None], [True, False, True]))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score(empty, "doc_id", "text", F.lit(True)).collect() == []
+
+
+def test_give_back_returns_arrow_memory():
+    code = """
+import re
+import pyarrow as pa
+from terraframe.llm.storage import give_back
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+first = held()
+cells = [pa.array([b"x" * 50_000], pa.binary()) for _ in range(4000)]
+del cells
+give_back()
+print(held() - first)
+"""
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": str(root)}, capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 100  # MB; without the return of Arrow's own pool about 200 stay
