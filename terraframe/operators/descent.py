@@ -218,3 +218,19 @@ def drop_unknown_splits(balanced: DataFrame, leaves: DataFrame, blocks: DataFram
     judged = _let(_placed("k"), "g", _let(samples, "u", "struct(g.level AS level, g.ix AS ix, g.iy AS iy, u.centre AS centre)"))
     gone = met.selectExpr("raster_id", f"explode(transform(cells, k -> {judged})) AS s").selectExpr("raster_id", "s.*")
     return balanced.join(gone.where("centre = 1").drop("centre"), cell, "left_anti").select(*cell)
+
+
+def corner_heights(cornered: DataFrame, blocks: DataFrame, finest: float) -> DataFrame:
+    """Leaves with their corners ``p`` (array of corner, fx, fy on a lattice of ``finest`` cells a side) to one row a corner, with its height ``z``.
+
+    A leaf's corners lie in the block of its own root, so no pixel is shuffled, and what joins the blocks is leaves, not corners.
+    """
+    cell = ["raster_id", "level", "ix", "iy"]
+    roots = sized(stored(blocks.select("raster_id", "root_level").distinct()))
+    keyed = cornered.join(roots, "raster_id").selectExpr(
+        *cell, "p", "shiftright(ix, level - root_level) AS rx", "shiftright(iy, level - root_level) AS ry"
+    )
+    met = keyed.join(blocks.select(*ROOT, "row0", "col0", "bw", "filled", "width", "height"), ROOT)
+    z = _height(f"(k.fx * ((width - 1) / {finest!r}D))", f"(k.fy * ((height - 1) / {finest!r}D))")
+    corners = f"transform(p, k -> struct(k.corner AS corner, k.fx AS fx, k.fy AS fy, {z} AS z))"
+    return met.selectExpr(*cell, f"explode({corners}) AS p").select(*cell, "p.*")

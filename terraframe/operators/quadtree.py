@@ -37,6 +37,8 @@ from terraframe.operators.sampling import sample_filled
 from terraframe.session import stored
 
 CELL = ["raster_id", "level", "ix", "iy"]
+#: Levels whose leaves are gathered in one row for ``leaf_at``: at most 16 leaves a row.
+GATHERED = 2
 
 
 def within_lattice(leaves: DataFrame, max_level: int) -> DataFrame:
@@ -114,16 +116,34 @@ def quadtree_leaves(
 def leaf_at(probes: DataFrame, leaves: DataFrame, keys: list[str], max_level: int) -> DataFrame:
     """Level of the leaf covering finest-lattice cell (fx, fy) of each probe.
 
-    Adds ``found``: null outside the lattice or where nothing is left. Each
-    probe tries its ancestors by equi-join; at most one can be a leaf.
+    Adds ``found``: null outside the lattice or where nothing is left. Leaves
+    of the last levels (``GATHERED``) lie in one row for each of their cells of the level
+    above those, at most 4^GATHERED a row; a probe looks into the row of its own
+    cell, and tries its coarser ancestors by equi-join where there are such
+    leaves; at most one can be a leaf. Two looks at the leaves: store them.
     """
-    tried = (
-        probes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
-        .withColumn("ix", F.expr(f"shiftright(fx, {max_level} - level)"))
-        .withColumn("iy", F.expr(f"shiftright(fy, {max_level} - level)"))
-        .where((F.col("fx") >= 0) & (F.col("fy") >= 0))
+    leaves = within_lattice(leaves.select(*CELL), max_level)
+    top = leaves.agg(F.min("level")).first()[0]
+    base = max(max_level - GATHERED, 0)
+    base = base if top is None else max(base, min(top, max_level))
+    top = base if top is None else min(top, base)
+    up = f"greatest(level - {base}, 0)"
+    cells = (
+        leaves.selectExpr("raster_id", f"least(level, {base}) AS __l", f"shiftright(ix, {up}) AS __x", f"shiftright(iy, {up}) AS __y", "struct(level, ix, iy) AS c")
+        .groupBy("raster_id", "__l", "__x", "__y")
+        .agg(F.collect_list("c").alias("__cells"))
     )
-    hits = tried.join(within_lattice(leaves.select(*CELL), max_level), CELL).select(*keys, F.col("level").alias("found"))
+    covers = f"c -> c.ix = shiftright(fx, {max_level} - c.level) AND c.iy = shiftright(fy, {max_level} - c.level)"
+    found = f"get(filter(__cells, {covers}), 0).level AS found"
+    at = ["raster_id", "__l", "__x", "__y"]
+
+    def of_level(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"__{k}": F.expr(f"shiftright(f{k}, {max_level} - __l)") for k in "xy"})
+
+    if top == base:
+        return of_level(probes.withColumn("__l", F.lit(base))).join(cells, at, "left").selectExpr(*probes.columns, found)
+    tried = of_level(probes.where("fx >= 0 AND fy >= 0").withColumn("__l", F.explode(F.sequence(F.lit(top), F.lit(base)))))
+    hits = tried.join(cells, at).selectExpr(*keys, found).where("found IS NOT NULL")
     return probes.join(hits, keys, "left")
 
 
@@ -177,7 +197,9 @@ def balance_leaves(leaves: DataFrame, max_level: int) -> DataFrame:
     what a step breaks is written; a step that breaks nothing costs one look.
     """
     current = stored(within_lattice(leaves.select(*CELL), max_level))
-    for level in range(max_level, 1, -1):
+    top = current.agg(F.min("level")).first()[0]
+    # beside a parent there is nothing to split unless a leaf may be coarser than it
+    for level in range(max_level, max_level if top is None else top + 1, -1):
         broken = stored(_broken(current, level))
         if not broken.isEmpty():
             current = stored(current.unionByName(children(broken)).join(broken, CELL, "left_anti"))
@@ -333,19 +355,21 @@ def edge_codes(leaves: DataFrame, max_level: int) -> DataFrame:
 
 def patch_corners(
     leaves: DataFrame,
-    pixels: DataFrame,
+    pixels: DataFrame | None,
     catalog: DataFrame,
     max_level: int,
     frame: Column | None = None,
     images: DataFrame | None = None,
     coarse: int = COARSE,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Four corners of each leaf: lattice position, world and texture coordinates.
 
     Corners are placed from integer lattice coordinates, so the corner two
     leaves share has the same numbers in both. ``images`` (raster_id,
     image_geo, image_w, image_h) adds texture coordinates in an image;
-    ``frame`` adds scene coordinates.
+    ``frame`` adds scene coordinates. ``blocks``: the stored root blocks the
+    leaves come from; heights are read there, and no pixel table is needed.
     """
     corners = F.array(
         *(
@@ -355,15 +379,18 @@ def patch_corners(
     )
     info = catalog.select("raster_id", "width", "height", geo_struct().alias("geo"))
     finest = float(coarse * 2**max_level)
-    located = (
-        within_lattice(leaves.select(*CELL), max_level)
-        .withColumn("p", F.explode(corners))
-        .select(*CELL, "p.*")
-        .transform(lambda df: join_catalog(df, info, "raster_id", ["fx", "fy"]))
+    cornered = within_lattice(leaves.select(*CELL), max_level).withColumn("p", corners)
+    if blocks is None:
+        placed = cornered.withColumn("p", F.explode("p")).select(*CELL, "p.*")
+    else:
+        placed = descent.corner_heights(cornered, blocks, finest)
+    placed = (
+        placed.transform(lambda df: join_catalog(df, info, "raster_id", ["fx", "fy"]))
         .withColumn("px", F.col("fx") * ((F.col("width") - 1) / finest))
         .withColumn("py", F.col("fy") * ((F.col("height") - 1) / finest))
     )
-    placed = sample_filled(located, to_blocks(pixels, ["filled"]), out="z", size=BLOCK)
+    if blocks is None:
+        placed = sample_filled(placed, to_blocks(pixels, ["filled"]), out="z", size=BLOCK)
     world = pixel_to_world("px", "py", F.col("geo"))
     uv = texel_uv("px", "py", "width", "height")
     placed = placed.withColumns({**world, **uv})

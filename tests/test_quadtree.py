@@ -277,3 +277,27 @@ def test_two_sizes_share_the_deepest_lattice(spark):
     sides = Q.neighbour_levels(done, deepest).where(F.abs(F.col("level") - F.col("neighbour")) > 1)
     assert sides.count() == 0
     assert Q.edge_codes(done, deepest).count() == 4 * done.count()
+
+
+def test_level_at_tries_no_more_levels_than_there_are(spark):
+    """Leaves of the last levels are looked up in one row of their cell: probes are neither multiplied nor joined to themselves."""
+    tree = spark.createDataFrame([(1, 2, 0, 0), (1, 3, 2, 1), (1, 4, 7, 7)], "raster_id bigint, level int, ix int, iy int")
+    rows = [(1, i, *p) for i, p in enumerate([(3, 3), (4, 3), (5, 2), (7, 7), (6, 7), (-1, 0), (16, 0)])]
+    probes = spark.createDataFrame(rows, "raster_id bigint, probe int, fx int, fy int")
+    looked = Q.leaf_at(probes, tree, ["raster_id", "probe"], 4)
+    assert {r["probe"]: r["found"] for r in looked.collect()} == {0: 2, 1: 3, 2: 3, 3: 4, 4: None, 5: None, 6: None}
+    plan = looked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan
+    # coarser leaves than those: their levels are tried one by one
+    mixed = tree.unionByName(spark.createDataFrame([(1, 0, 1, 0)], tree.schema))
+    assert {r["probe"]: r["found"] for r in Q.leaf_at(probes, mixed, ["raster_id", "probe"], 4).collect()} == {0: 2, 1: 3, 2: 3, 3: 4, 4: None, 5: None, 6: 0}
+
+
+def test_corner_heights_from_root_blocks(spark):
+    """Heights at patch corners are the same from the stored root blocks as from the pixels, which are not shuffled again."""
+    table, cat = filled(pixels(spark, np.random.default_rng(3).normal(0, 5, (25, 25)))), catalog(spark, 25, 25)
+    blocks = Q.root_blocks(table, cat, 2, 8.0)
+    tree = Q.quadtree_leaves(table, cat, coarse=2, max_level=3, angle=60.0, max_span=8.0)
+    plain = Q.patch_corners(tree, table, cat, 3, coarse=2)
+    read = Q.patch_corners(tree, None, cat, 3, coarse=2, blocks=blocks)
+    assert sorted(read.collect()) == sorted(plain.collect())
