@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraframe.llm.storage import small, stored
+from terraframe.llm.storage import BROADCAST_BYTES, small, stored, stored_bytes
 from terraframe.llm.words import mixed, rolling, slices, words
 from terraframe.session import spread
 
@@ -49,6 +49,9 @@ PART_WORDS, IDENTITY = 15, 0.8
 #: Words between two parts of one passage, at most.
 BRIDGE = 12
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Factor of neighbouring words in long runs (odd), and its inverse modulo 2^64.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def winnow(values: np.ndarray, bounds: np.ndarray, spread: int = SPREAD) -> np.ndarray:
@@ -88,12 +91,17 @@ def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
-    """``rolling`` for any width: a long run is hashed by its two halves, which may overlap."""
-    if width <= 64:
+    """``rolling`` for any width: long runs are differences of one running sum, whatever their width."""
+    n = len(hashes) - width + 1
+    if width <= 8 or n <= 0:
         return rolling(hashes, width)
-    half = (width + 1) // 2
-    parts, n = _runs(hashes, half), max(len(hashes) - width + 1, 0)
-    return mixed(mixed(parts[:n] + np.uint64(width)) + parts[width - half : width - half + n])
+    powers, back = np.full((2, len(hashes)), _STEP)
+    back[:] = _STEP_BACK
+    powers[0] = back[0] = 1
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * np.cumprod(powers, dtype=np.uint64), out=total[1:])
+    # what a run adds is shifted back to its first word, modulo 2^64
+    return mixed((total[width:] - total[:n]) * np.cumprod(back, dtype=np.uint64)[:n] + np.uint64(width))
 
 
 def _seeds(keyed: DataFrame, size: int = SEED, apart: int = SPREAD) -> DataFrame:
@@ -122,6 +130,12 @@ def _seeds(keyed: DataFrame, size: int = SEED, apart: int = SPREAD) -> DataFrame
     return keyed.select("doc", "tag", "text").mapInArrow(run, "seed long, doc long, tag long, at int, n int")
 
 
+def _asked(keyed: DataFrame, requests: DataFrame) -> DataFrame:
+    """``keyed`` rows joined with the stored ``requests`` for them; where their keys are few, other texts are not shuffled."""
+    keys = small(stored(requests.select("doc", "tag").distinct()))
+    return keyed.join(keys, ["doc", "tag"], "left_semi").join(requests, ["doc", "tag"])
+
+
 def _matches(keyed: DataFrame) -> DataFrame:
     """(``doc, tag, at, first_doc, first_tag, first_at``) of each occurrence of a repeated seed that is not its first."""
     seeds = _seeds(keyed).drop("n")
@@ -286,7 +300,7 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     lots = wanted.join(small(stored(many)), ["doc", "tag"], "left")
     lot = F.pmod(F.xxhash64("chain", "side"), F.coalesce(F.ceil(F.col("n") / REQUESTS), F.lit(1)))
     lots = lots.withColumn("lot", lot).groupBy("doc", "tag", "lot").agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("asked"))
-    met = keyed.join(stored(lots), ["doc", "tag"]).select("asked", "text")
+    met = _asked(keyed, stored(lots)).select("asked", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,7 +377,7 @@ def _whole_runs(keyed: DataFrame, found: DataFrame, min_words: int) -> DataFrame
     around = lambda s: (s["start"] <= F.greatest(F.col("p") - (apart - 1), F.lit(0))) & (s["end"] >= F.least(F.col("p") + min_words, "n"))
     bare = held.where(F.col("spans").isNull() | ~F.exists("spans", around))
     asked = met.join(small(stored(bare.select("seed").distinct())), "seed").groupBy("doc", "tag").agg(F.collect_set("p").alias("asked"))
-    texts = keyed.join(stored(asked), ["doc", "tag"]).select("doc", "tag", "asked", "text")
+    texts = _asked(keyed, stored(asked)).select("doc", "tag", "asked", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -462,8 +476,15 @@ def without_repeats(docs: DataFrame, doc: str, text: str, min_words: int = 50) -
     spans = stored(spans.select(F.col(f"`{doc}`").alias("__doc"), F.col("tag").alias("__tag"), "__spans"))
     tag = F.xxhash64(F.col(f"`{text}`"))
     same = F.col(f"`{doc}`").cast("long").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))
-    met = docs.join(spans, same, "left").drop("__doc", "__tag")
     names, schema = docs.columns, docs.schema
+    keys = stored(spans.select("__doc", "__tag"))
+    if stored_bytes(keys) <= BROADCAST_BYTES:
+        # only texts that are cut meet their spans, the others are not shuffled
+        cut = docs.join(F.broadcast(keys), same, "left_semi").join(spans, same).drop("__doc", "__tag")
+        rest = docs.join(F.broadcast(keys), same, "left_anti")
+        met = cut.unionByName(rest.withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)))
+    else:
+        met = docs.join(spans, same, "left").drop("__doc", "__tag")
     at, last = names.index(text), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

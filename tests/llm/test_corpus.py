@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from terraframe.llm import decontamination, html, near, passages, quality, toxicity
 from terraframe.llm.components import components
+from terraframe.llm.storage import stored
 from terraframe.llm.words import words
 
 RNG = random.Random(5)
@@ -557,3 +558,28 @@ def test_blocks_hold_every_open_pair(spark):
     met = {(a, b) for m in nodes.values() for a in m for b in m if a < b}
     assert {(a, b) for a in range(200) for b in range(max(a + 1, 150), 200)} <= met
     assert max(map(len, nodes.values())) < 70 and sum(map(len, nodes.values())) <= 200 * 4 + 50 * 13
+
+
+def test_texts_that_no_passage_asks_for_are_not_shuffled(spark):
+    """Keys of the texts asked for are sent to the texts, whatever Spark would broadcast by itself."""
+    docs = documents(spark, ["a b c", "d e f", None, "g h i"])
+    keyed = passages._keyed(docs, "doc_id", "text")
+    wanted = stored(keyed.where("text = 'd e f'").select("doc", "tag", F.lit(7).alias("asked")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = passages._asked(keyed, wanted)
+        assert [(r.text, r.asked) for r in met.collect()] == [("d e f", 7)]
+        plan = met._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and plan.index("BroadcastHashJoin") > plan.index("SortMergeJoin") and "LeftSemi" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_runs_hash_the_same_wherever_they_are():
+    values = np.random.default_rng(2).integers(0, 1 << 63, 400, dtype=np.uint64)
+    values[300:390] = values[17:107]
+    for width in (6, 35, 50, 70):
+        runs = passages._runs(values, width)
+        assert len(runs) == 401 - width and (runs[17 : 108 - width] == runs[300 : 391 - width]).all()
+        assert len(np.unique(runs)) == len(runs) - (91 - width)
+    assert len(passages._runs(values[:20], 35)) == 0
