@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraframe.llm.storage import BROADCAST_BYTES, small, stored, stored_bytes
+from terraframe.llm.storage import BROADCAST_BYTES, give_back, small, stored, stored_bytes
 from terraframe.llm.words import mixed, rolling, slices, words
 from terraframe.session import spread
 
@@ -42,6 +42,8 @@ GAIN, GAP = 6.0, 0.1
 LEAST_SEEDS = 2
 #: Requests for parts of one document that are answered together.
 REQUESTS = 256
+#: Bytes of parts of documents that are handed on together.
+CUT_BYTES = 4 << 20
 #: Words of context fetched around a chain; an unseeded margin is at most SEED + SPREAD - 1 words.
 MARGIN = 40
 #: Aligned words that a part of a passage must have, and the share of them that must be equal.
@@ -126,6 +128,7 @@ def _seeds(keyed: DataFrame, size: int = SEED, apart: int = SPREAD) -> DataFrame
                     [pa.array(values[at].view(np.int64)), pa.array(doc[who]), pa.array(tag[who]), pa.array(place), pa.array(length)],
                     names=["seed", "doc", "tag", "at", "n"],
                 )
+        give_back()
 
     return keyed.select("doc", "tag", "text").mapInArrow(run, "seed long, doc long, tag long, at int, n int")
 
@@ -283,6 +286,39 @@ def _apart(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, shift:
     return start, start + n, other, other + n, int((a[start : start + n] == b[other : other + n]).sum())
 
 
+def _rows(batch: pa.RecordBatch, at_once: int = 64) -> Iterator[tuple]:
+    """Rows of ``batch`` as Python values, a few at a time: as objects they take many times their Arrow bytes."""
+    for first in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(first, at_once).columns), strict=True)
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(``asked``, ``text``) to (``chain, side, lo, cut``): the hashes of the words asked for.
+
+    Batches end at about ``CUT_BYTES``, by the cuts and not by the rows: the first of many long copies is asked for whole, again and again.
+    """
+    names, types = ["chain", "side", "lo", "cut"], [pa.int64(), pa.string(), pa.int32(), pa.binary()]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    for b in batches:
+        out: list[tuple] = []
+        held = 0
+        for i in range(b.num_rows):
+            for _, _, buffer, offsets in slices(b.column(1).slice(i, 1)):
+                hashes = words(buffer, offsets).hashes().astype(np.uint32)
+            for r in b.column(0)[i].as_py():
+                out.append((r["chain"], r["side"], r["lo"], hashes[r["lo"] : r["hi"]].tobytes()))
+                held += len(out[-1][3])
+                if held >= CUT_BYTES:
+                    yield batch(out)
+                    out, held = [], 0
+        yield batch(out)
+    give_back()
+
+
 def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     """Parts (``doc, tag, start, end, first_doc, first_tag, first_start, first_end, equal``) of chains that align well."""
     side = lambda p, s: F.struct(
@@ -302,19 +338,7 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     lots = lots.withColumn("lot", lot).groupBy("doc", "tag", "lot").agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("asked"))
     met = _asked(keyed, stored(lots)).select("asked", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first in range(0, b.num_rows, 64):
-                out = []
-                for asked, text in zip(*(c.slice(first, 64) for c in b.columns), strict=True):
-                    for _, _, buffer, offsets in slices(pa.array([text.as_py()], pa.string())):
-                        hashes = words(buffer, offsets).hashes().astype(np.uint32)
-                    out += [(r["chain"], r["side"], r["lo"], hashes[r["lo"] : r["hi"]].tobytes()) for r in asked.as_py()]
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                types = [pa.int64(), pa.string(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["chain", "side", "lo", "cut"])
-
-    parts = met.mapInArrow(cut, "chain long, side string, lo int, cut binary")
+    parts = met.mapInArrow(_cuts, "chain long, side string, lo int, cut binary")
     a, b = F.when(F.col("side") == "a", F.struct("lo", "cut")), F.when(F.col("side") == "b", F.struct("lo", "cut"))
     pairs = parts.groupBy("chain").agg(F.max(a).alias("a"), F.max(b).alias("b"))
     ready = named.join(pairs, "chain").select("doc", "tag", "first_doc", "first_tag", "xs", "ys", "a.lo", F.col("a.cut").alias("ca"), F.col("b.lo").alias("lb"), F.col("b.cut").alias("cb"))
@@ -322,7 +346,7 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, t, fd, ft, xs, ys, lo, ca, lb, cb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for d, t, fd, ft, xs, ys, lo, ca, lb, cb in _rows(batch):
                 left, right = (np.frombuffer(c, dtype=np.uint32) for c in (ca, cb))
                 xs, ys = np.array(xs) - lo, np.array(ys) - lb
                 s, e, fs, fe, equal = align(left, right, xs, ys)
@@ -334,6 +358,7 @@ def _aligned(chained: DataFrame, keyed: DataFrame) -> DataFrame:
                     rows.append((d, t, s + lo, e + lo, fd, ft, fs + lb, fe + lb, equal))
             columns = zip(*rows, strict=True) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
+        give_back()
 
     names = ["doc", "tag", "start", "end", "first_doc", "first_tag", "first_start", "first_end", "equal"]
     return ready.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
@@ -401,7 +426,7 @@ def _whole_runs(keyed: DataFrame, found: DataFrame, min_words: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for d, t, p in _rows(batch):
                 group: list[list[int]] = []
                 for x in p:
                     s, other, f = x["start"], (x["first_doc"], x["first_tag"]), x["first_start"]
@@ -445,7 +470,7 @@ def passages(docs: DataFrame, doc: str, text: str, min_words: int = 50) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for d, t, p in _rows(batch):
                 group, upto = [], None
                 for x in [*p, None]:
                     if x is None or upto is None or x["start"] > upto + BRIDGE:

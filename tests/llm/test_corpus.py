@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -583,3 +584,17 @@ def test_long_runs_hash_the_same_wherever_they_are():
         assert len(runs) == 401 - width and (runs[17 : 108 - width] == runs[300 : 391 - width]).all()
         assert len(np.unique(runs)) == len(runs) - (91 - width)
     assert len(passages._runs(values[:20], 35)) == 0
+
+
+def test_cuts_of_hot_texts_come_in_small_batches():
+    """A long text that hundreds of copies ask for whole: what is handed on together is bounded by its bytes."""
+    text = prose(10_000)
+    hashes = words(np.frombuffer(text.lower().encode(), dtype=np.uint8), np.array([0, len(text)])).hashes().astype(np.uint32)
+    asked = [[{"chain": lot * 100 + i, "side": "b", "lo": i, "hi": 20_000} for i in range(100)] for lot in range(6)]
+    kind = pa.list_(pa.struct([("chain", pa.int64()), ("side", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    given = pa.RecordBatch.from_arrays([pa.array([*asked, []], kind), pa.array([text] * 6 + [None])], names=["asked", "text"])
+    made = list(passages._cuts(iter([given.slice(0, 2), given.slice(2)])))
+    assert max(b.nbytes for b in made) < passages.CUT_BYTES + 100_000
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["chain"] for r in rows] == list(range(600))
+    assert all(r["cut"] == hashes[r["lo"] :].tobytes() for r in rows)
