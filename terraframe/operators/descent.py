@@ -137,8 +137,9 @@ def _marks(blocks: DataFrame, max_level: int, angle: float, max_span: float) ->
     small = f"greatest(g.cw, g.ch) <= {float(max_span)!r}D"
     flat = f"NOT {_exceeds('g', f'{tangent!r}D * least(g.cw * pw, g.ch * ph) * 0.5D')}"
     fate = (
-        f"CASE WHEN u.corners + u.centre = 5 THEN 'drop' WHEN u.corners + u.centre = 0 AND {small} AND {flat} THEN 'leaf'"
-        f" WHEN g.level < {max_level} THEN 'split' WHEN u.centre = 1 THEN 'drop' ELSE 'leaf' END"
+        # cells of the deepest level don't split, flat or not: their pixels are not looked at
+        f"CASE WHEN u.corners + u.centre = 5 THEN 'drop' WHEN g.level >= {max_level} THEN CASE WHEN u.centre = 1 THEN 'drop' ELSE 'leaf' END"
+        f" WHEN u.corners + u.centre = 0 AND {small} AND {flat} THEN 'leaf' ELSE 'split' END"
     )
     samples = f"struct({_corners_unknown('g')} AS corners, {_sample('g', '0.5D', '0.5D')} AS centre)"
     judged = _let(_placed("k"), "g", _let(samples, "u", f"struct(g.level AS level, g.ix AS ix, g.iy AS iy, {fate} AS fate)"))
@@ -166,15 +167,19 @@ def _coarse_samples() -> str:
         "filter(array(struct(0 AS x, 0 AS y), struct(1 AS x, 0 AS y), struct(0 AS x, 1 AS y), struct(1 AS x, 1 AS y)),"
         " c -> (c.x = 0 OR rx = roots - 1) AND (c.y = 0 OR ry = roots - 1))"
     )
-    shares = "array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(0D AS x, 1D AS y), struct(1D AS x, 1D AS y), struct(0.5D AS x, 0.5D AS y))"
-    size = "shiftleft(1, root_level - l)"
-    off_x, off_y = f"rx + c.x - cast(s.x * {size} AS int)", f"ry + c.y - cast(s.y * {size} AS int)"
-    valid = f"({off_x}) >= 0 AND ({off_y}) >= 0 AND ({off_x}) % {size} = 0 AND ({off_y}) % {size} = 0 AND ({off_x}) < roots AND ({off_y}) < roots"
-    cell = f"struct(l AS level, ({off_x}) div {size} AS ix, ({off_y}) div {size} AS iy)"
-    cell = f"struct(l AS level, cast(({off_x}) div {size} AS int) AS ix, cast(({off_y}) div {size} AS int) AS iy)"
+    ends = "array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(0D AS x, 1D AS y), struct(1D AS x, 1D AS y))"
+    # a corner of roots is a corner of up to four cells of a level, the centre of one, or nothing
+    shares = (
+        f"CASE WHEN p.x % p.n = 0 AND p.y % p.n = 0 THEN {ends} WHEN p.x % p.n * 2 = p.n AND p.y % p.n * 2 = p.n"
+        " THEN array(struct(0.5D AS x, 0.5D AS y)) ELSE cast(array() AS array<struct<x:double,y:double>>) END"
+    )
+    off_x, off_y = "(p.x - cast(s.x * p.n AS int))", "(p.y - cast(s.y * p.n AS int))"
+    valid = f"{off_x} >= 0 AND {off_y} >= 0 AND {off_x} < roots AND {off_y} < roots"
+    cell = f"struct(l AS level, cast({off_x} div p.n AS int) AS ix, cast({off_y} div p.n AS int) AS iy)"
     known = f"({_let(_placed('k'), 'g', _is_unknown(_nearest('g.pcol', 'g.cw', 'width', 's.x'), _nearest('g.prow', 'g.ch', 'height', 's.y')))}) = 1"
     found = f"CASE WHEN {valid} THEN {_let(cell, 'k', f'CASE WHEN {known} THEN k END')} END"
-    per_level = f"flatten(transform({corner}, c -> transform({shares}, s -> {found})))"
+    place = "struct(rx + c.x AS x, ry + c.y AS y, shiftleft(1, root_level - l) AS n)"
+    per_level = f"flatten(transform({corner}, c -> {_let(place, 'p', f'transform({shares}, s -> {found})')}))"
     levels = "filter(sequence(-1, root_level - 1), l -> l >= 0)"
     return f"filter(flatten(transform({levels}, l -> {per_level})), k -> k IS NOT NULL)"
 

@@ -31,7 +31,9 @@ from terraframe.operators.roots import (  # noqa: F401
     MAX_SPAN,
     deepest_level,
     root_blocks,
+    root_blocks_of_rasters,
     tree_geometry,
+    whole_rasters,
 )
 from terraframe.operators.sampling import sample_filled
 from terraframe.session import stored

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terraframe.functions.rules import level_for_span
 from terraframe.operators.blocks import pack
 from terraframe.operators.lookup import sized
+from terraframe.session import spread
 
 # Root cells per side, widest leaf in pixels, tolerance angle
 # in degrees, deepest level unless the span asks for more.
@@ -22,11 +23,12 @@ _GEOMETRY = ["width", "height", "pw", "ph", "cw0", "ch0", "root_level"]
 
 
 def tree_geometry(
-    catalog: DataFrame, coarse: int = COARSE, max_level: int = MAX_LEVEL, max_span: float = MAX_SPAN
+    catalog: DataFrame, coarse: int = COARSE, max_level: int = MAX_LEVEL, max_span: float = MAX_SPAN, carried: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per raster: level-0 cell size, first level within the span, deepest level."""
+    """Per raster: level-0 cell size, first level within the span, deepest level; ``carried`` columns stay."""
     sized = catalog.select(
         "raster_id",
+        *carried,
         "width",
         "height",
         F.abs("a").alias("pw"),
@@ -62,16 +64,19 @@ def _near(index: str, cell0: str) -> str:
     )
 
 
+def _root_geometry(catalog: DataFrame, coarse: int, max_span: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    parts = "pow(2D, cast(root_level AS double))"
+    found = tree_geometry(catalog, coarse, 0, max_span, carried)
+    return found.selectExpr("raster_id", *carried, *_GEOMETRY, f"{parts} AS __parts", f"cast({coarse} * {parts} AS int) AS __roots")
+
+
 def root_blocks(pixels: DataFrame, catalog: DataFrame, coarse: int = COARSE, max_span: float = MAX_SPAN) -> DataFrame:
     """Pixels (v, filled) packed into one block per root cell, with the raster's geometry and ``roots`` per side.
 
     The one shuffle of a raster. Only what places a pixel travels with it;
     the geometry is attached to the blocks.
     """
-    geometry = tree_geometry(catalog, coarse, 0, max_span).selectExpr(
-        "raster_id", *_GEOMETRY, "pow(2D, cast(root_level AS double)) AS __parts", f"cast({coarse} * pow(2D, cast(root_level AS double)) AS int) AS __roots"
-    )
-    geometry = sized(geometry)
+    geometry = sized(_root_geometry(catalog, coarse, max_span))
     placed = (
         pixels.select("raster_id", "row", "col", "v", "filled")
         .join(geometry.select("raster_id", "cw0", "ch0", "__parts", "__roots"), "raster_id")
@@ -81,3 +86,42 @@ def root_blocks(pixels: DataFrame, catalog: DataFrame, coarse: int = COARSE, max
     blocks = pack(placed, ROOT, ["v", "filled"])
     whole = blocks.join(geometry, "raster_id").withColumnRenamed("__roots", "roots")
     return whole.select(*ROOT, "row0", "col0", "bw", "bh", "v", "filled", *_GEOMETRY, "roots")
+
+
+def whole_rasters(pixels: DataFrame, values: list[str], catalog: DataFrame) -> DataFrame:
+    """``catalog`` with each raster's values as row-major arrays: for rasters that one task may take whole (``fit_whole``).
+
+    One shuffle of the pixels as they are; what multiplies them comes behind it, on arrays.
+    """
+    packed = pack(spread(pixels.select("raster_id", "row", "col", *values), "raster_id"), ["raster_id"], values)
+    return packed.select("raster_id", *values).join(sized(catalog), "raster_id")
+
+
+def root_blocks_of_rasters(rasters: DataFrame, coarse: int = COARSE, max_span: float = MAX_SPAN) -> DataFrame:
+    """As ``root_blocks``, cut out of whole rasters: catalog rows with ``v`` and ``filled`` as row-major arrays.
+
+    Bands of lines are sliced first, blocks out of these. No pixel is a row of its own, and nothing is shuffled.
+    """
+
+    def ends(index: str, cell0: str, count: str) -> tuple[str, str]:
+        """First and last pixel of root ``index`` along one axis, halo included."""
+        size = f"({cell0} / __parts)"
+        return f"cast(floor({index} * {size}) AS int)", f"least(cast(floor({index} * {size} + {size}) AS int) + 1, {count} - 1)"
+
+    geometry = _root_geometry(rasters, coarse, max_span, ("v", "filled")).withColumnRenamed("__roots", "roots")
+    dense = "CASE WHEN size(v) = width * height THEN {0} ELSE cast(raise_error('a raster is not as its catalog says') AS int) END"
+    (top, bottom), (left, right) = ends("ry", "ch0", "height"), ends("rx", "cw0", "width")
+    band = "slice({0}, row0 * width + 1, bh * width) AS {0}"
+    bands = (
+        geometry.selectExpr("*", "explode(sequence(0, roots - 1)) AS ry")
+        .selectExpr("*", f"{dense.format(top)} AS row0", f"{bottom} AS __last")
+        .selectExpr("*", "__last - row0 + 1 AS bh")
+        .selectExpr("raster_id", *_GEOMETRY, "__parts", "roots", "ry", "row0", "bh", band.format("v"), band.format("filled"))
+    )
+    block = "flatten(transform(sequence(0, bh - 1), r -> slice({0}, r * width + col0 + 1, bw))) AS {0}"
+    blocks = (
+        bands.selectExpr("*", "explode(sequence(0, roots - 1)) AS rx")
+        .selectExpr("*", f"{left} AS col0", f"{right} AS __end")
+        .selectExpr("*", "__end - col0 + 1 AS bw")
+    )
+    return blocks.selectExpr(*ROOT, "row0", "col0", "bw", "bh", block.format("v"), block.format("filled"), *_GEOMETRY, "roots")

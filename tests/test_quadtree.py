@@ -301,3 +301,21 @@ def test_corner_heights_from_root_blocks(spark):
     plain = Q.patch_corners(tree, table, cat, 3, coarse=2)
     read = Q.patch_corners(tree, None, cat, 3, coarse=2, blocks=blocks)
     assert sorted(read.collect()) == sorted(plain.collect())
+
+
+def test_blocks_cut_from_whole_rasters(spark):
+    """Rasters packed once and cut in their row give the root blocks that their pixels give, whatever their sizes."""
+    rng = np.random.default_rng(8)
+    sizes = {1: (25, 25), 2: (97, 97), 3: (41, 70)}
+    grids = {k: np.where(rng.random(s) < 0.2, np.nan, rng.random(s)) for k, s in sizes.items()}
+    parts = [pixels(spark, grids[k], k) for k in sizes]
+    cats = [catalog(spark, w, h, raster_id=k) for k, (h, w) in sizes.items()]
+    table = parts[0].unionByName(parts[1]).unionByName(parts[2]).selectExpr("*", "coalesce(v, 25D) AS filled")
+    cat = cats[0].unionByName(cats[1]).unionByName(cats[2])
+    rasters = Q.whole_rasters(table, ["v", "filled"], cat)
+    cut, packed = Q.root_blocks_of_rasters(rasters, 2, 8.0), Q.root_blocks(table, cat, 2, 8.0)
+    assert cut.columns == packed.columns and cut.dtypes == packed.dtypes
+    assert cut.count() == packed.count() == 16 + 256 + 256
+    assert cut.exceptAll(packed).count() == 0
+    with pytest.raises(Exception, match="not as its catalog says"):
+        Q.root_blocks_of_rasters(Q.whole_rasters(table, ["v", "filled"], cat.withColumn("height", F.col("height") + 1)), 2, 8.0).collect()
