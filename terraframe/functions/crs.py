@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,6 +136,50 @@ def reproject(
     return cx, cy
 
 
+def _project_arrays(lon: np.ndarray, lat: np.ndarray, crs: Conic) -> tuple[np.ndarray, np.ndarray]:
+    cone = _cone(crs)
+    phi = np.radians(lat)
+    bend = cone.e * np.sin(phi)
+    t = np.tan(_QUARTER - phi / 2) * np.power((1 + bend) / (1 - bend), cone.e / 2)
+    rho = cone.scale * np.power(t, cone.n)
+    theta = cone.n * np.radians(lon - crs.central_meridian)
+    return crs.false_easting + rho * np.sin(theta), crs.false_northing + cone.rho0 - rho * np.cos(theta)
+
+
+def _unproject_arrays(x: np.ndarray, y: np.ndarray, crs: Conic) -> tuple[np.ndarray, np.ndarray]:
+    cone = _cone(crs)
+    dx = x - crs.false_easting
+    dy = cone.rho0 - (y - crs.false_northing)
+    t = np.power(np.sqrt(dx * dx + dy * dy) / cone.scale, 1.0 / cone.n)
+    phi = math.pi / 2 - 2 * np.arctan(t)
+    for _ in range(_LATITUDE_PASSES):
+        phi = math.pi / 2 - 2 * np.arctan(t * np.exp(-cone.e * np.arctanh(cone.e * np.sin(phi))))
+    return np.degrees(np.arctan2(dx, dy) / cone.n) + crs.central_meridian, np.degrees(phi)
+
+
+def reproject_batches(x: ColumnLike, y: ColumnLike, source: Crs | int, target: Crs | int) -> Column:
+    """As ``reproject``, as a struct (x, y) worked out in Arrow batches with the C library's functions.
+
+    Those are closer to the exact value than the virtual machine's (half a unit in the last place for most), and it matters where a place is
+    taken there and back onto the centre of a pixel whose neighbours are unknown.
+    """
+    src, dst = resolve(source), resolve(target)
+    cx, cy = col(x), col(y)
+    if src == dst:
+        return F.struct(cx.alias("x"), cy.alias("y"))
+
+    @F.pandas_udf("x double, y double")
+    def moved(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        px, py = x.to_numpy(float), y.to_numpy(float)
+        if isinstance(src, Conic):
+            px, py = _unproject_arrays(px, py, src)
+        if isinstance(dst, Conic):
+            px, py = _project_arrays(px, py, dst)
+        return pd.DataFrame({"x": px, "y": py})
+
+    return F.when(cx.isNotNull() & cy.isNotNull(), moved(cx, cy))
+
+
 def is_geographic(crs: Crs | int) -> bool:
     return isinstance(resolve(crs), Geographic)
 
